@@ -1,0 +1 @@
+"""Analytics over candle series (open, high, low, close, volume) as DataFrame transforms on Spark."""
