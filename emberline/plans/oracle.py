@@ -1 +1,187 @@
-SQL: dict[str, str] = {}
+"""DuckDB SQL that computes the queries' results in its own way, for checking them."""
+
+from __future__ import annotations
+
+BASE = """
+ticks AS (
+  SELECT {instrument} AS instrument, ts, event_id, value, CAST(round(value * 100) AS BIGINT) - 4963 AS move FROM events
+), walk AS (
+  SELECT instrument, ts, event_id, value,
+    (200000 + floor(sum(move) OVER (PARTITION BY instrument ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) / 50.0::DOUBLE)) / 100.0::DOUBLE AS price
+  FROM ticks
+), candles AS (
+  SELECT instrument, CAST(floor(epoch(ts) / {seconds}) AS BIGINT) * {seconds} AS t, arg_min({price}, (ts, event_id)) AS open, max({price}) AS high, min({price}) AS low,
+    arg_max({price}, (ts, event_id)) AS close, count(*) AS volume
+  FROM walk GROUP BY ALL
+), b AS (
+  SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY t) - 1 AS i, lag(close) OVER (PARTITION BY instrument ORDER BY t) AS pc,
+    lag(high) OVER (PARTITION BY instrument ORDER BY t) AS ph, lag(low) OVER (PARTITION BY instrument ORDER BY t) AS pl,
+    CASE WHEN high > low THEN (high - greatest(open, close)) / (high - low) ELSE 0 END AS uw,
+    CASE WHEN high > low THEN (least(open, close) - low) / (high - low) ELSE 0 END AS lw,
+    CASE WHEN high > low THEN abs(close - open) / (high - low) ELSE 0 END AS bf
+  FROM candles
+)
+"""
+
+
+def base(seconds: int = 3600, instrument: str = "event_type", price: str = "price") -> str:
+    return BASE.format(seconds=seconds, instrument=instrument, price=price)
+
+
+# The recursive smoothers, one row after the other. Sums serve as seeds.
+RECURSIVE = """
+x AS (
+  SELECT instrument, i, t, open, high, low, close, volume, greatest(high - low, abs(high - pc), abs(low - pc)) AS tr, greatest(high - low, abs(high - coalesce(pc, close)), abs(low - coalesce(pc, close))) AS tr0,
+    close - pc AS ch, CASE WHEN high - ph > pl - low AND high - ph > 0 THEN high - ph ELSE 0 END AS dp, CASE WHEN pl - low > high - ph AND pl - low > 0 THEN pl - low ELSE 0 END AS dm
+  FROM b
+), r AS (
+  SELECT instrument, i, close AS e20, close AS e50, close AS e200, close AS e12, close AS e26, 0.0::DOUBLE AS sig, high AS h10, tr AS satr, tr0 AS atrx, NULL::DOUBLE AS atr,
+    0.0::DOUBLE AS sg, 0.0::DOUBLE AS sl, NULL::DOUBLE AS g, NULL::DOUBLE AS l, tr AS wt, dp::DOUBLE AS wp, dm::DOUBLE AS wm, 0.0::DOUBLE AS sdx, NULL::DOUBLE AS adx
+  FROM x WHERE i = 0
+  UNION ALL
+  SELECT instrument, i, e20, e50, e200, e12, e26, sig, h10, satr, atrx, atr, sg, sl, g, l, wt, wp, wm, CASE WHEN i < 14 THEN sdx + dx ELSE sdx END AS sdx,
+    CASE WHEN i < 13 THEN NULL WHEN i = 13 THEN (sdx + dx) / 14 ELSE adx * 13 / 14 + dx / 14 END AS adx
+  FROM (
+    SELECT *, CASE WHEN di_p + di_m > 0 THEN abs(di_p - di_m) / (di_p + di_m) * 100 ELSE 0 END AS dx FROM (
+      SELECT *, CASE WHEN i >= 13 AND wt > 0 THEN 100 * wp / wt ELSE 0 END AS di_p, CASE WHEN i >= 13 AND wt > 0 THEN 100 * wm / wt ELSE 0 END AS di_m FROM (
+        SELECT x.instrument, x.i, r.e20 + (x.close - r.e20) * 2 / 21 AS e20, r.e50 + (x.close - r.e50) * 2 / 51 AS e50, r.e200 + (x.close - r.e200) * 2 / 201 AS e200,
+          r.e12 + (x.close - r.e12) * 2 / 13 AS e12, r.e26 + (x.close - r.e26) * 2 / 27 AS e26,
+          r.sig + ((r.e12 + (x.close - r.e12) * 2 / 13) - (r.e26 + (x.close - r.e26) * 2 / 27) - r.sig) * 2 / 10 AS sig, r.h10 + (x.high - r.h10) * 2 / 11 AS h10,
+          r.satr + x.tr AS satr, CASE WHEN x.i < 14 THEN (r.atrx * x.i + x.tr0) / (x.i + 1) ELSE r.atrx * 13 / 14 + x.tr0 / 14 END AS atrx,
+          CASE WHEN x.i < 13 THEN NULL WHEN x.i = 13 THEN (r.satr + x.tr) / 14 ELSE r.atr * 13 / 14 + x.tr / 14 END AS atr,
+          r.sg + greatest(x.ch, 0) AS sg, r.sl + greatest(-x.ch, 0) AS sl,
+          CASE WHEN x.i < 14 THEN NULL WHEN x.i = 14 THEN (r.sg + greatest(x.ch, 0)) / 14 ELSE r.g * 13 / 14 + greatest(x.ch, 0) / 14 END AS g,
+          CASE WHEN x.i < 14 THEN NULL WHEN x.i = 14 THEN (r.sl + greatest(-x.ch, 0)) / 14 ELSE r.l * 13 / 14 + greatest(-x.ch, 0) / 14 END AS l,
+          CASE WHEN x.i < 14 THEN r.wt + x.tr ELSE r.wt - r.wt / 14 + x.tr END AS wt, CASE WHEN x.i < 14 THEN r.wp + x.dp ELSE r.wp - r.wp / 14 + x.dp END AS wp,
+          CASE WHEN x.i < 14 THEN r.wm + x.dm ELSE r.wm - r.wm / 14 + x.dm END AS wm, r.sdx, r.adx
+        FROM r JOIN x ON x.instrument = r.instrument AND x.i = r.i + 1
+      )
+    )
+  )
+), s AS (
+  SELECT x.*, e20, e50, e200, e12 - e26 AS line, e12 - e26 - sig AS hist, h10, atr, atrx, adx,
+    CASE WHEN g IS NULL OR (g = 0 AND l = 0) THEN NULL WHEN l = 0 THEN 100 ELSE 100 - 100 / (1 + g / l) END AS rsi, uw, lw, bf
+  FROM x JOIN r USING (instrument, i) JOIN b USING (instrument, i)
+)
+"""
+
+# Symmetric swings over three bars, as bars know them when they are confirmed.
+SWINGS = """
+sw AS (
+  SELECT *, CASE WHEN i >= 3 AND n3 = 3 AND high >= hb AND high >= ha AND (high > hb OR high > ha) THEN 1 ELSE 0 END AS sh, CASE WHEN i >= 3 AND n3 = 3 AND low <= lb AND low <= la AND (low < lb OR low < la) THEN 1 ELSE 0 END AS sl
+  FROM (
+    SELECT *, max(high) OVER p AS hb, max(high) OVER f AS ha, min(low) OVER p AS lb, min(low) OVER f AS la, count(*) OVER f AS n3 FROM s
+    WINDOW p AS (PARTITION BY instrument ORDER BY i ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), f AS (PARTITION BY instrument ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 3 FOLLOWING)
+  )
+), sl AS (
+  SELECT *, max(CASE WHEN sh = 1 THEN i END) OVER d AS lhi, max(CASE WHEN sl = 1 THEN i END) OVER d AS lli, arg_max(CASE WHEN sh = 1 THEN high END, CASE WHEN sh = 1 THEN i END) OVER d AS lh, arg_max(CASE WHEN sl = 1 THEN low END, CASE WHEN sl = 1 THEN i END) OVER d AS ll
+  FROM sw WINDOW d AS (PARTITION BY instrument ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 3 PRECEDING)
+)
+"""
+
+
+def frame(*parts: str, select: str, recursive: bool = False, **options: object) -> str:
+    return f"WITH {'RECURSIVE ' if recursive else ''}{', '.join([base(**options), *parts])} {select}"
+
+
+def over(n: int) -> str:
+    return f"OVER (PARTITION BY instrument ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+
+
+LAG = "OVER (PARTITION BY instrument ORDER BY i)"
+
+
+def r(expression: str, name: str) -> str:
+    return f"round({expression}, 6) AS {name}"
+
+
+def r4(expression: str, name: str) -> str:
+    """Running sums of squares differ by their order in the last digits."""
+    return f"round({expression}, 4) AS {name}"
+
+
+def flag(condition: str, name: str) -> str:
+    return f"CAST(coalesce({condition}, FALSE) AS BIGINT) AS {name}"
+
+
+def guarded(function: str, of: str, n: int) -> str:
+    return f"CASE WHEN count({of}) {over(n)} = {n} THEN {function}({of}) {over(n)} END"
+
+
+def rank(of: str, n: int) -> str:
+    """Average rank in percent of the last of n values."""
+    of = f"round({of}, 10)"
+    values = f"list({of}) {over(n)}"
+    return f"CASE WHEN count({of}) {over(n)} = {n} THEN (len(list_filter({values}, lambda v: v < {of})) + (len(list_filter({values}, lambda v: v = {of})) + 1) / 2.0::DOUBLE) / {n} * 100 END"
+
+
+def smoothed(columns: str) -> str:
+    return frame(RECURSIVE, recursive=True, select=f"SELECT instrument, t, {columns} FROM s")
+
+
+def swinging(columns: str, extra: str = "", of: str = "sl") -> str:
+    return frame(RECURSIVE, SWINGS + extra, recursive=True, select=f"SELECT instrument, t, {columns} FROM {of}")
+
+
+PRICES = "open, high, low, close"
+EMAS = ", ".join([r(f"e{p}", f"ema_{p}") + ", " + r(f"(e{p} - lag(e{p}, 3) {LAG}) / atr", f"ema_{p}_slope") + ", " + flag(f"close > e{p}", f"price_above_ema_{p}") for p in (20, 50, 200)] + [flag("e20 > e50", "ema_20_above_50"), flag("e50 > e200", "ema_50_above_200")])
+HOUR = "CAST(floor(t / 3600) AS BIGINT) % 24"
+DAY = "CAST(floor(t / 86400) AS BIGINT)"
+BODY = "CASE WHEN high > low THEN abs(close - open) / (high - low) ELSE 0 END"
+VOLUME = f"(volume / ({guarded('avg', 'volume', 20)}))"
+
+SQL: dict[str, str] = {
+    "bars_hourly": frame(select=f"SELECT instrument, t, {PRICES}, volume FROM candles"),
+    "bars_dense": frame(seconds=900, instrument="'ALL'", select=f"SELECT instrument, t, {PRICES}, volume FROM candles"),
+    "bars_daily": """SELECT l_returnflag AS instrument, CAST(floor(epoch(l_shipdate) / 86400) AS BIGINT) * 86400 AS t, round(arg_min(l_extendedprice, (l_orderkey, l_linenumber)), 6) AS open, round(max(l_extendedprice), 6) AS high,
+      round(min(l_extendedprice), 6) AS low, round(arg_max(l_extendedprice, (l_orderkey, l_linenumber)), 6) AS close, count(*) AS volume FROM lineitem GROUP BY ALL""",
+    "bars_normalised": frame(select=f"SELECT instrument, t, {PRICES}, volume FROM candles"),
+    "moving_averages": frame(select=f"""SELECT instrument, t, {r(guarded('avg', 'close', 10), 'sma_10')}, {r(f"({guarded('avg', 'close', 20)}) - 2 * stddev_samp(close) {over(20)}", 'bb_low')}, {r(guarded('avg', 'close', 20), 'bb_middle')},
+      {r(f"({guarded('avg', 'close', 20)}) + 2 * stddev_samp(close) {over(20)}", 'bb_high')} FROM b"""),
+    "emas": smoothed(f"{EMAS}, {r('atr', 'atr_14')}"),
+    "ema_of_high": smoothed(r("h10", "ema_10")),
+    "atr": smoothed(f"{r('atr', 'atr_14')}, {r(rank('atr', 50), 'atr_pct_50')}"),
+    "atr_warm": smoothed(r("atrx", "atr_14")),
+    "adx": smoothed(f"{r('adx', 'adx_14')}, {flag('adx > 20', 'adx_above_20')}, {flag('adx > 25', 'adx_above_25')}, {flag('adx > 40', 'adx_above_40')}, {r(f'adx - lag(adx, 3) {LAG}', 'adx_delta_3')}"),
+    "rsi": smoothed(f"{r('rsi', 'rsi_14')}, {flag('rsi > 50', 'rsi_above_50')}, {flag('rsi > 70', 'rsi_above_70')}, {flag('rsi < 30', 'rsi_below_30')}, {r(f'rsi - lag(rsi, 3) {LAG}', 'rsi_delta_3')}"),
+    "macd": smoothed(f"{r('hist', 'macd_hist')}, {flag('hist > 0', 'macd_hist_positive')}, {flag(f'abs(hist) > abs(lag(hist) {LAG})', 'macd_hist_expanding')}, {r(f'hist - lag(hist) {LAG}', 'macd_hist_delta')}"),
+    "bb_width": frame(f"w AS (SELECT *, CASE WHEN i >= 19 THEN 4 * stddev_samp(close) {over(20)} / avg(close) {over(20)} END AS bw FROM b), q AS (SELECT *, {rank('bw', 50)} AS pct FROM w)",
+                      select=f"SELECT instrument, t, {r('bw', 'bb_width')}, {r('pct', 'bb_width_pct_50')}, {flag('pct < 30', 'bb_width_below_30')}, {flag('pct < 40', 'bb_width_below_40')} FROM q"),
+    "body_ratio": frame(select=f"SELECT instrument, t, {r('bf', 'body_ratio')}, {flag('bf > 0.6', 'body_ratio_above_60')} FROM b"),
+    "rolling_atr_ratio": smoothed(f"round(CASE WHEN i >= 9 THEN avg(atrx) {over(5)} / avg(atrx) OVER (PARTITION BY instrument ORDER BY i ROWS BETWEEN 9 PRECEDING AND 5 PRECEDING) END, 6) AS atr_ratio_rolling"),
+    "atr_ratio": frame(RECURSIVE, recursive=True, select="SELECT instrument, round(avg(atrx) FILTER (i >= 120 AND i < 130) / avg(atrx) FILTER (i >= 100 AND i < 120), 6) AS atr_ratio FROM s GROUP BY instrument"),
+    "volume_ratio": frame(f"v AS (SELECT *, {VOLUME} AS vr, {guarded('avg', 'volume', 20)} AS av FROM b)", select=f"SELECT instrument, t, {r('vr', 'vol_ratio')}, {flag('vr > 1.5', 'vol_above_1_5x')}, {flag('vr < 0.8', 'vol_below_0_8x')}, {r(f'regr_slope(volume, i) {over(5)} / av', 'vol_slope_5')} FROM v"),
+    "key_volume_flags": frame(f"v AS (SELECT *, {guarded('avg', 'volume', 20)} AS av FROM b)", select=f"SELECT instrument, t, {flag('volume > av', 'vol_above_avg')}, {flag('volume < av', 'vol_below_avg')} FROM v"),
+    "candle_delta_proxy": frame(f"v AS (SELECT *, {VOLUME} AS vr FROM b)", select="SELECT instrument, t, round(CASE WHEN high > low THEN (close - low) / (high - low) * vr ELSE 0 END, 6) AS candle_delta_proxy FROM v"),
+    "vsa": frame(f"v AS (SELECT *, {guarded('avg', 'volume', 20)} AS av, avg(high - low) {over(20)} AS ar FROM b)", select=f"SELECT instrument, t, {flag('volume > av AND high - low < ar * 0.7', 'vsa_absorption')}, {flag('volume > av AND high - low > ar * 1.3', 'vsa_directional')} FROM v"),
+    "wick_ratio": frame(select=f"SELECT instrument, t, {r('uw', 'upper_wick_ratio')}, {r('lw', 'lower_wick_ratio')} FROM b"),
+    "displacement_candle": frame(RECURSIVE, """d AS (SELECT *, CAST(sign(close - open) AS BIGINT) AS dir, CASE WHEN atrx > 0 THEN abs(close - open) / atrx ELSE 0 END AS ba,
+      coalesce(CASE WHEN close > open THEN (high - close) / (high - low) WHEN close < open THEN (close - low) / (high - low) END <= 0.2, FALSE) AS near, CASE WHEN close > open THEN lw WHEN close < open THEN uw ELSE 0 END AS opp FROM s),
+      e AS (SELECT *, dir <> 0 AND ba >= 1.5 AND near AND bf >= 0.6 AND opp <= 0.2 AS on_ FROM d)""", recursive=True,
+      select=f"SELECT instrument, t, dir AS displacement_direction, {r('ba', 'displacement_body_atr')}, {flag('near', 'displacement_close_extreme')}, {flag('on_', 'displacement_candle')}, {flag('on_ AND dir = 1', 'displacement_bull_candle')}, {flag('on_ AND dir = -1', 'displacement_bear_candle')} FROM e"),
+    "asian_session": frame(f"""a AS (SELECT instrument, {DAY} AS day, max(high) AS ah, min(low) AS al FROM b WHERE {HOUR} < 8 GROUP BY ALL), m AS (SELECT *, avg(ah - al) OVER (PARTITION BY instrument ORDER BY day ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS av FROM a)""",
+                           select=f"SELECT b.instrument, t, {r('ah', 'asian_high')}, {r('al', 'asian_low')}, {r('ah - al', 'asian_range')}, {r('(ah - al) / nullif(av, 0)', 'asian_range_ratio')} FROM b LEFT JOIN m ON m.instrument = b.instrument AND m.day = {DAY}"),
+    "session": frame(f"h AS (SELECT *, {HOUR} AS hr FROM b)", select=f"""SELECT instrument, t, CAST(CASE WHEN hr < 8 THEN 0 WHEN hr < 13 THEN 1 WHEN hr < 17 THEN 3 WHEN hr < 22 THEN 2 ELSE 4 END AS BIGINT) AS session, {flag('hr BETWEEN 8 AND 9', 'london_open')}, {flag('hr BETWEEN 13 AND 14', 'ny_open')},
+      {flag('hr >= 22', 'is_dead_zone')}, CAST(hr - CASE WHEN hr < 8 THEN 0 WHEN hr < 13 THEN 8 WHEN hr < 17 THEN 13 WHEN hr < 22 THEN 17 ELSE 22 END AS DOUBLE) AS hours_since_session FROM h"""),
+    "time_features": frame(select=f"SELECT instrument, t, CAST(({DAY} + 3) % 7 AS BIGINT) AS day_of_week, {flag(f'({DAY} + 3) % 7 = 4', 'is_friday')}, CAST({HOUR} AS BIGINT) AS hour_of_day FROM b"),
+    "round_numbers": frame(RECURSIVE, recursive=True, select=f"SELECT instrument, t, {flag('least(least(close % 50, 25), 50 - least(close % 50, 25)) < 0.3 * atrx', 'near_round_number')} FROM s"),
+    "anchored_vwap": frame("""c AS (SELECT *, (high + low + close) / 3 AS tp FROM b), v AS (SELECT *, sum(tp * volume) FILTER (i >= 50) OVER w / sum(volume) FILTER (i >= 50) OVER w AS vw, sum(tp * tp * volume) FILTER (i >= 50) OVER w / sum(volume) FILTER (i >= 50) OVER w AS v2 FROM c
+      WINDOW w AS (PARTITION BY instrument ORDER BY i)), d AS (SELECT *, sqrt(greatest(v2 - vw * vw, 0)) AS sd FROM v)""", select=f"""SELECT instrument, t, {r4('vw', 'avwap')}, {r4('vw + sd', 'avwap_upper_1')}, {r4('vw - sd', 'avwap_lower_1')}, {r4('vw + 2 * sd', 'avwap_upper_2')}, {r4('vw - 2 * sd', 'avwap_lower_2')},
+      {r4('CASE WHEN vw IS NULL THEN NULL WHEN sd > 0 THEN (close - vw) / sd ELSE 0 END', 'avwap_dev_sigma')} FROM d"""),
+    "pivots": frame("""p AS (SELECT *, max(high) OVER a AS hb, max(high) OVER f AS hf, min(low) OVER a AS lb, min(low) OVER f AS lf, count(*) OVER a AS na, count(*) OVER f AS nf FROM b WINDOW a AS (PARTITION BY instrument ORDER BY i ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), f AS (PARTITION BY instrument ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING))""",
+                    select=f"SELECT instrument, t, {flag('na = 2 AND nf = 2 AND high > hb AND high >= hf', 'pivot_high')}, {flag('na = 2 AND nf = 2 AND low < lb AND low <= lf', 'pivot_low')} FROM p"),
+    "q_time_slice": frame(select="SELECT instrument, t, close, volume FROM candles WHERE t BETWEEN 1704844800 AND 1705017600"),
+    "q_latest_rows": frame(f"l AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY t DESC) AS n FROM b)", select=f"SELECT instrument, t, n, close, volume, {r('bf', 'body_ratio')} FROM l WHERE n <= 3"),  # noqa: F541
+    "q_series_coverage": frame(select="SELECT instrument, count(*) AS n, min(t) AS first_t, max(t) AS last_t FROM candles GROUP BY instrument"),
+    "volume_profile_last": frame("""z AS (SELECT *, row_number() OVER (PARTITION BY instrument ORDER BY t DESC) AS n FROM b), y AS (SELECT *, (high + low + close) / 3 AS tp, min(low) OVER (PARTITION BY instrument) AS lo, max(high) OVER (PARTITION BY instrument) AS hi FROM z WHERE n <= 80),
+      bins AS (SELECT instrument, lo, hi, least(49, CAST(floor((tp - lo) / (hi - lo) * 50) AS BIGINT)) AS k, sum(volume)::DOUBLE AS v FROM y GROUP BY ALL), p AS (SELECT instrument, lo, hi, list_transform(range(50), lambda j: coalesce(map_from_entries(list((k, v)))[j], 0.0)) AS vs FROM bins GROUP BY ALL),
+      g AS (SELECT instrument, lo, hi, vs, list_position(vs, list_max(vs)) - 1 AS a, list_position(vs, list_max(vs)) - 1 AS e, list_max(vs) AS inside, list_sum(vs) AS total, 0 AS k FROM p
+        UNION ALL SELECT instrument, lo, hi, vs, a - down, e + (1 - down), inside + CASE WHEN down = 1 THEN vs[a] ELSE vs[e + 2] END, total, k + 1 FROM (SELECT *, CASE WHEN (CASE WHEN a > 0 THEN vs[a] ELSE 0 END >= CASE WHEN e < 49 THEN vs[e + 2] ELSE 0 END AND a > 0) OR e >= 49 THEN 1 ELSE 0 END AS down FROM g WHERE inside < total * 0.7 AND (a > 0 OR e < 49)))""", recursive=True,
+      select="SELECT instrument, round(min(lo + (hi - lo) / 50 * (list_position(vs, list_max(vs)) - 0.5)), 6) AS poc, round(arg_max(lo + (hi - lo) / 50 * (e + 1), k), 6) AS vah, round(arg_max(lo + (hi - lo) / 50 * a, k), 6) AS val, round(min(total), 6) AS volume, 51::BIGINT AS n_edges FROM g GROUP BY instrument"),
+}
+
+for _name, _period in (("day", DAY), ("week", f"floor(({DAY} + 3) / 7)")):
+    SQL[f"prev_{_name}"] = frame(
+        f"g AS (SELECT instrument, {_period} AS p, max(high) AS h, min(low) AS l FROM b GROUP BY ALL), q AS (SELECT instrument, p, lag(h) OVER (PARTITION BY instrument ORDER BY p) AS h, lag(l) OVER (PARTITION BY instrument ORDER BY p) AS l FROM g)",
+        select=f"SELECT b.instrument, t, h AS prev_{_name}_high, l AS prev_{_name}_low, {flag('close > h', f'above_prev_{_name}_high')}, {flag('close < l', f'below_prev_{_name}_low')} FROM b LEFT JOIN q ON q.instrument = b.instrument AND q.p = {_period}",
+    )

@@ -36,20 +36,20 @@ def enriched(spark: SparkSession, sf_dir: str, every: str = "hour") -> DataFrame
     return build_all_indicators(bars(spark, sf_dir, every), include_avwap=True)
 
 
-def shown(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def shown(df: DataFrame, columns: Sequence[str], digits: int = 6) -> DataFrame:
     """instrument, t (seconds) and the columns, doubles rounded."""
     kinds = dict(df.dtypes)
-    fix = lambda c: F.round(F.col(c), 6).alias(c) if kinds[c] == "double" else F.col(c).cast("long").alias(c) if kinds[c] in ("int", "bigint") else F.col(c)
+    fix = lambda c: F.round(F.col(c), digits).alias(c) if kinds[c] == "double" else F.col(c).cast("long").alias(c) if kinds[c] in ("int", "bigint") else F.col(c)
     return df.select("instrument", F.unix_timestamp("timestamp").alias("t"), *(fix(c) for c in columns))
 
 
-def _query(operator: Callable[[DataFrame], DataFrame], every: str = "hour") -> Callable[[SparkSession, str], DataFrame]:
+def _query(operator: Callable[[DataFrame], DataFrame], every: str = "hour", digits: int = 6) -> Callable[[SparkSession, str], DataFrame]:
     """The operator's new columns over the hourly bars."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         base = with_bar_index(bars(spark, sf_dir, every))
         out = operator(base)
-        return shown(out, [c for c in out.columns if c not in base.columns])
+        return shown(out, [c for c in out.columns if c not in base.columns], digits)
 
     return run
 
@@ -248,7 +248,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "order_blocks": _with_atr(op.add_ob), "ob_mitigation": _with_atr(op.add_ob_mitigation, op.add_ob), "equal_hl": _with_atr(op.add_equal_hl, _swings),
     "amd_features": _with_atr(op.add_amd_features, op.add_displacement_candle), "amd_state": _with_atr(op.add_amd_state, op.add_displacement_candle, op.add_amd_features), "amd_labels": _with_atr(op.add_amd_labels, op.add_displacement_candle, op.add_amd_features, op.add_amd_state),
     "amd_engine": _with_atr(lambda d: op.add_amd_engine(d, add_labels=True, accumulation_min_streak=2)),
-    "anchored_vwap": _query(lambda d: op.compute_anchored_vwap(d, 50)), "avwap_from_last_swing": _with_atr(op.add_avwap_from_last_swing, _swings),
+    "anchored_vwap": _query(lambda d: op.compute_anchored_vwap(d, 50), digits=4), "avwap_from_last_swing": _with_atr(op.add_avwap_from_last_swing, _swings),
     "asian_session": _query(op.add_asian_session_hl), "prev_day": _query(op.add_prev_day_hl), "prev_week": _query(op.add_prev_week_hl), "round_numbers": _with_atr(lambda d: op.add_round_number_flag(d, "XAU_USD")),
     "session": _query(op.add_session_classifier), "time_features": _query(op.add_time_features), "regime": _query(lambda d: op.add_regime(_trend(_swings(op.add_foundation(d))))),
     "volume_profile": _with_atr(op.add_volume_profile), "volume_profile_last": volume_profile_last, "full_pipeline": full_pipeline,
