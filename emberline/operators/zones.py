@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scan import Pass, scan
-from ..functions.series import KEYS, flag, ordered, require, rows, with_bar_index
+from ..functions.series import KEYS, flag, ordered, ratio, require, rows, with_bar_index
 from .foundation import ensure_atr
 from .structure import last_pivots, pivots, wicks
 
@@ -42,7 +42,7 @@ def fvg_candidates(
     df = last_pivots(ensure_atr(with_bar_index(df, keys), atr_length, keys), swing_left, swing_right, keys)
     w = ordered(keys)
     atr = F.col("atr_14")
-    body = F.abs(F.col("close") - F.col("open")) / atr
+    body = ratio(F.abs(F.col("close") - F.col("open")), atr)
     usable = (atr > 0) & F.lag("close").over(w).isNotNull() & F.lead("close").over(w).isNotNull()
     after = F.lead("close").over(w)
     for side in BULL_BEAR:
@@ -55,7 +55,7 @@ def fvg_candidates(
         if require_bos:
             found &= bos == 1
         found = F.coalesce(found, F.lit(False))
-        df = df.withColumn(f"_{side}", F.when(found, F.struct(low.alias("lo"), high.alias("hi"), ((high - low) / atr).alias("size"), body.alias("body"), bos.alias("bos"))))
+        df = df.withColumn(f"_{side}", F.when(found, F.struct(low.alias("lo"), high.alias("hi"), ratio(high - low, atr).alias("size"), body.alias("body"), bos.alias("bos"))))
         if keep_strongest_only_within > 0:
             k = keep_strongest_only_within
             best = F.max(F.when(F.col(f"_{side}").isNotNull(), F.struct(F.col(f"_{side}.size"), -F.col("bar_idx")))).over(rows(-k, k, keys))
@@ -269,9 +269,9 @@ def add_ob(
     # An impulse at bar i points at one of the bars i - n - searchback + 1 to i - n, so a bar finds all that point at it in as many bars ahead.
     pointers = {}
     for side in BULL_BEAR:
-        nearest = F.element_at(F.filter(f"_past_{side}", lambda z: (z["hi"] - z["lo"]) / F.col("atr_14") <= max_ob_width_atr), -1)
-        some = F.exists(f"_past_{side}", lambda z: (z["hi"] - z["lo"]) / F.col("atr_14") <= max_ob_width_atr)
-        point = F.struct("bar_idx", nearest["k"].alias("k"), nearest["hi"].alias("hi"), nearest["lo"].alias("lo"), ((nearest["hi"] - nearest["lo"]) / F.col("atr_14")).alias("width"))
+        nearest = F.element_at(F.filter(f"_past_{side}", lambda z: ratio(z["hi"] - z["lo"], F.col("atr_14")) <= max_ob_width_atr), -1)
+        some = F.exists(f"_past_{side}", lambda z: ratio(z["hi"] - z["lo"], F.col("atr_14")) <= max_ob_width_atr)
+        point = F.struct("bar_idx", nearest["k"].alias("k"), nearest["hi"].alias("hi"), nearest["lo"].alias("lo"), ratio(nearest["hi"] - nearest["lo"], F.col("atr_14")).alias("width"))
         pointers[f"_to_{side}"] = F.when((F.col(f"_on_{side}") == 1) & some, point)
     df = df.withColumns(pointers)
     ahead = rows(n, n - 1 + searchback, keys)
@@ -346,14 +346,14 @@ def add_liquidity_sweep(
         level, wick = F.col(f"_level_{side}"), F.col("_upper" if sign > 0 else "_lower")
         beyond, inside = (F.col(side) - level) * sign, (level - c) * sign
         tol = level_tolerance_atr * atr
-        found = (F.col("bar_idx") >= 1) & (atr > 0) & (beyond > tol) & (inside > tol) & (beyond / atr >= atr_threshold) & (inside / atr >= min_reclaim_atr) & (wick >= min_wick_frac) & (F.col("_body") <= max_body_frac)
+        found = (F.col("bar_idx") >= 1) & (atr > 0) & (beyond > tol) & (inside > tol) & (ratio(beyond, atr) >= atr_threshold) & (ratio(inside, atr) >= min_reclaim_atr) & (wick >= min_wick_frac) & (F.col("_body") <= max_body_frac)
         if max_level_age is not None:
             found &= F.col(f"_age_{side}") <= max_level_age
         if require_next_bar_confirmation:
             own = "low" if sign > 0 else "high"
             past = {"mid": middle, own: F.col(own)}.get(confirmation_mode, c)
             found &= (past - after) * sign > 0
-        out |= {f"sweep_{side}": flag(found), f"_m_{side}": beyond / atr, f"_r_{side}": inside / atr}
+        out |= {f"sweep_{side}": flag(found), f"_m_{side}": ratio(beyond, atr), f"_r_{side}": ratio(inside, atr)}
     df = df.withColumns(out)
     done: dict[str, Column] = {}
     for side in ("high", "low"):

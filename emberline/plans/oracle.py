@@ -95,9 +95,9 @@ def r(expression: str, name: str) -> str:
     return f"round({expression}, 6) AS {name}"
 
 
-def r4(expression: str, name: str) -> str:
+def r2(expression: str, name: str) -> str:
     """Running sums of squares differ by their order in the last digits."""
-    return f"round({expression}, 4) AS {name}"
+    return f"round({expression}, 2) AS {name}"
 
 
 def flag(condition: str, name: str) -> str:
@@ -166,8 +166,8 @@ SQL: dict[str, str] = {
     "time_features": frame(select=f"SELECT instrument, t, CAST(({DAY} + 3) % 7 AS BIGINT) AS day_of_week, {flag(f'({DAY} + 3) % 7 = 4', 'is_friday')}, CAST({HOUR} AS BIGINT) AS hour_of_day FROM b"),
     "round_numbers": frame(RECURSIVE, recursive=True, select=f"SELECT instrument, t, {flag('least(least(close % 50, 25), 50 - least(close % 50, 25)) < 0.3 * atrx', 'near_round_number')} FROM s"),
     "anchored_vwap": frame("""c AS (SELECT *, (high + low + close) / 3 AS tp FROM b), v AS (SELECT *, sum(tp * volume) FILTER (i >= 50) OVER w / sum(volume) FILTER (i >= 50) OVER w AS vw, sum(tp * tp * volume) FILTER (i >= 50) OVER w / sum(volume) FILTER (i >= 50) OVER w AS v2 FROM c
-      WINDOW w AS (PARTITION BY instrument ORDER BY i)), d AS (SELECT *, sqrt(greatest(v2 - vw * vw, 0)) AS sd FROM v)""", select=f"""SELECT instrument, t, {r4('vw', 'avwap')}, {r4('vw + sd', 'avwap_upper_1')}, {r4('vw - sd', 'avwap_lower_1')}, {r4('vw + 2 * sd', 'avwap_upper_2')}, {r4('vw - 2 * sd', 'avwap_lower_2')},
-      {r4('CASE WHEN vw IS NULL THEN NULL WHEN sd > 0 THEN (close - vw) / sd ELSE 0 END', 'avwap_dev_sigma')} FROM d"""),
+      WINDOW w AS (PARTITION BY instrument ORDER BY i)), d AS (SELECT *, sqrt(greatest(v2 - vw * vw, 0)) AS sd FROM v)""", select=f"""SELECT instrument, t, {r2('vw', 'avwap')}, {r2('vw + sd', 'avwap_upper_1')}, {r2('vw - sd', 'avwap_lower_1')}, {r2('vw + 2 * sd', 'avwap_upper_2')}, {r2('vw - 2 * sd', 'avwap_lower_2')},
+      {r2('CASE WHEN vw IS NULL THEN NULL WHEN sd > 0 THEN (close - vw) / sd ELSE 0 END', 'avwap_dev_sigma')} FROM d"""),
     "pivots": frame("""p AS (SELECT *, max(high) OVER a AS hb, max(high) OVER f AS hf, min(low) OVER a AS lb, min(low) OVER f AS lf, count(*) OVER a AS na, count(*) OVER f AS nf FROM b WINDOW a AS (PARTITION BY instrument ORDER BY i ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), f AS (PARTITION BY instrument ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING))""",
                     select=f"SELECT instrument, t, {flag('na = 2 AND nf = 2 AND high > hb AND high >= hf', 'pivot_high')}, {flag('na = 2 AND nf = 2 AND low < lb AND low <= lf', 'pivot_low')} FROM p"),
     "q_time_slice": frame(select="SELECT instrument, t, close, volume FROM candles WHERE t BETWEEN 1704844800 AND 1705017600"),
@@ -185,3 +185,180 @@ for _name, _period in (("day", DAY), ("week", f"floor(({DAY} + 3) / 7)")):
         f"g AS (SELECT instrument, {_period} AS p, max(high) AS h, min(low) AS l FROM b GROUP BY ALL), q AS (SELECT instrument, p, lag(h) OVER (PARTITION BY instrument ORDER BY p) AS h, lag(l) OVER (PARTITION BY instrument ORDER BY p) AS l FROM g)",
         select=f"SELECT b.instrument, t, h AS prev_{_name}_high, l AS prev_{_name}_low, {flag('close > h', f'above_prev_{_name}_high')}, {flag('close < l', f'below_prev_{_name}_low')} FROM b LEFT JOIN q ON q.instrument = b.instrument AND q.p = {_period}",
     )
+
+P1 = "OVER (PARTITION BY instrument ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+RUN = "OVER (PARTITION BY instrument ORDER BY i ROWS UNBOUNDED PRECEDING)"
+
+# Higher highs and lows as one recursion over the swings, where the operators count within islands.
+TREND = """
+, tq AS (
+  SELECT *, last_value(CASE WHEN sh = 1 THEN high END IGNORE NULLS) {P1} AS psh, last_value(CASE WHEN sl = 1 THEN low END IGNORE NULLS) {P1} AS psl FROM sl
+), tx AS (
+  SELECT *, CASE WHEN sh = 1 AND high > psh THEN 1 WHEN sh = 1 AND high < psh THEN -1 ELSE 0 END AS dh, CASE WHEN sl = 1 AND low > psl THEN 1 WHEN sl = 1 AND low < psl THEN -1 ELSE 0 END AS dl FROM tq
+), tr AS (
+  SELECT instrument, i, 0 AS hh, 0 AS lc, 0 AS st FROM tx WHERE i = 0
+  UNION ALL
+  SELECT instrument, i, hh, lc, CASE WHEN hh >= 2 THEN 1 WHEN lc >= 2 THEN -1 ELSE st END FROM (
+    SELECT tx.instrument, tx.i, tr.st,
+      CASE WHEN dl = 1 THEN greatest(CASE dh WHEN 1 THEN tr.hh + 1 WHEN -1 THEN 0 ELSE tr.hh END, 1) ELSE CASE dh WHEN 1 THEN tr.hh + 1 WHEN -1 THEN 0 ELSE tr.hh END END AS hh,
+      CASE WHEN dl = -1 THEN greatest(CASE dh WHEN -1 THEN tr.lc + 1 WHEN 1 THEN 0 ELSE tr.lc END, 1) ELSE CASE dh WHEN -1 THEN tr.lc + 1 WHEN 1 THEN 0 ELSE tr.lc END END AS lc
+    FROM tr JOIN tx ON tx.instrument = tr.instrument AND tx.i = tr.i + 1
+  )
+), tt AS (SELECT tx.*, hh, lc, st FROM tx JOIN tr USING (instrument, i))
+""".replace("{P1}", P1)
+
+BREAKS = """
+, bc AS (
+  SELECT *, CASE WHEN i >= 1 AND close > lh THEN lh END AS cb, CASE WHEN i >= 1 AND close < ll THEN ll END AS cs FROM {of}
+), bs AS (
+  SELECT *, CASE WHEN cb IS NOT NULL AND cb IS DISTINCT FROM last_value(cb IGNORE NULLS) {P1} THEN 1 ELSE 0 END AS bb, CASE WHEN cs IS NOT NULL AND cs IS DISTINCT FROM last_value(cs IGNORE NULLS) {P1} THEN 1 ELSE 0 END AS bx FROM bc
+)
+""".replace("{P1}", P1)
+
+PIVOTS = """
+pv AS (
+  SELECT *, CASE WHEN na = 2 AND nf = 2 AND high > hb AND high >= hf THEN 1 ELSE 0 END AS ph1, CASE WHEN na = 2 AND nf = 2 AND low < lb AND low <= lf THEN 1 ELSE 0 END AS pl1 FROM (
+    SELECT *, max(high) OVER a AS hb, max(high) OVER f AS hf, min(low) OVER a AS lb, min(low) OVER f AS lf, count(*) OVER a AS na, count(*) OVER f AS nf FROM s
+    WINDOW a AS (PARTITION BY instrument ORDER BY i ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), f AS (PARTITION BY instrument ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING))
+), pw AS (
+  SELECT *, last_value(CASE WHEN ph1 = 1 THEN high END IGNORE NULLS) OVER d AS lph, last_value(CASE WHEN pl1 = 1 THEN low END IGNORE NULLS) OVER d AS lpl, max(CASE WHEN ph1 = 1 THEN i END) OVER d AS iph, max(CASE WHEN pl1 = 1 THEN i END) OVER d AS ipl
+  FROM pv WINDOW d AS (PARTITION BY instrument ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING)
+)
+"""
+
+
+def swing_columns() -> str:
+    out = []
+    for side, on, level, last, index in (("high", "sh", "high", "lh", "lhi"), ("low", "sl", "low", "ll", "lli")):
+        prominence = "high - greatest(hb, ha)" if side == "high" else "least(lb, la) - low"
+        out += [
+            f"CAST({on} AS BIGINT) AS swing_{side}", f"CASE WHEN {on} = 1 THEN {level} END AS swing_{side}_price", f"CAST(coalesce(lag({on}, 3) {LAG}, 0) AS BIGINT) AS swing_{side}_confirmed", f"CASE WHEN {on} = 1 THEN i + 3 ELSE -1 END AS swing_{side}_confirm_idx",
+            f"CASE WHEN {on} = 1 THEN i ELSE -1 END AS swing_{side}_idx", r(f"CASE WHEN {on} = 1 THEN {prominence} END", f"swing_{side}_prominence"), r(f"CASE WHEN {on} = 1 THEN ({prominence}) / atrx END", f"swing_{side}_prominence_atr"),
+            r(f"CASE WHEN {on} = 1 THEN ({prominence}) / atrx END", f"swing_{side}_strength"), f"{last} AS last_swing_{side}", f"CAST({index} AS DOUBLE) AS last_swing_{side}_idx", f"CAST(i - {index} AS DOUBLE) AS swing_{side}_age",
+        ]
+    return ", ".join(out)
+
+
+def sweep_columns() -> str:
+    out = []
+    for side, wick in (("high", "uw"), ("low", "lw")):
+        on = f"q{side[0]}"
+        take = lambda x, n, on=on: f"round(CASE WHEN {on} THEN {x} END, 6) AS {n}"
+        level, age, beyond, inside = f"v{side[0]}", f"a{side[0]}", f"x{side[0]}", f"y{side[0]}"
+        out += [flag(on, f"sweep_{side}"), flag(on, f"sweep_confirmed_{side}"), take(f"{beyond} / atrx", f"sweep_{side}_magnitude"), take(f"{inside} / atrx", f"sweep_{side}_reclaim_atr"), take(wick, f"sweep_{side}_wick_frac"), take("bf", f"sweep_{side}_body_frac"),
+                take(level, f"sweep_level_{side}"), take(f"CAST({age} AS DOUBLE)", f"sweep_level_{side}_age")]
+    out += ["round(greatest(CASE WHEN qh THEN xh / atrx END, CASE WHEN ql THEN xl / atrx END), 6) AS sweep_magnitude", "CAST(coalesce(qh, FALSE) AS BIGINT) - CAST(coalesce(ql, FALSE) AS BIGINT) AS sweep_side"]
+    return ", ".join(out)
+
+
+def sweeps(of: str, vh: str, ah: str, vl: str, al: str, more: tuple[str, str] = ("TRUE", "TRUE")) -> str:
+    return f""", sx AS (SELECT *, {vh} AS vh, i - {ah} AS ah, {vl} AS vl, i - {al} AS al, high - {vh} AS xh, {vh} - close AS yh, {vl} - low AS xl, close - {vl} AS yl, lead(close) {LAG} AS nc FROM {of}),
+      sy AS (SELECT *, i >= 1 AND xh > 0 AND yh > 0 AND xh / atrx >= 0.2 AND uw >= 0.25 AND bf <= 0.8 AND ah <= 80 AND {more[0]} AS qh, i >= 1 AND xl > 0 AND yl > 0 AND xl / atrx >= 0.2 AND lw >= 0.25 AND bf <= 0.8 AND al <= 80 AND {more[1]} AS ql FROM sx)"""
+
+
+GAPS = """
+, ga AS (SELECT *, lag(high) {L} AS h0, lag(low) {L} AS l0, lead(low) {L} AS l2, lead(high) {L} AS h2, lead(close) {L} AS c2, lead(lph) {L} AS p2, lead(lpl) {L} AS q2, abs(close - open) / atrx AS ba FROM pw),
+gb AS (SELECT *, coalesce(l2 - h0 > 0 AND l2 - h0 >= 0.3 * atrx AND ba >= 0.8 AND h0 IS NOT NULL, FALSE) AS u, coalesce(l0 - h2 > 0 AND l0 - h2 >= 0.3 * atrx AND ba >= 0.8 AND l0 IS NOT NULL, FALSE) AS d FROM ga)
+""".replace("{L}", LAG)
+
+BLOCKS = """
+, oa AS (
+  SELECT *, sum(CASE WHEN close > open THEN 1 ELSE 0 END) OVER w / 4.0 AS fu, sum(CASE WHEN close < open THEN 1 ELSE 0 END) OVER w / 4.0 AS fd, close - min(low) OVER w AS mu, max(high) OVER w - close AS md, sum(greatest(close - open, 0)) OVER w AS bu, sum(greatest(open - close, 0)) OVER w AS bd,
+    first_value(close) OVER w AS c0 FROM pw WINDOW w AS (PARTITION BY instrument ORDER BY i ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)
+), ob AS (
+  SELECT *, i >= 3 AND fu >= 0.67 AND mu >= 1.5 * atrx AND bu >= 0.8 * atrx AND close > c0 AND high > lph AND close > lph AS iu, i >= 3 AND fd >= 0.67 AND md >= 1.5 * atrx AND bd >= 0.8 * atrx AND close < c0 AND low < lpl AND close < lpl AS id FROM oa
+), oc AS (
+  SELECT a.instrument, a.i, 'u' AS side, max(k.i) AS k FROM ob a JOIN ob k ON k.instrument = a.instrument AND k.i BETWEEN a.i - 13 AND a.i - 4 AND k.close < k.open AND (k.open - k.low) / a.atrx <= 3 WHERE a.iu GROUP BY ALL
+  UNION ALL
+  SELECT a.instrument, a.i, 'd' AS side, max(k.i) AS k FROM ob a JOIN ob k ON k.instrument = a.instrument AND k.i BETWEEN a.i - 13 AND a.i - 4 AND k.close > k.open AND (k.high - k.open) / a.atrx <= 3 WHERE a.id GROUP BY ALL
+), od AS (SELECT instrument, k, max(CASE WHEN side = 'u' THEN 1 END) AS u, max(CASE WHEN side = 'd' THEN 1 END) AS d, min(i) AS i0 FROM oc GROUP BY ALL),
+oe AS (SELECT ob.*, od.u, od.d, f.atrx AS fa FROM ob LEFT JOIN od ON od.instrument = ob.instrument AND od.k = ob.i LEFT JOIN ob f ON f.instrument = od.instrument AND f.i = od.i0)
+"""
+
+AMD = """
+, am AS (
+  SELECT *, CASE WHEN i >= 19 THEN max(high) OVER w END AS bh, CASE WHEN i >= 19 THEN min(low) OVER w END AS bl, greatest(least(high, lag(high) OVER o) - greatest(low, lag(low) OVER o), 0) / nullif(greatest(high, lag(high) OVER o) - least(low, lag(low) OVER o), 0) AS ov, abs(close - lag(close) OVER o) AS mv,
+    abs(close - lag(close, 19) OVER o) AS net, CASE WHEN i >= 49 THEN len(list_filter(list(round(atrx, 10)) OVER f, lambda v: v <= round(atrx, 10))) / 50.0::DOUBLE * 100 END AS pct
+  FROM d2 WINDOW o AS (PARTITION BY instrument ORDER BY i), w AS (PARTITION BY instrument ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), f AS (PARTITION BY instrument ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)
+), an AS (
+  SELECT *, bh - bl AS bw, (bh + bl) / 2 AS bm, CASE WHEN i >= 1 AND count(CASE WHEN i >= 1 THEN ov END) OVER t = 10 THEN avg(CASE WHEN i >= 1 THEN ov END) OVER t END AS os, net / nullif(CASE WHEN count(mv) OVER w = 20 THEN sum(mv) OVER w END, 0) AS ef, coalesce(abs(bh - high) <= (bh - bl) * 0.10, FALSE)::INT AS th, coalesce(abs(low - bl) <= (bh - bl) * 0.10, FALSE)::INT AS tl
+  FROM am WINDOW w AS (PARTITION BY instrument ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), t AS (PARTITION BY instrument ORDER BY i ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)
+), ao AS (
+  SELECT *, coalesce(pct <= 45, FALSE)::INT + coalesce(bw / nullif(atrx, 0) <= 12 AND bw / nullif(abs(close), 0) <= 0.04, FALSE)::INT + coalesce(os >= 0.4, FALSE)::INT + coalesce(ef <= 0.35, FALSE)::INT + coalesce(i >= 19 AND sum(th) OVER w >= 1 AND sum(tl) OVER w >= 1, FALSE)::INT AS sc
+  FROM an WINDOW w AS (PARTITION BY instrument ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)
+), ap AS (SELECT *, CASE WHEN sc = 5 AND min(sc) OVER (PARTITION BY instrument ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) = 5 AND i >= 7 THEN 1 ELSE 0 END AS acc FROM ao),
+aq AS (SELECT *, lag(bh) {L} AS qh, lag(bl) {L} AS ql, lag(bm) {L} AS qm, coalesce(lag(acc) {L}, 0) = 1 AS pa FROM ap),
+ar AS (
+  SELECT *, coalesce(pa AND ((low < ql AND low >= ql - 0.15 * atrx AND close >= ql + 0.1 * (qh - ql)) OR (high > qh AND on_ AND dir = 1)), FALSE) AS mb, coalesce(pa AND ((high > qh AND high <= qh + 0.15 * atrx AND close <= qh - 0.1 * (qh - ql)) OR (low < ql AND on_ AND dir = -1)), FALSE) AS ms,
+    coalesce(close BETWEEN ql AND qh, FALSE) AS re, coalesce(close BETWEEN ql - 0.2 * (qh - ql) AND qh + 0.2 * (qh - ql), FALSE) AS rb, coalesce(abs(close - qm) / nullif(atrx, 0) >= 0.35 AND abs(close - qm) / nullif(qh - ql, 0) >= 0.3, FALSE) AS far FROM aq
+), az AS (SELECT *, coalesce(close > qh AND far, FALSE) AS du, coalesce(close < ql AND far, FALSE) AS dd FROM ar)
+""".replace("{L}", LAG)
+
+DISPLACED = """
+, d0 AS (SELECT *, CAST(sign(close - open) AS BIGINT) AS dir FROM s),
+d2 AS (SELECT *, dir <> 0 AND abs(close - open) / atrx >= 1.5 AND coalesce(CASE WHEN close > open THEN (high - close) / (high - low) WHEN close < open THEN (close - low) / (high - low) END <= 0.2, FALSE) AND bf >= 0.6 AND CASE WHEN close > open THEN lw WHEN close < open THEN uw ELSE 0 END <= 0.2 AS on_ FROM d0)
+"""
+
+
+def labelled(label: str) -> str:
+    return f"SELECT instrument, {label}, count(*) AS n FROM tt GROUP BY ALL"
+
+
+SQL |= {
+    "swings": swinging(swing_columns()),
+    "swings_causal": frame(RECURSIVE, f"""c0 AS (SELECT *, high >= max(high) OVER p AS h0, low <= min(low) OVER p AS l0 FROM s WINDOW p AS (PARTITION BY instrument ORDER BY i ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)),
+      c1 AS (SELECT instrument, i, FALSE AS h1, FALSE AS l1 FROM c0 WHERE i = 0 UNION ALL SELECT c0.instrument, c0.i, coalesce(h0, FALSE) AND NOT c1.h1, coalesce(l0, FALSE) AND NOT c1.l1 FROM c1 JOIN c0 ON c0.instrument = c1.instrument AND c0.i = c1.i + 1), c2 AS (SELECT * FROM c0 JOIN c1 USING (instrument, i))""", recursive=True,
+      select=f"""SELECT instrument, t, {flag('h1', 'swing_high')}, {flag('l1', 'swing_low')}, CASE WHEN h1 THEN high END AS swing_high_price, CASE WHEN l1 THEN low END AS swing_low_price, last_value(CASE WHEN h1 THEN high END IGNORE NULLS) {RUN} AS last_swing_high, last_value(CASE WHEN l1 THEN low END IGNORE NULLS) {RUN} AS last_swing_low,
+      CAST(i - max(CASE WHEN h1 THEN i END) {RUN} AS DOUBLE) AS swing_high_age, CAST(i - max(CASE WHEN l1 THEN i END) {RUN} AS DOUBLE) AS swing_low_age FROM c2"""),
+    "last_pivots": frame(RECURSIVE, PIVOTS, recursive=True, select="SELECT instrument, t, lph AS last_pivot_high, lpl AS last_pivot_low, iph AS last_pivot_high_idx, ipl AS last_pivot_low_idx FROM pw"),
+    "trend_state": swinging("CAST(hh AS BIGINT) AS hh_count, CAST(lc AS BIGINT) AS ll_count, CAST(st AS BIGINT) AS trend_state", TREND, "tt"),
+    "bos": swinging(f"""CAST(bb AS BIGINT) AS bos_bull, CAST(bx AS BIGINT) AS bos_bear, CAST(coalesce(last_value(CASE WHEN bb = 1 THEN 1 WHEN bx = 1 THEN -1 END IGNORE NULLS) {RUN}, 0) AS BIGINT) AS bos_direction, round(CASE WHEN bb = 1 OR bx = 1 THEN abs(close - open) / atrx END, 6) AS bos_candle_body_atr,
+      CAST(CASE WHEN bb = 1 THEN i - lhi WHEN bx = 1 THEN i - lli END AS DOUBLE) AS bos_swing_age""", BREAKS.format(of="sl"), "bs"),
+    "choch": swinging(f"{flag('bb = 1 AND pst = -1', 'choch_bull')}, {flag('bx = 1 AND pst = 1', 'choch_bear')}, round(CASE WHEN (bb = 1 AND pst = -1) OR (bx = 1 AND pst = 1) THEN abs(close - open) / atrx END, 6) AS choch_candle_body_atr", TREND + BREAKS.format(of="tt") + f", ch AS (SELECT *, lag(st) {LAG} AS pst FROM bs)", "ch"),
+    "rsi_divergence": swinging(f"{r('rsi', 'rsi_14')}, {flag('sh = 1 AND high > psh AND rsi < prh', 'rsi_div_bearish')}, {flag('sl = 1 AND low < psl AND rsi > prl', 'rsi_div_bullish')}", f""", rd AS (SELECT *, last_value(CASE WHEN sh = 1 THEN high END IGNORE NULLS) {P1} AS psh, last_value(CASE WHEN sl = 1 THEN low END IGNORE NULLS) {P1} AS psl,
+      (last_value(CASE WHEN sh = 1 THEN {{'r': rsi}} END IGNORE NULLS) {P1}).r AS prh, (last_value(CASE WHEN sl = 1 THEN {{'r': rsi}} END IGNORE NULLS) {P1}).r AS prl FROM sl)""", "rd"),
+    "liquidity_sweep": swinging(sweep_columns(), sweeps("sl", "lh", "lhi", "ll", "lli"), "sy"),
+    "liquidity_sweep_confirmed": frame(RECURSIVE, PIVOTS + sweeps("pw", "lph", "iph", "lpl", "ipl", ("nc < (open + close) / 2", "nc > (open + close) / 2")), recursive=True, select=f"SELECT instrument, t, {sweep_columns()} FROM sy"),
+    "fvg_candidates": frame(RECURSIVE, PIVOTS + GAPS, recursive=True, select=f"""SELECT instrument, t, {flag('u', 'fvg_bull')}, {flag('d', 'fvg_bear')}, CASE WHEN u THEN h0 END AS fvg_bull_low, CASE WHEN u THEN l2 END AS fvg_bull_high, CASE WHEN d THEN l0 END AS fvg_bear_high, CASE WHEN d THEN h2 END AS fvg_bear_low,
+      round(CASE WHEN u THEN (l2 - h0) / atrx WHEN d THEN (l0 - h2) / atrx END, 6) AS fvg_size_atr, CASE WHEN u THEN i + 1 ELSE -1 END AS fvg_bull_confirm_idx, CASE WHEN d THEN i + 1 ELSE -1 END AS fvg_bear_confirm_idx, CASE WHEN u OR d THEN 1.0::DOUBLE END AS fvg_confirm_delay, round(CASE WHEN u OR d THEN ba END, 6) AS fvg_mid_body_atr,
+      {flag('u AND c2 > p2', 'fvg_bos_bull')}, {flag('d AND c2 < q2', 'fvg_bos_bear')} FROM gb"""),
+    "order_blocks": frame(RECURSIVE, PIVOTS + BLOCKS, recursive=True, select=f"""SELECT instrument, t, {flag('u = 1', 'ob_bull')}, {flag('d = 1', 'ob_bear')}, CASE WHEN u = 1 THEN open END AS ob_bull_high, CASE WHEN u = 1 THEN low END AS ob_bull_low, CASE WHEN d = 1 THEN high END AS ob_bear_high, CASE WHEN d = 1 THEN open END AS ob_bear_low,
+      round(CASE WHEN u = 1 THEN (open - low) / fa WHEN d = 1 THEN (high - open) / fa END, 6) AS ob_width_atr FROM oe"""),
+    "amd_features": frame(RECURSIVE + DISPLACED + AMD, recursive=True, select=f"""SELECT instrument, t, bh AS amd_box_high, bl AS amd_box_low, {r('bm', 'amd_box_mid')}, {r('bw', 'amd_box_width')}, CAST(sc AS BIGINT) AS amd_compression_score, {r('os', 'amd_overlap_score')}, {r('ef', 'amd_efficiency')}, CAST(acc AS BIGINT) AS amd_accumulation_active,
+      {flag('mb OR ms', 'amd_manipulation_candidate')}, CAST(CASE WHEN mb THEN 1 WHEN ms THEN -1 ELSE 0 END AS BIGINT) AS amd_manipulation_direction, {flag('re', 'amd_reentry_strict')}, {flag('rb', 'amd_reentry_buffered')}, {flag(f'du AND lag(du) {LAG} AND NOT re', 'amd_distribution_bull_candidate')}, {flag(f'dd AND lag(dd) {LAG} AND NOT re', 'amd_distribution_bear_candidate')} FROM az"""),
+    "q_trend_distribution": frame(RECURSIVE, SWINGS + TREND, recursive=True, select=labelled("CASE st WHEN 1 THEN 'BULL' WHEN -1 THEN 'BEAR' ELSE 'UNDEFINED' END AS trend")),
+    "q_last_events": frame(RECURSIVE, SWINGS, recursive=True, select="SELECT * FROM (SELECT instrument, t, row_number() OVER (PARTITION BY instrument ORDER BY t DESC) AS n, high AS swing_high_price FROM sl WHERE sh = 1) WHERE n <= 5"),
+    "avwap_from_last_swing": frame(RECURSIVE, SWINGS + """, aa AS (SELECT *, (high + low + close) / 3 AS tp, coalesce(max(CASE WHEN sh = 1 OR sl = 1 THEN i END) OVER (PARTITION BY instrument), 0) AS a0 FROM sl), av AS (SELECT *, sum(CASE WHEN i >= a0 THEN tp * volume END) OVER w / sum(CASE WHEN i >= a0 THEN volume END) OVER w AS vw, sum(CASE WHEN i >= a0 THEN tp * tp * volume END) OVER w / sum(CASE WHEN i >= a0 THEN volume END) OVER w AS v2 FROM aa
+      WINDOW w AS (PARTITION BY instrument ORDER BY i)), ad AS (SELECT *, sqrt(greatest(v2 - vw * vw, 0)) AS sd FROM av)""", recursive=True, select=f"""SELECT instrument, t, {r2('vw', 'avwap')}, {r2('vw + sd', 'avwap_upper_1')}, {r2('vw - sd', 'avwap_lower_1')}, {r2('vw + 2 * sd', 'avwap_upper_2')}, {r2('vw - 2 * sd', 'avwap_lower_2')}, {r2('CASE WHEN vw IS NULL THEN NULL WHEN sd > 0 THEN (close - vw) / sd ELSE 0 END', 'avwap_dev_sigma')} FROM ad"""),
+}
+
+REGIME = f"""
+, ra AS (SELECT *, CASE WHEN i >= 19 THEN 4 * stddev_samp(close) {over(20)} / avg(close) {over(20)} END AS bw, (e20 - lag(e20, 3) {LAG}) / atr AS slope FROM tt), rb AS (SELECT *, {rank('bw', 50)} AS pct FROM ra),
+rc AS (SELECT *, CASE WHEN adx < 20 AND coalesce(pct < 40, FALSE) THEN 0 WHEN adx > 25 AND (hh >= 2 OR lc >= 2) AND abs(slope) > 0.1 THEN 2 ELSE 1 END AS rg FROM rb)
+"""
+LABEL = "CASE rg WHEN 0 THEN 'RANGING' WHEN 2 THEN 'TRENDING' ELSE 'TRANSITIONAL' END"
+RANGES = {"atr_14": "atr", "rsi_14": "rsi", "adx_14": "adx", "macd_hist": "hist", "bb_width": "bw", "vol_ratio": "vr"}
+RATES = {
+    "body_ratio_above_60": "bf > 0.6", "vol_above_1_5x": "volume / av > 1.5", "vol_below_0_8x": "volume / av < 0.8", "vol_above_avg": "volume > av", "vol_below_avg": "volume < av", "vsa_absorption": "volume > av AND high - low < ar * 0.7",
+    "vsa_directional": "volume > av AND high - low > ar * 1.3", "london_open": "hr BETWEEN 8 AND 9", "ny_open": "hr BETWEEN 13 AND 14", "is_dead_zone": "hr >= 22", "is_friday": "dow = 4", "swing_high": "sh = 1", "swing_low": "sl = 1",
+    "above_prev_day_high": "close > pdh", "below_prev_day_low": "close < pdl",
+}
+UNPIVOT_RANGES = " UNION ALL ".join(f"SELECT instrument, '{n}' AS indicator, {c} AS v FROM rx" for n, c in RANGES.items())
+UNPIVOT_RATES = " UNION ALL ".join(f"SELECT instrument, '{n}' AS flag, CASE WHEN coalesce({c}, FALSE) THEN 1 ELSE 0 END AS v FROM fx" for n, c in RATES.items())
+DAYS = f"dg AS (SELECT instrument, {DAY} AS p, max(high) AS h, min(low) AS l FROM b GROUP BY ALL), dq AS (SELECT instrument, p, lag(h) OVER (PARTITION BY instrument ORDER BY p) AS pdh, lag(l) OVER (PARTITION BY instrument ORDER BY p) AS pdl FROM dg)"
+WEEKS = DAYS.replace("dg", "wg").replace("dq", "wq").replace("pdh", "pwh").replace("pdl", "pwl").replace(DAY, f"floor(({DAY} + 3) / 7)")
+XAU = "CASE WHEN close >= open THEN 1 ELSE -1 END"
+
+SQL |= {
+    "regime": swinging(f"CAST(rg AS BIGINT) AS regime, {LABEL} AS regime_label", TREND + REGIME, "rc"),
+    "q_regime_distribution": frame(RECURSIVE, SWINGS + TREND + REGIME, recursive=True, select=f"SELECT *, round(n * 100.0::DOUBLE / sum(n) OVER (PARTITION BY instrument), 6) AS percent FROM (SELECT instrument, {LABEL} AS regime_label, count(*) AS n FROM rc GROUP BY ALL)"),
+    "q_indicator_ranges": frame(RECURSIVE, f"rx AS (SELECT *, CASE WHEN i >= 19 THEN 4 * stddev_samp(close) {over(20)} / avg(close) {over(20)} END AS bw, {VOLUME} AS vr FROM s)", recursive=True, select=f"SELECT instrument, indicator, round(min(v), 6) AS low, round(max(v), 6) AS high, round(avg(v), 6) AS mean FROM ({UNPIVOT_RANGES}) GROUP BY ALL"),
+    "q_warm_up_gaps": frame(RECURSIVE, f"wx AS (SELECT *, CASE WHEN i >= 19 THEN 4 * stddev_samp(close) {over(20)} / avg(close) {over(20)} END AS bw FROM s), wy AS (SELECT *, {rank('bw', 50)} AS pct FROM wx)", recursive=True, select="SELECT instrument, count(*) FILTER (e20 IS NULL OR atr IS NULL OR rsi IS NULL OR adx IS NULL OR hist IS NULL OR bw IS NULL OR pct IS NULL) AS n_missing FROM wy WHERE i < 200 GROUP BY instrument"),
+    "q_flag_rates": frame(RECURSIVE, SWINGS, DAYS, f"fa AS (SELECT *, {guarded('avg', 'volume', 20)} AS av, avg(high - low) {over(20)} AS ar, {HOUR} AS hr, ({DAY} + 3) % 7 AS dow, {DAY} AS p FROM sl), fx AS (SELECT fa.*, pdh, pdl FROM fa LEFT JOIN dq ON dq.instrument = fa.instrument AND dq.p = fa.p)", recursive=True,
+                          select=f"SELECT instrument, flag, CAST(sum(v) AS BIGINT) AS n, round(avg(v) * 100, 6) AS percent FROM ({UNPIVOT_RATES}) GROUP BY ALL"),
+    "q_latest_snapshot": frame(DAYS, WEEKS, select=f"""SELECT b.instrument, t, close, pdh AS prev_day_high, pdl AS prev_day_low, pwh AS prev_week_high, pwl AS prev_week_low FROM b LEFT JOIN dq ON dq.instrument = b.instrument AND dq.p = {DAY} LEFT JOIN wq ON wq.instrument = b.instrument AND wq.p = floor(({DAY} + 3) / 7)
+      QUALIFY row_number() OVER (PARTITION BY b.instrument ORDER BY t DESC) = 1"""),
+    "costs": frame(select=f"SELECT instrument, t, CAST({XAU} AS BIGINT) AS side, 0.5::DOUBLE AS cost, round(close + {XAU} - {XAU} * 0.5, 6) AS target_net, round(close - {XAU} + {XAU} * 0.5, 6) AS stop_net FROM b"),
+    "event_proximity": frame(select="SELECT instrument, t, CASE WHEN EXISTS (SELECT 1 FROM events e WHERE e.value > 450 AND abs(CAST(floor(epoch(e.ts)) AS BIGINT) - b.t) <= 7200) THEN 1 ELSE 0 END::BIGINT AS near_event FROM b"),
+    "stream_bars": frame(price="value", select="SELECT instrument, t, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume FROM candles WHERE t + 3600 <= (SELECT epoch(max(ts)) - 3600 FROM events)"),
+}

@@ -54,15 +54,16 @@ def _query(operator: Callable[[DataFrame], DataFrame], every: str = "hour", digi
     return run
 
 
-def _with_atr(operator: Callable[[DataFrame], DataFrame], *needed: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+def _with_atr(operator: Callable[[DataFrame], DataFrame], *needed: Callable[[DataFrame], DataFrame], digits: int = 6) -> Callable[[SparkSession, str], DataFrame]:
     """The same for an operator over a frame that has ATR and what `needed` add."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        base = op.ensure_atr(with_bar_index(bars(spark, sf_dir)))
+        base = with_bar_index(bars(spark, sf_dir))
+        base = base if op.add_foundation in needed else op.ensure_atr(base)
         for f in needed:
             base = f(base)
         out = operator(base)
-        return shown(out, [c for c in out.columns if c not in base.columns])
+        return shown(out, [c for c in out.columns if c not in base.columns], digits)
 
     return run
 
@@ -248,9 +249,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "order_blocks": _with_atr(op.add_ob), "ob_mitigation": _with_atr(op.add_ob_mitigation, op.add_ob), "equal_hl": _with_atr(op.add_equal_hl, _swings),
     "amd_features": _with_atr(op.add_amd_features, op.add_displacement_candle), "amd_state": _with_atr(op.add_amd_state, op.add_displacement_candle, op.add_amd_features), "amd_labels": _with_atr(op.add_amd_labels, op.add_displacement_candle, op.add_amd_features, op.add_amd_state),
     "amd_engine": _with_atr(lambda d: op.add_amd_engine(d, add_labels=True, accumulation_min_streak=2)),
-    "anchored_vwap": _query(lambda d: op.compute_anchored_vwap(d, 50), digits=4), "avwap_from_last_swing": _with_atr(op.add_avwap_from_last_swing, _swings),
+    "anchored_vwap": _query(lambda d: op.compute_anchored_vwap(d, 50), digits=2), "avwap_from_last_swing": _with_atr(op.add_avwap_from_last_swing, _swings, digits=2),
     "asian_session": _query(op.add_asian_session_hl), "prev_day": _query(op.add_prev_day_hl), "prev_week": _query(op.add_prev_week_hl), "round_numbers": _with_atr(lambda d: op.add_round_number_flag(d, "XAU_USD")),
-    "session": _query(op.add_session_classifier), "time_features": _query(op.add_time_features), "regime": _query(lambda d: op.add_regime(_trend(_swings(op.add_foundation(d))))),
+    "session": _query(op.add_session_classifier), "time_features": _query(op.add_time_features), "regime": _with_atr(op.add_regime, op.add_foundation, _swings, _trend),
     "volume_profile": _with_atr(op.add_volume_profile), "volume_profile_last": volume_profile_last, "full_pipeline": full_pipeline,
     "setup_fvg": _setup(setups.add_fvg_context), "setup_blocks": _setup(setups.add_block_context), "setup_sweeps": _setup(setups.add_sweep_context, setups.add_zone_confluence), "setup_pullbacks": _setup(setups.add_pullbacks, setups.add_broken_level_sweep),
     "setup_gated": lambda spark, sf_dir: shown(setups.gated(enriched(spark, sf_dir)), ["close", "regime", "session"]), "higher_timeframe": higher_timeframe, "costs": costs, "event_proximity": event_proximity, "smt_divergence": smt, "stream_bars": stream_of_bars,
