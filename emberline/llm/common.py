@@ -17,6 +17,10 @@ CHUNK = 1 << 20
 """Characters that a numpy step takes at a time; a longer text makes a chunk of its own."""
 
 
+SLICE = 4 << 20
+"""Bytes of an Arrow batch that a worker takes at a time."""
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir, or in a local session without it a new one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -32,13 +36,25 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: it cuts the lineage, and a lost executor costs no recomputation of it."""
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+    """df as a table in the shared folder: it cuts the lineage, and a lost executor costs no recomputation of it.
+
+    Hashes do not compress, and the codec's buffers for pages of long arrays live outside the heap: such tables are better left plain ("none").
+    """
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def slices(batches: Iterator[pa.RecordBatch], limit: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of about limit bytes, so that a worker's memory doesn't depend on how many rows Spark puts in a batch."""
+    for batch in batches:
+        n = batch.num_rows
+        step = max(1, n * limit // max(batch.nbytes, 1))
+        for i in range(0, max(n, 1), step):
+            yield batch.slice(i, step)
+
+
 def append_columns(df: DataFrame, fn: Callable[[pa.RecordBatch], Sequence[pa.Array]], fields: Sequence[T.StructField]) -> DataFrame:
     """df with the columns fn makes of each Arrow batch; an input column of the same name is replaced."""
     new = {f.name for f in fields}
@@ -47,7 +63,7 @@ def append_columns(df: DataFrame, fn: Callable[[pa.RecordBatch], Sequence[pa.Arr
     names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in keep] + list(fn(batch)), names=names)
 
     return df.mapInArrow(run, schema)

@@ -1,7 +1,7 @@
 """Benchmark decontamination: an FM-index of each shard of training documents, searched for windows of benchmark items.
 
 A word is `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z in lower case. A window is `window` consecutive words of an
-item; an item of fewer words, but not none, is one window. A shard is one Arrow batch of documents. A word that no item
+item; an item of fewer words, but not none, is one window. A shard is a part of an Arrow batch. A word that no item
 has cannot be in a window, so of the shard only runs of item words go into the index, and only runs as long as the shortest window:
 the index is small and the result the same. Nothing is shuffled. The items are a stated query set: they go to the tasks in
 blocks of at most block_bytes text, each block one broadcast of proven size; with more than one block the documents' hits are merged

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, chunks, column
+from .common import append_columns, chunks, column, slices
 
 UNDETERMINED = "und"
 ORDERS = (1, 2, 3)
@@ -75,7 +75,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(at), buckets), np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             langs, texts = column(batch, "lang"), [t.lower() for t in column(batch, "text")]
             for a, b in chunks(texts):
                 number = np.array([at[x] for x in langs[a:b]])

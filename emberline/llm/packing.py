@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, column, gapless_rank, hash60, written
+from .common import append_columns, column, gapless_rank, hash60, slices, written
 
 SEQUENCE = 2048
 MAX_RUNS = 2_000_000
@@ -72,7 +72,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        for batch in batches:
+        for batch in slices(batches):
             row, number, start, length, crc, ids = [], [], [], [], [], []
             for i, t in enumerate(column(batch, "_text")):
                 all_ids = encode(t or "")
