@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import classlm, decontam, langid, neardup, packing, pii, preference, repetition, sharding, warc
 from .common import document_id
+from .oracle import SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,7 +70,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = repetition.quality(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_words", "longest_repeat")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +79,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+__all__ = ["QUERIES", "SQL"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (

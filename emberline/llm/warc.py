@@ -51,7 +51,8 @@ def surt(url: str | None) -> str:
     host, slash, path = re.match(r"([^/?]*)(/?)(.*)", rest).groups()
     host = re.sub(r":(80|443)$", "", host.rpartition("@")[2].lower())
     host = re.sub(r"^www\d*\.", "", host).strip(".")
-    return f"{','.join(reversed(host.split('.')))})/{path}" if host or slash or path else "-"
+    name, colon, port = host.partition(":")
+    return f"{','.join(reversed(name.split('.')))}{colon}{port})/{path}" if host or slash or path else "-"
 
 
 def _header(url: str | None) -> str:
