@@ -25,7 +25,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by 5-word shingles with a similarity of 0.8 or more, the document with the smallest doc_id stays."""
-    kept = neardup.near_duplicates(docs, n=5, percent=80, matches=12).where("kept").select("doc_id").distinct()
+    kept = neardup.near_duplicates(docs, n=5, percent=80, matches=(11, 76)).where("kept").select("doc_id").distinct()
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
 
 
