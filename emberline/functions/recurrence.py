@@ -1,7 +1,9 @@
-"""Recursive smoothers as steps for `scan`: exponential and Wilder averages, Wilder sums, and ADX out of them."""
+"""Steps for `scan`: exponential and Wilder averages, Wilder sums and ADX out of them, and ranks in a rolling window."""
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
+from collections import deque
 from collections.abc import Callable
 
 Number = float | None
@@ -106,3 +108,27 @@ def macd(fast: int, slow: int, signal: int) -> Callable[[Number], tuple[Number,
         return line, avg, None if line is None else line - avg
 
     return step
+
+
+def rolling_rank(n: int) -> Callable[[Number], tuple[Number, Number]]:
+    """Percentile rank (0-100) of a value among the last n, by the average and by the highest rank of its ties; NULL unless there are n.
+
+    The window is kept sorted, so a step costs a search instead of n comparisons. Values that differ after the tenth decimal only are ties,
+    so rounding noise of sums does not decide ranks.
+    """
+    window: deque[Number] = deque()
+    in_order: list[float] = []
+
+    def step(x: Number) -> tuple[Number, Number]:
+        if len(window) == n and (old := window.popleft()) is not None:
+            del in_order[bisect_left(in_order, old)]
+        x = None if x is None else round(x, 10)
+        window.append(x)
+        if x is not None:
+            insort(in_order, x)
+        if x is None or len(in_order) < n:
+            return None, None
+        below, up_to = bisect_left(in_order, x), bisect_right(in_order, x)
+        return (below + (up_to - below + 1) / 2) / n * 100, up_to / n * 100
+
+    return step

@@ -22,6 +22,15 @@ Pass = tuple[Callable[[], Step], Sequence[str], Sequence[tuple[str, T.DataType]]
 """What starts a series' step, the columns it reads, and the columns it makes."""
 
 
+def dealt(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """df with each series in one partition, of as many as the session shuffles into.
+
+    The number is given, so small series are not put together by size: it is their rows' work that counts. Windows over the keys that follow need
+    no other shuffle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def scan(df: DataFrame, passes: Sequence[Pass], keys: Sequence[str] = KEYS) -> DataFrame:
     """df with the outputs of the passes over the rows of each series in order; outputs replace columns of their names.
 
@@ -67,4 +76,4 @@ def scan(df: DataFrame, passes: Sequence[Pass], keys: Sequence[str] = KEYS) -> D
             arrays = [batch.column(at[f.name]) for f in keep] + [pa.array(columns[n], t) for n, t in arrow.items()]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.fieldNames())
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, ORDER).mapInArrow(run, schema)
+    return dealt(df, keys).sortWithinPartitions(*keys, ORDER).mapInArrow(run, schema)

@@ -54,18 +54,6 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
-def percent_rank(of: Column, n: int, keys: Sequence[str] = KEYS, ties: str = "average") -> Column:
-    """Percentile rank (0-100) of the last of n values among them; NULL unless there are n. Ties count half, or fully with ties='max'.
-
-    Values that differ after the tenth decimal only are ties, so rounding noise of sums does not decide ranks.
-    """
-    of = F.round(of, 10)
-    values = F.collect_list(of).over(rows(-(n - 1), 0, keys))
-    less, equal = F.size(F.filter(values, lambda x: x < of)), F.size(F.filter(values, lambda x: x == of))
-    rank = less + equal if ties == "max" else less + (equal + 1) / 2
-    return F.when(F.size(values) == n, rank / n * 100)
-
-
 def streak(condition: Column, df: DataFrame, name: str, keys: Sequence[str] = KEYS) -> DataFrame:
     """df with `name`, the number of bars up to this one on which the condition has held without a break."""
     held = F.coalesce(condition, F.lit(False))

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scan import Pass, scan
-from ..functions.series import KEYS, column_or, flag, full, ordered, percent_rank, ratio, require, rows, streak, with_bar_index
-from .foundation import ensure_atr
+from ..functions.series import KEYS, column_or, flag, full, ordered, ratio, require, rows, streak, with_bar_index
+from .foundation import ensure_atr, rank_pass
 
 UNKNOWN, ACCUMULATION, MANIPULATION, DISTRIBUTION = -1, 0, 1, 2
 
@@ -23,19 +23,23 @@ def _extreme(f: Callable, of: str, n: int, keys: Sequence[str]) -> Column:
 def add_amd_features(
     df: DataFrame, *, atr_pct_window: int = 50, accumulation_window: int = 20, overlap_window: int = 10, accumulation_min_streak: int = 8, atr_pct_low_threshold: float = 45.0, box_width_atr_max: float = 12.0, box_width_pct_max: float = 0.04,
     overlap_min: float = 0.40, efficiency_max: float = 0.35, min_touch_count_each_side: int = 1, sweep_tolerance_atr: float = 0.15, reclaim_min_frac_of_box: float = 0.10, displacement_mode: str = "break_only",
-    min_distribution_followthrough_bars: int = 2, min_distribution_move_atr: float = 0.35, min_distribution_move_box_frac: float = 0.30, max_reentry_frac_of_box: float = 0.20, keys: Sequence[str] = KEYS,
+    min_distribution_followthrough_bars: int = 2, min_distribution_move_atr: float = 0.35, min_distribution_move_box_frac: float = 0.30, max_reentry_frac_of_box: float = 0.20, atr_rank: str | None = None, keys: Sequence[str] = KEYS,
 ) -> DataFrame:
-    """The rolling box, how compressed it is, whether accumulation holds, and candidates for manipulation and distribution."""
+    """The rolling box, how compressed it is, whether accumulation holds, and candidates for manipulation and distribution.
+
+    atr_rank names a column that has the ATR's rank among atr_pct_window bars already; it goes.
+    """
     if displacement_mode not in ("all", "break_only", "none"):
         raise ValueError(f"displacement_mode must be 'all', 'break_only', or 'none', got '{displacement_mode}'")
     df = ensure_atr(with_bar_index(df, keys), keys=keys)
+    df = df.withColumnRenamed(atr_rank, "_pct") if atr_rank else scan(df, [rank_pass("atr_14", atr_pct_window, highest="_pct")], keys)
     w, n = ordered(keys), accumulation_window
     h, low, c, o, atr = (F.col(x) for x in ("high", "low", "close", "open", "atr_14"))
     ph, pl = F.lag(h).over(w), F.lag(low).over(w)
     shared = F.greatest(F.least(h, ph) - F.greatest(low, pl), F.lit(0.0))
     df = df.withColumns(
         {
-            "amd_box_high": _extreme(F.max, "high", n, keys), "amd_box_low": _extreme(F.min, "low", n, keys), "_pct": percent_rank(atr, atr_pct_window, keys, ties="max"),
+            "amd_box_high": _extreme(F.max, "high", n, keys), "amd_box_low": _extreme(F.min, "low", n, keys),
             "_overlap": F.when(pl.isNotNull(), ratio(shared, F.greatest(h, ph) - F.least(low, pl))), "_move": F.abs(c - F.lag(c).over(w)), "_net": F.abs(c - F.lag(c, n - 1).over(w)),
         }
     )

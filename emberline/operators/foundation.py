@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import recurrence as rec
-from ..functions.scan import scan
-from ..functions.series import KEYS, flag, full, mean, ordered, percent_rank, ratio, rows
+from ..functions.scan import Pass, dealt, scan
+from ..functions.series import KEYS, flag, full, mean, ordered, ratio, rows
 
 Task = tuple[Sequence[str], Sequence[str], Callable[[], Callable]]
 """Input columns, output columns, and what starts the step."""
@@ -26,8 +26,8 @@ def true_range(keys: Sequence[str] = KEYS, first_close: bool = False) -> Column:
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
 
 
-def smooth(df: DataFrame, tasks: Sequence[Task], keys: Sequence[str] = KEYS) -> DataFrame:
-    """All tasks in one pass. Helper inputs (_tr, _tr0, _change, _plus, _minus) are made as needed and go again."""
+def smooth(df: DataFrame, tasks: Sequence[Task], keys: Sequence[str] = KEYS, then: Sequence[Pass] = ()) -> DataFrame:
+    """All tasks, and the passes that read them, in one go over each series. Helper inputs (_tr, _tr0, _change, _plus, _minus) are made as needed and go again."""
     w = ordered(keys)
     up, down = F.col("high") - F.lag("high").over(w), F.lag("low").over(w) - F.col("low")
     helpers = {
@@ -52,7 +52,18 @@ def smooth(df: DataFrame, tasks: Sequence[Task], keys: Sequence[str] = KEYS) ->
         return step
 
     df = df.withColumns({c: helpers[c].cast("double") for c in used}).withColumns({c: F.col(c).cast("double") for c in inputs if c not in used})
-    return scan(df, [(start, inputs, [(o, T.DoubleType()) for _, out, _ in tasks for o in out])], keys).drop(*used)
+    return dealt(scan(df, [(start, inputs, [(o, T.DoubleType()) for _, out, _ in tasks for o in out]), *then], keys), keys).drop(*used)
+
+
+def rank_pass(col: str, n: int, average: str | None = None, highest: str | None = None) -> Pass:
+    """Rolling percentile rank of a column, by the average or the highest rank of ties."""
+    chosen = [i for i, name in enumerate((average, highest)) if name]
+
+    def start() -> Callable:
+        step = rec.rolling_rank(n)
+        return lambda x: tuple(step(x)[i] for i in chosen) if len(chosen) == 1 else step(x)
+
+    return start, [col], [(name, T.DoubleType()) for name in (average, highest) if name]
 
 
 def ema_task(period: int, col: str = "close") -> Task:
@@ -149,19 +160,21 @@ def add_macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, key
     return macd_columns(smooth(df, [macd_task(fast, slow, signal)], keys), keys)
 
 
-def atr_columns(df: DataFrame, period: int = 14, keys: Sequence[str] = KEYS) -> DataFrame:
-    return df.withColumn("atr_pct_50", percent_rank(F.col(f"atr_{period}"), 50, keys))
+def add_atr(df: DataFrame, period: int = 14, keys: Sequence[str] = KEYS) -> DataFrame:
+    return smooth(df, [atr_task(period)], keys, [rank_pass(f"atr_{period}", 50, "atr_pct_50")])
 
 
-def add_atr(df: DataFrame, period: int = 14, keys: Sequence[str] = KEYS) -> DataFrame:
-    return atr_columns(smooth(df, [atr_task(period)], keys), period, keys)
+def _bb_width(df: DataFrame, period: int, std: float, keys: Sequence[str]) -> DataFrame:
+    low, middle, high = bollinger(period, std, keys)
+    return df.withColumn("bb_width", ratio(high - low, middle))
+
+
+def _bb_flags(df: DataFrame) -> DataFrame:
+    return df.withColumns({f"bb_width_below_{x}": flag(F.col("bb_width_pct_50") < x) for x in (30, 40)})
 
 
 def add_bb_width(df: DataFrame, period: int = 20, std: float = 2.0, keys: Sequence[str] = KEYS) -> DataFrame:
-    low, middle, high = bollinger(period, std, keys)
-    df = df.withColumn("bb_width", ratio(high - low, middle))
-    pct = F.col("bb_width_pct_50")
-    return df.withColumn("bb_width_pct_50", percent_rank(F.col("bb_width"), 50, keys)).withColumns({f"bb_width_below_{x}": flag(pct < x) for x in (30, 40)})
+    return _bb_flags(scan(_bb_width(df, period, std, keys), [rank_pass("bb_width", 50, "bb_width_pct_50")], keys))
 
 
 def add_body_ratio(df: DataFrame) -> DataFrame:
@@ -185,10 +198,10 @@ def compute_atr_ratio(df: DataFrame, impulse_start: int, impulse_end: int, pullb
     return df.groupBy(*keys).agg(ratio(part(pullback_start, pullback_end), part(impulse_start, impulse_end)).alias("atr_ratio"))
 
 
-def add_foundation(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """ATR, EMAs, ADX, RSI, MACD, Bollinger width and body ratio; the recursive ones in one pass."""
+def add_foundation(df: DataFrame, keys: Sequence[str] = KEYS, atr_rank: str | None = None) -> DataFrame:
+    """ATR, EMAs, ADX, RSI, MACD, Bollinger width and body ratio; the recursive ones in one pass. atr_rank names a column for the ATR's highest rank."""
     periods = (20, 50, 200)
-    df = smooth(df, [atr_task(), *(ema_task(p) for p in periods), adx_task(), rsi_task(), macd_task()], keys)
-    df = atr_columns(df, keys=keys)
+    tasks = [atr_task(), *(ema_task(p) for p in periods), adx_task(), rsi_task(), macd_task()]
+    df = smooth(_bb_width(df, 20, 2.0, keys), tasks, keys, [rank_pass("atr_14", 50, "atr_pct_50", atr_rank), rank_pass("bb_width", 50, "bb_width_pct_50")])
     df = macd_columns(rsi_columns(adx_columns(emas(df, periods, keys), keys=keys), keys=keys), keys)
-    return add_body_ratio(add_bb_width(df, keys=keys))
+    return add_body_ratio(_bb_flags(df))
