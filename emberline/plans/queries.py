@@ -16,7 +16,7 @@ from ..functions.series import KEYS, mean, with_bar_index
 from ..operators.foundation import bollinger
 from ..sources import candles
 from ..streaming import bars as streaming
-from . import setups
+from . import catalog, setups
 from .pipeline import build_all_indicators
 
 
@@ -205,6 +205,21 @@ def higher_timeframe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(setups.as_of(bars(spark, sf_dir), high, ["close", "trend_state"], 4 * 3600), ["close", "htf_close", "htf_trend_state"])
 
 
+def confirmed_sweeps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sweeps on 4-hour bars and the first change of character on hourly bars within a day after."""
+    high = bars(spark, sf_dir, "4 hours")
+    sweeps = op.add_liquidity_sweep(op.add_swings(high)).where("sweep_side <> 0").select("instrument", "timestamp", "sweep_side")
+    low = op.add_choch(op.add_bos(op.add_trend_state(op.add_swings(bars(spark, sf_dir)))))
+    out = setups.confirmed_below(sweeps, low, 4 * 3600, 86400)
+    return shown(out.withColumn("confirmed_t", F.unix_timestamp("confirmed_at")), ["sweep_side", "confirmed_t"])
+
+
+def live_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full stack's columns, with how many bars ahead each looks."""
+    names = [c for c in enriched(spark, sf_dir).columns if catalog.entry_of(c)]
+    return spark.createDataFrame([(c, catalog.entry_of(c).look_ahead) for c in names], "column string, look_ahead long")
+
+
 def costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bars(spark, sf_dir).withColumns({"instrument": F.lit("XAU_USD"), "series": F.col("instrument"), "side": F.when(F.col("close") >= F.col("open"), 1).otherwise(-1)})
     rows = setups.with_costs(rows.withColumns({"target": F.col("close") + F.col("side"), "stop": F.col("close") - F.col("side")}))
@@ -254,7 +269,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "session": _query(op.add_session_classifier), "time_features": _query(op.add_time_features), "regime": _with_atr(op.add_regime, op.add_foundation, _swings, _trend),
     "volume_profile": _with_atr(op.add_volume_profile), "volume_profile_last": volume_profile_last, "full_pipeline": full_pipeline,
     "setup_fvg": _setup(setups.add_fvg_context), "setup_blocks": _setup(setups.add_block_context), "setup_sweeps": _setup(setups.add_sweep_context, setups.add_zone_confluence), "setup_pullbacks": _setup(setups.add_pullbacks, setups.add_broken_level_sweep),
-    "setup_gated": lambda spark, sf_dir: shown(setups.gated(enriched(spark, sf_dir)), ["close", "regime", "session"]), "higher_timeframe": higher_timeframe, "costs": costs, "event_proximity": event_proximity, "smt_divergence": smt, "stream_bars": stream_of_bars,
+    "setup_phases": _setup(setups.add_phase_context), "setup_confirmed": confirmed_sweeps, "setup_gated": lambda spark, sf_dir: shown(setups.gated(enriched(spark, sf_dir)), ["close", "regime", "session"]), "higher_timeframe": higher_timeframe, "costs": costs, "event_proximity": event_proximity, "smt_divergence": smt, "stream_bars": stream_of_bars, "live_catalog": live_catalog,
     "q_time_slice": time_slice, "q_detector_events": detector_events, "q_last_events": last_events, "q_indicator_ranges": indicator_ranges, "q_flag_rates": flag_rates, "q_regime_distribution": regime_distribution,
     "q_trend_distribution": trend_distribution, "q_warm_up_gaps": warm_up_gaps, "q_latest_rows": latest_rows, "q_series_coverage": series_coverage, "q_latest_snapshot": latest_snapshot,
 }

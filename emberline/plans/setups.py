@@ -175,3 +175,35 @@ def smt_divergence(primary: DataFrame, other: DataFrame, inverse: bool = True, k
     mirror = {"high": "low", "low": "high"} if inverse else {"high": "high", "low": "low"}
     missed = lambda s: (F.col(f"_new_{s}") == 1) & (F.col(f"_other_{mirror[s]}") == 0)
     return out.withColumns({"smt_bearish": flag(missed("high")), "smt_bullish": flag(missed("low"))}).drop("_new_high", "_new_low", "_other_high", "_other_low")
+
+
+def add_phase_context(df: DataFrame, within: int = 20, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Of inverted gaps: a manipulation in the bars before, RSI divergence near it, and a rejection in the direction of the inversion on weak volume."""
+    made = _side("ifvg_bull", "ifvg_bear")
+    body = F.greatest("open", "close") - F.least("open", "close")
+    wick = F.when(F.col("ifvg_bull") == 1, F.least("open", "close") - F.col("low")).otherwise(F.col("high") - F.greatest("open", "close"))
+    right_way = F.when(F.col("ifvg_bull") == 1, F.col("close") > F.col("open")).otherwise(F.col("close") < F.col("open"))
+    calm = F.when(F.col("ifvg_bull") == 1, F.col("rsi_14") > 45).otherwise(F.col("rsi_14") < 55)
+    return df.withColumns(
+        {
+            "ifvg_after_manipulation": flag(made & _any(("amd_is_manipulation",), -within, 0, keys)),
+            "ifvg_with_divergence": flag(made & _any(("rsi_div_bullish", "rsi_div_bearish"), -within, 0, keys)),
+            "ifvg_rejection": flag(made & (wick > body) & right_way & calm & (F.col("vol_below_avg") == 1)),
+        }
+    )
+
+
+def confirmed_below(events: DataFrame, low: DataFrame, seconds: int, within: int, on: Sequence[str] = ("instrument",)) -> DataFrame:
+    """events (rows of a higher timeframe, a bar being known `seconds` after its timestamp) with the first CHoCH bar of the lower one within so many
+    seconds after that, its body at least 60 % of its range; NULL if there is none.
+
+    The lower bars' confirmations go into one order by time with the events, latest first, and the last one seen is the next in time: no range join.
+    """
+    good = low.where(((F.col("choch_bull") == 1) | (F.col("choch_bear") == 1)) & (F.abs(F.col("close") - F.col("open")) >= 0.6 * (F.col("high") - F.col("low"))))
+    hits = good.select(*on, F.col("timestamp").alias("_at"), F.lit(0).alias("_rank"), F.col("timestamp").alias("_hit"))
+    body = [c for c in events.columns if c not in on]
+    mine = events.select(*on, F.timestamp_seconds(F.unix_timestamp("timestamp") + seconds).alias("_at"), F.lit(1).alias("_rank"), F.struct(*body).alias("_row"))
+    w = Window.partitionBy(*on).orderBy(F.col("_at").desc(), "_rank").rowsBetween(FIRST, 0)
+    both = hits.unionByName(mine, allowMissingColumns=True).withColumn("_next", F.last("_hit", True).over(w)).where("_rank = 1")
+    near = F.unix_timestamp("_next") - F.unix_timestamp("_at") <= within
+    return both.select(*on, "_row.*", F.when(near, F.col("_next")).alias("confirmed_at"))

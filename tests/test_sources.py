@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from emberline import operators as op
-from emberline.plans import queries, setups
+from emberline.plans import catalog, queries, setups
 from emberline.plans.pipeline import INTRADAY_COLUMNS, build_all_indicators
 from emberline.sources import candles as src
 from emberline.streaming import bars as streaming
@@ -82,6 +82,27 @@ def test_pipeline_is_one_shuffle_per_sequential_pass(spark):
     assert plan.count("MapInArrow") == 2 and "Join" not in plan
 
 
+def test_live_columns_do_not_change_when_bars_follow(spark):
+    """The catalog's claim, held against the stack: what it calls live is the same without the bars after."""
+    bars = walk(random.Random(11), 240)
+    whole, part = (build_all_indicators(candles(spark, b, "XAU_USD")) for b in (bars, bars[:200]))
+    names = catalog.live_columns(c for c in whole.columns if c not in ("instrument", "timeframe", "timestamp"))
+    assert len(names) > 130 and "fvg_bull" not in names and "bos_bull" in names
+    a, b = column(whole, *names)[:200], column(part, *names)
+    changed: set[str] = set()
+    for x, y in zip(a, b, strict=True):
+        changed |= {n for n, u, v in zip(names, x, y, strict=True) if u != v}
+    assert not changed
+
+
+def test_confirmations_are_the_next_in_time(spark):
+    low = candles(spark, [(0, 10, 0, 8)] * 12).withColumns({"choch_bear": F.lit(0), "choch_bull": F.when(F.hour("timestamp").isin(3, 6), 1).otherwise(0)})
+    events = candles(spark, [(1, 1, 1, 1)] * 12).select("instrument", "timestamp")
+    got = column(setups.confirmed_below(events, low, 3600, 2 * 3600), "confirmed_at")
+    # A bar of hour h is known at h + 1, and at that hour's bar in time.
+    assert [t and t.hour for t in got] == [3, 3, 3, 6, 6, 6] + [None] * 6
+
+
 def test_as_of_join_sees_closed_bars_only(spark):
     low = candles(spark, [(1, 1, 1, i) for i in range(10)])
     high = candles(spark, [(1, 1, 1, 100), (1, 1, 1, 200), (1, 1, 1, 300)], timeframe="H4", hours=4)
