@@ -46,3 +46,15 @@ def test_run_is_the_stages(spark, sf, stages):
 
 def test_text_of_words_only_survives_redaction():
     assert pii.mask("a b", []) == "a b" and re.fullmatch("x <IP> y", pii.mask("x 1.2.3.4 y", [(2, 9, "ip")]))
+
+
+@pytest.mark.parametrize("stage", [f for _, f in cp.STAGES[:-1]], ids=[n for n, _ in cp.STAGES[:-1]])
+def test_stages_take_odd_rows(spark, sf, odd_docs, no_docs, stage):
+    out = stage(spark, odd_docs, sf)
+    assert out.columns == odd_docs.columns and 0 < out.count() <= odd_docs.count()
+    assert stage(spark, no_docs, sf).count() == 0
+
+
+def test_packing_takes_odd_rows(spark, sf, odd_docs, no_docs):
+    assert {r.doc_id for r in cp.pack(spark, odd_docs, sf).collect()} == {r.doc_id for r in odd_docs.collect()}
+    assert cp.pack(spark, no_docs, sf).count() == 0
