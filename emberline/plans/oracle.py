@@ -275,7 +275,7 @@ BLOCKS = """
 oe AS (SELECT ob.*, od.u, od.d, f.atrx AS fa FROM ob LEFT JOIN od ON od.instrument = ob.instrument AND od.k = ob.i LEFT JOIN ob f ON f.instrument = od.instrument AND f.i = od.i0)
 """
 
-AMD = """
+AMD_TEMPLATE = """
 , am AS (
   SELECT *, CASE WHEN i >= 19 THEN max(high) OVER w END AS bh, CASE WHEN i >= 19 THEN min(low) OVER w END AS bl, greatest(least(high, lag(high) OVER o) - greatest(low, lag(low) OVER o), 0) / nullif(greatest(high, lag(high) OVER o) - least(low, lag(low) OVER o), 0) AS ov, abs(close - lag(close) OVER o) AS mv,
     abs(close - lag(close, 19) OVER o) AS net, CASE WHEN i >= 49 THEN len(list_filter(list(round(atrx, 10)) OVER f, lambda v: v <= round(atrx, 10))) / 50.0::DOUBLE * 100 END AS pct
@@ -284,9 +284,9 @@ AMD = """
   SELECT *, bh - bl AS bw, (bh + bl) / 2 AS bm, CASE WHEN i >= 1 AND count(CASE WHEN i >= 1 THEN ov END) OVER t = 10 THEN avg(CASE WHEN i >= 1 THEN ov END) OVER t END AS os, net / nullif(CASE WHEN count(mv) OVER w = 20 THEN sum(mv) OVER w END, 0) AS ef, coalesce(abs(bh - high) <= (bh - bl) * 0.10, FALSE)::INT AS th, coalesce(abs(low - bl) <= (bh - bl) * 0.10, FALSE)::INT AS tl
   FROM am WINDOW w AS (PARTITION BY instrument ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), t AS (PARTITION BY instrument ORDER BY i ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)
 ), ao AS (
-  SELECT *, coalesce(pct <= 45, FALSE)::INT + coalesce(bw / nullif(atrx, 0) <= 12 AND bw / nullif(abs(close), 0) <= 0.04, FALSE)::INT + coalesce(os >= 0.4, FALSE)::INT + coalesce(ef <= 0.35, FALSE)::INT + coalesce(i >= 19 AND sum(th) OVER w >= 1 AND sum(tl) OVER w >= 1, FALSE)::INT AS sc
+  SELECT *, coalesce(pct <= {pct}, FALSE)::INT + coalesce(bw / nullif(atrx, 0) <= {watr} AND bw / nullif(abs(close), 0) <= {wpct}, FALSE)::INT + coalesce(os >= {ov}, FALSE)::INT + coalesce(ef <= {ef}, FALSE)::INT + coalesce(i >= 19 AND sum(th) OVER w >= 1 AND sum(tl) OVER w >= 1, FALSE)::INT AS sc
   FROM an WINDOW w AS (PARTITION BY instrument ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)
-), ap AS (SELECT *, CASE WHEN sc = 5 AND min(sc) OVER (PARTITION BY instrument ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) = 5 AND i >= 7 THEN 1 ELSE 0 END AS acc FROM ao),
+), ap AS (SELECT *, CASE WHEN sc = 5 AND min(sc) OVER (PARTITION BY instrument ORDER BY i ROWS BETWEEN {back} PRECEDING AND CURRENT ROW) = 5 AND i >= {back} THEN 1 ELSE 0 END AS acc FROM ao),
 aq AS (SELECT *, lag(bh) {L} AS qh, lag(bl) {L} AS ql, lag(bm) {L} AS qm, coalesce(lag(acc) {L}, 0) = 1 AS pa FROM ap),
 ar AS (
   SELECT *, coalesce(pa AND ((low < ql AND low >= ql - 0.15 * atrx AND close >= ql + 0.1 * (qh - ql)) OR (high > qh AND on_ AND dir = 1)), FALSE) AS mb, coalesce(pa AND ((high > qh AND high <= qh + 0.15 * atrx AND close <= qh - 0.1 * (qh - ql)) OR (low < ql AND on_ AND dir = -1)), FALSE) AS ms,
@@ -294,6 +294,15 @@ ar AS (
 ), az AS (SELECT *, coalesce(close > qh AND far, FALSE) AS du, coalesce(close < ql AND far, FALSE) AS dd FROM ar)
 """.replace("{L}", LAG)
 
+
+
+def amd(pct: float = 45, watr: float = 12, wpct: float = 0.04, ov: float = 0.4, ef: float = 0.35, streak: int = 8) -> str:
+    text = AMD_TEMPLATE
+    for name, value in {"pct": pct, "watr": watr, "wpct": wpct, "ov": ov, "ef": ef, "back": streak - 1}.items():
+        text = text.replace(f"{{{name}}}", str(value))
+    return text
+
+
 DISPLACED = """
 , d0 AS (SELECT *, CAST(sign(close - open) AS BIGINT) AS dir FROM s),
 d2 AS (SELECT *, dir <> 0 AND abs(close - open) / atrx >= 1.5 AND coalesce(CASE WHEN close > open THEN (high - close) / (high - low) WHEN close < open THEN (close - low) / (high - low) END <= 0.2, FALSE) AND bf >= 0.6 AND CASE WHEN close > open THEN lw WHEN close < open THEN uw ELSE 0 END <= 0.2 AS on_ FROM d0)
@@ -324,7 +333,7 @@ SQL |= {
       {flag('u AND c2 > p2', 'fvg_bos_bull')}, {flag('d AND c2 < q2', 'fvg_bos_bear')} FROM gb"""),
     "order_blocks": frame(RECURSIVE, PIVOTS + BLOCKS, recursive=True, select=f"""SELECT instrument, t, {flag('u = 1', 'ob_bull')}, {flag('d = 1', 'ob_bear')}, CASE WHEN u = 1 THEN open END AS ob_bull_high, CASE WHEN u = 1 THEN low END AS ob_bull_low, CASE WHEN d = 1 THEN high END AS ob_bear_high, CASE WHEN d = 1 THEN open END AS ob_bear_low,
       round(CASE WHEN u = 1 THEN (open - low) / fa WHEN d = 1 THEN (high - open) / fa END, 6) AS ob_width_atr FROM oe"""),
-    "amd_features": frame(RECURSIVE + DISPLACED + AMD, recursive=True, select=f"""SELECT instrument, t, bh AS amd_box_high, bl AS amd_box_low, {r('bm', 'amd_box_mid')}, {r('bw', 'amd_box_width')}, CAST(sc AS BIGINT) AS amd_compression_score, {r('os', 'amd_overlap_score')}, {r('ef', 'amd_efficiency')}, CAST(acc AS BIGINT) AS amd_accumulation_active,
+    "amd_features": frame(RECURSIVE + DISPLACED + amd(), recursive=True, select=f"""SELECT instrument, t, bh AS amd_box_high, bl AS amd_box_low, {r('bm', 'amd_box_mid')}, {r('bw', 'amd_box_width')}, CAST(sc AS BIGINT) AS amd_compression_score, {r('os', 'amd_overlap_score')}, {r('ef', 'amd_efficiency')}, CAST(acc AS BIGINT) AS amd_accumulation_active,
       {flag('mb OR ms', 'amd_manipulation_candidate')}, CAST(CASE WHEN mb THEN 1 WHEN ms THEN -1 ELSE 0 END AS BIGINT) AS amd_manipulation_direction, {flag('re', 'amd_reentry_strict')}, {flag('rb', 'amd_reentry_buffered')}, {flag(f'du AND lag(du) {LAG} AND NOT re', 'amd_distribution_bull_candidate')}, {flag(f'dd AND lag(dd) {LAG} AND NOT re', 'amd_distribution_bear_candidate')} FROM az"""),
     "q_trend_distribution": frame(RECURSIVE, SWINGS + TREND, recursive=True, select=labelled("CASE st WHEN 1 THEN 'BULL' WHEN -1 THEN 'BEAR' ELSE 'UNDEFINED' END AS trend")),
     "q_last_events": frame(RECURSIVE, SWINGS, recursive=True, select="SELECT * FROM (SELECT instrument, t, row_number() OVER (PARTITION BY instrument ORDER BY t DESC) AS n, high AS swing_high_price FROM sl WHERE sh = 1) WHERE n <= 5"),
@@ -362,3 +371,79 @@ SQL |= {
     "event_proximity": frame(select="SELECT instrument, t, CASE WHEN EXISTS (SELECT 1 FROM events e WHERE e.value > 450 AND abs(CAST(floor(epoch(e.ts)) AS BIGINT) - b.t) <= 7200) THEN 1 ELSE 0 END::BIGINT AS near_event FROM b"),
     "stream_bars": frame(price="value", select="SELECT instrument, t, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, volume FROM candles WHERE t + 3600 <= (SELECT epoch(max(ts)) - 3600 FROM events)"),
 }
+
+
+# The phase automaton: an action for each bar from the state before it, and the state that it leads to.
+PHASES = """
+, st AS (
+  SELECT instrument, i, -1 AS ph, 0 AS dr, 0 AS seq, 0 AS age, 0 AS mn, 0 AS gr, 0 AS sa, 0 AS fo, NULL::DOUBLE AS xh, NULL::DOUBLE AS xl, NULL::DOUBLE AS fh, NULL::DOUBLE AS fl, NULL::DOUBLE AS fm FROM az WHERE i = 0
+  UNION ALL
+  SELECT instrument, i, CASE WHEN a IN ('A', 'F', 'g') THEN 0 WHEN a IN ('U', 'u') THEN -1 WHEN a IN ('M', 'm', 'k') THEN 1 ELSE 2 END, CASE WHEN a = 'M' THEN 1 WHEN a = 'm' THEN -1 WHEN a IN ('k', 'D', 'd') THEN dr ELSE 0 END, CASE WHEN a = 'A' THEN seq + 1 ELSE seq END,
+    CASE WHEN a IN ('A', 'M', 'm', 'D') THEN 1 WHEN a IN ('U', 'u') THEN 0 ELSE age + 1 END, CASE WHEN a IN ('M', 'm') THEN 1 WHEN a IN ('k', 'D') THEN mn + 1 WHEN a IN ('F', 'g', 'd') THEN mn ELSE 0 END, CASE WHEN a = 'g' THEN gr + 1 ELSE 0 END,
+    CASE WHEN a = 'd' THEN CASE WHEN fresh THEN 0 ELSE sa + 1 END ELSE 0 END, CASE WHEN a = 'k' AND away THEN fo + 1 ELSE 0 END, CASE WHEN a = 'D' OR (a = 'd' AND fresh AND dr = 1) THEN high WHEN a = 'd' THEN xh END, CASE WHEN a = 'D' OR (a = 'd' AND fresh AND dr = -1) THEN low WHEN a = 'd' THEN xl END,
+    CASE WHEN a IN ('A', 'F') THEN bh WHEN a IN ('U', 'u') THEN NULL ELSE fh END, CASE WHEN a IN ('A', 'F') THEN bl WHEN a IN ('U', 'u') THEN NULL ELSE fl END, CASE WHEN a IN ('A', 'F') THEN bm WHEN a IN ('U', 'u') THEN NULL ELSE fm END
+  FROM (
+    SELECT *, CASE ph WHEN -1 THEN CASE WHEN acc = 1 THEN 'A' ELSE 'u' END WHEN 0 THEN CASE WHEN acc = 1 THEN 'F' WHEN mb THEN 'M' WHEN ms THEN 'm' WHEN gr + 1 > 2 THEN 'U' ELSE 'g' END
+      WHEN 1 THEN CASE WHEN away AND fo + 1 >= 4 THEN 'D' WHEN mn + 1 > 8 THEN CASE WHEN acc = 1 THEN 'A' ELSE 'U' END ELSE 'k' END
+      ELSE CASE WHEN close BETWEEN fl AND fh OR (NOT fresh AND sa + 1 > 4) THEN CASE WHEN acc = 1 THEN 'A' ELSE 'U' END WHEN acc = 1 THEN 'A' ELSE 'd' END END AS a
+    FROM (
+      SELECT az.instrument, az.i, high, low, close, acc, mb, ms, bh, bl, bm, ph, dr, seq, age, mn, gr, sa, fo, xh, xl, fh, fl, fm, coalesce(abs(close - fm) / atrx >= 0.75 AND abs(close - fm) / (fh - fl) >= 0.6 AND CASE WHEN dr = 1 THEN close > fh ELSE close < fl END, FALSE) AS away,
+        coalesce(CASE WHEN dr = 1 THEN close > fh AND high >= xh + 0.1 * atrx WHEN dr = -1 THEN close < fl AND low <= xl - 0.1 * atrx END, FALSE) AS fresh
+      FROM st JOIN az ON az.instrument = st.instrument AND az.i = st.i + 1
+    )
+  )
+), sx AS (SELECT az.*, ph, dr, seq, age, fh, fl, fm FROM az JOIN st USING (instrument, i)),
+lb AS (SELECT *, list(high) OVER f AS hs, list(low) OVER f AS ls, ph = 1 AND dr <> 0 AND atrx > 0 AND fh - fl > 0 AND count(*) OVER f > 0 AS lon FROM sx WINDOW f AS (PARTITION BY instrument ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING)),
+lc AS (SELECT *, CASE WHEN dr = 1 THEN list_position(list_transform(hs, lambda v: v >= close + 1.5 * atrx), TRUE) ELSE list_position(list_transform(ls, lambda v: v <= close - 1.5 * atrx), TRUE) END AS tg,
+  CASE WHEN dr = 1 THEN list_position(list_transform(ls, lambda v: v <= close - 0.5 * (fh - fl)), TRUE) ELSE list_position(list_transform(hs, lambda v: v >= close + 0.5 * (fh - fl)), TRUE) END AS sp FROM lb)
+"""
+LOOSE = amd(pct=80, watr=99, wpct=9, ov=0.1, ef=0.6, streak=3)
+PHASE_COLUMNS = """CAST(ph AS BIGINT) AS amd_phase, CAST(dr AS BIGINT) AS amd_direction, CAST(seq AS BIGINT) AS amd_sequence_id, CAST(age AS BIGINT) AS amd_bars_in_phase, fh AS amd_active_box_high, fl AS amd_active_box_low, round(fm, 6) AS amd_active_box_mid,
+  CAST(ph = 0 AS BIGINT) AS amd_is_accumulation, CAST(ph = 1 AS BIGINT) AS amd_is_manipulation, CAST(ph = 2 AS BIGINT) AS amd_is_distribution"""
+
+# Swings known at once, with ties.
+AT_ONCE = SWINGS.replace("AND (high > hb OR high > ha)", "").replace("AND (low < lb OR low < la)", "").replace("BETWEEN UNBOUNDED PRECEDING AND 3 PRECEDING", "BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")
+
+PROFILES = """
+, va AS (SELECT instrument, 80 + 20 * k AS anchor FROM (SELECT instrument, max(i) AS n FROM s GROUP BY instrument), LATERAL (SELECT unnest(range(0, greatest((n - 80) // 20 + 1, 0))) AS k) WHERE n >= 80),
+vb AS (SELECT va.instrument, anchor, (high + low + close) / 3 AS tp, volume, min(low) OVER w AS lo, max(high) OVER w AS hi FROM va JOIN s ON s.instrument = va.instrument AND s.i >= anchor - 80 AND s.i < anchor WINDOW w AS (PARTITION BY va.instrument, anchor)),
+vc AS (SELECT instrument, anchor, lo, hi, least(49, CAST(floor((tp - lo) / (hi - lo) * 50) AS BIGINT)) AS k, sum(volume)::DOUBLE AS v FROM vb WHERE hi > lo GROUP BY ALL),
+vd AS (SELECT instrument, anchor, lo, hi, list_transform(range(50), lambda j: coalesce(map_from_entries(list((k, v)))[j], 0.0)) AS vs FROM vc GROUP BY ALL),
+vg AS (SELECT instrument, anchor, lo, hi, vs, list_position(vs, list_max(vs)) - 1 AS a, list_position(vs, list_max(vs)) - 1 AS e, list_max(vs) AS inside, list_sum(vs) AS total, 0 AS k FROM vd
+  UNION ALL SELECT instrument, anchor, lo, hi, vs, a - down, e + (1 - down), inside + CASE WHEN down = 1 THEN vs[a] ELSE vs[e + 2] END, total, k + 1 FROM (SELECT *, CASE WHEN (CASE WHEN a > 0 THEN vs[a] ELSE 0 END >= CASE WHEN e < 49 THEN vs[e + 2] ELSE 0 END AND a > 0) OR e >= 49 THEN 1 ELSE 0 END AS down FROM vg WHERE inside < total * 0.7 AND (a > 0 OR e < 49))),
+vh AS (SELECT instrument, anchor, min(lo + (hi - lo) / 50 * (list_position(vs, list_max(vs)) - 0.5)) AS poc, arg_max(lo + (hi - lo) / 50 * (e + 1), k) AS vah, arg_max(lo + (hi - lo) / 50 * a, k) AS val FROM vg GROUP BY ALL),
+vi AS (SELECT s.*, poc, vah, val FROM s LEFT JOIN vh ON vh.instrument = s.instrument AND vh.anchor = CASE WHEN s.i >= 80 THEN 80 + 20 * ((s.i - 80) // 20) END)
+"""
+
+SQL |= {
+    "amd_state": frame(RECURSIVE + DISPLACED + LOOSE + PHASES, recursive=True, select=f"SELECT instrument, t, {PHASE_COLUMNS} FROM sx"),
+    "amd_labels": frame(RECURSIVE + DISPLACED + LOOSE + PHASES, recursive=True, select="SELECT instrument, t, CAST(CASE WHEN lon AND tg > 0 AND (coalesce(sp, 0) = 0 OR tg < sp) THEN 1 WHEN lon AND sp > 0 AND (coalesce(tg, 0) = 0 OR sp < tg) THEN -1 ELSE 0 END AS BIGINT) AS amd_label_outcome, round(CASE WHEN lon THEN CASE WHEN dr = 1 THEN list_max(hs) - close ELSE close - list_min(ls) END / atrx END, 6) AS amd_label_forward_return_atr FROM lc"),
+    "swings_at_once": frame(RECURSIVE, AT_ONCE, recursive=True, select=f"SELECT instrument, t, {swing_columns()} FROM sl"),
+    "volume_profile": frame(RECURSIVE + PROFILES, recursive=True, select=f"SELECT instrument, t, {r('poc', 'vp_poc')}, {r('vah', 'vp_vah')}, {r('val', 'vp_val')}, {r('CASE WHEN atrx > 0 THEN abs(close - poc) / atrx END', 'vp_poc_distance_atr')} FROM vi"),
+}
+
+# Gaps of a side that overlap within two bars of the first are one, told by a recursion over the gaps; inversions by joins of zones and bars.
+ZONES = """
+, cd AS (
+  SELECT instrument, 'u' AS side, i, h0 AS lo, l2 AS hi, (l2 - h0) / atrx AS size, ba, coalesce(c2 > p2, FALSE)::INT AS bos, row_number() OVER (PARTITION BY instrument ORDER BY i) AS n FROM gb WHERE u
+  UNION ALL SELECT instrument, 'd', i, h2, l0, (l0 - h2) / atrx, ba, coalesce(c2 < q2, FALSE)::INT, row_number() OVER (PARTITION BY instrument ORDER BY i) FROM gb WHERE d
+), mg AS (
+  SELECT instrument, side, n, i, i AS head, lo, hi, size, ba, bos FROM cd WHERE n = 1
+  UNION ALL
+  SELECT instrument, side, n, i, CASE WHEN one THEN head ELSE i END, CASE WHEN one THEN least(lo, mlo) ELSE lo END, CASE WHEN one THEN greatest(hi, mhi) ELSE hi END, CASE WHEN one THEN greatest(size, msize) ELSE size END, CASE WHEN one THEN greatest(ba, mba) ELSE ba END, CASE WHEN one THEN greatest(bos, mbos) ELSE bos END
+  FROM (SELECT cd.*, mg.head, mg.lo AS mlo, mg.hi AS mhi, mg.size AS msize, mg.ba AS mba, mg.bos AS mbos, cd.i - mg.head <= 2 AND cd.lo <= mg.hi AND mg.lo <= cd.hi AS one FROM mg JOIN cd ON cd.instrument = mg.instrument AND cd.side = mg.side AND cd.n = mg.n + 1)
+), zn AS (SELECT instrument, side, head, max(i) + 1 AS confirm, arg_max(lo, n) AS lo, arg_max(hi, n) AS hi, arg_max(size, n) AS size, arg_max(ba, n) AS ba, arg_max(bos, n) AS bos FROM mg GROUP BY ALL),
+zl AS (SELECT *, coalesce(lead(head, 5) OVER (PARTITION BY instrument, side ORDER BY head), 1000000000) AS until FROM zn),
+zb AS (SELECT *, (SELECT min(i) FROM s WHERE s.instrument = zl.instrument AND i > confirm AND i < until AND CASE WHEN side = 'u' THEN close < lo ELSE close > hi END) AS bk FROM zl),
+zr AS (SELECT *, (SELECT min(i) FROM s WHERE s.instrument = zb.instrument AND i > bk AND i < until AND CASE WHEN side = 'u' THEN high >= lo ELSE low <= hi END) AS rt FROM zb),
+zs AS (SELECT s.instrument, s.i, side, max((CASE WHEN s.i >= rt THEN 4 WHEN s.i >= bk THEN 3 ELSE 1 END, confirm)) AS best, max((s.i = bk)::INT) AS broke, max((s.i = rt)::INT) AS back, arg_max((hi - lo) / atrx, head) FILTER (s.i = rt) AS width FROM s JOIN zr ON zr.instrument = s.instrument AND s.i >= head AND s.i < until GROUP BY ALL)
+"""
+
+SQL |= {
+    "fvg": frame(RECURSIVE, PIVOTS + GAPS + ZONES, recursive=True, select="""SELECT s.instrument, t, CAST(u.head IS NOT NULL AS BIGINT) AS fvg_bull, CAST(d.head IS NOT NULL AS BIGINT) AS fvg_bear, u.lo AS fvg_bull_low, u.hi AS fvg_bull_high, d.hi AS fvg_bear_high, d.lo AS fvg_bear_low, round(coalesce(u.size, d.size), 6) AS fvg_size_atr,
+      coalesce(u.confirm, -1) AS fvg_bull_confirm_idx, coalesce(d.confirm, -1) AS fvg_bear_confirm_idx, CAST(coalesce(u.confirm, d.confirm) - s.i AS DOUBLE) AS fvg_confirm_delay, round(coalesce(u.ba, d.ba), 6) AS fvg_mid_body_atr, CAST(coalesce(u.bos, 0) AS BIGINT) AS fvg_bos_bull, CAST(coalesce(d.bos, 0) AS BIGINT) AS fvg_bos_bear
+      FROM s LEFT JOIN zn u ON u.instrument = s.instrument AND u.head = s.i AND u.side = 'u' LEFT JOIN zn d ON d.instrument = s.instrument AND d.head = s.i AND d.side = 'd'"""),
+    "ifvg": frame(RECURSIVE, PIVOTS + GAPS + ZONES, recursive=True, select=f"""SELECT s.instrument, t, CAST(coalesce(d.back, 0) AS BIGINT) AS ifvg_bull, CAST(coalesce(u.back, 0) AS BIGINT) AS ifvg_bear, round(coalesce(d.width, u.width), 6) AS ifvg_width_atr, {', '.join(f"CAST(coalesce({x}.broke, 0) AS BIGINT) AS ifvg_{n}_{c}" for c in ('break', 'candidate') for n, x in (('bull', 'd'), ('bear', 'u')))},
+      CAST(coalesce(d.back, 0) AS BIGINT) AS ifvg_bull_retest, CAST(coalesce(u.back, 0) AS BIGINT) AS ifvg_bear_retest, CAST(coalesce(d.best[1], 0) AS BIGINT) AS ifvg_state_bull, CAST(coalesce(u.best[1], 0) AS BIGINT) AS ifvg_state_bear, CAST(coalesce(d.best[2], -1) AS BIGINT) AS ifvg_origin_idx_bull, CAST(coalesce(u.best[2], -1) AS BIGINT) AS ifvg_origin_idx_bear
+      FROM s LEFT JOIN zs u ON u.instrument = s.instrument AND u.i = s.i AND u.side = 'u' LEFT JOIN zs d ON d.instrument = s.instrument AND d.i = s.i AND d.side = 'd'"""),
+}

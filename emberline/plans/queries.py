@@ -245,6 +245,14 @@ def stream_of_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(streaming.replay(spark, made, "bars"), [*candles.PRICES, "volume"])
 
 
+# The candles' walk is too lively for the default thresholds ever to call it accumulation.
+LOOSE = {"accumulation_min_streak": 3, "atr_pct_low_threshold": 80.0, "box_width_atr_max": 99.0, "box_width_pct_max": 9.0, "overlap_min": 0.1, "efficiency_max": 0.6}
+
+
+def _loose(df: DataFrame) -> DataFrame:
+    return op.add_amd_features(df, **LOOSE)
+
+
 _swings = op.add_swings
 _causal = op.add_swings_causal
 _trend = op.add_trend_state
@@ -262,8 +270,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "liquidity_sweep": _with_atr(op.add_liquidity_sweep, _swings), "liquidity_sweep_confirmed": _with_atr(lambda d: op.add_liquidity_sweep(d, require_next_bar_confirmation=True, confirmation_mode="mid", use_provided_swings=False)),
     "fvg_candidates": _with_atr(lambda d: op.add_fvg(d, merge_overlaps=False)), "fvg": _with_atr(op.add_fvg), "fvg_fill": _with_atr(op.add_fvg_fill, op.add_fvg), "ifvg": _with_atr(op.add_ifvg, op.add_fvg),
     "order_blocks": _with_atr(op.add_ob), "ob_mitigation": _with_atr(op.add_ob_mitigation, op.add_ob), "equal_hl": _with_atr(op.add_equal_hl, _swings),
-    "amd_features": _with_atr(op.add_amd_features, op.add_displacement_candle), "amd_state": _with_atr(op.add_amd_state, op.add_displacement_candle, op.add_amd_features), "amd_labels": _with_atr(op.add_amd_labels, op.add_displacement_candle, op.add_amd_features, op.add_amd_state),
-    "amd_engine": _with_atr(lambda d: op.add_amd_engine(d, add_labels=True, accumulation_min_streak=2)),
+    "amd_features": _with_atr(op.add_amd_features, op.add_displacement_candle), "amd_state": _with_atr(op.add_amd_state, op.add_displacement_candle, _loose), "amd_labels": _with_atr(op.add_amd_labels, op.add_displacement_candle, _loose, op.add_amd_state),
+    "amd_engine": _with_atr(lambda d: op.add_amd_engine(d, add_labels=True, **LOOSE)),
     "anchored_vwap": _query(lambda d: op.compute_anchored_vwap(d, 50), digits=2), "avwap_from_last_swing": _with_atr(op.add_avwap_from_last_swing, _swings, digits=2),
     "asian_session": _query(op.add_asian_session_hl), "prev_day": _query(op.add_prev_day_hl), "prev_week": _query(op.add_prev_week_hl), "round_numbers": _with_atr(lambda d: op.add_round_number_flag(d, "XAU_USD")),
     "session": _query(op.add_session_classifier), "time_features": _query(op.add_time_features), "regime": _with_atr(op.add_regime, op.add_foundation, _swings, _trend),
