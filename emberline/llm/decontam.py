@@ -4,8 +4,8 @@ A word is `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z in lower
 item; an item of fewer words, but not none, is one window. A shard is a part of an Arrow batch. A word that no item
 has cannot be in a window, so of the shard only runs of item words go into the index, and only runs as long as the shortest window:
 the index is small and the result the same. Nothing is shuffled. The items are a stated query set: they go to the tasks in
-blocks of at most block_bytes text, each block one broadcast of proven size; with more than one block the documents' hits are merged
-by row.
+blocks of about block_bytes text, each a broadcast of its own. With more than one block the documents are gone through once a block, and
+take what was found so far along from one written table to the next.
 """
 
 from __future__ import annotations
@@ -13,15 +13,17 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import defaultdict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import append_columns, column
+from .common import append_columns, column, written
 from .fmindex import FMIndex
 
 WINDOW = 10
@@ -120,20 +122,39 @@ def cut(p: Phrases, texts: list[str | None], found: dict[int, np.ndarray]) -> di
     return out
 
 
-def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", limit: int = BLOCK_BYTES) -> list[list[tuple[str, str | None]]]:
-    """The items in blocks of at most limit characters of text, read one item at a time; a null id is taken as 'null'."""
-    out: list[list[tuple[str, str | None]]] = []
-    size = limit
+def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", limit: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str | None]]]:
+    """The items in blocks of about limit characters of text, read one after the other; a null id is taken as 'null'. At least one block."""
+    block: list[tuple[str, str | None]] = []
+    size = 0
     for name, body in benchmark.selectExpr(f"coalesce(cast(`{item}` as string), 'null')", f"`{text}`").toLocalIterator():
-        if size + len(body or "") > limit:
-            out.append([])
-            size = 0
-        out[-1].append((name, body))
+        if block and size + len(body or "") > limit:
+            yield block
+            block, size = [], 0
+        block.append((name, body))
         size += len(body or "")
-    return out
+    yield block
+
+
+_MASK, _ITEMS = "_hit_words", "_hit_items"
+_FIELDS = [
+    T.StructField("n_words", T.LongType()), T.StructField("hit_spans", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())),
+    T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType()),
+]
 
 
-_FIELDS = [T.StructField("n_words", T.LongType()), T.StructField("hit_spans", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType()))]
+def _passes(docs: DataFrame, benchmark: DataFrame, item: str, item_text: str, window: int, block_bytes: int, one: Callable[[DataFrame, Broadcast, bool], DataFrame]) -> DataFrame:
+    """docs after one(docs, phrases, is_last) for each block; a written table between two, so that one block is held at a time."""
+    ahead = blocks(benchmark, item, item_text, block_bytes)
+    block = next(ahead)
+    while block is not None:
+        following = next(ahead, None)
+        shared = docs.sparkSession.sparkContext.broadcast(phrases(block, window))
+        docs = one(docs, shared, following is None)
+        if following is not None:
+            docs = written(docs, "block")
+            shared.destroy()
+        block = following
+    return docs
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -144,47 +165,58 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     A null text has no words. An empty benchmark hits nothing. Input columns with these names are replaced; all others stay, as
     do repeated rows.
     """
-    shared = [docs.sparkSession.sparkContext.broadcast(phrases(b, window)) for b in blocks(benchmark, item, item_text, block_bytes)]
-
-    def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        texts = column(batch, text)
-        bare = [flat(t) for t in texts]
-        counts: list[int] = []
-        masks: dict[int, np.ndarray] = {}
-        items: dict[int, set[str]] = {}
-        for s in shared:
-            counts, more, names = find(s.value, bare)
-            for k, m in more.items():
-                masks[k] = masks[k] | m if k in masks else m
-                items[k] = items.get(k, set()) | names[k]
-        counts = counts or [len(t.split()) for t in bare]
-        ids = [sorted(items.get(k, ())) for k in range(len(texts))]
-        hit = [int(masks[k].sum()) if k in masks else 0 for k in range(len(texts))]
-        where = [spans(texts[k], masks[k]) if k in masks else [] for k in range(len(texts))]
-        sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids]
-        return [pa.array(counts, pa.int64()), pa.array(where, pa.list_(pa.list_(pa.int32()))), pa.array(hit, pa.int64()), pa.array(ids, pa.list_(pa.string())), pa.array(sha, pa.string()), pa.array([h > 0 for h in hit], pa.bool_())]
-
-    return append_columns(docs, run, [*_FIELDS, T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType())])
+
+    def one(df: DataFrame, shared: Broadcast, last: bool) -> DataFrame:
+        going_on = _MASK in df.columns
+
+        def run(batch: pa.RecordBatch) -> list[pa.Array]:
+            texts = column(batch, text)
+            counts, masks, items = find(shared.value, [flat(t) for t in texts])
+            if going_on:
+                for k, (bits, ids) in enumerate(zip(column(batch, _MASK), column(batch, _ITEMS), strict=True)):
+                    if ids:
+                        before = np.unpackbits(np.frombuffer(bits, np.uint8), count=counts[k]).astype(bool)
+                        masks[k] = masks[k] | before if k in masks else before
+                        items[k] = set(items.get(k, ())) | set(ids)
+            ids = [sorted(items.get(k, ())) for k in range(len(texts))]
+            if not last:
+                return [pa.array([np.packbits(masks[k]).tobytes() if k in masks else None for k in range(len(texts))], pa.binary()), pa.array(ids, pa.list_(pa.string()))]
+            hit = [int(masks[k].sum()) if k in masks else 0 for k in range(len(texts))]
+            where = [spans(texts[k], masks[k]) if k in masks else [] for k in range(len(texts))]
+            sha = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids]
+            return [pa.array(counts, pa.int64()), pa.array(where, pa.list_(pa.list_(pa.int32()))), pa.array(hit, pa.int64()), pa.array(ids, pa.list_(pa.string())), pa.array(sha, pa.string()), pa.array([h > 0 for h in hit], pa.bool_())]
+
+        fields = _FIELDS if last else [T.StructField(_MASK, T.BinaryType()), T.StructField(_ITEMS, T.ArrayType(T.StringType()))]
+        return append_columns(df, run, fields)
+
+    return _passes(docs, benchmark, item, item_text, window, block_bytes, one).drop(_MASK, _ITEMS)
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with the hit spans cut out of the text, so that no window occurs in it any more; other rows are unchanged."""
-    shared = [docs.sparkSession.sparkContext.broadcast(phrases(b, window)) for b in blocks(benchmark, item, item_text, block_bytes)]
-
-    def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        texts = column(batch, text)
-        todo = {k: flat(t) for k, t in enumerate(texts)}
-        while todo:
-            changed: set[int] = set()
-            for s in shared:
-                at = list(todo)
-                _, masks, _ = find(s.value, [todo[k] for k in at])
-                for i, t in cut(s.value, [texts[k] for k in at], masks).items():
-                    texts[at[i]] = t
-                    todo[at[i]] = flat(t)
-                    changed.add(at[i])
-            # With one block a cut text is clean of it; with more, another block's windows may have come together.
-            todo = {k: todo[k] for k in changed} if len(shared) > 1 else {}
-        return [pa.array(texts, pa.string())]
-
-    return append_columns(docs, run, [T.StructField(text, T.StringType())]).select(docs.columns)
+    """docs with the hit spans cut out of the text, so that no window occurs in it any more; other rows are unchanged.
+
+    With more than one block, what one block's cuts bring together may be another's window: rounds go on until one cuts nothing.
+    """
+    changed = "_cut"
+    several = False
+
+    def one(df: DataFrame, shared: Broadcast, last: bool) -> DataFrame:
+        nonlocal several
+        several |= not last
+
+        def run(batch: pa.RecordBatch) -> list[pa.Array]:
+            texts = column(batch, text)
+            _, masks, _ = find(shared.value, [flat(t) for t in texts])
+            done = cut(shared.value, texts, masks)
+            before = column(batch, changed) if changed in batch.schema.names else [False] * len(texts)
+            return [pa.array([done.get(k, t) for k, t in enumerate(texts)], pa.string()), pa.array([x or k in done for k, x in enumerate(before)], pa.bool_())]
+
+        return append_columns(df, run, [T.StructField(text, T.StringType()), T.StructField(changed, T.BooleanType())])
+
+    out = _passes(docs, benchmark, item, item_text, window, block_bytes, one)
+    while several:
+        out = written(out, "round")
+        if not out.where(changed).limit(1).count():
+            break
+        out = _passes(out.drop(changed), benchmark, item, item_text, window, block_bytes, one)
+    return out.select(docs.columns)
