@@ -447,3 +447,22 @@ SQL |= {
       CAST(coalesce(d.back, 0) AS BIGINT) AS ifvg_bull_retest, CAST(coalesce(u.back, 0) AS BIGINT) AS ifvg_bear_retest, CAST(coalesce(d.best[1], 0) AS BIGINT) AS ifvg_state_bull, CAST(coalesce(u.best[1], 0) AS BIGINT) AS ifvg_state_bear, CAST(coalesce(d.best[2], -1) AS BIGINT) AS ifvg_origin_idx_bull, CAST(coalesce(u.best[2], -1) AS BIGINT) AS ifvg_origin_idx_bear
       FROM s LEFT JOIN zs u ON u.instrument = s.instrument AND u.i = s.i AND u.side = 'u' LEFT JOIN zs d ON d.instrument = s.instrument AND d.i = s.i AND d.side = 'd'"""),
 }
+
+# With room for all gaps and blocks none is pushed out, so what becomes of each is a join of zones and bars.
+FILLS = """
+, fa AS (SELECT z.instrument, side, head, confirm, s.i, least(greatest(CASE WHEN side = 'u' THEN hi - low ELSE high - lo END, 0) / (hi - lo), 1) AS p FROM zn z JOIN s ON s.instrument = z.instrument AND s.i > confirm),
+fb AS (SELECT *, max(p) OVER (PARTITION BY instrument, side, head ORDER BY i) AS pm, coalesce(max(p) OVER (PARTITION BY instrument, side, head ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < 1 AS alive FROM fa),
+fc AS (SELECT instrument, side, i, max((p > 0)::INT) AS touched, max((p > 0 AND p < 1)::INT) AS part, max((p >= 1)::INT) AS whole, max(pm) FILTER (p < 1) AS best, arg_max((i - confirm)::DOUBLE, (pm, -head)) FILTER (p < 1) AS age FROM fb WHERE alive GROUP BY ALL)
+"""
+RETESTS = """
+, oz AS (SELECT instrument, i AS k, 'u' AS side, open AS hi, low AS lo FROM oe WHERE u = 1 UNION ALL SELECT instrument, i, 'd', high, open FROM oe WHERE d = 1),
+ol AS (SELECT *, (SELECT min(i) FROM s WHERE s.instrument = oz.instrument AND i > k AND CASE WHEN side = 'u' THEN low <= hi ELSE high >= lo END) AS rt, (SELECT min(i) FROM s WHERE s.instrument = oz.instrument AND i > k AND CASE WHEN side = 'u' THEN low < lo ELSE high > hi END) AS dead FROM oz)
+"""
+
+SQL |= {
+    "fvg_fill_all": frame(RECURSIVE, PIVOTS + GAPS + ZONES + FILLS, recursive=True, select=f"""SELECT s.instrument, t, (u.best IS NOT NULL)::BIGINT AS fvg_active_bull, (d.best IS NOT NULL)::BIGINT AS fvg_active_bear, round(CASE WHEN u.best >= coalesce(d.best, -1) THEN u.best ELSE d.best END, 6) AS fvg_fill_pct,
+      CASE WHEN u.best >= coalesce(d.best, -1) THEN u.age ELSE d.age END AS fvg_age, {', '.join(f"round({x}.best, 6) AS fvg_fill_pct_{n}, {x}.age AS fvg_age_{n}, coalesce({x}.touched, 0)::BIGINT AS fvg_touched_{n}, coalesce({x}.part, 0)::BIGINT AS fvg_partial_{n}, coalesce({x}.whole, 0)::BIGINT AS fvg_full_{n}, 0::BIGINT AS fvg_invalid_{n}" for x, n in (('u', 'bull'), ('d', 'bear')))}
+      FROM s LEFT JOIN fc u ON u.instrument = s.instrument AND u.i = s.i AND u.side = 'u' LEFT JOIN fc d ON d.instrument = s.instrument AND d.i = s.i AND d.side = 'd'"""),
+    "ob_mitigation_all": frame(RECURSIVE, PIVOTS + BLOCKS + RETESTS, recursive=True, select="""SELECT s.instrument, t, coalesce(max((side = 'u' AND s.i >= k AND s.i < coalesce(dead, 1000000000))::INT), 0)::BIGINT AS ob_unmitigated_bull, coalesce(max((side = 'd' AND s.i >= k AND s.i < coalesce(dead, 1000000000))::INT), 0)::BIGINT AS ob_unmitigated_bear,
+      coalesce(max((s.i = rt)::INT), 0)::BIGINT AS ob_first_retest FROM s LEFT JOIN ol ON ol.instrument = s.instrument GROUP BY s.instrument, t"""),
+}

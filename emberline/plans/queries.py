@@ -269,6 +269,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "trend_state": _with_atr(_trend, _swings), "bos": _with_atr(op.add_bos, _swings), "choch": _with_atr(op.add_choch, _swings, _trend, op.add_bos), "rsi_divergence": _with_atr(op.add_rsi_divergence, _swings),
     "liquidity_sweep": _with_atr(op.add_liquidity_sweep, _swings), "liquidity_sweep_confirmed": _with_atr(lambda d: op.add_liquidity_sweep(d, require_next_bar_confirmation=True, confirmation_mode="mid", use_provided_swings=False)),
     "fvg_candidates": _with_atr(lambda d: op.add_fvg(d, merge_overlaps=False)), "fvg": _with_atr(op.add_fvg), "fvg_fill": _with_atr(op.add_fvg_fill, op.add_fvg), "ifvg": _with_atr(op.add_ifvg, op.add_fvg),
+    "fvg_fill_all": _with_atr(lambda d: op.add_fvg_fill(d, track_last_n_bull=10**6, track_last_n_bear=10**6), op.add_fvg), "ob_mitigation_all": _with_atr(lambda d: op.add_ob_mitigation(d, keep_last_n=10**6), op.add_ob),
     "order_blocks": _with_atr(op.add_ob), "ob_mitigation": _with_atr(op.add_ob_mitigation, op.add_ob), "equal_hl": _with_atr(op.add_equal_hl, _swings),
     "amd_features": _with_atr(op.add_amd_features, op.add_displacement_candle), "amd_state": _with_atr(op.add_amd_state, op.add_displacement_candle, _loose), "amd_labels": _with_atr(op.add_amd_labels, op.add_displacement_candle, _loose, op.add_amd_state),
     "amd_engine": _with_atr(lambda d: op.add_amd_engine(d, add_labels=True, **LOOSE)),
