@@ -116,3 +116,35 @@ def test_zone_operators_without_inputs_and_in_batches(spark):
     assert sorted(map(str, whole.collect())) == sorted(map(str, parts))
     bare = op.add_fvg_fill(df)
     assert bare.agg(F.sum("fvg_active_bull")).first()[0] == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_clusters_against_a_plain_list(spark, seed):
+    """Equal highs with every touch kept in a list of prices and bars, and all described from it anew."""
+    df = op.add_swings(op.ensure_atr(candles(spark, walk(random.Random(seed), 250))), 2)
+    rows = column(op.add_equal_hl(df, 0.5), "swing_high_price", "atr_14", "equal_highs", "equal_highs_count", "equal_highs_level", "equal_highs_width", "equal_highs_span", "equal_highs_cluster_id")
+    clusters, ids = {}, 0
+    shown = None
+    for i, (price, atr, *got) in enumerate(rows):
+        want = None
+        if price is not None:
+            clusters = {k: v for k, v in clusters.items() if i - v[-1][1] <= 50}
+            level = {k: sorted(p for p, _ in v) for k, v in clusters.items()}
+            level = {k: (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2 for k, v in level.items()}
+            near = [(abs(price - x), n, k) for n, (k, x) in enumerate(level.items()) if abs(price - x) <= 0.5 * atr]
+            if near:
+                key = min(near)[2]
+                clusters[key].append((price, i))
+            else:
+                key, ids = ids, ids + 1
+                clusters[key] = [(price, i)]
+            touches = clusters[key]
+            if len(touches) > 1:
+                p = sorted(x for x, _ in touches)
+                shown = (len(p), (p[(len(p) - 1) // 2] + p[len(p) // 2]) / 2, p[-1] - p[0], float(i - touches[0][1]))
+                want = [1, *shown, key]
+            if len(clusters) > 20:
+                clusters = dict(sorted(sorted(clusters.items(), key=lambda c: c[1][-1][1])[-20:]))
+        if want is None:
+            want = [0, *shown, -1] if shown else [0, 0, None, None, None, -1]
+        assert got == want, i
