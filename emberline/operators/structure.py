@@ -162,13 +162,21 @@ def add_trend_state(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
         last = F.last(price, True).over(before)
         step |= {f"_up_{side}": flag(price > last), f"_down_{side}": flag(price < last)}
     df = df.withColumns(step)
-    # Within a bar the high comes before the low, so a bump sees that bar's count and reset.
-    for name, count, reset, bump in (("hh_count", "_up_high", "_down_high", "_up_low"), ("ll_count", "_down_high", "_up_high", "_down_low")):
-        df = df.withColumn("_island", F.sum(reset).over(w))
-        within = ordered([*keys, "_island"]).rowsBetween(FIRST, 0)
-        df = df.withColumn("_n", F.sum(count).over(within)).withColumn(name, (F.col("_n") + F.max(flag((F.col(bump) == 1) & (F.col("_n") == 0))).over(within)).cast("int"))
+    # Within a bar the high comes before the low, so a bump sees that bar's count and reset. Running counts less what they were at the
+    # last reset need no partition by island, and so no other order of the rows.
+    parts = (("hh_count", "_up_high", "_down_high", "_up_low"), ("ll_count", "_down_high", "_up_high", "_down_low"))
+    df = df.withColumns({f"_sum_{name}": F.sum(count).over(w) for name, count, _, _ in parts})
+    since = {}
+    for name, _, reset, _ in parts:
+        at = F.last(F.when(F.col(reset) == 1, F.struct(F.col(f"_sum_{name}").alias("n"), F.col("bar_idx").alias("i"))), True).over(w)
+        since |= {f"_n_{name}": F.col(f"_sum_{name}") - F.coalesce(at["n"], F.lit(0)), f"_from_{name}": F.coalesce(at["i"], F.lit(-1))}
+    df = df.withColumns(since)
+    early = {f"_bump_{name}": F.max(F.when((F.col(bump) == 1) & (F.col(f"_n_{name}") == 0), F.col("bar_idx"))).over(w) for name, _, _, bump in parts}
+    df = df.withColumns(early)
+    df = df.withColumns({name: (F.col(f"_n_{name}") + flag(F.col(f"_bump_{name}") >= F.col(f"_from_{name}"))).cast("int") for name, _, _, _ in parts})
+    step |= dict.fromkeys([f"_{x}_{name}" for x in ("sum", "n", "from", "bump") for name, _, _, _ in parts])
     state = F.when(F.col("hh_count") >= 2, 1).when(F.col("ll_count") >= 2, -1)
-    return df.withColumn("trend_state", F.coalesce(F.last(state, True).over(w), F.lit(0))).drop(*step, "_island", "_n")
+    return df.withColumn("trend_state", F.coalesce(F.last(state, True).over(w), F.lit(0))).drop(*step)
 
 
 def add_bos(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
