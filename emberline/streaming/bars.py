@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -13,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.series import KEYS
+from ..functions.shared import shared_path
 from ..operators.amd import AMD_INPUTS, AMD_OUTPUTS, automaton
 
 
@@ -56,8 +55,7 @@ def stream_phases(features: DataFrame, keys: Sequence[str] = KEYS, **options: ob
 
 def replay(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
     """Runs a stream over what is there now, with a Parquet sink in the shared folder, and returns the table it wrote."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="emberline-")
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     query = stream.writeStream.format("parquet").option("path", f"{path}/data").option("checkpointLocation", f"{path}/progress").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/data")
