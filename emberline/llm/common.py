@@ -1,18 +1,18 @@
-"""Helpers that the operators of this folder share: the shared folder, Arrow batches, chunks of text, gapless ranks."""
+"""Helpers that the operators of this folder share: written tables, Arrow batches, chunks of text, gapless ranks."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions.shared import shared_path
+
 CHUNK = 1 << 20
 """Characters that a numpy step takes at a time; a longer text makes a chunk of its own."""
 
@@ -21,21 +21,6 @@ SLICE = 4 << 20
 """Bytes of an Arrow batch that a worker takes at a time."""
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or in a local session without it a new one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="emberline-"))
-    return spark.sparkContext.getCheckpointDir()
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """df as a table in the shared folder: it cuts the lineage, and a lost executor costs no recomputation of it.
 
