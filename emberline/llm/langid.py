@@ -88,8 +88,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
         yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(sums[i, j], pa.int64())], names=["l", "b", "n"])
 
     counts = np.zeros((buckets, len(languages)))
-    sums = sample.mapInArrow(count, "l int, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).toPandas()
-    counts[sums["b"].to_numpy(np.int64), sums["l"].to_numpy(np.int64)] = sums["n"].to_numpy(float)
+    sums = sample.mapInArrow(count, "l int, b int, n long").groupBy("l", "b").agg(F.sum("n").alias("n")).toArrow()
+    counts[sums["b"].to_numpy(), sums["l"].to_numpy()] = sums["n"].to_numpy()
     counts += alpha
     log_prob = np.log(counts / counts.sum(axis=0)).astype(np.float32)
     totals = np.array([n for _, n in found], float)
