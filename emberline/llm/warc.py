@@ -33,6 +33,7 @@ RECORDS_PER_FILE = 2000
 LINES_PER_BLOCK = 3000
 MAX_DIRECTORY = 500_000
 BROADCAST_ROWS = 200_000
+MAX_PATHS = 1000
 CAPTURED = "2024-01-01T00:00:00Z"
 _BASE32 = ("0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
@@ -180,7 +181,8 @@ def index(spark: SparkSession, archive: str) -> DataFrame:
             yield block(waiting)
 
     parts = max(1, min(n // per_block, MAX_DIRECTORY // 2))
-    ordered = entries.repartitionByRange(parts, "key", "page", "line").sortWithinPartitions("key", "page", "line").select("key", "line")
+    # Spark samples what it partitions by, so that is kept short; the line's hash parts repeated captures of one page.
+    ordered = entries.withColumn("hash", F.xxhash64("line")).repartitionByRange(parts, "key", "page", "hash").sortWithinPartitions("key", "page", "hash").select("key", "line")
     blocks = ordered.mapInArrow(fold, "first string, last string, n long, lines binary").withColumn("block", F.monotonically_increasing_id())
     return written(blocks, "index")
 
@@ -222,9 +224,13 @@ def read(captures: DataFrame, archive: str) -> DataFrame:
     """The records of captures (file, offset, length) by byte range: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload.
 
     Each payload is checked against its digest. payload is null of a revisit; its record's payload_bytes are those of the payload it refers to.
-    An archive has at most RECORDS_PER_FILE records, and only archives with captures reach the tasks.
+    An archive has at most RECORDS_PER_FILE records. captures should be a written table.
     """
-    files = _files(captures.sparkSession, archive).withColumnRenamed("path", "file")
+    wanted = captures.select("file").distinct()
+    n = max(1, wanted.count())
+    # A look-up of a few pages opens their archives only; beyond MAX_PATHS the folder is listed.
+    paths = [r["file"] for r in wanted.collect()] if n <= MAX_PATHS else []
+    files = _files(captures.sparkSession, paths or archive).withColumnRenamed("path", "file")
 
     def fetch(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -241,7 +247,8 @@ def read(captures: DataFrame, archive: str) -> DataFrame:
         return pd.DataFrame(out, columns=names).astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64"})
 
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
-    return captures.groupBy("file").cogroup(files.groupBy("file")).applyInPandas(fetch, schema)
+    # As many partitions as archives: a task gets a few of them, whatever the session's number of shuffle partitions is.
+    return captures.repartition(n, "file").groupBy("file").cogroup(files.repartition(n, "file").groupBy("file")).applyInPandas(fetch, schema)
 
 
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", with_payload: bool = False) -> DataFrame:
