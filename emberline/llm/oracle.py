@@ -66,4 +66,21 @@ sums AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_repeat_words <= 0.30 * n_words AND NOT is_long AS kept FROM sums
 """
 
-SQL: dict[str, str] = {"op1_preference_formatting": _PREFERENCE, "op3_warc_index": _WARC, "op4_decontamination": _DECONTAMINATION, "op6_near_duplicates": _NEAR_DUPLICATES, "op10_repetition": _REPETITION}
+# The jumps of a key are the same for any number of shards: its shard is the last place below it. CRC-32 goes byte by byte through its table.
+_SHARDS = """
+WITH RECURSIVE docs AS (SELECT doc_id, coalesce(text, '') AS text, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 15) AS BIGINT) AS hash FROM documents),
+jumps AS (
+  SELECT DISTINCT hash, CAST(hash AS HUGEINT) AS state, CAST(0 AS BIGINT) AS place FROM docs
+  UNION ALL
+  SELECT hash, state, CAST(floor((place + 1) * (CAST(2147483648 AS DOUBLE) / (CAST(state // 8589934592 AS DOUBLE) + 1))) AS BIGINT) FROM (SELECT hash, (state * 2862933555777941757 + 1) % 18446744073709551616 AS state, place FROM jumps WHERE place < 17)
+), shards AS (SELECT hash, max(place) FILTER (place < 16) AS shard, max(place) FILTER (place < 17) AS grown FROM jumps GROUP BY hash),
+steps AS (SELECT n, n AS c, 0 AS k FROM range(256) AS bytes(n) UNION ALL SELECT n, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM steps WHERE k < 8),
+crcs AS (SELECT list(c ORDER BY n) AS remainders FROM steps WHERE k = 8),
+sums AS (
+  SELECT doc_id, hash, octet_length(encode(text)) + 1 AS size,
+    xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST('0x' || h AS BIGINT))), lambda a, x: xor(a // 256, remainders[xor(a, x) % 256 + 1])), 4294967295) AS text_crc32 FROM docs, crcs
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY hash, doc_id, size, text_crc32) - 1 AS slot, CAST(grown AS INTEGER) AS grown_shard FROM sums JOIN shards USING (hash)
+"""
+
+SQL: dict[str, str] = {"op1_preference_formatting": _PREFERENCE, "op3_warc_index": _WARC, "op4_decontamination": _DECONTAMINATION, "op6_near_duplicates": _NEAR_DUPLICATES, "op7_jump_shards": _SHARDS, "op10_repetition": _REPETITION}
