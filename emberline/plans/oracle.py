@@ -466,3 +466,34 @@ SQL |= {
     "ob_mitigation_all": frame(RECURSIVE, PIVOTS + BLOCKS + RETESTS, recursive=True, select="""SELECT s.instrument, t, coalesce(max((side = 'u' AND s.i >= k AND s.i < coalesce(dead, 1000000000))::INT), 0)::BIGINT AS ob_unmitigated_bull, coalesce(max((side = 'd' AND s.i >= k AND s.i < coalesce(dead, 1000000000))::INT), 0)::BIGINT AS ob_unmitigated_bear,
       coalesce(max((s.i = rt)::INT), 0)::BIGINT AS ob_first_retest FROM s LEFT JOIN ol ON ol.instrument = s.instrument GROUP BY s.instrument, t"""),
 }
+
+# Bars that reach the extreme of the five before them, every second one of neighbours.
+CAUSAL = """
+c0 AS (SELECT *, high >= max(high) OVER p AS h0, low <= min(low) OVER p AS l0 FROM b WINDOW p AS (PARTITION BY instrument ORDER BY i ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)),
+c1 AS (SELECT instrument, i, FALSE AS h1, FALSE AS l1 FROM c0 WHERE i = 0 UNION ALL SELECT c0.instrument, c0.i, coalesce(h0, FALSE) AND NOT c1.h1, coalesce(l0, FALSE) AND NOT c1.l1 FROM c1 JOIN c0 ON c0.instrument = c1.instrument AND c0.i = c1.i + 1),
+sl AS (SELECT c0.*, CAST(h1 AS INT) AS sh, CAST(l1 AS INT) AS sl FROM c0 JOIN c1 USING (instrument, i))
+"""
+
+DIVERGENCE = f"""
+, dv AS (SELECT *, CASE WHEN sh = 1 AND high > last_value(CASE WHEN sh = 1 THEN high END IGNORE NULLS) {P1} THEN 1 ELSE 0 END AS nh, CASE WHEN sl = 1 AND low < last_value(CASE WHEN sl = 1 THEN low END IGNORE NULLS) {P1} THEN 1 ELSE 0 END AS nl FROM sl),
+dw AS (SELECT *, last_value(CASE WHEN sh = 1 THEN nh END IGNORE NULLS) {RUN} AS oh, last_value(CASE WHEN sl = 1 THEN nl END IGNORE NULLS) {RUN} AS ol FROM dv)
+"""
+
+# Pullbacks are counted from one break to the next; a broken level is open for twenty bars, or to the next break.
+PULLBACKS = BREAKS.format(of="sl") + f"""
+, ka AS (SELECT *, sum(greatest(bb, bx)) {RUN} AS id, last_value(CASE WHEN bb = 1 THEN 1 WHEN bx = 1 THEN -1 END IGNORE NULLS) {RUN} AS dr, CASE WHEN bb = 1 THEN i - lhi WHEN bx = 1 THEN i - lli END AS ag FROM bs),
+kb AS (SELECT *, CASE WHEN id > 0 AND greatest(bb, bx) = 0 AND CASE WHEN dr = 1 THEN close < open ELSE close > open END THEN 1 ELSE 0 END AS back FROM ka),
+kc AS (SELECT *, sum(back) OVER w AS n, max(ag) OVER w AS broken FROM kb WINDOW w AS (PARTITION BY instrument, id ORDER BY i ROWS UNBOUNDED PRECEDING)),
+ke AS (SELECT instrument, i AS i0, CASE WHEN bb = 1 THEN 1 ELSE -1 END AS side, CASE WHEN bb = 1 THEN lh ELSE ll END AS lv, least(i + 20, coalesce(lead(i) OVER (PARTITION BY instrument ORDER BY i), i + 20)) AS i1 FROM bs WHERE bb = 1 OR bx = 1),
+kh AS (SELECT ke.instrument, i0, side, min(i) AS i FROM ke JOIN bs ON bs.instrument = ke.instrument AND i > i0 AND i <= i1 AND CASE WHEN side = 1 THEN low < lv AND close > lv ELSE high > lv AND close < lv END GROUP BY ALL)
+"""
+
+SQL |= {
+    "higher_timeframe": frame(CAUSAL + TREND, "lo AS (SELECT instrument, CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600 AS t, arg_max(price, (ts, event_id)) AS close FROM walk GROUP BY ALL)", seconds=14400, recursive=True,
+                              select="SELECT lo.instrument, lo.t, lo.close, tt.close AS htf_close, CAST(tt.st AS BIGINT) AS htf_trend_state FROM lo ASOF LEFT JOIN tt ON tt.instrument = lo.instrument AND lo.t >= tt.t + 14400"),
+    "smt_divergence": frame(RECURSIVE, SWINGS + DIVERGENCE, recursive=True, select=f"SELECT a.instrument, a.t, {flag('a.nh = 1 AND o.ol = 0', 'smt_bearish')}, {flag('a.nl = 1 AND o.oh = 0', 'smt_bullish')} FROM dw a LEFT JOIN (SELECT t, oh, ol FROM dw WHERE instrument = 'purchase') o ON o.t = a.t WHERE a.instrument = 'click'"),
+    "setup_gated": swinging("close, CAST(rg AS BIGINT) AS regime, CAST(CASE WHEN hr < 13 THEN 1 WHEN hr < 17 THEN 3 ELSE 2 END AS BIGINT) AS session", TREND + REGIME + f", rd AS (SELECT *, {HOUR} AS hr FROM rc WHERE rg IN (1, 2) AND {HOUR} BETWEEN 8 AND 21)", "rd"),
+    "setup_pullbacks": frame(RECURSIVE, SWINGS + PULLBACKS, recursive=True, select=f"SELECT kc.instrument, kc.t, {flag('back = 1 AND n = 1 AND broken >= 5', 'is_first_pullback_after_bos')}, CAST(coalesce(kh.side, 0) AS BIGINT) AS bos_level_swept FROM kc LEFT JOIN kh ON kh.instrument = kc.instrument AND kh.i = kc.i"),
+    "candles_loaded": frame(select=f"SELECT instrument, t, {PRICES}, volume FROM candles WHERE t >= 1704412800"),
+    "stream_phases": SQL["amd_state"],
+}

@@ -13,6 +13,8 @@ from pyspark.sql.window import Window
 
 from .. import operators as op
 from ..functions.series import KEYS, mean, with_bar_index
+from ..functions.shared import shared_path
+from ..operators.amd import AMD_OUTPUTS
 from ..operators.foundation import bollinger
 from ..sources import candles
 from ..streaming import bars as streaming
@@ -95,6 +97,14 @@ def normalised_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(candles.normalise(twice, arrival="arrived").drop("arrived"), [*candles.PRICES, "volume"])
 
 
+def candles_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars written as a candle table, loaded a second time to no effect, and read from a day on."""
+    path = shared_path(spark, "candles")
+    candles.write_candles(bars(spark, sf_dir), path)
+    candles.append_candles(bars(spark, sf_dir), path)
+    return shown(candles.load_candles(spark, path, since="2024-01-05 00:00:00"), [*candles.PRICES, "volume"])
+
+
 def volume_profile_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = op.compute_volume_profile(bars(spark, sf_dir))
     return out.select("instrument", *(F.round(c, 6).alias(c) for c in ("poc", "vah", "val")), F.round(F.aggregate("profile", F.lit(0.0), lambda a, x: a + x), 6).alias("volume"), F.size("bin_edges").cast("long").alias("n_edges"))
@@ -253,12 +263,21 @@ def _loose(df: DataFrame) -> DataFrame:
     return op.add_amd_features(df, **LOOSE)
 
 
+def stream_of_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phase automaton over a stream of bars with features."""
+    features = _loose(op.add_displacement_candle(op.ensure_atr(with_bar_index(bars(spark, sf_dir)))))
+    path = shared_path(spark, "features")
+    features.write.parquet(path)
+    made = streaming.stream_phases(spark.readStream.schema(features.schema).parquet(path))
+    return shown(streaming.replay(spark, made, "phases"), [n for n, _ in AMD_OUTPUTS])
+
+
 _swings = op.add_swings
 _causal = op.add_swings_causal
 _trend = op.add_trend_state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "bars_hourly": series_bars, "bars_dense": dense_bars, "bars_daily": daily_bars, "bars_normalised": normalised_bars,
+    "bars_hourly": series_bars, "bars_dense": dense_bars, "bars_daily": daily_bars, "bars_normalised": normalised_bars, "candles_loaded": candles_loaded,
     "moving_averages": moving_averages, "emas": _query(op.add_emas), "atr": _query(op.add_atr), "adx": _query(op.add_adx), "rsi": _query(op.add_rsi), "macd": _query(op.add_macd), "atr_warm": _query(op.ensure_atr),
     "ema_of_high": _query(lambda d: op.compute_ema(d, 10, "high")),
     "bb_width": _query(op.add_bb_width), "body_ratio": _query(op.add_body_ratio), "rolling_atr_ratio": _with_atr(op.add_rolling_atr_ratio), "atr_ratio": atr_ratio,
@@ -278,7 +297,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "session": _query(op.add_session_classifier), "time_features": _query(op.add_time_features), "regime": _with_atr(op.add_regime, op.add_foundation, _swings, _trend),
     "volume_profile": _with_atr(op.add_volume_profile), "volume_profile_last": volume_profile_last, "full_pipeline": full_pipeline,
     "setup_fvg": _setup(setups.add_fvg_context), "setup_blocks": _setup(setups.add_block_context), "setup_sweeps": _setup(setups.add_sweep_context, setups.add_zone_confluence), "setup_pullbacks": _setup(setups.add_pullbacks, setups.add_broken_level_sweep),
-    "setup_phases": _setup(setups.add_phase_context), "setup_confirmed": confirmed_sweeps, "setup_gated": lambda spark, sf_dir: shown(setups.gated(enriched(spark, sf_dir)), ["close", "regime", "session"]), "higher_timeframe": higher_timeframe, "costs": costs, "event_proximity": event_proximity, "smt_divergence": smt, "stream_bars": stream_of_bars, "live_catalog": live_catalog,
+    "setup_phases": _setup(setups.add_phase_context), "setup_confirmed": confirmed_sweeps, "setup_gated": lambda spark, sf_dir: shown(setups.gated(enriched(spark, sf_dir)), ["close", "regime", "session"]), "higher_timeframe": higher_timeframe, "costs": costs, "event_proximity": event_proximity, "smt_divergence": smt, "stream_bars": stream_of_bars, "stream_phases": stream_of_phases, "live_catalog": live_catalog,
     "q_time_slice": time_slice, "q_detector_events": detector_events, "q_last_events": last_events, "q_indicator_ranges": indicator_ranges, "q_flag_rates": flag_rates, "q_regime_distribution": regime_distribution,
     "q_trend_distribution": trend_distribution, "q_warm_up_gaps": warm_up_gaps, "q_latest_rows": latest_rows, "q_series_coverage": series_coverage, "q_latest_snapshot": latest_snapshot,
 }
