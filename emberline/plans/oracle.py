@@ -309,6 +309,10 @@ d2 AS (SELECT *, dir <> 0 AND abs(close - open) / atrx >= 1.5 AND coalesce(CASE
 """
 
 
+FEATURE_COLUMNS = f"""bh AS amd_box_high, bl AS amd_box_low, {r('bm', 'amd_box_mid')}, {r('bw', 'amd_box_width')}, CAST(sc AS BIGINT) AS amd_compression_score, {r('os', 'amd_overlap_score')}, {r('ef', 'amd_efficiency')}, CAST(acc AS BIGINT) AS amd_accumulation_active,
+      {flag('mb OR ms', 'amd_manipulation_candidate')}, CAST(CASE WHEN mb THEN 1 WHEN ms THEN -1 ELSE 0 END AS BIGINT) AS amd_manipulation_direction, {flag('re', 'amd_reentry_strict')}, {flag('rb', 'amd_reentry_buffered')}, {flag(f'du AND lag(du) {LAG} AND NOT re', 'amd_distribution_bull_candidate')}, {flag(f'dd AND lag(dd) {LAG} AND NOT re', 'amd_distribution_bear_candidate')}"""
+
+
 def labelled(label: str) -> str:
     return f"SELECT instrument, {label}, count(*) AS n FROM tt GROUP BY ALL"
 
@@ -333,8 +337,7 @@ SQL |= {
       {flag('u AND c2 > p2', 'fvg_bos_bull')}, {flag('d AND c2 < q2', 'fvg_bos_bear')} FROM gb"""),
     "order_blocks": frame(RECURSIVE, PIVOTS + BLOCKS, recursive=True, select=f"""SELECT instrument, t, {flag('u = 1', 'ob_bull')}, {flag('d = 1', 'ob_bear')}, CASE WHEN u = 1 THEN open END AS ob_bull_high, CASE WHEN u = 1 THEN low END AS ob_bull_low, CASE WHEN d = 1 THEN high END AS ob_bear_high, CASE WHEN d = 1 THEN open END AS ob_bear_low,
       round(CASE WHEN u = 1 THEN (open - low) / fa WHEN d = 1 THEN (high - open) / fa END, 6) AS ob_width_atr FROM oe"""),
-    "amd_features": frame(RECURSIVE + DISPLACED + amd(), recursive=True, select=f"""SELECT instrument, t, bh AS amd_box_high, bl AS amd_box_low, {r('bm', 'amd_box_mid')}, {r('bw', 'amd_box_width')}, CAST(sc AS BIGINT) AS amd_compression_score, {r('os', 'amd_overlap_score')}, {r('ef', 'amd_efficiency')}, CAST(acc AS BIGINT) AS amd_accumulation_active,
-      {flag('mb OR ms', 'amd_manipulation_candidate')}, CAST(CASE WHEN mb THEN 1 WHEN ms THEN -1 ELSE 0 END AS BIGINT) AS amd_manipulation_direction, {flag('re', 'amd_reentry_strict')}, {flag('rb', 'amd_reentry_buffered')}, {flag(f'du AND lag(du) {LAG} AND NOT re', 'amd_distribution_bull_candidate')}, {flag(f'dd AND lag(dd) {LAG} AND NOT re', 'amd_distribution_bear_candidate')} FROM az"""),
+    "amd_features": frame(RECURSIVE + DISPLACED + amd(), recursive=True, select=f"SELECT instrument, t, {FEATURE_COLUMNS} FROM az"),
     "q_trend_distribution": frame(RECURSIVE, SWINGS + TREND, recursive=True, select=labelled("CASE st WHEN 1 THEN 'BULL' WHEN -1 THEN 'BEAR' ELSE 'UNDEFINED' END AS trend")),
     "q_last_events": frame(RECURSIVE, SWINGS, recursive=True, select="SELECT * FROM (SELECT instrument, t, row_number() OVER (PARTITION BY instrument ORDER BY t DESC) AS n, high AS swing_high_price FROM sl WHERE sh = 1) WHERE n <= 5"),
     "avwap_from_last_swing": frame(RECURSIVE, SWINGS + """, aa AS (SELECT *, (high + low + close) / 3 AS tp, coalesce(max(CASE WHEN sh = 1 OR sl = 1 THEN i END) OVER (PARTITION BY instrument), 0) AS a0 FROM sl), av AS (SELECT *, sum(CASE WHEN i >= a0 THEN tp * volume END) OVER w / sum(CASE WHEN i >= a0 THEN volume END) OVER w AS vw, sum(CASE WHEN i >= a0 THEN tp * tp * volume END) OVER w / sum(CASE WHEN i >= a0 THEN volume END) OVER w AS v2 FROM aa
@@ -401,6 +404,8 @@ LOOSE = amd(pct=80, watr=99, wpct=9, ov=0.1, ef=0.6, streak=3)
 PHASE_COLUMNS = """CAST(ph AS BIGINT) AS amd_phase, CAST(dr AS BIGINT) AS amd_direction, CAST(seq AS BIGINT) AS amd_sequence_id, CAST(age AS BIGINT) AS amd_bars_in_phase, fh AS amd_active_box_high, fl AS amd_active_box_low, round(fm, 6) AS amd_active_box_mid,
   CAST(ph = 0 AS BIGINT) AS amd_is_accumulation, CAST(ph = 1 AS BIGINT) AS amd_is_manipulation, CAST(ph = 2 AS BIGINT) AS amd_is_distribution"""
 
+LABEL_COLUMNS = """CAST(CASE WHEN lon AND tg > 0 AND (coalesce(sp, 0) = 0 OR tg < sp) THEN 1 WHEN lon AND sp > 0 AND (coalesce(tg, 0) = 0 OR sp < tg) THEN -1 ELSE 0 END AS BIGINT) AS amd_label_outcome, round(CASE WHEN lon THEN CASE WHEN dr = 1 THEN list_max(hs) - close ELSE close - list_min(ls) END / atrx END, 6) AS amd_label_forward_return_atr"""
+
 # Swings known at once, with ties.
 AT_ONCE = SWINGS.replace("AND (high > hb OR high > ha)", "").replace("AND (low < lb OR low < la)", "").replace("BETWEEN UNBOUNDED PRECEDING AND 3 PRECEDING", "BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")
 
@@ -417,7 +422,7 @@ vi AS (SELECT s.*, poc, vah, val FROM s LEFT JOIN vh ON vh.instrument = s.instru
 
 SQL |= {
     "amd_state": frame(RECURSIVE + DISPLACED + LOOSE + PHASES, recursive=True, select=f"SELECT instrument, t, {PHASE_COLUMNS} FROM sx"),
-    "amd_labels": frame(RECURSIVE + DISPLACED + LOOSE + PHASES, recursive=True, select="SELECT instrument, t, CAST(CASE WHEN lon AND tg > 0 AND (coalesce(sp, 0) = 0 OR tg < sp) THEN 1 WHEN lon AND sp > 0 AND (coalesce(tg, 0) = 0 OR sp < tg) THEN -1 ELSE 0 END AS BIGINT) AS amd_label_outcome, round(CASE WHEN lon THEN CASE WHEN dr = 1 THEN list_max(hs) - close ELSE close - list_min(ls) END / atrx END, 6) AS amd_label_forward_return_atr FROM lc"),
+    "amd_labels": frame(RECURSIVE + DISPLACED + LOOSE + PHASES, recursive=True, select=f"SELECT instrument, t, {LABEL_COLUMNS} FROM lc"),
     "swings_at_once": frame(RECURSIVE, AT_ONCE, recursive=True, select=f"SELECT instrument, t, {swing_columns()} FROM sl"),
     "volume_profile": frame(RECURSIVE + PROFILES, recursive=True, select=f"SELECT instrument, t, {r('poc', 'vp_poc')}, {r('vah', 'vp_vah')}, {r('val', 'vp_val')}, {r('CASE WHEN atrx > 0 THEN abs(close - poc) / atrx END', 'vp_poc_distance_atr')} FROM vi"),
 }
@@ -474,6 +479,23 @@ c1 AS (SELECT instrument, i, FALSE AS h1, FALSE AS l1 FROM c0 WHERE i = 0 UNION
 sl AS (SELECT c0.*, CAST(h1 AS INT) AS sh, CAST(l1 AS INT) AS sl FROM c0 JOIN c1 USING (instrument, i))
 """
 
+# Swings of half an ATR at least, in order each that is more than six bars after the last taken.
+APART = SWINGS.replace("sw AS (", "w0 AS (", 1).replace(
+    "), sl AS (",
+    """), w1 AS (
+  SELECT *, CASE WHEN sh = 1 AND (high - greatest(hb, ha)) / atrx >= 0.5 THEN 1 ELSE 0 END AS good_high, CASE WHEN sl = 1 AND (least(lb, la) - low) / atrx >= 0.5 THEN 1 ELSE 0 END AS good_low FROM w0
+), w2 AS (
+  SELECT instrument, i, 0 AS kh, 0 AS kl, -1000000 AS jh, -1000000 AS jl FROM w1 WHERE i = 0
+  UNION ALL
+  SELECT w1.instrument, w1.i, CASE WHEN good_high = 1 AND w1.i - jh > 6 THEN 1 ELSE 0 END, CASE WHEN good_low = 1 AND w1.i - jl > 6 THEN 1 ELSE 0 END, CASE WHEN good_high = 1 AND w1.i - jh > 6 THEN w1.i ELSE jh END, CASE WHEN good_low = 1 AND w1.i - jl > 6 THEN w1.i ELSE jl END
+  FROM w2 JOIN w1 ON w1.instrument = w2.instrument AND w1.i = w2.i + 1
+), sw AS (SELECT w1.* EXCLUDE (sh, sl), kh AS sh, kl AS sl FROM w1 JOIN w2 ON w2.instrument = w1.instrument AND w2.i = w1.i), sl AS (""",
+    1,
+)
+
+# Without displacement columns no break counts as manipulation.
+PLAIN = ", d2 AS (SELECT *, CAST(sign(close - open) AS BIGINT) AS dir, FALSE AS on_ FROM s)"
+
 DIVERGENCE = f"""
 , dv AS (SELECT *, CASE WHEN sh = 1 AND high > last_value(CASE WHEN sh = 1 THEN high END IGNORE NULLS) {P1} THEN 1 ELSE 0 END AS nh, CASE WHEN sl = 1 AND low < last_value(CASE WHEN sl = 1 THEN low END IGNORE NULLS) {P1} THEN 1 ELSE 0 END AS nl FROM sl),
 dw AS (SELECT *, last_value(CASE WHEN sh = 1 THEN nh END IGNORE NULLS) {RUN} AS oh, last_value(CASE WHEN sl = 1 THEN nl END IGNORE NULLS) {RUN} AS ol FROM dv)
@@ -496,4 +518,6 @@ SQL |= {
     "setup_pullbacks": frame(RECURSIVE, SWINGS + PULLBACKS, recursive=True, select=f"SELECT kc.instrument, kc.t, {flag('back = 1 AND n = 1 AND broken >= 5', 'is_first_pullback_after_bos')}, CAST(coalesce(kh.side, 0) AS BIGINT) AS bos_level_swept FROM kc LEFT JOIN kh ON kh.instrument = kc.instrument AND kh.i = kc.i"),
     "candles_loaded": frame(select=f"SELECT instrument, t, {PRICES}, volume FROM candles WHERE t >= 1704412800"),
     "stream_phases": SQL["amd_state"],
+    "swings_apart": frame(RECURSIVE, APART, recursive=True, select=f"SELECT instrument, t, {swing_columns()} FROM sl"),
+    "amd_engine": frame(RECURSIVE + PLAIN + LOOSE + PHASES, recursive=True, select=f"SELECT instrument, t, {FEATURE_COLUMNS}, {PHASE_COLUMNS}, {LABEL_COLUMNS} FROM lc"),
 }
