@@ -3,12 +3,15 @@
 1. Words are counted over all training texts: tasks aggregate by 64-bit word hash, the shuffle adds up.
 2. Head words - the most frequent, at most HEAD of them, by a count threshold - go to the tasks in one broadcast of bounded size.
 3. Bigrams of the CLUSTERED most frequent words, with all other words as one `rest` symbol and the end symbol, are counted over all
-   training texts. Exchange clustering on that bounded table moves words between classes while the likelihood grows.
-4. Scoring walks each text once. What depends on a word outside the head - its count - comes by a join of the distinct (row, word)
-   pairs with the counts table; each side of it is a plain shuffle, and such words are rare, so none is hot.
-
-P(token | before) = T(class | class before) x E(token | class): T is interpolated with the classes' shares, E of a clustered word is its
-share of its class, of a rest word (count + 0.1) / (class total + 0.1 (types + 1)), which leaves room for unseen words.
+   training texts. Exchange clustering on that bounded table moves words between classes until no move raises the likelihood.
+4. Every other training word, however many there are, goes to its best class by its counts of neighbouring classes, ROUNDS times over: each
+   round counts those over all training texts with the classes found before. Classes of head words are in the broadcast; those of other
+   words, as neighbours too, come by a join of the word-to-class table. The class bigrams of the last classes are the model's.
+5. Scoring walks each text once. What depends on a word outside the head - its count and class - comes by a join of the distinct
+   (row, word) pairs with the table of words; each side of it is a plain shuffle, and such words are rare, so none is hot.
+
+P(token | before) = T(class | class before) x E(token | class): T is interpolated with the classes' shares, E is a word's share of its class.
+The class `rest` is left with unseen words, which get a constant share of each T, about that of an unseen word in the base model.
 """
 
 from __future__ import annotations
@@ -27,10 +30,18 @@ from .words import Words, utf8
 HEAD = 1 << 18
 CLUSTERED = 1500
 CLASSES = 48
+ROUNDS = 2
+"""How often all words outside the CLUSTERED get a class."""
+GATHERED = 4_000_000
+"""Neighbours that a task gathers before it adds them up."""
 SMOOTHING = 0.1
 BACK_OFF = 20.0
 
 
+FIELDS = {"n_tokens": "long", "known": "long", "base": "double", "full": "double", "tail": "array<long>", "which": "array<int>", "before": "array<int>", "after": "array<int>"}
+"""What a walk gives for each row. tail: the row's words outside the head; which: their occurrences; before, after: the classes beside, -1 outside the head."""
+
+
 @dataclass
 class ClassModel:
     tokens: int
@@ -42,13 +53,14 @@ class ClassModel:
     """Hashes of the head words, sorted."""
     count: np.ndarray
     symbol: np.ndarray
-    """Symbol of each head word: 0 to n - 1 if clustered, else n (rest)."""
+    """Symbol of each head word: its own if clustered by exchange, else one that stands for its class."""
     class_of: np.ndarray
-    """Class of each symbol; of rest and end the last two classes."""
+    """Class of each symbol; of rest and end, the last two symbols, the last two classes."""
     transition: np.ndarray
     """log10 T, from class to class."""
     class_total: np.ndarray
     rest_types: int
+    """Training words without a class: none."""
 
 
 def _hashed(texts: list[str | None]) -> Iterator[tuple[int, int, Words]]:
@@ -73,7 +85,7 @@ def _entropy_terms(n: np.ndarray) -> np.ndarray:
     return n * np.log(np.maximum(n, 1e-300))
 
 
-def exchange(pairs: np.ndarray, classes: int, fixed: int, rounds: int = 4) -> np.ndarray:
+def exchange(pairs: np.ndarray, classes: int, fixed: int) -> np.ndarray:
     """Classes of the symbols of a bigram table; the last `fixed` symbols keep classes of their own.
 
     Starts from equal shares by frequency, then moves one word at a time to the class that raises the class bigram likelihood most,
@@ -86,7 +98,10 @@ def exchange(pairs: np.ndarray, classes: int, fixed: int, rounds: int = 4) -> np
     table = np.zeros((size, size))
     np.add.at(table, (of[:, None], of[None, :]), pairs)
     f = _entropy_terms
-    for _ in range(rounds):
+    # Gains are differences of numbers of this size, so smaller ones are rounding and could move a word for ever.
+    least = 1e-9 + 1e-13 * f(pairs.sum())
+    moved = True
+    while moved:
         moved = 0
         for w in range(n):
             out, into, self_ = np.bincount(of, pairs[w], size), np.bincount(of, pairs[:, w], size), pairs[w, w]
@@ -99,7 +114,8 @@ def exchange(pairs: np.ndarray, classes: int, fixed: int, rounds: int = 4) -> np
             table[a, a] += self_
             out[a] -= self_
             into[a] -= self_
-            right, left = table.sum(1), table.sum(0)
+            # Words before and after w meet it in any class, so their own totals stay.
+            right, left = table.sum(1) + into, table.sum(0) + out
             gain = (f(table[:k] + out) - f(table[:k])).sum(1) + (f(table[:, :k] + into[:, None]) - f(table[:, :k])).sum(0)
             d = np.arange(k)
             here = table[d, d]
@@ -107,37 +123,184 @@ def exchange(pairs: np.ndarray, classes: int, fixed: int, rounds: int = 4) -> np
             total_out, total_in = out.sum() + self_, into.sum() + self_
             gain -= f(right[:k] + total_out) - f(right[:k]) + f(left[:k] + total_in) - f(left[:k])
             b = int(gain.argmax())
-            if gain[b] <= gain[a] + 1e-9 if a < k else False:
+            if gain[b] <= gain[a] + least:
                 b = a
             moved += b != a
             of[w] = b
             table[b] += out
             table[:, b] += into
             table[b, b] += self_
-        if not moved:
-            break
     return of
 
 
-def _symbols(words: Words, head: np.ndarray, symbol: np.ndarray, rest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all tokens with each text's end put in: symbol (rest + 1: end), place in head (-1: none), text."""
-    at = np.searchsorted(head, words.hash) if len(head) else np.zeros(len(words.hash), np.int64)
-    if len(head):
-        at = np.where(head[np.minimum(at, len(head) - 1)] == words.hash, at, -1)
-    else:
-        at = at - 1
+def _places(hashes: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """The place of each hash in head, -1 if it is not there."""
+    if not len(head):
+        return np.full(len(hashes), -1, np.int64)
+    at = np.searchsorted(head, hashes)
+    return np.where(head[np.minimum(at, len(head) - 1)] == hashes, at, -1)
+
+
+def _tokens(words: Words, head: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all tokens with each text's end put in: hash, place in head (-1: none), whether it is an end."""
     texts = len(words.first) - 1
-    place = np.full(len(at) + texts, -1, np.int64)
-    is_end = np.zeros(len(place), bool)
+    is_end = np.zeros(len(words.hash) + texts, bool)
     is_end[words.first[1:] + np.arange(texts)] = True
-    place[~is_end] = at
+    h, place = np.zeros(len(is_end), np.uint64), np.full(len(is_end), -1, np.int64)
+    h[~is_end] = words.hash
+    place[~is_end] = _places(words.hash, head)
+    return h, place, is_end
+
+
+def _symbols(place: np.ndarray, is_end: np.ndarray, symbol: np.ndarray, rest: int) -> np.ndarray:
+    """Symbols of tokens; rest of those outside the head, rest + 1 of ends."""
     s = np.where(place >= 0, symbol[np.maximum(place, 0)] if len(symbol) else rest, rest)
     s[is_end] = rest + 1
-    return s, place, np.repeat(np.arange(texts), np.diff(words.first) + 1)
+    return s
+
+
+def _neighbours(training: DataFrame, text: str, head: np.ndarray, class_: np.ndarray, clustered: np.ndarray, size: int) -> DataFrame:
+    """(word, codes, times) of the words not clustered, maybe several rows a word: how often which class is beside it.
+
+    A code is the neighbour's class, plus size if the neighbour is not clustered, plus 2 size if it comes before the word. Neighbours outside
+    the head are left to `_beside`.
+    """
+    shared = training.sparkSession.sparkContext.broadcast((head, class_, clustered))
+
+    def added(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        word, at = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
+        cell, n = np.unique(at * (4 * size) + np.concatenate([c for _, c in held]), return_counts=True)
+        owner, code = np.divmod(cell, 4 * size)
+        edges = np.searchsorted(owner, np.arange(len(word) + 1))
+        for i in range(0, len(word), 1 << 16):
+            e = edges[i : i + (1 << 16) + 1]
+            lists = [pa.ListArray.from_arrays(pa.array((e - e[0]).astype(np.int32)), pa.array(x[e[0] : e[-1]].astype(t))) for x, t in ((code, np.int32), (n, np.int64))]
+            yield pa.RecordBatch.from_arrays([pa.array(word[i : i + (1 << 16)].view(np.int64)), *lists], names=["word", "codes", "times"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words_, classes, own = shared.value
+        held, many = [], 0
+        for batch in slices(batches):
+            for _, _, words in _hashed(column(batch, text)):
+                h, place, is_end = _tokens(words, words_)
+                where = np.maximum(place, 0)
+                known = place >= 0
+                open_ = ~is_end & ~(known & own[where] if len(own) else known)
+                code = np.where(is_end, size - 1, np.where(known, (classes[where] if len(classes) else 0) + size * open_, -1))
+                i = np.flatnonzero(open_)
+                # A text's last token is its end, and a text begins after an end.
+                for side, beside in ((0, code[i + 1]), (1, np.concatenate(([size - 1], code[:-1]))[i])):
+                    held.append((h[i][beside >= 0], (beside + 2 * size * side)[beside >= 0].astype(np.int32)))
+                    many += len(held[-1][0])
+                if many > GATHERED:
+                    yield from added(held)
+                    held, many = [], 0
+        if held:
+            yield from added(held)
+
+    return training.select(text).mapInArrow(run, "word long, codes array<int>, times array<long>")
+
+
+def _counted(neighbours: DataFrame, beside: DataFrame, classes: DataFrame | None, size: int) -> DataFrame:
+    """word, its class so far, and all its neighbours' codes with their counts, as a written table."""
+    if classes is None:
+        beside = beside.withColumn("c", F.lit(size - 2))
+    else:
+        beside = beside.join(classes.select(F.col("word").alias("other"), F.col("class").alias("c")), "other")
+    code = (F.col("c") + size + F.col("side") * 2 * size).cast("int")
+    rows = neighbours.union(beside.select("word", F.array(code).alias("codes"), F.array("n").alias("times")))
+    rows = rows.repartition("word").groupBy("word").agg(F.flatten(F.collect_list("codes")).alias("codes"), F.flatten(F.collect_list("times")).alias("times"))
+    rows = rows.withColumn("class", F.lit(size - 2)) if classes is None else rows.join(classes, "word")
+    return written(rows.select("word", "class", "codes", "times"), "neighbours")
+
+
+def _rows_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Class of each row of `_counted`; row, code and count of each of its entries."""
+    codes, times = batch.column(2), batch.column(3)
+    return batch.column(1).to_numpy(), np.repeat(np.arange(batch.num_rows), codes.value_lengths().to_numpy()), codes.flatten().to_numpy(), times.flatten().to_numpy()
+
+
+def _class_bigrams(counted: DataFrame, clustered: np.ndarray) -> np.ndarray:
+    """Bigrams of classes over all training texts; clustered: those between clustered words and ends."""
+    size = len(clustered)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(size * size, np.int64)
+        for batch in slices(batches):
+            of, row, code, n = _rows_of(batch)
+            mine, side, c = of[row], code // (2 * size), code % size
+            # Two words that are not clustered count each other: the pair is taken from the first one.
+            taken = (side == 0) | (code % (2 * size) < size)
+            np.add.at(table, np.where(side == 0, mine * size + c, c * size + mine)[taken], n[taken])
+        at = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], names=["pair", "n"])
+
+    rows = counted.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out = clustered.copy().reshape(-1)
+    out[rows["pair"].to_numpy()] += rows["n"].to_numpy()
+    return out.reshape(size, size)
+
+
+def best_classes(table: np.ndarray, of: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each word the class that, all others staying where they are, makes the class bigram likelihood largest.
+
+    table: class bigrams, rest and end last; of: the words' classes so far, counted in table; counts: words x (classes after, classes before).
+    """
+    size, k, f = len(table), len(table) - 2, _entropy_terms
+    beside = np.concatenate((table[:k].T, table[:, :k]))
+    whole = np.stack((table.sum(1)[:k], table.sum(0)[:k]))
+    word, code = np.nonzero(counts)
+    n = counts[word, code][:, None]
+    own = of[:, None] == np.arange(k)
+    base = beside[code] - own[word] * n
+    gain = np.zeros((len(of), k))
+    if len(word):
+        first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+        gain[word[first]] = np.add.reduceat(f(base + n) - f(base), first)
+    for side in range(2):
+        total = counts[:, side * size : (side + 1) * size].sum(1)[:, None]
+        base = whole[side] - own * total
+        gain -= f(base + total) - f(base)
+    return gain.argmax(1)
+
+
+def _assigned(counted: DataFrame, table: np.ndarray) -> DataFrame:
+    """(word, class) of all words in counted, as a written table."""
+    size = len(table)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in slices(batches):
+            for i in range(0, whole.num_rows, 1000):
+                batch = whole.slice(i, 1000)
+                of, row, code, n = _rows_of(batch)
+                counts = np.bincount(row * (2 * size) + code // (2 * size) * size + code % size, n, len(of) * 2 * size).reshape(len(of), 2 * size)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best_classes(table, of, counts).astype(np.int32))], names=["word", "class"])
+
+    return written(counted.mapInArrow(run, "word long, class int"), "word_classes")
+
+
+def _of_head(classes: DataFrame, head: np.ndarray, class_: np.ndarray) -> np.ndarray:
+    """class_, of the head words, with what classes says of them."""
+    shared = classes.sparkSession.sparkContext.broadcast(head)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _places(batch.column(0).to_numpy().view(np.uint64), shared.value)
+            yield pa.RecordBatch.from_arrays([pa.array(at[at >= 0]), batch.column(1).filter(pa.array(at >= 0))], names=["at", "class"])
+
+    rows = classes.mapInArrow(run, "at long, class int").toArrow()
+    out = class_.copy()
+    out[rows["at"].to_numpy()] = rows["class"].to_numpy()
+    return out
 
 
 def train(training: DataFrame, counts: DataFrame, text: str, head_size: int = HEAD, clustered: int = CLUSTERED, classes: int = CLASSES) -> ClassModel:
     """The model of training texts, counts being their written word_counts. Without any text all scores are the smoothing's."""
+    return _trained(training, counts, text, head_size, clustered, classes)[0]
+
+
+def _trained(training: DataFrame, counts: DataFrame, text: str, head_size: int, clustered: int, classes: int) -> tuple[ClassModel, DataFrame]:
+    """The model, and (word, class) of all training words that are not clustered."""
     ends = training.count()
     total, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # Counts are few different numbers, so how many words have each is a small table.
@@ -157,6 +320,7 @@ def train(training: DataFrame, counts: DataFrame, text: str, head_size: int = HE
     n = len(chosen)
     symbol = np.full(len(head), n, np.int32)
     symbol[chosen] = np.arange(n)
+    own = symbol < n
     shared = training.sparkSession.sparkContext.broadcast((head, symbol))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,25 +328,53 @@ def train(training: DataFrame, counts: DataFrame, text: str, head_size: int = HE
         table = np.zeros(size * size, np.int64)
         for batch in slices(batches):
             for _, _, words in _hashed(column(batch, text)):
-                s, _, _ = _symbols(words, *shared.value, n)
+                h, place, is_end = _tokens(words, shared.value[0])
+                s = _symbols(place, is_end, shared.value[1], n)
                 # A text begins after an end.
                 table += np.bincount(np.concatenate(([n + 1], s[:-1])) * size + s, minlength=size * size)
+                tail, open_ = ~is_end & (place < 0), s == n
+                for side, word, other in ((0, slice(None, -1), slice(1, None)), (1, slice(1, None), slice(None, -1))):
+                    met = open_[word] & tail[other]
+                    if met.any():
+                        yield _batch(h[word][met].view(np.int64), h[other][met].view(np.int64), np.full(met.sum(), side), np.ones(met.sum(), np.int64))
         at = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], names=["pair", "n"])
+        yield _batch(at, at, np.full(len(at), 2), table[at])
 
-    bigrams = training.select(text).mapInArrow(pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    # Cells of the table (side 2), and words with each neighbour outside the head: after (0) or before (1).
+    met = written(training.select(text).mapInArrow(pairs, "word long, other long, side int, n long"), "met")
+    bigrams = met.where("side = 2").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    beside = met.where("side < 2")
     matrix = np.zeros((n + 2) ** 2)
-    matrix[bigrams["pair"].to_numpy()] = bigrams["n"].to_numpy()
+    matrix[bigrams["word"].to_numpy()] = bigrams["n"].to_numpy()
     matrix = matrix.reshape(n + 2, n + 2)
-    class_of = exchange(matrix, classes, 2)
-    size = int(class_of.max()) + 1
-    table = np.zeros((size, size))
-    np.add.at(table, (class_of[:, None], class_of[None, :]), matrix)
+    symbols = exchange(matrix, classes, 2)
+    k = int(symbols[n])
+    size = k + 2
+    between = np.zeros((size, size))
+    these = np.concatenate((np.arange(n), [n + 1]))
+    np.add.at(between, (symbols[these][:, None], symbols[these][None, :]), matrix[np.ix_(these, these)])
+    class_ = symbols[symbol]
+    found = None
+    for last in [False] * ROUNDS + [True]:
+        counted = _counted(_neighbours(training, text, head, class_, own, size), beside, found, size)
+        table = _class_bigrams(counted, between)
+        if not last:
+            found = _assigned(counted, table)
+            class_ = _of_head(found, head, class_)
+    class_of = np.concatenate((symbols[:n], np.arange(k), symbols[n:]))
+    symbol = np.where(own, symbol, n + class_).astype(np.int32)
+    types = int(types) + (ends > 0)
     share = (table.sum(0) + SMOOTHING) / (table.sum() + SMOOTHING * size)
-    transition = np.log10((table + BACK_OFF * share) / (table.sum(1, keepdims=True) + BACK_OFF))
-    class_total = np.bincount(class_of[:n], count[chosen], size) if n else np.zeros(size)
-    class_total[class_of[n]] = total - count[chosen].sum()
-    return ClassModel(int(total) + ends, int(types) + (ends > 0), ends, head, count, symbol, class_of, transition, class_total, int(types) - n)
+    share[k] = 0
+    share /= share.sum()
+    unseen = SMOOTHING / (table.sum() + SMOOTHING * (types + 2))
+    transition = (1 - unseen) * (table + BACK_OFF * share) / (table.sum(1, keepdims=True) + BACK_OFF)
+    transition[:, k] = unseen
+    return ClassModel(int(total) + ends, types, ends, head, count, symbol, class_of, np.log10(transition), table.sum(0), 0), found
+
+
+def _batch(word: np.ndarray, other: np.ndarray, side: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(word), pa.array(other), pa.array(side.astype(np.int32)), pa.array(n)], names=["word", "other", "side", "n"])
 
 
 def _held_out(key: str) -> Column:
@@ -198,7 +390,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", head_size: i
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(_held_out(key), F.lit(False)).alias("held_out"))
     training = docs.where("not held_out").select("text")
     counts = written(word_counts(training, "text"), "counts")
-    model = train(training, counts, "text", head_size, clustered, classes)
+    model, classes_of = _trained(training, counts, "text", head_size, clustered, classes)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     c = SMOOTHING
 
@@ -206,42 +398,64 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", head_size: i
         m = shared.value
         rest, total = len(m.class_of) - 2, m.tokens + c * (m.types + 1)
         base_head = np.log10((m.count + c) / total) if len(m.count) else np.zeros(1)
-        emit_rest = m.class_total[m.class_of[rest]] + c * (m.rest_types + 1)
-        clustered_ = m.symbol < rest
-        emit = np.where(clustered_, np.log10(np.maximum(m.count, 1) / np.maximum(m.class_total[m.class_of[np.minimum(m.symbol, rest)]], 1)), np.log10((m.count + c) / emit_rest)) if len(m.count) else np.zeros(1)
+        emit = np.log10(m.count / m.class_total[m.class_of[m.symbol]]) if len(m.count) else np.zeros(1)
         for batch in slices(batches):
             texts = column(batch, "text")
-            n, known, base, full, tail, times = [], [], [], [], [], []
+            n, known, base, full, tail, which, before, after = [], [], [], [], [], [], [], []
             for _, _, words in _hashed(texts):
-                s, place, owner = _symbols(words, m.head, m.symbol, rest)
-                edges = np.concatenate(([0], np.cumsum(np.diff(words.first) + 1)))[:-1]
-                g = m.class_of[s]
-                step = m.transition[np.concatenate(([m.class_of[rest + 1]], g[:-1])), g]
-                in_head, is_end = place >= 0, s == rest + 1
+                h, place, is_end = _tokens(words, m.head)
+                lengths = np.diff(words.first) + 1
+                edges = np.concatenate(([0], np.cumsum(lengths)))[:-1]
+                in_head = place >= 0
+                out = ~in_head & ~is_end
+                g = np.where(out, -1, m.class_of[_symbols(place, is_end, m.symbol, rest)])
+                ahead, behind = np.concatenate(([m.class_of[rest + 1]], g[:-1])), np.concatenate((g[1:], [-1]))
+                # Steps to and from a word outside the head, and such a word's emission, are added later on.
+                step = np.where((g < 0) | (ahead < 0), 0.0, m.transition[ahead, g])
                 where = np.maximum(place, 0)
                 unigram = np.where(in_head, base_head[where], np.where(is_end, np.log10((m.ends + c) / total), -np.log10(total)))
-                # Of a word outside the head only the count is missing: log10(count + 0.1) is added for each later on.
-                emission = np.where(in_head, emit[where], np.where(is_end, 0.0, -np.log10(emit_rest)))
-                n += (np.diff(words.first) + 1).tolist()
+                n += lengths.tolist()
                 known += np.add.reduceat((in_head | (is_end & (m.ends > 0))).astype(np.int64), edges).tolist()
                 base += np.add.reduceat(unigram, edges).tolist()
-                full += np.add.reduceat(step + emission, edges).tolist()
-                out = ~in_head & ~is_end
-                hashes, at = words.hash[out[~is_end]], owner[out]
-                for i, j in zip(np.searchsorted(at, np.arange(len(edges))), np.searchsorted(at, np.arange(1, len(edges) + 1)), strict=True):
-                    word, often = np.unique(hashes[i:j], return_counts=True)
-                    tail.append(word.view(np.int64)), times.append(often.astype(np.int32))
-            arrays = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(full, pa.float64()), pa.array(tail, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["key", "held_out", "n_tokens", "known", "base", "full", "tail", "times"])
+                full += np.add.reduceat(step + np.where(in_head, emit[where], 0.0), edges).tolist()
+                at = np.flatnonzero(out)
+                ends = np.searchsorted(at, np.append(edges, len(g)))
+                for i, j in zip(ends, ends[1:], strict=False):
+                    word, number = np.unique(h[at[i:j]], return_inverse=True)
+                    tail.append(word.view(np.int64)), which.append(number.astype(np.int32))
+                    before.append(ahead[at[i:j]].astype(np.int32)), after.append(behind[at[i:j]].astype(np.int32))
+            arrays = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(full, pa.float64()), pa.array(tail, pa.list_(pa.int64())), *(pa.array(x, pa.list_(pa.int32())) for x in (which, before, after))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["key", "held_out", *FIELDS])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        rest = m.class_of[-2]
+        for batch in slices(batches):
+            rows = batch.num_rows
+            get = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            lengths = get["which"].value_lengths().to_numpy()
+            row = np.repeat(np.arange(rows), lengths)
+            which, ahead, behind = (get[x].flatten().to_numpy() for x in ("which", "before", "after"))
+            found = get["found"].flatten()
+            begins = np.concatenate(([0], np.cumsum(get["found"].value_lengths().to_numpy())))[:-1]
+            at = begins[row] + which
+            often, of = found.field("n").to_numpy()[at], found.field("class").to_numpy()[at]
+            # A neighbour outside the head is the row's word before in this list.
+            ahead = np.where(ahead < 0, np.concatenate(([rest], of[:-1])) if len(of) else ahead, ahead)
+            more = m.transition[ahead, of] + np.where(behind < 0, 0.0, m.transition[of, behind])
+            more += np.where(of == rest, 0.0, np.log10(np.maximum(often, 1) / np.where(of == rest, 1.0, m.class_total[of])))
+            add = [np.bincount(row, x, rows) for x in (often > 0, np.log10(often + c), more)]
+            full = get["full"].to_numpy() + add[2]
+            n = get["n_tokens"].to_numpy()
+            arrays = [get["n_tokens"], pa.array(get["known"].to_numpy() + add[0].astype(np.int64)), pa.array(np.full(rows, m.tokens)), pa.array(get["base"].to_numpy() + add[1]), pa.array(full), pa.array(10.0 ** -(full / n))]
+            yield pa.RecordBatch.from_arrays([get["key"], get["held_out"], *arrays], names=[key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
     kind = docs.schema["key"].dataType.simpleString()
-    walked = docs.select("key", "held_out", "text").mapInArrow(walk, f"key {kind}, held_out boolean, n_tokens long, known long, base double, full double, tail array<long>, times array<int>")
+    walked = docs.select("key", "held_out", "text").mapInArrow(walk, f"key {kind}, held_out boolean, " + ", ".join(f"{k} {v}" for k, v in FIELDS.items()))
     walked = written(walked.withColumn("row", F.monotonically_increasing_id()), "walked")
-    tails = walked.select("row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.times").alias("times"))
-    tails = tails.join(counts, "word", "left").groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(F.col("times") * F.log10(F.coalesce(F.col("n"), F.lit(0)) + c)).alias("logs"))
-    out = walked.drop("tail", "times").join(tails, "row", "left")
-    add = F.coalesce("logs", F.lit(0.0))
-    return out.select(
-        F.col("key").alias(key), "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + add).alias("base_score"), (F.col("full") + add).alias("score"), F.pow(F.lit(10.0), -(F.col("full") + add) / F.col("n_tokens")).alias("perplexity"),
-    )
+    table = counts.join(classes_of, "word")
+    tails = walked.select("row", F.posexplode("tail").alias("pos", "word")).join(table, "word", "left")
+    entry = F.struct("pos", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("class", F.lit(int(model.class_of[-2]))).cast("int").alias("class"))
+    tails = tails.groupBy("row").agg(F.sort_array(F.collect_list(entry)).alias("found"))
+    rows = walked.drop("tail").join(tails, "row", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<pos:int,n:bigint,class:int>>")))
+    return rows.mapInArrow(finish, f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")

@@ -89,3 +89,42 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert classlm.score(no_docs).count() == 0
     held = spark.createDataFrame([(i, random.Random(i).choice(["a b", None])) for i in range(300) if zlib.crc32(str(i).encode()) % 10 == 0], "doc_id long, text string")
     assert {r.train_tokens for r in classlm.score(held).collect()} == {0}
+
+
+def test_every_training_word_has_a_class_in_the_head_or_not(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    whole, part = ({r.doc_id: r.score for r in classlm.score(docs, head_size=h, clustered=50, classes=5).collect()} for h in (classlm.HEAD, 300))
+    assert all(math.isclose(whole[k], part[k], rel_tol=1e-9) for k in whole)
+    training = docs.where("not coalesce(pmod(crc32(cast(doc_id as string)), 10) = 0, false)")
+    m = classlm.train(training, classlm.word_counts(training, "text"), "text", clustered=50, classes=5)
+    assert (m.symbol < len(m.class_of) - 2).all()
+    assert np.isclose(m.class_total[:-2].sum(), m.count.sum())
+
+
+def test_words_go_to_the_class_of_the_words_they_stand_beside(spark):
+    """Rare words that follow a's or b's only get the class of the frequent words that do."""
+    rng = random.Random(1)
+    groups = {"a": ["a1", "a2"], "b": ["b1", "b2"]}
+    texts = [" ".join(f"{g} {rng.choice(groups[g])}" for g in rng.choices("ab", k=20)) for _ in range(50)] + ["a rare1 b rare2 a b"] * 2
+    docs = spark.createDataFrame([(i * 100 + 1, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    m = classlm.train(docs, classlm.word_counts(docs, "text"), "text", clustered=6, classes=4)
+    of = {w: m.class_of[m.symbol[np.searchsorted(m.head, classlm.Words([w.encode()]).hash[0])]] for w in "a b a1 a2 b1 b2 rare1 rare2".split()}
+    assert of["rare1"] == of["a1"] and of["rare2"] == of["b1"]
+
+
+def test_exchange_ends_where_no_move_helps():
+    rng = np.random.default_rng(1)
+    pairs = rng.poisson(0.7, (82, 82)).astype(float)
+    got = classlm.exchange(pairs, 8, 2)
+
+    def likelihood(c):
+        t = np.zeros((10, 10))
+        np.add.at(t, (c[:, None], c[None, :]), pairs)
+        f = classlm._entropy_terms
+        return f(t).sum() - f(t.sum(0)).sum() - f(t.sum(1)).sum()
+
+    for w in range(80):
+        for c in range(8):
+            moved = got.copy()
+            moved[w] = c
+            assert likelihood(moved) <= likelihood(got) + 1e-6
