@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import bisect
 import json
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -29,6 +30,8 @@ from .common import append_columns, column, gapless_rank, hash60, slices, writte
 SEQUENCE = 2048
 MAX_RUNS = 2_000_000
 """Bound of the broadcast plan; 40 bytes each."""
+_LONG_SPACE = re.compile(r"(?<!\s)\s{100000}")
+"""White space that tiktoken's pattern may run out of stack on; tried at the start of a run only."""
 
 
 @lru_cache(maxsize=2)
@@ -36,7 +39,8 @@ def encoder(path: str):
     """text -> ids of a byte-level BPE file of the tokenizers library.
 
     The file's own library encodes any text; texts of Latin script take its merges through tiktoken, which gives the same ids
-    several times faster. Letters of other scripts may be classed differently by the two libraries' Unicode tables.
+    several times faster. Letters of other scripts may be classed differently by the two libraries' Unicode tables, and tiktoken
+    fails on very long white space.
     """
     import tiktoken
     from tokenizers import Tokenizer
@@ -51,7 +55,7 @@ def encoder(path: str):
     whole = Tokenizer.from_file(path)
 
     def encode(text: str) -> np.ndarray:
-        if text.isascii() or max(text) < "ɐ":
+        if (text.isascii() or max(text) < "ɐ") and not _LONG_SPACE.search(text):
             ids = fast.encode(text, allowed_special="all", disallowed_special=()) if "<|" in text else fast.encode_ordinary(text)
         else:
             ids = whole.encode(text, add_special_tokens=False).ids

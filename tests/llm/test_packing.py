@@ -75,3 +75,10 @@ def test_least_squares_against_known_solutions():
         assert np.allclose(packing.nonnegative_least_squares(a, a @ x), x, atol=1e-6)
         got = packing.nonnegative_least_squares(a, rng.normal(size=8))
         assert (got >= 0).all()
+
+
+@pytest.mark.parametrize("space", [" " * 2_000_000, "\n" * 1_500_000, " \t\u00a0\u0085" * 400_000])
+def test_very_long_white_space(space):
+    whole = Tokenizer.from_file(queries.tokenizer_path())
+    text = f"before{space}after"
+    assert packing.encoder(queries.tokenizer_path())(text).tolist() == [*whole.encode(text, add_special_tokens=False).ids, 0]
