@@ -4,14 +4,14 @@
 2. Head words - the most frequent, at most HEAD of them, by a count threshold - go to the tasks in one broadcast of bounded size.
 3. Bigrams of the CLUSTERED most frequent words, with all other words as one `rest` symbol and the end symbol, are counted over all
    training texts. Exchange clustering on that bounded table moves words between classes until no move raises the likelihood.
-4. Every other training word, however many there are, goes to its best class by its counts of neighbouring classes, ROUNDS times over: each
-   round counts those over all training texts with the classes found before. Classes of head words are in the broadcast; those of other
-   words, as neighbours too, come by a join of the word-to-class table. The class bigrams of the last classes are the model's.
-5. Scoring walks each text once. What depends on a word outside the head - its count and class - comes by a join of the distinct
-   (row, word) pairs with the table of words; each side of it is a plain shuffle, and such words are rare, so none is hot.
+4. Every other training word, however many there are, goes to the class that its neighbours favour most: one aggregate by word and class
+   beside it, over all training texts, and one assignment by word. The class `rest` is left with unseen words.
+5. Each text is walked once more, to a byte for each token: its class. Classes and counts of words outside the head come by a join of the
+   distinct (row, word) pairs with the table of words; each side of it is a plain shuffle, and such words are rare, so none is hot.
+6. Class bigrams over all training texts and the scores of all texts are then read off those rows of classes.
 
 P(token | before) = T(class | class before) x E(token | class): T is interpolated with the classes' shares, E is a word's share of its class.
-The class `rest` is left with unseen words, which get a constant share of each T, about that of an unseen word in the base model.
+Unseen words get a constant share of each T, about that of an unseen word in the base model.
 """
 
 from __future__ import annotations
@@ -30,16 +30,38 @@ from .words import Words, utf8
 HEAD = 1 << 18
 CLUSTERED = 1500
 CLASSES = 48
-ROUNDS = 2
-"""How often all words outside the CLUSTERED get a class."""
 GATHERED = 4_000_000
-"""Neighbours that a task gathers before it adds them up."""
+"""Words or neighbours that a task gathers before it adds them up."""
 SMOOTHING = 0.1
 BACK_OFF = 20.0
-
-
-FIELDS = {"n_tokens": "long", "known": "long", "base": "double", "full": "double", "tail": "array<long>", "which": "array<int>", "before": "array<int>", "after": "array<int>"}
-"""What a walk gives for each row. tail: the row's words outside the head; which: their occurrences; before, after: the classes beside, -1 outside the head."""
+OUTSIDE = 255
+"""The byte of a word outside the head in a row of classes, until its class is joined."""
+
+
+class Head:
+    """Head words by hash: `places` finds hashes in their sorted row by a table over the first bits."""
+
+    def __init__(self, hashes: np.ndarray) -> None:
+        self.hashes = hashes
+        bits = len(hashes).bit_length() + 1
+        self.shift = np.uint64(64 - bits)
+        first = np.arange(1 << bits, dtype=np.uint64) << self.shift
+        self.start = np.append(np.searchsorted(hashes, first), len(hashes)).astype(np.int32)
+
+    def places(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash in the row, -1 if it is not there."""
+        slot = (h >> self.shift).astype(np.int64)
+        at, end = self.start[slot], self.start[slot + 1]
+        out = np.full(len(h), -1, np.int32)
+        open_ = np.flatnonzero(at < end)
+        while len(open_):
+            here = at[open_]
+            hit = self.hashes[here] == h[open_]
+            out[open_[hit]] = here[hit]
+            open_ = open_[~hit]
+            at[open_] += 1
+            open_ = open_[at[open_] < end[open_]]
+        return out
 
 
 @dataclass
@@ -49,18 +71,13 @@ class ClassModel:
     types: int
     """Distinct training tokens, the end included."""
     ends: int
-    head: np.ndarray
-    """Hashes of the head words, sorted."""
+    head: Head
     count: np.ndarray
-    symbol: np.ndarray
-    """Symbol of each head word: its own if clustered by exchange, else one that stands for its class."""
+    """Training count of each head word."""
     class_of: np.ndarray
-    """Class of each symbol; of rest and end, the last two symbols, the last two classes."""
-    transition: np.ndarray
-    """log10 T, from class to class."""
-    class_total: np.ndarray
-    rest_types: int
-    """Training words without a class: none."""
+    """Class of each head word."""
+    classes: int
+    """Number of word classes; the next two numbers are the classes of unseen words and of the end."""
 
 
 def _hashed(texts: list[str | None]) -> Iterator[tuple[int, int, Words]]:
@@ -72,11 +89,18 @@ def _hashed(texts: list[str | None]) -> Iterator[tuple[int, int, Words]]:
 def word_counts(docs: DataFrame, text: str) -> DataFrame:
     """(word, n): how often each word, by hash, is in docs."""
 
+    def added(held: list[np.ndarray]) -> pa.RecordBatch:
+        word, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.uint64)]
         for batch in slices(batches):
-            every = np.concatenate([w.hash for _, _, w in _hashed(column(batch, text))] or [np.zeros(0, np.uint64)])
-            word, n = np.unique(every, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
+            held += [w.hash for _, _, w in _hashed(column(batch, text))]
+            if sum(map(len, held)) > GATHERED:
+                yield added(held)
+                held = [np.zeros(0, np.uint64)]
+        yield added(held)
 
     return docs.select(text).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -133,44 +157,106 @@ def exchange(pairs: np.ndarray, classes: int, fixed: int) -> np.ndarray:
     return of
 
 
-def _places(hashes: np.ndarray, head: np.ndarray) -> np.ndarray:
-    """The place of each hash in head, -1 if it is not there."""
-    if not len(head):
-        return np.full(len(hashes), -1, np.int64)
-    at = np.searchsorted(head, hashes)
-    return np.where(head[np.minimum(at, len(head) - 1)] == hashes, at, -1)
+def best_classes(table: np.ndarray, word: np.ndarray, code: np.ndarray, n: np.ndarray, words: int) -> np.ndarray:
+    """For each word outside the classes the one that makes the class bigram likelihood largest, all others staying where they are.
+
+    table: class bigrams, rest and end last. Entry i says that word[i] (ascending, below words) has n[i] neighbours of a code: the class
+    after it, or the class before it plus the number of classes.
+    """
+    size, f = len(table), _entropy_terms
+    k = size - 2
+    beside = np.concatenate((table[:k].T, table[:, :k]))
+    whole = (table.sum(1)[:k], table.sum(0)[:k])
+    # Most neighbours are met once, so their gain is looked up.
+    once, as_is = f(beside + 1) - f(beside), f(beside)
+    gains = once[code]
+    more = np.flatnonzero(n > 1)
+    gains[more] = f(beside[code[more]] + n[more, None]) - as_is[code[more]]
+    gain = np.zeros((words, k))
+    if len(word):
+        first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+        gain[word[first]] = np.add.reduceat(gains, first)
+    for side in range(2):
+        mine = (code >= size) == (side == 1)
+        total = np.bincount(word[mine], n[mine], words)
+        several, which = np.unique(total, return_inverse=True)
+        gain -= (f(whole[side] + several[:, None]) - f(whole[side]))[which]
+    return gain.argmax(1)
 
 
-def _tokens(words: Words, head: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _tokens(words: Words, head: Head) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all tokens with each text's end put in: hash, place in head (-1: none), whether it is an end."""
     texts = len(words.first) - 1
     is_end = np.zeros(len(words.hash) + texts, bool)
     is_end[words.first[1:] + np.arange(texts)] = True
-    h, place = np.zeros(len(is_end), np.uint64), np.full(len(is_end), -1, np.int64)
+    h, place = np.zeros(len(is_end), np.uint64), np.full(len(is_end), -1, np.int32)
     h[~is_end] = words.hash
-    place[~is_end] = _places(words.hash, head)
+    place[~is_end] = head.places(words.hash)
     return h, place, is_end
 
 
-def _symbols(place: np.ndarray, is_end: np.ndarray, symbol: np.ndarray, rest: int) -> np.ndarray:
-    """Symbols of tokens; rest of those outside the head, rest + 1 of ends."""
-    s = np.where(place >= 0, symbol[np.maximum(place, 0)] if len(symbol) else rest, rest)
-    s[is_end] = rest + 1
-    return s
+def _codes(place: np.ndarray, is_end: np.ndarray, of: np.ndarray, outside: int, end: int) -> np.ndarray:
+    """What `of` says of head words, outside of other words, end of ends."""
+    out = np.full(len(place), outside, np.int64)
+    inside = place >= 0
+    out[inside] = of[place[inside]]
+    out[is_end] = end
+    return out
 
 
-def _neighbours(training: DataFrame, text: str, head: np.ndarray, class_: np.ndarray, clustered: np.ndarray, size: int) -> DataFrame:
-    """(word, codes, times) of the words not clustered, maybe several rows a word: how often which class is beside it.
+def _vocabulary(counts: DataFrame, most: int) -> tuple[Head, np.ndarray]:
+    """The words above the smallest count threshold that at most so many words reach, and their counts."""
+    # Thresholds are whole numbers up to 16 and then a sixteenth of an octave apart, so this table is small at any corpus size.
+    step = F.floor(F.log2("n") * 16).cast("int").alias("step")
+    steps = counts.groupBy(step).agg(F.min("n").alias("least"), F.count("*").alias("words")).orderBy(F.col("step").desc()).collect()
+    threshold, room = None, most
+    for r in steps:
+        room -= r["words"]
+        if room < 0:
+            break
+        threshold = r["least"]
+    # Arrow tables: rows as Python objects would take a multiple of the driver's memory.
+    top = counts.where(F.lit(False) if threshold is None else F.col("n") >= threshold).toArrow()
+    word, n = top["word"].to_numpy().view(np.uint64), top["n"].to_numpy()
+    by = np.argsort(word)
+    return Head(word[by]), n[by]
 
-    A code is the neighbour's class, plus size if the neighbour is not clustered, plus 2 size if it comes before the word. Neighbours outside
-    the head are left to `_beside`.
-    """
+
+def _bigrams(training: DataFrame, text: str, head: Head, symbol: np.ndarray, size: int) -> np.ndarray:
+    """How often symbols follow each other; the last two of the size symbols are that of all words without an own one, and the end."""
+    shared = training.sparkSession.sparkContext.broadcast((head, symbol))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words_, of = shared.value
+        table = np.zeros(size * size, np.int64)
+        for batch in slices(batches):
+            for _, _, words in _hashed(column(batch, text)):
+                _, place, is_end = _tokens(words, words_)
+                s = _codes(place, is_end, of, size - 2, size - 1)
+                # A text begins after an end.
+                table += np.bincount(np.concatenate(([size - 1], s[:-1])) * size + s, minlength=size * size)
+        at = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], names=["pair", "n"])
+
+    return _square(training.select(text).mapInArrow(run, "pair long, n long"), size)
+
+
+def _square(pairs: DataFrame, size: int) -> np.ndarray:
+    """The sums of (pair, n) rows as a table of size rows and columns."""
+    sums = pairs.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(size * size)
+    out[sums["pair"].to_numpy()] = sums["n"].to_numpy()
+    return out.reshape(size, size)
+
+
+def _neighbours(training: DataFrame, text: str, head: Head, class_: np.ndarray, clustered: np.ndarray, size: int) -> DataFrame:
+    """(word, codes, times) of the words not clustered, maybe several rows a word: how often which class is beside it, as in `best_classes`."""
     shared = training.sparkSession.sparkContext.broadcast((head, class_, clustered))
 
     def added(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         word, at = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
-        cell, n = np.unique(at * (4 * size) + np.concatenate([c for _, c in held]), return_counts=True)
-        owner, code = np.divmod(cell, 4 * size)
+        cell, n = np.unique(np.concatenate([at * (2 * size) + np.concatenate([c[side] for _, c in held]) for side in (0, 1)]), return_counts=True)
+        owner, code = np.divmod(cell, 2 * size)
         edges = np.searchsorted(owner, np.arange(len(word) + 1))
         for i in range(0, len(word), 1 << 16):
             e = edges[i : i + (1 << 16) + 1]
@@ -183,198 +269,192 @@ def _neighbours(training: DataFrame, text: str, head: np.ndarray, class_: np.nda
         for batch in slices(batches):
             for _, _, words in _hashed(column(batch, text)):
                 h, place, is_end = _tokens(words, words_)
-                where = np.maximum(place, 0)
-                known = place >= 0
-                open_ = ~is_end & ~(known & own[where] if len(own) else known)
-                code = np.where(is_end, size - 1, np.where(known, (classes[where] if len(classes) else 0) + size * open_, -1))
-                i = np.flatnonzero(open_)
+                code = _codes(place, is_end, classes, size - 2, size - 1)
+                open_ = ~is_end & (place < 0)
+                if len(own):
+                    open_ |= (place >= 0) & ~own[place]
                 # A text's last token is its end, and a text begins after an end.
-                for side, beside in ((0, code[i + 1]), (1, np.concatenate(([size - 1], code[:-1]))[i])):
-                    held.append((h[i][beside >= 0], (beside + 2 * size * side)[beside >= 0].astype(np.int32)))
-                    many += len(held[-1][0])
-                if many > GATHERED:
-                    yield from added(held)
-                    held, many = [], 0
+                i = np.flatnonzero(open_)
+                held.append((h[i], (code[i + 1].astype(np.int16), (size + np.concatenate(([size - 1], code[:-1]))[i]).astype(np.int16))))
+                many += len(i)
+            if many > GATHERED:
+                yield from added(held)
+                held, many = [], 0
         if held:
             yield from added(held)
 
     return training.select(text).mapInArrow(run, "word long, codes array<int>, times array<long>")
 
 
-def _counted(neighbours: DataFrame, beside: DataFrame, classes: DataFrame | None, size: int) -> DataFrame:
-    """word, its class so far, and all its neighbours' codes with their counts, as a written table."""
-    if classes is None:
-        beside = beside.withColumn("c", F.lit(size - 2))
-    else:
-        beside = beside.join(classes.select(F.col("word").alias("other"), F.col("class").alias("c")), "other")
-    code = (F.col("c") + size + F.col("side") * 2 * size).cast("int")
-    rows = neighbours.union(beside.select("word", F.array(code).alias("codes"), F.array("n").alias("times")))
-    rows = rows.repartition("word").groupBy("word").agg(F.flatten(F.collect_list("codes")).alias("codes"), F.flatten(F.collect_list("times")).alias("times"))
-    rows = rows.withColumn("class", F.lit(size - 2)) if classes is None else rows.join(classes, "word")
-    return written(rows.select("word", "class", "codes", "times"), "neighbours")
-
-
-def _rows_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Class of each row of `_counted`; row, code and count of each of its entries."""
-    codes, times = batch.column(2), batch.column(3)
-    return batch.column(1).to_numpy(), np.repeat(np.arange(batch.num_rows), codes.value_lengths().to_numpy()), codes.flatten().to_numpy(), times.flatten().to_numpy()
-
-
-def _class_bigrams(counted: DataFrame, clustered: np.ndarray) -> np.ndarray:
-    """Bigrams of classes over all training texts; clustered: those between clustered words and ends."""
-    size = len(clustered)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(size * size, np.int64)
-        for batch in slices(batches):
-            of, row, code, n = _rows_of(batch)
-            mine, side, c = of[row], code // (2 * size), code % size
-            # Two words that are not clustered count each other: the pair is taken from the first one.
-            taken = (side == 0) | (code % (2 * size) < size)
-            np.add.at(table, np.where(side == 0, mine * size + c, c * size + mine)[taken], n[taken])
-        at = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], names=["pair", "n"])
+def _assigned(neighbours: DataFrame, table: np.ndarray) -> DataFrame:
+    """(word, n, class) of all words in neighbours, as a written table; n is how often the word is in the texts.
 
-    rows = counted.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    out = clustered.copy().reshape(-1)
-    out[rows["pair"].to_numpy()] += rows["n"].to_numpy()
-    return out.reshape(size, size)
-
-
-def best_classes(table: np.ndarray, of: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """For each word the class that, all others staying where they are, makes the class bigram likelihood largest.
-
-    table: class bigrams, rest and end last; of: the words' classes so far, counted in table; counts: words x (classes after, classes before).
+    A word's rows come one after the other and are added up as they come, so a task holds one word's counts besides its batch.
     """
-    size, k, f = len(table), len(table) - 2, _entropy_terms
-    beside = np.concatenate((table[:k].T, table[:, :k]))
-    whole = np.stack((table.sum(1)[:k], table.sum(0)[:k]))
-    word, code = np.nonzero(counts)
-    n = counts[word, code][:, None]
-    own = of[:, None] == np.arange(k)
-    base = beside[code] - own[word] * n
-    gain = np.zeros((len(of), k))
-    if len(word):
-        first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-        gain[word[first]] = np.add.reduceat(f(base + n) - f(base), first)
-    for side in range(2):
-        total = counts[:, side * size : (side + 1) * size].sum(1)[:, None]
-        base = whole[side] - own * total
-        gain -= f(base + total) - f(base)
-    return gain.argmax(1)
-
-
-def _assigned(counted: DataFrame, table: np.ndarray) -> DataFrame:
-    """(word, class) of all words in counted, as a written table."""
     size = len(table)
+    cells = 2 * size
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in slices(batches):
-            for i in range(0, whole.num_rows, 1000):
-                batch = whole.slice(i, 1000)
-                of, row, code, n = _rows_of(batch)
-                counts = np.bincount(row * (2 * size) + code // (2 * size) * size + code % size, n, len(of) * 2 * size).reshape(len(of), 2 * size)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best_classes(table, of, counts).astype(np.int32))], names=["word", "class"])
-
-    return written(counted.mapInArrow(run, "word long, class int"), "word_classes")
+    def classified(word: np.ndarray, row: np.ndarray, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        cell, which = np.unique(row * cells + code, return_inverse=True)
+        n = np.bincount(which, n, len(cell)).astype(np.int64)
+        row, code = np.divmod(cell, cells)
+        # Each occurrence has one neighbour after it.
+        often = np.bincount(row[code < size], n[code < size], len(word)).astype(np.int64)
+        best = [best_classes(table, row[a:b] - i, code[a:b], n[a:b], min(1000, len(word) - i)) for i in range(0, len(word), 1000) for a, b in [np.searchsorted(row, (i, i + 1000))]]
+        return pa.RecordBatch.from_arrays([pa.array(word), pa.array(often), pa.array(np.concatenate(best).astype(np.int32))], names=["word", "n", "class"])
 
-
-def _of_head(classes: DataFrame, head: np.ndarray, class_: np.ndarray) -> np.ndarray:
-    """class_, of the head words, with what classes says of them."""
-    shared = classes.sparkSession.sparkContext.broadcast(head)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[int, np.ndarray] | None = None
+        for batch in slices(batches):
+            if not batch.num_rows:
+                continue
+            every, codes, times = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
+            new = np.concatenate(([True], every[1:] != every[:-1]))
+            word = every[new]
+            row = np.repeat(np.cumsum(new) - 1, codes.value_lengths().to_numpy())
+            code, n = codes.flatten().to_numpy().astype(np.int64), times.flatten().to_numpy()
+            if held is not None:
+                seen = np.flatnonzero(held[1])
+                shift = int(held[0] != word[0])
+                word = np.concatenate(([held[0]], word)) if shift else word
+                row, code, n = np.concatenate((np.zeros(len(seen), np.int64), row + shift)), np.concatenate((seen, code)), np.concatenate((held[1][seen], n))
+            last = row == len(word) - 1
+            held = int(word[-1]), np.bincount(code[last], n[last], cells).astype(np.int64)
+            if len(word) > 1:
+                yield classified(word[:-1], row[~last], code[~last], n[~last])
+        if held is not None:
+            seen = np.flatnonzero(held[1])
+            yield classified(np.array([held[0]]), np.zeros(len(seen), np.int64), seen, held[1][seen])
+
+    return written(neighbours.repartition("word").sortWithinPartitions("word").mapInArrow(run, "word long, n long, class int"), "word_classes")
+
+
+def _of_head(words: DataFrame, head: Head, class_: np.ndarray) -> np.ndarray:
+    """class_, of the head words, with what words says of them."""
+    shared = words.sparkSession.sparkContext.broadcast(head)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = _places(batch.column(0).to_numpy().view(np.uint64), shared.value)
+            at = shared.value.places(batch.column(0).to_numpy().view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(at[at >= 0]), batch.column(1).filter(pa.array(at >= 0))], names=["at", "class"])
 
-    rows = classes.mapInArrow(run, "at long, class int").toArrow()
+    rows = words.select("word", "class").mapInArrow(run, "at int, class int").toArrow()
     out = class_.copy()
     out[rows["at"].to_numpy()] = rows["class"].to_numpy()
     return out
 
 
-def train(training: DataFrame, counts: DataFrame, text: str, head_size: int = HEAD, clustered: int = CLUSTERED, classes: int = CLASSES) -> ClassModel:
-    """The model of training texts, counts being their written word_counts. Without any text all scores are the smoothing's."""
-    return _trained(training, counts, text, head_size, clustered, classes)[0]
-
-
-def _trained(training: DataFrame, counts: DataFrame, text: str, head_size: int, clustered: int, classes: int) -> tuple[ClassModel, DataFrame]:
-    """The model, and (word, class) of all training words that are not clustered."""
+def train(training: DataFrame, counts: DataFrame, text: str, head_size: int = HEAD, clustered: int = CLUSTERED, classes: int = CLASSES) -> tuple[ClassModel, DataFrame]:
+    """The model of training texts, counts being their written word_counts, and (word, n, class) of all training words that exchange did not place."""
+    if not 0 < classes < OUTSIDE - 2:
+        raise ValueError(f"there may be 1 to {OUTSIDE - 3} classes")
     ends = training.count()
     total, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    # Counts are few different numbers, so how many words have each is a small table.
-    threshold, room = 1, head_size
-    steps = sorted(((r[0], r[1]) for r in counts.groupBy("n").count().collect()), reverse=True)
-    for i, (n, words) in enumerate(steps):
-        if words > room:
-            threshold = steps[i - 1][0] if i else n + 1
-            break
-        room -= words
-    # Arrow tables: rows as Python objects would take a multiple of the driver's memory.
-    top = counts.where(F.col("n") >= threshold).toArrow()
-    head, count = top["word"].to_numpy().view(np.uint64), top["n"].to_numpy()
-    by = np.argsort(head)
-    head, count = head[by], count[by]
-    chosen = np.lexsort((head, -count))[:clustered]
+    head, count = _vocabulary(counts, head_size)
+    chosen = np.lexsort((head.hashes, -count))[:clustered]
     n = len(chosen)
-    symbol = np.full(len(head), n, np.int32)
+    symbol = np.full(len(count), n, np.int32)
     symbol[chosen] = np.arange(n)
-    own = symbol < n
-    shared = training.sparkSession.sparkContext.broadcast((head, symbol))
+    matrix = _bigrams(training, text, head, symbol, n + 2)
+    symbols = exchange(matrix, classes, 2)
+    k = int(symbols[n])
+    between = np.zeros((k + 2, k + 2))
+    np.add.at(between, (symbols[:, None], symbols[None, :]), matrix)
+    class_ = symbols[symbol].astype(np.int32)
+    words = _assigned(_neighbours(training, text, head, class_, symbol < n, k + 2), between)
+    return ClassModel(int(total) + ends, int(types) + (ends > 0), ends, head, count, _of_head(words, head, class_), k), words
+
+
+def walked(docs: DataFrame, model: ClassModel, words: DataFrame) -> DataFrame:
+    """docs (key, held_out, text) with n_tokens, n_known, base (the base score), emitted (the sum of log10 counts) and classes, a byte for each
+    token, in place of the text; as a written table."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    c = SMOOTHING
+    rest = model.classes
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        total = m.tokens + c * (m.types + 1)
+        base_head = np.log10((m.count + c) / total)
+        log_count = np.log10(m.count)
+        for batch in slices(batches):
+            n, known, base, emitted, classes, tail, which = [], [], [], [], [], [], []
+            for _, _, words_ in _hashed(column(batch, "text")):
+                h, place, is_end = _tokens(words_, m.head)
+                lengths = np.diff(words_.first) + 1
+                edges = np.concatenate(([0], np.cumsum(lengths)))
+                inside = place >= 0
+                unigram = np.where(is_end, np.log10((m.ends + c) / total), -np.log10(total))
+                unigram[inside] = base_head[place[inside]]
+                sure = np.zeros(len(place))
+                sure[inside] = log_count[place[inside]]
+                row = _codes(place, is_end, m.class_of, OUTSIDE, m.classes + 1).astype(np.uint8)
+                n += lengths.tolist()
+                known += np.add.reduceat((inside | (is_end & (m.ends > 0))).astype(np.int64), edges[:-1]).tolist()
+                base += np.add.reduceat(unigram, edges[:-1]).tolist()
+                emitted += np.add.reduceat(sure, edges[:-1]).tolist()
+                at = np.flatnonzero(row == OUTSIDE)
+                cuts = np.searchsorted(at, edges).tolist()
+                outside = h[at].view(np.int64)
+                for i, j, a, b in zip(cuts, cuts[1:], edges.tolist(), edges[1:].tolist(), strict=False):
+                    classes.append(row[a:b].tobytes())
+                    word, number = np.unique(outside[i:j], return_inverse=True)
+                    tail.append(word), which.append(number.astype(np.int32))
+            arrays = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(emitted, pa.float64()), pa.array(classes, pa.binary()), pa.array(tail, pa.list_(pa.int64())), pa.array(which, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["key", "held_out", *fields, "tail", "which"])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows = batch.num_rows
+            get = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            ends = np.cumsum(get["n_tokens"].to_numpy())
+            every = np.frombuffer(bytearray(b"".join(get["classes"].to_pylist())), np.uint8)
+            row = np.repeat(np.arange(rows), get["which"].value_lengths().to_numpy())
+            found = get["found"].flatten()
+            begins = np.concatenate(([0], np.cumsum(get["found"].value_lengths().to_numpy())))[:-1]
+            at = begins[row] + get["which"].flatten().to_numpy()
+            often = found.field("n").to_numpy()[at]
+            every[every == OUTSIDE] = found.field("class").to_numpy()[at].astype(np.uint8)
+            known, base, emitted = (np.bincount(row, x, rows) for x in (often > 0, np.log10(often + c), np.log10(np.maximum(often, 1))))
+            classes = [every[a:b].tobytes() for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+            arrays = [get["n_tokens"], pa.array(get["n_known"].to_numpy() + known.astype(np.int64)), pa.array(get["base"].to_numpy() + base), pa.array(get["emitted"].to_numpy() + emitted), pa.array(classes, pa.binary())]
+            yield pa.RecordBatch.from_arrays([get["key"], get["held_out"], *arrays], names=["key", "held_out", *fields])
+
+    fields = {"n_tokens": "long", "n_known": "long", "base": "double", "emitted": "double", "classes": "binary"}
+    schema = f"key {docs.schema['key'].dataType.simpleString()}, held_out boolean, " + ", ".join(f"{name} {kind}" for name, kind in fields.items())
+    rows = docs.select("key", "held_out", "text").mapInArrow(walk, schema + ", tail array<long>, which array<int>")
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "walked")
+    tails = rows.select("row", F.posexplode("tail").alias("pos", "word")).join(words, "word", "left")
+    entry = F.struct("pos", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("class", F.lit(rest)).cast("int").alias("class"))
+    tails = tails.groupBy("row").agg(F.sort_array(F.collect_list(entry)).alias("found"))
+    rows = rows.drop("tail").join(tails, "row", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<pos:int,n:bigint,class:int>>")))
+    return written(rows.mapInArrow(fill, schema), "classes")
+
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = n + 2
+def class_bigrams(rows: DataFrame, size: int) -> np.ndarray:
+    """How often classes follow each other in the `walked` rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(size * size, np.int64)
         for batch in slices(batches):
-            for _, _, words in _hashed(column(batch, text)):
-                h, place, is_end = _tokens(words, shared.value[0])
-                s = _symbols(place, is_end, shared.value[1], n)
-                # A text begins after an end.
-                table += np.bincount(np.concatenate(([n + 1], s[:-1])) * size + s, minlength=size * size)
-                tail, open_ = ~is_end & (place < 0), s == n
-                for side, word, other in ((0, slice(None, -1), slice(1, None)), (1, slice(1, None), slice(None, -1))):
-                    met = open_[word] & tail[other]
-                    if met.any():
-                        yield _batch(h[word][met].view(np.int64), h[other][met].view(np.int64), np.full(met.sum(), side), np.ones(met.sum(), np.int64))
+            every = np.frombuffer(bytes([size - 1]) + b"".join(batch.column(0).to_pylist()), np.uint8).astype(np.int64)
+            table += np.bincount(every[:-1] * size + every[1:], minlength=size * size)
         at = np.flatnonzero(table)
-        yield _batch(at, at, np.full(len(at), 2), table[at])
-
-    # Cells of the table (side 2), and words with each neighbour outside the head: after (0) or before (1).
-    met = written(training.select(text).mapInArrow(pairs, "word long, other long, side int, n long"), "met")
-    bigrams = met.where("side = 2").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
-    beside = met.where("side < 2")
-    matrix = np.zeros((n + 2) ** 2)
-    matrix[bigrams["word"].to_numpy()] = bigrams["n"].to_numpy()
-    matrix = matrix.reshape(n + 2, n + 2)
-    symbols = exchange(matrix, classes, 2)
-    k = int(symbols[n])
-    size = k + 2
-    between = np.zeros((size, size))
-    these = np.concatenate((np.arange(n), [n + 1]))
-    np.add.at(between, (symbols[these][:, None], symbols[these][None, :]), matrix[np.ix_(these, these)])
-    class_ = symbols[symbol]
-    found = None
-    for last in [False] * ROUNDS + [True]:
-        counted = _counted(_neighbours(training, text, head, class_, own, size), beside, found, size)
-        table = _class_bigrams(counted, between)
-        if not last:
-            found = _assigned(counted, table)
-            class_ = _of_head(found, head, class_)
-    class_of = np.concatenate((symbols[:n], np.arange(k), symbols[n:]))
-    symbol = np.where(own, symbol, n + class_).astype(np.int32)
-    types = int(types) + (ends > 0)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(table[at])], names=["pair", "n"])
+
+    return _square(rows.select("classes").mapInArrow(run, "pair long, n long"), size)
+
+
+def transitions(table: np.ndarray, types: int) -> np.ndarray:
+    """T, from class to class, of class bigrams (see `ClassModel.classes`): each row sums to 1."""
+    size = len(table)
     share = (table.sum(0) + SMOOTHING) / (table.sum() + SMOOTHING * size)
-    share[k] = 0
+    share[size - 2] = 0
     share /= share.sum()
     unseen = SMOOTHING / (table.sum() + SMOOTHING * (types + 2))
-    transition = (1 - unseen) * (table + BACK_OFF * share) / (table.sum(1, keepdims=True) + BACK_OFF)
-    transition[:, k] = unseen
-    return ClassModel(int(total) + ends, types, ends, head, count, symbol, class_of, np.log10(transition), table.sum(0), 0), found
-
-
-def _batch(word: np.ndarray, other: np.ndarray, side: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(word), pa.array(other), pa.array(side.astype(np.int32)), pa.array(n)], names=["word", "other", "side", "n"])
+    out = (1 - unseen) * (table + BACK_OFF * share) / (table.sum(1, keepdims=True) + BACK_OFF)
+    out[:, size - 2] = unseen
+    return out
 
 
 def _held_out(key: str) -> Column:
@@ -386,76 +466,32 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", head_size: i
     unigram log10 probability), score (the model's log10 probability) and perplexity.
 
     Training rows are those whose crc32(key as text) mod 10 is not 0. A null or empty text has its end only; a null key is held out never.
+    Repeated rows count and are returned as often as they come, other columns are ignored, and an empty table gives no rows; without any
+    training row all scores are the smoothing's.
     """
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(_held_out(key), F.lit(False)).alias("held_out"))
     training = docs.where("not held_out").select("text")
-    counts = written(word_counts(training, "text"), "counts")
-    model, classes_of = _trained(training, counts, "text", head_size, clustered, classes)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    c = SMOOTHING
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        rest, total = len(m.class_of) - 2, m.tokens + c * (m.types + 1)
-        base_head = np.log10((m.count + c) / total) if len(m.count) else np.zeros(1)
-        emit = np.log10(m.count / m.class_total[m.class_of[m.symbol]]) if len(m.count) else np.zeros(1)
-        for batch in slices(batches):
-            texts = column(batch, "text")
-            n, known, base, full, tail, which, before, after = [], [], [], [], [], [], [], []
-            for _, _, words in _hashed(texts):
-                h, place, is_end = _tokens(words, m.head)
-                lengths = np.diff(words.first) + 1
-                edges = np.concatenate(([0], np.cumsum(lengths)))[:-1]
-                in_head = place >= 0
-                out = ~in_head & ~is_end
-                g = np.where(out, -1, m.class_of[_symbols(place, is_end, m.symbol, rest)])
-                ahead, behind = np.concatenate(([m.class_of[rest + 1]], g[:-1])), np.concatenate((g[1:], [-1]))
-                # Steps to and from a word outside the head, and such a word's emission, are added later on.
-                step = np.where((g < 0) | (ahead < 0), 0.0, m.transition[ahead, g])
-                where = np.maximum(place, 0)
-                unigram = np.where(in_head, base_head[where], np.where(is_end, np.log10((m.ends + c) / total), -np.log10(total)))
-                n += lengths.tolist()
-                known += np.add.reduceat((in_head | (is_end & (m.ends > 0))).astype(np.int64), edges).tolist()
-                base += np.add.reduceat(unigram, edges).tolist()
-                full += np.add.reduceat(step + np.where(in_head, emit[where], 0.0), edges).tolist()
-                at = np.flatnonzero(out)
-                ends = np.searchsorted(at, np.append(edges, len(g)))
-                for i, j in zip(ends, ends[1:], strict=False):
-                    word, number = np.unique(h[at[i:j]], return_inverse=True)
-                    tail.append(word.view(np.int64)), which.append(number.astype(np.int32))
-                    before.append(ahead[at[i:j]].astype(np.int32)), after.append(behind[at[i:j]].astype(np.int32))
-            arrays = [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(full, pa.float64()), pa.array(tail, pa.list_(pa.int64())), *(pa.array(x, pa.list_(pa.int32())) for x in (which, before, after))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["key", "held_out", *FIELDS])
+    model, words = train(training, written(word_counts(training, "text"), "counts"), "text", head_size, clustered, classes)
+    rows = walked(docs, model, words)
+    size = model.classes + 2
+    table = class_bigrams(rows.where("not held_out"), size)
+    # A class emits a word by its share; an unseen word and the end are all of their classes.
+    totals = table.sum(0)
+    totals[-2:] = 1
+    steps = np.log10(transitions(table, model.types)) - np.log10(np.maximum(totals, 1))
+    shared = docs.sparkSession.sparkContext.broadcast(steps)
+    tokens = model.tokens
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        rest = m.class_of[-2]
         for batch in slices(batches):
-            rows = batch.num_rows
+            if not batch.num_rows:
+                continue
             get = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            lengths = get["which"].value_lengths().to_numpy()
-            row = np.repeat(np.arange(rows), lengths)
-            which, ahead, behind = (get[x].flatten().to_numpy() for x in ("which", "before", "after"))
-            found = get["found"].flatten()
-            begins = np.concatenate(([0], np.cumsum(get["found"].value_lengths().to_numpy())))[:-1]
-            at = begins[row] + which
-            often, of = found.field("n").to_numpy()[at], found.field("class").to_numpy()[at]
-            # A neighbour outside the head is the row's word before in this list.
-            ahead = np.where(ahead < 0, np.concatenate(([rest], of[:-1])) if len(of) else ahead, ahead)
-            more = m.transition[ahead, of] + np.where(behind < 0, 0.0, m.transition[of, behind])
-            more += np.where(of == rest, 0.0, np.log10(np.maximum(often, 1) / np.where(of == rest, 1.0, m.class_total[of])))
-            add = [np.bincount(row, x, rows) for x in (often > 0, np.log10(often + c), more)]
-            full = get["full"].to_numpy() + add[2]
             n = get["n_tokens"].to_numpy()
-            arrays = [get["n_tokens"], pa.array(get["known"].to_numpy() + add[0].astype(np.int64)), pa.array(np.full(rows, m.tokens)), pa.array(get["base"].to_numpy() + add[1]), pa.array(full), pa.array(10.0 ** -(full / n))]
+            every = np.frombuffer(bytes([size - 1]) + b"".join(get["classes"].to_pylist()), np.uint8).astype(np.int64)
+            full = get["emitted"].to_numpy() + np.add.reduceat(shared.value.reshape(-1)[every[:-1] * size + every[1:]], np.concatenate(([0], np.cumsum(n)))[:-1])
+            arrays = [get["n_tokens"], get["n_known"], pa.array(np.full(len(n), tokens)), get["base"], pa.array(full), pa.array(10.0 ** -(full / n))]
             yield pa.RecordBatch.from_arrays([get["key"], get["held_out"], *arrays], names=[key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
     kind = docs.schema["key"].dataType.simpleString()
-    walked = docs.select("key", "held_out", "text").mapInArrow(walk, f"key {kind}, held_out boolean, " + ", ".join(f"{k} {v}" for k, v in FIELDS.items()))
-    walked = written(walked.withColumn("row", F.monotonically_increasing_id()), "walked")
-    table = counts.join(classes_of, "word")
-    tails = walked.select("row", F.posexplode("tail").alias("pos", "word")).join(table, "word", "left")
-    entry = F.struct("pos", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("class", F.lit(int(model.class_of[-2]))).cast("int").alias("class"))
-    tails = tails.groupBy("row").agg(F.sort_array(F.collect_list(entry)).alias("found"))
-    rows = walked.drop("tail").join(tails, "row", "left").withColumn("found", F.coalesce("found", F.array().cast("array<struct<pos:int,n:bigint,class:int>>")))
     return rows.mapInArrow(finish, f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
