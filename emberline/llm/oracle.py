@@ -54,16 +54,17 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
 
 _REPETITION = rf"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM documents),
-grams AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (VALUES (8), (101)) AS sizes(n) WHERE len(w) >= n)),
+grams AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (VALUES (4), (8), (101)) AS sizes(n) WHERE len(w) >= n)),
 twice AS (SELECT doc_id, n, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, n, g) AS c FROM grams) WHERE c > 1),
-covered AS (SELECT doc_id, count(DISTINCT k) AS n_repeat FROM (SELECT doc_id, unnest(range(i, i + 8)) AS k FROM twice WHERE n = 8) GROUP BY doc_id),
+spans AS (SELECT doc_id, n, unnest(range(i, i + n)) AS k FROM twice WHERE n < 101),
+covered AS (SELECT doc_id, count(DISTINCT k) FILTER (n = 8) AS n_repeat, count(DISTINCT k) FILTER (n = 4) AS n_covered FROM spans GROUP BY doc_id),
 long_ AS (SELECT DISTINCT doc_id FROM twice WHERE n = 101),
 lines AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs) WHERE regexp_matches(line, '{_WORDS}') GROUP BY doc_id),
 sums AS (
-  SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup, 0) AS n_dup_lines, coalesce(n_repeat, 0) AS n_repeat_words, long_.doc_id IS NOT NULL AS is_long
+  SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(n_dup, 0) AS n_dup_lines, coalesce(n_repeat, 0) AS n_repeat_words, coalesce(n_covered, 0) AS n_covered, long_.doc_id IS NOT NULL AS is_long
   FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN lines USING (doc_id) LEFT JOIN long_ USING (doc_id)
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_repeat_words <= 0.30 * n_words AND NOT is_long AS kept FROM sums
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND n_covered <= 0.30 * n_words AND NOT is_long AS kept FROM sums
 """
 
 # The jumps of a key are the same for any number of shards: its shard is the last place below it. CRC-32 goes byte by byte through its table.

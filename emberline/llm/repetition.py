@@ -1,8 +1,9 @@
 """Repetition within a document: maximal repeated substrings from LCP intervals of a suffix array over its words.
 
-Only texts in which a window of `shortest` words comes twice have a repeat that counts; a hash of all windows finds them, and
-they get a suffix array, the LCP of neighbours and, from its intervals, the repeats that cannot be extended to either side. Their spans'
-union gives the covered fraction; the longest of them the longest repeat.
+Only texts in which a window of `shortest` words comes twice have a repeat that counts; a hash of all windows finds them. They get one
+suffix array for many texts at a time - a word is another symbol in another text, so no repeat runs over two - and the LCP of neighbours.
+Its intervals are the repeats that cannot be extended to either side. Their spans' union gives the covered fraction; the longest of
+them the longest repeat. Nested repeats, as of one word over and over, take no more room than the text: intervals are ranges of the array.
 """
 
 from __future__ import annotations
@@ -18,7 +19,11 @@ from .common import append_columns, chunks, column
 from .fmindex import suffix_array
 from .words import Words, utf8, windows
 
-SHORTEST = 8
+WINDOW = 8
+"""Words of the base rule's windows, a fixed value."""
+SHORTEST = 4
+"""Words of the shortest repeat that counts. At sf0.1 four words and 30 % reject fifteen documents that the base rule keeps, texts whose words come
+several times each; none of them is labelled as good."""
 MAX_COVERED = 0.30
 MAX_LONGEST = 100
 _WORD = re.compile(r"[^\x20\x09-\x0D]")
@@ -51,37 +56,67 @@ def lcp(text: np.ndarray, order: np.ndarray) -> np.ndarray:
     return out
 
 
-def maximal_repeats(text: np.ndarray, shortest: int = SHORTEST) -> list[tuple[int, np.ndarray]]:
-    """(length, places) of each substring of at least shortest symbols that comes twice or more and in each extension less often."""
+def maximal_repeats(text: np.ndarray, order: np.ndarray, height: np.ndarray, shortest: int = SHORTEST) -> np.ndarray:
+    """(length, left, right) of each substring of at least shortest symbols that comes twice or more and in each extension less often.
+
+    order is the suffix array, height its LCP row. The substring's places are order[left:right]; there are fewer rows than symbols.
+    """
+    before = np.where(order > 0, text[order - 1], -1)
+    # Occurrences with one symbol before all of them would extend to the left: their rows have no change of it.
+    changes = np.concatenate(([0], np.cumsum(before[1:] != before[:-1])))
+    out: list[tuple[int, int, int]] = []
+    high = np.flatnonzero(height >= shortest)
+    breaks = np.flatnonzero(np.diff(high) > 1) + 1
+    for part in np.split(high, breaks) if len(high) else ():
+        # The rows of a part share shortest symbols with the row before; it begins after a row that does not.
+        stack: list[tuple[int, int]] = []
+        first = int(part[0])
+        for i, h in enumerate([*height[part].tolist(), 0], first):
+            left = i - 1
+            while stack and stack[-1][0] > h:
+                length, left = stack.pop()
+                out.append((length, left, i))
+            if h and (not stack or stack[-1][0] < h):
+                stack.append((h, left))
+    rows = np.array(out, np.int64).reshape(-1, 3)
+    return rows[changes[rows[:, 2] - 1] > changes[rows[:, 1]]]
+
+
+def measure(text: np.ndarray, owner: np.ndarray, texts: int, shortest: int = SHORTEST) -> np.ndarray:
+    """Per text: symbols that repeats cover, the longest repeat's length and the number of maximal repeats.
+
+    text holds the symbols of all texts one after the other, owner the text of each (below texts); texts have no symbol in common.
+    """
+    out = np.zeros((texts, 3), np.int64)
+    if not len(text):
+        return out
     order = suffix_array(text)
     height = lcp(text, order)
-    before = np.where(order > 0, text[order - 1], -1)
-    out: list[tuple[int, np.ndarray]] = []
-    stack: list[tuple[int, int]] = []
-    for i in range(1, len(text) + 1):
-        h = int(height[i]) if i < len(text) else 0
-        left = i - 1
-        while stack and stack[-1][0] > h:
-            length, left = stack.pop()
-            if length >= shortest:
-                ahead = before[left:i]
-                # One symbol before all occurrences would extend them to the left; the text's start has none.
-                if ahead[0] < 0 or (ahead != ahead[0]).any():
-                    out.append((length, order[left:i]))
-        if h and (not stack or stack[-1][0] < h):
-            stack.append((h, left))
+    rows = maximal_repeats(text, order, height, shortest)
+    of = owner[order[rows[:, 1]]]
+    np.maximum.at(out[:, 1], of, rows[:, 0])
+    out[:, 2] = np.bincount(of, minlength=texts)
+    # The longest repeat that begins at a place is the longer of its two LCPs, and lies in a maximal one; shorter ones lie in it.
+    reach = np.maximum(height, np.append(height[1:], 0))
+    long_ = reach >= shortest
+    edge = np.zeros(len(text) + 1, np.int64)
+    edge[order[long_]] += 1
+    np.add.at(edge, order[long_] + reach[long_], -1)
+    out[:, 0] = np.bincount(owner[np.cumsum(edge)[:-1] > 0], minlength=texts)
     return out
 
 
-def measure(text: np.ndarray, shortest: int = SHORTEST) -> tuple[int, int]:
-    """Number of symbols that repeats cover, and the longest repeat's length."""
-    edge = np.zeros(len(text) + 1, np.int64)
-    longest = 0
-    for length, places in maximal_repeats(text, shortest):
-        longest = max(longest, length)
-        np.add.at(edge, places, 1)
-        np.add.at(edge, places + length, -1)
-    return int((np.cumsum(edge)[:-1] > 0).sum()), longest
+def repeated(words: Words, n: int) -> np.ndarray:
+    """Places at which a window of n words begins that its text has twice or more."""
+    owner, every = words.text_of(), windows(words.hash, n)
+    inside = np.flatnonzero(owner[: len(every)] == owner[n - 1 :]) if len(every) else np.zeros(0, np.int64)
+    key = every[inside] ^ (owner[inside].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    by = np.argsort(key, kind="stable")
+    equal = key[by][1:] == key[by][:-1]
+    twice = np.zeros(len(by), bool)
+    twice[1:] |= equal
+    twice[:-1] |= equal
+    return inside[by[twice]]
 
 
 def _lines(text: str) -> int:
@@ -95,45 +130,39 @@ def _lines(text: str) -> int:
     return n
 
 
-_COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat")
+_COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat", "n_maximal_repeats")
 
 
 def quality(docs: DataFrame, text: str = "text", shortest: int = SHORTEST, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> DataFrame:
-    """docs with counts of words, word_chars, n_symbols, n_dup_lines, n_repeat_words, the suffix array's covered_words and longest_repeat (words),
-    base_failed (under 20 words, or over 30 % of the words in 8-word windows found twice) and kept.
+    """docs with counts of words, word_chars, n_symbols, n_dup_lines, n_repeat_words, the suffix array's covered_words, longest_repeat (words) and
+    n_maximal_repeats, base_failed (under 20 words, or over 30 % of the words in 8-word windows found twice) and kept.
 
-    kept is false if base_failed, or if repeats cover more than max_covered of the words or one is longer than max_longest
-    words. A null or empty text has no words and fails. Input columns with these names are replaced; all others and repeated rows stay.
+    kept is false if base_failed, or if repeats of shortest words or more cover more than max_covered of the words or one is longer than
+    max_longest words. A null or empty text has no words and fails; an empty table gives no rows. A text of any length takes memory in
+    proportion to it. Input columns with these names are replaced; all others and repeated rows stay.
     """
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         texts = [t or "" for t in column(batch, text)]
         data = [utf8(t) for t in texts]
-        rows: list[tuple[int, ...]] = []
+        n = np.zeros((len(texts), len(_COLUMNS)), np.int64)
         for a, b in chunks(data):
             words = Words(data[a:b])
-            owner, every = words.text_of(), windows(words.hash, SHORTEST)
-            inside = np.flatnonzero(owner[: len(every)] == owner[SHORTEST - 1 :]) if len(every) else np.zeros(0, np.int64)
-            key = every[inside] ^ (owner[inside].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-            by = np.argsort(key, kind="stable")
-            equal = key[by][1:] == key[by][:-1]
-            twice = np.zeros(len(by), bool)
-            twice[1:] |= equal
-            twice[:-1] |= equal
+            owner = words.text_of()
             edge = np.zeros(len(owner) + 1, np.int64)
-            at = inside[by[twice]]
+            at = repeated(words, WINDOW)
             np.add.at(edge, at, 1)
-            np.add.at(edge, at + SHORTEST, -1)
-            hit = np.concatenate(([0], np.cumsum(np.cumsum(edge)[:-1] > 0)))
-            for i in range(b - a):
-                first, last = words.first[i], words.first[i + 1]
-                repeat = int(hit[last] - hit[first])
-                found = measure(np.unique(words.hash[first:last], return_inverse=True)[1], shortest) if repeat or shortest < SHORTEST else (0, 0)
-                t = texts[a + i]
+            np.add.at(edge, at + WINDOW, -1)
+            n[a:b, 0] = np.diff(words.first)
+            n[a:b, 4] = np.bincount(owner[np.cumsum(edge)[:-1] > 0], minlength=b - a)
+            some = np.zeros(b - a, bool)
+            some[owner[repeated(words, shortest)]] = True
+            taken = some[owner]
+            symbol = np.unique(words.hash[taken] + owner[taken].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), return_inverse=True)[1]
+            n[a:b, 5:] = measure(symbol, owner[taken], b - a, shortest)
+            for i, t in enumerate(texts[a:b], a):
                 # Code points but for the six that part words, counted in C for each.
-                chars = len(t) - sum(map(t.count, " \t\n\x0b\x0c\r"))
-                rows.append((int(last - first), chars, sum(map(t.count, "#*$%&|<>")), _lines(t), repeat, *found))
-        n = np.array(rows, np.int64).reshape(-1, len(_COLUMNS))
+                n[i, 1:4] = len(t) - sum(map(t.count, " \t\n\x0b\x0c\r")), sum(map(t.count, "#*$%&|<>")), _lines(t)
         failed = (n[:, 0] < 20) | (100 * n[:, 4] > 30 * n[:, 0])
         kept = ~failed & (n[:, 5] <= max_covered * n[:, 0]) & (n[:, 6] <= max_longest)
         return [*(pa.array(n[:, j]) for j in range(len(_COLUMNS))), pa.array(failed), pa.array(kept)]
