@@ -74,20 +74,20 @@ def document_id(name: str = "doc_id") -> Column:
     return F.crc32(F.col(name).cast("string"))
 
 
-def hash60(col: str) -> Column:
+def hash60(value: Column) -> Column:
     """The first 60 bits of the MD5 of a column as text; null is taken as the text 'null'."""
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(col).cast("string"), F.lit("null"))), 1, 15), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(F.coalesce(value.cast("string"), F.lit("null"))), 1, 15), 16, 10).cast("long")
 
 
-def gapless_rank(df: DataFrame, group: Sequence[str], spread: str, order: Sequence[str], weight: str, per_task: int = 200_000, total: int | None = None) -> DataFrame:
+def gapless_rank(df: DataFrame, group: Sequence[str], spread: str, order: Sequence[str], weight: str, per_task: int = 10_000) -> DataFrame:
     """df with `first`: the sum of weight over the rows before it in its group, in the order of spread and then order.
 
-    spread is a column of evenly spread numbers in [0, 2^60). A group is cut into ranges of it, so no task gets more
-    than about per_task rows even if a group holds all rows; the ranges' sums make a small table that says where each begins.
+    There should be a bounded number of groups: their sums are broadcast. spread is a column of numbers in [0, 2^60), evenly spread over the rows
+    (so not a hash of something that many rows share). A group is cut into ranges of it by its own size, so no task gets much
+    more than per_task of the weight at once even if a group holds all rows; the ranges' sums say where each begins.
     """
-    n = total if total is not None else df.count()
-    width = (1 << 60) // max(1, -(-n // per_task)) + 1
-    df = df.withColumn("_range", F.floor(F.col(spread) / F.lit(width)).cast("int"))
+    sizes = df.groupBy(*group).agg(F.ceil(F.sum(weight) / per_task).alias("_ranges"))
+    df = df.join(F.broadcast(sizes), group).withColumn("_range", F.floor(F.col(spread) / F.ceil(F.lit(1 << 60) / F.col("_ranges"))).cast("int")).drop("_ranges")
     begins = df.groupBy(*group, "_range").agg(F.sum(weight).alias("_sum"))
     before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     begins = begins.withColumn("_begin", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")

@@ -81,7 +81,7 @@ sums AS (
   SELECT doc_id, hash, octet_length(encode(text)) + 1 AS size,
     xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda h: CAST('0x' || h AS BIGINT))), lambda a, x: xor(a // 256, remainders[xor(a, x) % 256 + 1])), 4294967295) AS text_crc32 FROM docs, crcs
 )
-SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY hash, doc_id, size, text_crc32) - 1 AS slot, CAST(grown AS INTEGER) AS grown_shard FROM sums JOIN shards USING (hash)
+SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || size || ':' || text_crc32 || ':0'), 1, 15) AS BIGINT), doc_id, size, text_crc32) - 1 AS slot, CAST(grown AS INTEGER) AS grown_shard FROM sums JOIN shards USING (hash)
 """
 
 SQL: dict[str, str] = {"op1_preference_formatting": _PREFERENCE, "op3_warc_index": _WARC, "op4_decontamination": _DECONTAMINATION, "op6_near_duplicates": _NEAR_DUPLICATES, "op7_jump_shards": _SHARDS, "op10_repetition": _REPETITION}

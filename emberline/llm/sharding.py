@@ -40,16 +40,20 @@ def shard_of(key: Column, shards: int) -> Column:
     return of(key)
 
 
-def assign(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text", per_task: int = 200_000) -> DataFrame:
+def assign(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text", per_task: int = 10_000) -> DataFrame:
     """One row per row of docs: key, size (UTF-8 bytes of the text, null: none, plus 1), text_crc32 (null text: 0), law, shard, slot
     and grown_shard (with one shard more).
 
-    Slots of a shard run from 0 without gaps, in the order of the key's hash, key, size and checksum. Rows that are equal in all of
-    those are one row with a count until they get their slots, so many copies weigh as one. A null key is hashed as the text 'null'.
+    Slots of a shard run from 0 without gaps, in the order of a hash of key, size and checksum. Rows that are equal in all of those
+    are one row with a count, in parts of at most per_task, until they get their slots: many copies weigh little, and no array of theirs is
+    longer than a part. A null key is hashed as the text 'null'; an empty table gives no rows, and other columns are left out.
     """
     rows = docs.select(F.col(key).alias("key"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.coalesce(F.crc32(text), F.lit(0)).alias("text_crc32"))
-    rows = rows.groupBy("key", "size", "text_crc32").agg(F.count("*").alias("copies")).withColumn("hash", hash60("key"))
+    rows = rows.groupBy("key", "size", "text_crc32").agg(F.count("*").alias("n"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / per_task))).alias("part"))
+    rows = rows.withColumn("copies", F.least(F.lit(per_task).cast("long"), F.col("n") - F.col("part") * per_task)).drop("n").withColumn("hash", hash60(F.col("key")))
     rows = rows.withColumn("shard", shard_of(F.col("hash"), shards)).withColumn("grown_shard", shard_of(F.col("hash"), shards + 1))
-    rows = gapless_rank(rows, ["shard"], "hash", ["key", "size", "text_crc32"], "copies", per_task, total=docs.count())
+    rows = rows.withColumn("spread", hash60(F.concat_ws(":", F.coalesce(F.col("key").cast("string"), F.lit("null")), "size", "text_crc32", "part")))
+    rows = gapless_rank(rows, ["shard"], "spread", ["key", "size", "text_crc32", "part"], "copies", per_task)
     slot = F.explode(F.sequence(F.col("first"), F.col("first") + F.col("copies") - 1))
     return rows.select(F.col("key").alias(key), "size", "text_crc32", F.lit("key").alias("law"), "shard", slot.alias("slot"), "grown_shard")

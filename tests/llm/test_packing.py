@@ -1,8 +1,10 @@
+import itertools
 import random
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
 
@@ -54,7 +56,7 @@ def test_plans_place_each_piece_once(seed):
     rng = random.Random(seed)
     top = rng.choice((5, 60, 700, 2048))
     histogram = Counter(min(2048, 1 + int(rng.expovariate(1 / top))) for _ in range(rng.choice((1, 50, 5000))))
-    runs, n = packing.plan(histogram)
+    runs, n, _ = packing.plan(histogram)
     fill = np.zeros(n, int)
     ranks = defaultdict(list)
     for length, rank, count, first, offset in sorted(runs, key=lambda r: r[4]):
@@ -82,3 +84,44 @@ def test_very_long_white_space(space):
     whole = Tokenizer.from_file(queries.tokenizer_path())
     text = f"before{space}after"
     assert packing.encoder(queries.tokenizer_path())(text).tolist() == [*whole.encode(text, add_special_tokens=False).ids, 0]
+
+
+@pytest.fixture(scope="module")
+def lengths():
+    """Lengths of the pieces of all documents at sf0.1."""
+    encode = packing.encoder(queries.tokenizer_path())
+    out = Counter()
+    for text in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].to_pylist():
+        n = len(encode(text or ""))
+        out[(n - 1) % 2048 + 1] += 1
+        out[2048] += (n - 1) // 2048
+    return out
+
+
+@pytest.mark.parametrize("times", [1, 1000])
+def test_patterns_place_nine_of_ten_pieces_that_need_a_partner(lengths, times):
+    histogram = {k: v * times for k, v in lengths.items()}
+    runs, n, dealt = packing.plan(histogram)
+    assert dealt >= 0.9 * sum(v for k, v in histogram.items() if k < 2048)
+    total = sum(k * v for k, v in histogram.items())
+    assert n <= 1.001 * total / 2048 and len(runs) < 10_000
+    if times == 1:
+        assert n <= 4938
+
+
+def test_patterns_fill_a_sequence():
+    found = packing.patterns(16, np.ones(17, bool), most=4)
+    assert len(set(found)) == len(found)
+    for p in found:
+        assert len(p) <= 4 and list(p) == sorted(p, reverse=True)
+        assert sum(p) == 16 + (15 * len(p) + 16) // 32
+    every = {p for k in range(1, 5) for p in itertools.combinations_with_replacement(range(16, 0, -1), k) if sum(p) == 16 + (15 * k + 16) // 32}
+    assert {p for p in every if len(set(p[2:])) <= 1 and (len(p) < 3 or p[0] >= p[1])} >= set(found)
+    assert {p for p in every if len(p) <= 3} <= set(found)
+
+
+@pytest.mark.parametrize("key", ["7", "cast(NULL AS long)"])
+def test_one_id_on_all_rows(spark, key):
+    docs = spark.range(3000).selectExpr(f"{key} AS doc_id", "if(id < 2000, 'same text', concat('text ', id)) AS text")
+    rows = packing.pack_documents(docs, queries.tokenizer_path()).collect()
+    check(rows, [(r.doc_id, r.text) for r in docs.collect()])

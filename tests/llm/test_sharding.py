@@ -3,8 +3,10 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from emberline.llm import queries, sharding
+from emberline.llm.common import gapless_rank
 
 
 def scalar_jump(key, shards):
@@ -46,3 +48,19 @@ def test_odd_rows(spark, odd_docs, no_docs, per_task):
     docs = odd_docs.unionAll(odd_docs.where("doc_id = 5")).unionAll(odd_docs.where("doc_id = 5"))
     check(sharding.assign(docs, per_task=per_task).collect(), [(r.doc_id, r.text) for r in docs.collect()])
     assert sharding.assign(no_docs).count() == 0
+
+
+def test_many_equal_rows_are_dealt_over_tasks(spark):
+    """One key and text on all rows, and one key with many texts: no range of slots holds much more than per_task rows."""
+    same = spark.range(50_000).selectExpr("7 AS doc_id", "'t' AS text")
+    texts = spark.range(20_000).selectExpr("8 AS doc_id", "cast(id AS string) AS text")
+    rows = sharding.assign(same.union(texts), per_task=1000)
+    by = {}
+    for key, shard, slot in rows.select("doc_id", "shard", "slot").collect():
+        by.setdefault(shard, []).append(slot)
+    assert sum(map(len, by.values())) == 70_000
+    assert all(sorted(s) == list(range(len(s))) for s in by.values())
+    ranked = gapless_rank(texts.selectExpr("1 AS g", "text", "conv(substring(md5(text), 1, 15), 16, 10) + 0L AS spread", "1L AS one").withColumn("spread", F.col("spread").cast("long")), ["g"], "spread", ["text"], "one", 1000)
+    plan = ranked._jdf.queryExecution().toString()
+    assert "_range" in plan
+    assert sorted(r.first for r in ranked.collect()) == list(range(20_000))
