@@ -13,8 +13,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,18 +30,23 @@ BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret", "local_phone", "national_id", "account", "person")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
-# A pattern that fails at the start of a run of digits fails at each later one, so only starts are tried.
-_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+# A pattern that fails at the start of a run of digits fails at each later one, so only starts are tried. Each pattern begins with what it
+# can begin with and looks back from there, which the regular expression engine skips to.
+_IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*+(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-
-_EXTRA = {
-    "secret": re.compile(r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]{0,80}[0-9])[A-Za-z0-9_/+-]{20,128}={0,2}(?![A-Za-z0-9_/+=-])"),
-    "local_phone": re.compile(r"(?<![0-9+(.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-]|\.[0-9])"),
-    "national_id": re.compile(r"(?<![0-9.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]|\.[0-9])"),
-    "account": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    "person": re.compile(r"(?:(?<=\bMr\. )|(?<=\bMrs\. )|(?<=\bMs\. )|(?<=\bDr\. )|(?<=[Mm]y name is )|(?<=[Nn]ame: )|(?<=[Cc]ontact: ))[A-Z][a-z]{1,20}(?: [A-Z][a-z]{1,20}){0,2}"),
+_DIGIT = re.compile(r"[0-9]")
+
+SHORTEST_SECRET = 20
+_SECRET = re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,}+={0,2}(?![A-Za-z0-9_/+=-])")
+_NUMBERS = {
+    "local_phone": re.compile(r"(?:\((?<![0-9+(.-]\()[0-9]{3}|[0-9](?<![0-9+(.-][0-9])[0-9]{2})\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-]|\.[0-9])"),
+    "national_id": re.compile(r"[0-9](?<![0-9.-][0-9])[0-9]{2}-[0-9]{2}-[0-9]{4}(?![0-9-]|\.[0-9])"),
+    "account": re.compile(r"[A-Z](?<![A-Za-z0-9][A-Z])[A-Z][0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
 }
+# A name is up to three words of letters of any script, of which none begins with a small letter, after one of these.
+_BEFORE_NAME = ("Mr. ", "Mrs. ", "Ms. ", "Dr. ", "My name is ", "my name is ", "Name: ", "name: ", "Contact: ", "contact: ")
+_NAME = re.compile(r"[^\W\d_]++(?:['’-][^\W\d_]++)*+")
 # Words before a span that speak for each kind, words that speak against any, and gazetteers of domain ends and first names.
 _CUES = {
     "email": ("mail", "contact", "write", "reach"),
@@ -54,9 +60,27 @@ _CUES = {
     "person": ("mr", "mrs", "ms", "dr", "name", "contact"),
 }
 _AGAINST = ("version", "isbn", "issn", "doi", "sha", "md5", "commit", "checksum", "http", "https", "src", "href", "page", "figure")
-_ENDS = frozenset("com org net edu gov io de fr es uk eu info co us ch at it nl".split())
-_FIRST_NAMES = frozenset("james mary john linda robert anna michael maria david laura peter paul thomas julia daniel marie jean pierre hans karl jose carlos juan carmen ana luis emma sophie marc claire".split())
-_WORDS = re.compile(r"[A-Za-z]+")
+_ENDS = frozenset(
+    """
+    com org net edu gov mil int info biz name pro mobi aero coop museum io ai app dev xyz online site tech store blog cloud shop
+    ad ae al am ar at au az ba be bg bo br by ca ch ci cl cm cn co cr cu cy cz de dk do dz ec ee eg es eu fi fr ge gh gr gt hk hn hr hu id ie il in
+    iq ir is it jo jp ke kh kr kw kz lb li lk lt lu lv ly ma mc md me mg mk mn mt mx my ng ni nl no np nz om pa pe ph pk pl pr ps pt py qa ro rs ru
+    sa se sg si sk sn sv sy th tn tr tt tv tw tz ua ug uk us uy uz ve vn za zw
+    """.split()
+)
+_FIRST_NAMES = frozenset(
+    """
+    james john robert michael william david richard joseph thomas charles christopher daniel matthew anthony mark paul steven andrew kenneth george
+    mary patricia jennifer linda elizabeth barbara susan jessica sarah karen nancy lisa margaret sandra ashley emily donna michelle laura anna
+    jean pierre michel philippe alain patrick nicolas christophe laurent julien luc louis henri marie nathalie isabelle sylvie catherine françoise
+    anne sophie claire camille julie chloé emma léa hans peter klaus wolfgang jürgen dieter manfred uwe karl stefan thorsten andreas matthias
+    ursula karin helga sabine ingrid renate monika petra susanne birgit heike katja josé antonio manuel francisco juan javier carlos jesús
+    alejandro miguel pedro luis fernando diego pablo carmen josefa isabel dolores pilar teresa ana cristina lucía elena maria rosa marta julia
+    giovanni giuseppe marco luca francesca giulia lars erik anders sven olga ivan dmitri sergei natalia irina wei li ming hiroshi yuki kenji
+    ahmed mohammed ali omar fatima aisha priya raj amit zoë chloe noah liam oliver sofia mia lena jonas lukas felix max
+    """.split()
+)
+_WORDS = re.compile(r"[^\W\d_]+")
 # What widely used kinds of access keys begin with.
 _KEY_STARTS = ("AKIA", "ASIA", "AIza", "ghp_", "gho_", "xoxb-", "xoxp-", "sk-", "sk_live_", "eyJ")
 LABELERS = ("shape", "gazetteer", "cue", "counter_cue", "check")
@@ -64,11 +88,15 @@ LABELERS = ("shape", "gazetteer", "cue", "counter_cue", "check")
 
 @dataclass
 class SpanModel:
-    accepted: dict[str, float]
-    """The classifier's probability for each code."""
+    weights: np.ndarray | None
+    """The classifier's weights of `features`; without any it accepts nothing."""
     reliability: np.ndarray
     """labelers x (not personal, personal): the share of right votes among those it gave, by EM."""
 
+    def probability(self, code: str) -> float:
+        """That a candidate of this code is personal; codes that training has not seen have features too."""
+        return 0.0 if self.weights is None else float(1 / (1 + np.exp(-np.clip(features([code]) @ self.weights, -30, 30)))[0])
+
 
 def luhn(digits: str) -> bool:
     total = 0
@@ -90,21 +118,56 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
             if start < m.start():
                 out.append((start, 0, m.end()))
                 taken = m.end()
-    for m in _IP.finditer(text) if "." in text else ():
-        if all(len(p := x.lstrip("0")) <= 3 and int(p or 0) <= 255 for x in m[0].split(".")):
-            out.append((m.start(), 1, m.end()))
-    for m in _CARD.finditer(text):
-        if m.end() - m.start() >= 12 and 12 <= len(digits := re.sub("[ -]", "", m[0])) <= 19 and luhn(digits):
-            out.append((m.start(), 2, m.end()))
-    for m in _PHONE.finditer(text) if "+" in text else ():
-        if 9 <= sum(c.isdigit() for c in m[0]) <= 15:
-            out.append((m.start(), 3, m.end()))
+    if _DIGIT.search(text):
+        for m in _IP.finditer(text) if "." in text else ():
+            if all(len(p := x.lstrip("0")) <= 3 and int(p or 0) <= 255 for x in m[0].split(".")):
+                out.append((m.start(), 1, m.end()))
+        for m in _CARD.finditer(text):
+            if m.end() - m.start() >= 12 and 12 <= len(digits := re.sub("[ -]", "", m[0])) <= 19 and luhn(digits):
+                out.append((m.start(), 2, m.end()))
+        for m in _PHONE.finditer(text) if "+" in text else ():
+            if 9 <= sum(c.isdigit() for c in m[0]) <= 15:
+                out.append((m.start(), 3, m.end()))
     return [(a, b, BASE[k]) for a, k, b in sorted(out)]
 
 
+def _secrets(text: str) -> Iterator[tuple[int, int]]:
+    """Long runs with a digit. They hold no white space, so only long words are looked at."""
+    at = 0
+    for word in text.split():
+        if len(word) >= SHORTEST_SECRET:
+            at = text.index(word, at)
+            for m in _SECRET.finditer(word):
+                if _DIGIT.search(m[0]):
+                    yield at + m.start(), at + m.end()
+            at += len(word)
+
+
+def _names(text: str) -> Iterator[tuple[int, int]]:
+    """Names after a title or a phrase that announces one."""
+    for cue in _BEFORE_NAME:
+        at = text.find(cue)
+        while at >= 0:
+            begin = end = at + len(cue)
+            # Titles and phrases are words of their own.
+            words = 0 if at and (text[at - 1].isalnum() or text[at - 1] == "_") else 3
+            here = begin
+            while words and (m := _NAME.match(text, here)) and not m[0][0].islower() and (len(m[0]) > 1 or end > begin):
+                end, words = m.end(), words - 1
+                if text[end : end + 1] != " ":
+                    break
+                here = end + 1
+            if end > begin:
+                yield begin, end
+            at = text.find(cue, begin)
+
+
 def _extra_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Candidates of the other kinds, none over a base span or another: leftmost first, then longest."""
-    found = [(m.start(), -m.end(), k) for k, p in _EXTRA.items() for m in p.finditer(text)]
+    found = [(a, -b, "person") for a, b in _names(text)]
+    if _DIGIT.search(text):
+        found += [(a, -b, "secret") for a, b in _secrets(text)]
+        found += [(m.start(), -m.end(), k) for k, p in _NUMBERS.items() for m in p.finditer(text)]
     out, taken, i = [], 0, 0
     blocked = sorted(base)
     for a, b, k in sorted(found):
@@ -126,13 +189,38 @@ def _mod97(account: str) -> int:
     return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97
 
 
+def _shape(span: str, kind: str) -> int:
+    """Whether the span is built as those of its kind usually are."""
+    if kind == "email":
+        domain = span.rpartition("@")[2].split(".")
+        return 1 if domain[-1].isalpha() and len(domain[-1]) > 1 and not any(x[0] == "-" or x[-1] == "-" for x in domain) else -1
+    if kind == "ip":
+        # Four single digits are rather a version or a section.
+        return 1 if any(len(x) > 1 for x in span.split(".")) else -1
+    if kind == "card":
+        sizes = [len(x) for x in re.split("[ -]", span)]
+        return 1 if len(sizes) == 1 or (len(set(sizes[:-1])) == 1 and sizes[0] >= 4) or sizes == [4, 6, 5] else -1
+    if kind == "phone":
+        return 1 if span.count("(") == span.count(")") and not re.search("[ .-]{2}", span) else -1
+    if kind == "secret":
+        # What is words for more than a half is a path or a compound, however long.
+        words = sum(map(len, re.findall("[A-Za-z][a-z]{3,}|[A-Z]{4,}|[0-9]{9,}", span)))
+        return -1 if words * 2 > len(span) or not any(map(str.isalpha, span)) else 1
+    if kind == "local_phone":
+        return 1 if span.count("(") == span.count(")") and ("(" in span or len(set(span[-9:]) & set(" .-")) == 1) else -1
+    if kind == "national_id":
+        return 1 if span[4:6] != "00" and span[7:] != "0000" else -1
+    if kind == "account":
+        return 1 if 15 <= len(span.replace(" ", "")) <= 34 else -1
+    return 1 if " " in span else 0
+
+
 def code(text: str, start: int, end: int, kind: str) -> str:
     """The candidate's kind, the labelers' votes and its shape, as a short text."""
     span = text[start:end]
     before = [w.lower() for w in _WORDS.findall(text[max(0, start - 32) : start])][-3:]
     after = [w.lower() for w in _WORDS.findall(text[end : end + 12])][:1]
     digits = sum(c.isdigit() for c in span)
-    shape = 1 if kind in BASE else 1 if kind in ("national_id", "account", "person") or (kind == "secret" and digits >= 1 and any(map(str.isalpha, span))) or kind == "local_phone" else -1
     names = {w.lower() for w in _WORDS.findall(span)}
     gazetteer = {"email": 1 if span.rpartition(".")[2].lower() in _ENDS else 0, "person": 1 if names & _FIRST_NAMES else 0, "secret": 1 if span.startswith(_KEY_STARTS) else -1 if "/" in span and len(names) > 3 else 0}.get(kind, 0)
     cue = 1 if any(w in _CUES[kind] for w in before) else 0
@@ -148,7 +236,7 @@ def code(text: str, start: int, end: int, kind: str) -> str:
         "account": lambda: 1 if _mod97(span.replace(" ", "")) == 1 else -1,
         "person": lambda: 0,
     }[kind]()
-    votes = "".join("-0+"[v + 1] for v in (shape, gazetteer, cue, counter, check))
+    votes = "".join("-0+"[v + 1] for v in (_shape(span, kind), gazetteer, cue, counter, check))
     share = digits * 4 // max(1, len(span))
     return f"{kind}|{votes}|{min(3, (end - start) // 12)}{min(3, share)}"
 
@@ -162,6 +250,14 @@ def candidates(text: str | None) -> list[tuple[int, int, str, str]]:
     return [(a, b, k, code(text, a, b, k)) for a, b, k in spans]
 
 
+def features(codes: Sequence[str]) -> np.ndarray:
+    """What the classifier sees of codes: their kind, each labeler's vote, and classes of length and of the share of digits."""
+    kind = np.array([KINDS.index(c.split("|")[0]) for c in codes])
+    votes = np.array([["-0+".index(v) for v in c.split("|")[1]] for c in codes])
+    rows = [np.ones(len(codes)), *(kind == k for k in range(len(KINDS))), *(votes[:, j] == v for j in range(len(LABELERS)) for v in (0, 2)), *(np.array([c[-i] == str(s) for c in codes]) for i in (1, 2) for s in range(4))]
+    return np.stack(rows, 1).astype(float)
+
+
 def fit(counts: dict[str, int], rounds: int = 50) -> SpanModel:
     """Reliabilities by EM over the codes' counts, then a logistic regression on kind, votes and shape that learns the posteriors.
 
@@ -170,7 +266,7 @@ def fit(counts: dict[str, int], rounds: int = 50) -> SpanModel:
     """
     codes = sorted(counts)
     if not codes:
-        return SpanModel({}, np.full((len(LABELERS), 2), 0.5))
+        return SpanModel(None, np.full((len(LABELERS), 2), 0.5))
     weight = np.array([counts[c] for c in codes], float)
     kind = np.array([KINDS.index(c.split("|")[0]) for c in codes])
     votes = np.array([["-0+".index(v) for v in c.split("|")[1]] for c in codes])
@@ -192,8 +288,7 @@ def fit(counts: dict[str, int], rounds: int = 50) -> SpanModel:
             log[:, 0] += np.where(voted[:, j], np.log(np.where(up, 1 - right[j, 0], right[j, 0])), 0)
             log[:, 1] += np.where(voted[:, j], np.log(np.where(up, right[j, 1], 1 - right[j, 1])), 0)
         posterior = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -40, 40)))
-    rows = [np.ones(len(codes)), *(kind == k for k in range(len(KINDS))), *(votes[:, j] == v for j in range(len(LABELERS)) for v in (0, 2)), *(np.array([c[-i] == str(s) for c in codes]) for i in (1, 2) for s in range(4))]
-    x = np.stack(rows, 1).astype(float)
+    x = features(codes)
     beta = np.zeros(x.shape[1])
     scale = weight / weight.max() + 1e-3
     for _ in range(30):
@@ -202,7 +297,7 @@ def fit(counts: dict[str, int], rounds: int = 50) -> SpanModel:
         curve = (x * (scale * p * (1 - p) + 1e-9)[:, None]).T @ x + 1e-3 * np.eye(len(beta))
         step = np.linalg.solve(curve, slope)
         beta -= step * min(1.0, 3 / (np.abs(step).max() + 1e-12))
-    return SpanModel(dict(zip(codes, (1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))).tolist(), strict=True)), right)
+    return SpanModel(beta, right)
 
 
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("code", T.StringType())]))
@@ -212,7 +307,7 @@ def with_candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with `candidates`, the spans of each text; a null text is an empty one."""
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        rows = [[{"start": a, "end": b, "kind": k, "code": c} for a, b, k, c in candidates(t)] for t in column(batch, text)]
+        rows = [[{"start": a, "end": b, "kind": k, "code": c} for a, b, k, c in candidates(t)] if t else [] for t in column(batch, text)]
         return [pa.array(rows, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("code", pa.string())])))]
 
     return append_columns(docs, run, [T.StructField("candidates", _SPANS)])
@@ -224,23 +319,28 @@ def learn(spans: DataFrame) -> SpanModel:
     return fit({r[0]: r[1] for r in counts.collect()})
 
 
-def _chosen(model: SpanModel, spans: list[tuple[int, int, str, str]], threshold: float) -> Iterator[tuple[int, int, str]]:
-    for a, b, k, c in spans:
-        if k in BASE or model.accepted.get(c, 0.0) >= threshold:
-            yield a, b, k
+def _chooser(model: SpanModel, threshold: float) -> Callable[[list], list[tuple[int, int, str]]]:
+    """Of a row's candidates (start, end, kind, code) the base spans and those that the classifier accepts."""
+    accepts = lru_cache(maxsize=1 << 16)(lambda code: model.probability(code) >= threshold)
+    return lambda spans: [(s["start"], s["end"], s["kind"]) for s in spans if s["kind"] in BASE or accepts(s["code"])]
 
 
 def detect(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
     """Per row of docs: key, n_email, n_ip, n_card, n_phone (base spans), base_sha256 of the base spans and spans, all of them, as
-    kind:start:end by start and kind, joined with commas (code points, end exclusive), and n_added. Null text: no spans."""
+    kind:start:end by start and kind, joined with commas (code points, end exclusive), and n_added.
+
+    A null text has no spans, a very long one is taken whole, an empty table gives no rows. Repeated rows count and are returned as often as
+    they come; other columns are left out. Spans that begin at one place are in the order of KINDS.
+    """
     found = written(with_candidates(docs.select(F.col(key).alias(key), F.col(text).alias("_text")), "_text").drop("_text"), "spans")
     shared = docs.sparkSession.sparkContext.broadcast(learn(found))
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         counts: list[list[int]] = []
         sha, joined = [], []
+        choose = _chooser(shared.value, threshold)
         for spans in column(batch, "candidates"):
-            all_spans = list(_chosen(shared.value, [(s["start"], s["end"], s["kind"], s["code"]) for s in spans], threshold))
+            all_spans = choose(spans)
             kinds = [k for _, _, k in all_spans]
             counts.append([*(kinds.count(k) for k in BASE), sum(k not in BASE for k in kinds)])
             sha.append(hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in all_spans if k in BASE).encode()).hexdigest())
@@ -263,14 +363,26 @@ def mask(text: str, spans: list[tuple[int, int, str]]) -> str:
 
 
 def redact(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """docs with each found span replaced by its kind; other rows and a null text are unchanged."""
-    shared = docs.sparkSession.sparkContext.broadcast(learn(with_candidates(docs.select(F.col(text).alias("_text")), "_text").drop("_text")))
+    """docs with each found span replaced by its kind; other rows and columns, and a null text, are unchanged.
+
+    Candidates are searched once and written with the rows. Repeated rows stay, and an empty table gives no rows.
+    """
+    named = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    own = f"c{docs.columns.index(text)}"
+    found = written(with_candidates(named, own), "candidates")
+    shared = docs.sparkSession.sparkContext.broadcast(learn(found))
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        out = []
-        for t in column(batch, text):
-            spans = list(_chosen(shared.value, candidates(t), threshold)) if t else []
-            out.append(mask(t, spans) if spans else t)
+        choose = _chooser(shared.value, threshold)
+        texts = batch.column(batch.schema.get_field_index(own))
+        some = np.flatnonzero(batch.column(batch.schema.get_field_index("candidates")).value_lengths().to_numpy())
+        if not len(some):
+            return [texts]
+        out = texts.to_pylist()
+        rows = batch.column(batch.schema.get_field_index("candidates")).take(pa.array(some)).to_pylist()
+        for i, spans in zip(some.tolist(), rows, strict=True):
+            out[i] = mask(out[i], choose(spans))
         return [pa.array(out, pa.string())]
 
-    return append_columns(docs, run, [T.StructField(text, T.StringType())]).select(docs.columns)
+    rows = append_columns(found, run, [T.StructField(own, T.StringType())])
+    return rows.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))

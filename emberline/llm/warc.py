@@ -1,13 +1,14 @@
 """WARC archives of pages and a two-level capture index over them.
 
-Archives are Zstandard WARC files: each record is a frame of its own, so it can be read alone from its offset. Spark's text writer puts
-the frames' bytes into the shared folder (its commit protocol discards a lost task's files); its line separator is an empty skippable
-frame, which decoders pass over.
+Archives are Zstandard WARC files of at most ARCHIVE_BYTES (or of one record): each record is a frame of its own, so it can be read alone
+from its offset. Spark's text writer puts the frames' bytes into the shared folder (its commit protocol discards a lost task's files); its
+line separator is an empty skippable frame, which decoders pass over. A task begins a new archive when one is full.
 
 The index has a line per record, sorted by the URL with its host reversed, in compressed blocks of equal line counts; the directory
 holds each block's first and last key. Blocks get as many lines as keep the directory under MAX_DIRECTORY rows, so it can be
-broadcast at any corpus size. A look-up searches the directory, then the lines of the blocks found, and reads the
-records' byte ranges from their archives only.
+broadcast at any corpus size. A look-up searches the directory, then the lines of the blocks found. Records are then read by their byte
+ranges: tasks sort what they are to read by file and offset, seek, and read neighbours in one go. That takes a path that Python can open
+(a folder mounted everywhere, or a store that pyarrow knows); from one that only Spark's readers reach, whole archives are read and sliced.
 """
 
 from __future__ import annotations
@@ -26,10 +27,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import append_columns, column, shared_path, written
+from .common import column, shared_path, slices, written
 
 SEPARATOR = b"P*M\x18\x00\x00\x00\x00"
-RECORDS_PER_FILE = 2000
+ARCHIVE_BYTES = 32 << 20
+READ_BYTES = 8 << 20
+"""Neighbouring records are read together up to so many bytes."""
+READ_GAP = 1 << 16
+"""Bytes between two records that are read over rather than sought over."""
 LINES_PER_BLOCK = 3000
 MAX_DIRECTORY = 500_000
 BROADCAST_ROWS = 200_000
@@ -94,7 +99,7 @@ def _id(text: str | None) -> int | None:
     return int(found[1]) if found else None
 
 
-def write(pages: DataFrame, path: str, min_revisit: int = 0, key: str = "page_id", url: str = "url", html: str = "html") -> None:
+def write(pages: DataFrame, path: str, min_revisit: int = 0, key: str = "page_id", url: str = "url", html: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> None:
     """A record for each row of pages, in archives under path.
 
     The payload is html in UTF-8, of null none. Of equal payloads of at least min_revisit bytes the smallest key's record is the
@@ -106,18 +111,22 @@ def write(pages: DataFrame, path: str, min_revisit: int = 0, key: str = "page_id
     groups = written(groups.where("n > 1").drop("n"), "payloads")
     rows = rows.join(F.broadcast(groups) if groups.count() <= BROADCAST_ROWS else groups, "digest", "left")
 
-    def pack(batch: pa.RecordBatch) -> list[pa.Array]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compress = zstandard.ZstdCompressor(level=3, write_checksum=True).compress
-        frames = []
-        for name, link, body, digest, first in zip(*(column(batch, c) for c in ("key", "url", "html", "digest", "first")), strict=True):
-            kind = "revisit" if first is not None and name is not None and name != first else "response"
-            frames.append(compress(record(kind, str(name), link, body.encode("utf-8", "surrogatepass"), digest, str(first))))
-        return [pa.array(frames, pa.binary())]
-
-    from pyspark.sql import types as T
-
-    frames = append_columns(rows, pack, [T.StructField("frame", T.BinaryType())]).select(F.col("frame").cast("string").alias("value"))
-    frames.write.option("lineSep", SEPARATOR.decode()).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+        roll = size = 0
+        for batch in slices(batches):
+            frames, rolls = [], []
+            for name, link, body, digest, first in zip(*(column(batch, c) for c in ("key", "url", "html", "digest", "first")), strict=True):
+                kind = "revisit" if first is not None and name is not None and name != first else "response"
+                frame = compress(record(kind, str(name), link, body.encode("utf-8", "surrogatepass"), digest, str(first)))
+                if size and size + len(frame) > archive_bytes:
+                    roll, size = roll + 1, 0
+                size += len(frame) + len(SEPARATOR)
+                frames.append(frame), rolls.append(roll)
+            yield pa.RecordBatch.from_arrays([pa.array(frames, pa.binary()), pa.array(rolls, pa.int32())], names=["frame", "roll"])
+
+    frames = rows.select("key", "url", "html", "digest", "first").mapInArrow(pack, "frame binary, roll int").select(F.col("frame").cast("string").alias("value"), "roll")
+    frames.write.partitionBy("roll").option("lineSep", SEPARATOR.decode()).text(path)
 
 
 def records(content: bytes) -> Iterator[tuple[int, int, bytes]]:
@@ -220,12 +229,83 @@ def look_up(keys: DataFrame, blocks: DataFrame) -> DataFrame:
     return wanted.groupBy("block").cogroup(blocks.select("block", "lines").groupBy("block")).applyInPandas(search, "key string, page long, file string, offset long, length long")
 
 
+def _open(path: str):
+    """The file of a path as Spark writes it, to seek and read in. Raises if Python reaches no such path."""
+    if (local := re.sub("^file:/+", "/", path)).startswith("/"):
+        return open(local, "rb")
+    from pyarrow import fs
+
+    store, name = fs.FileSystem.from_uri(path)
+    return store.open_input_file(name)
+
+
+def _seekable(archive: str) -> bool:
+    if re.match("(file:)?/", archive):
+        return True
+    from pyarrow import fs
+
+    try:
+        fs.FileSystem.from_uri(archive)
+    except (pa.ArrowException, ValueError, OSError):
+        return False
+    return True
+
+
+_READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+
+
+def _checked(data: bytes) -> tuple:
+    """The row of a record; its payload is checked against its digest."""
+    r = parse(data)
+    h = r["headers"]
+    digest = h["WARC-Payload-Digest"].removeprefix("sha1:")
+    if r["payload"] is not None and base64.b32encode(hashlib.sha1(r["payload"]).digest()).decode() != digest:
+        raise ValueError(f"the payload of {h['WARC-Record-ID']} doesn't have its digest")
+    return _id(h["WARC-Record-ID"]), h["WARC-Target-URI"], r["length"], digest, r["kind"], _id(h.get("WARC-Refers-To")), r["payload"]
+
+
 def read(captures: DataFrame, archive: str) -> DataFrame:
-    """The records of captures (file, offset, length) by byte range: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload.
+    """The records of captures (file, offset, length; a written table): page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload.
 
     Each payload is checked against its digest. payload is null of a revisit; its record's payload_bytes are those of the payload it refers to.
-    An archive has at most RECORDS_PER_FILE records. captures should be a written table.
+    Repeated captures give repeated rows, no captures no rows.
     """
+    if not _seekable(archive):
+        return _read_whole(captures, archive)
+    total = captures.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor()
+        name, file = None, None
+        try:
+            for batch in batches:
+                files, offsets, lengths = (column(batch, c) for c in ("file", "offset", "length"))
+                i = 0
+                while i < len(files):
+                    if files[i] != name:
+                        if file is not None:
+                            file.close()
+                        name, file = files[i], _open(files[i])
+                    j, end = i + 1, offsets[i] + lengths[i]
+                    while j < len(files) and files[j] == name and offsets[j] - end <= READ_GAP and offsets[j] + lengths[j] - offsets[i] <= READ_BYTES:
+                        end = max(end, offsets[j] + lengths[j])
+                        j += 1
+                    file.seek(offsets[i])
+                    data = file.read(end - offsets[i])
+                    rows = [_checked(expand.decompressobj().decompress(data[o - offsets[i] : o - offsets[i] + n])) for o, n in zip(offsets[i:j], lengths[i:j], strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()), strict=True)], names=[f.split()[0] for f in _READ.split(", ")])
+                    i = j
+        finally:
+            if file is not None:
+                file.close()
+
+    # A task reads about one archive's bytes; what is wanted of an archive is one task's, in the order of the file.
+    parts = max(1, -(-total // ARCHIVE_BYTES))
+    return captures.select("file", "offset", "length").repartition(parts, "file").sortWithinPartitions("file", "offset").mapInArrow(fetch, _READ)
+
+
+def _read_whole(captures: DataFrame, archive: str) -> DataFrame:
+    """The same where Spark's readers alone reach the archives: each wanted one is read whole and sliced; a task holds one at a time."""
     wanted = captures.select("file").distinct()
     n = max(1, wanted.count())
     # A look-up of a few pages opens their archives only; beyond MAX_PATHS the folder is listed.
@@ -233,22 +313,13 @@ def read(captures: DataFrame, archive: str) -> DataFrame:
     files = _files(captures.sparkSession, paths or archive).withColumnRenamed("path", "file")
 
     def fetch(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
         expand = zstandard.ZstdDecompressor()
-        for content in right["content"] if len(left) else ():
-            for offset, length in zip(left["offset"], left["length"], strict=True):
-                r = parse(expand.decompressobj().decompress(content[offset : offset + length]))
-                h = r["headers"]
-                digest = h["WARC-Payload-Digest"].removeprefix("sha1:")
-                if r["payload"] is not None and base64.b32encode(hashlib.sha1(r["payload"]).digest()).decode() != digest:
-                    raise ValueError(f"the payload of {h['WARC-Record-ID']} doesn't have its digest")
-                out.append((_id(h["WARC-Record-ID"]), h["WARC-Target-URI"], r["length"], digest, r["kind"], _id(h.get("WARC-Refers-To")), r["payload"]))
-        names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
-        return pd.DataFrame(out, columns=names).astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64"})
-
-    schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+        spans = zip(left["offset"], left["length"], strict=True)
+        out = [_checked(expand.decompressobj().decompress(right["content"][0][at : at + length])) for at, length in spans] if len(right) else []
+        return pd.DataFrame(out, columns=[f.split()[0] for f in _READ.split(", ")]).astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64"})
+
     # As many partitions as archives: a task gets a few of them, whatever the session's number of shuffle partitions is.
-    return captures.repartition(n, "file").groupBy("file").cogroup(files.repartition(n, "file").groupBy("file")).applyInPandas(fetch, schema)
+    return captures.repartition(n, "file").groupBy("file").cogroup(files.repartition(n, "file").groupBy("file")).applyInPandas(fetch, _READ)
 
 
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", with_payload: bool = False) -> DataFrame:

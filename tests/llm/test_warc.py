@@ -1,11 +1,12 @@
 import base64
 import hashlib
 
+import numpy as np
 import pytest
 import zstandard
 
 from emberline.llm import warc
-from emberline.llm.common import shared_path
+from emberline.llm.common import shared_path, written
 
 
 @pytest.fixture(scope="module")
@@ -59,3 +60,32 @@ def test_damage_is_noticed(spark, pages):
     assert warc.parse(good)["payload"] == b"abc"
     with pytest.raises(ValueError):
         warc.parse(good[:-5])
+
+
+def test_archives_are_bounded_by_bytes_and_read_by_range(spark, monkeypatch):
+    """Pages of several MB that don't compress: an archive holds a few, and a look-up reads no more than the records' bytes."""
+    rng = np.random.default_rng(0)
+    rows = [(i, f"http://h{i % 5}.org/{i}", rng.integers(0x4E00, 0x9FFF, 1_500_000 if i < 4 else 2000).astype("<u2").tobytes().decode("utf-16-le")) for i in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    path = shared_path(spark, "warc")
+    warc.write(pages, path, archive_bytes=6 << 20)
+    sizes = [r.length for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("length").collect()]
+    assert len(sizes) >= 3 and max(sizes) <= 6 << 20
+    found = written(warc.look_up(spark.createDataFrame([("org,h2)/7",), ("org,h1)/1",)], "key string"), warc.index(spark, path)), "found")
+    got = {r.page_id: (r.url, bytes(r.payload)) for r in warc.read(found, path).collect()}
+    assert got == {i: (rows[i][1], rows[i][2].encode()) for i in (7, 1)}
+    assert {r.page_id for r in warc._read_whole(found, path).collect()} == {7, 1}
+    assert warc.read(found.where("false"), path).count() == 0
+
+
+def test_a_file_is_opened_once_and_read_in_order(tmp_path, spark, monkeypatch):
+    path = shared_path(spark, "warc")
+    warc.write(spark.range(300).selectExpr("id AS page_id", "concat('http://a.org/', id) AS url", "repeat(cast(id AS string), 50) AS html").coalesce(1), path)
+    found = written(warc.look_up(spark.range(0, 300, 3).selectExpr("concat('org,a)/', id) AS key"), warc.index(spark, path)), "found")
+    assert sorted(r.page_id for r in warc.read(found, path).collect()) == list(range(0, 300, 3))
+    monkeypatch.setattr(warc, "READ_GAP", -1)
+    assert sorted(r.page_id for r in warc.read(found, path).collect()) == list(range(0, 300, 3))
+
+
+def test_paths_that_only_spark_reads_are_told():
+    assert warc._seekable("file:///tmp/x") and warc._seekable("/tmp/x") and not warc._seekable("viewfs://cluster/x")
