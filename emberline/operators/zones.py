@@ -284,15 +284,16 @@ def add_ob(
     return df.withColumns(out).drop(*used, "last_pivot_high", "last_pivot_low", "last_pivot_high_idx", "last_pivot_low_idx")
 
 
-def ob_mitigation_pass(*, keep_last_n: int = 3) -> Pass:
-    """Whether a recent order block of each side is unbroken, and the bars that first come back to one."""
+def ob_mitigation_pass(*, keep_last_n: int = 3, by_side: bool = False) -> Pass:
+    """Whether a recent order block of each side is unbroken, and the bars that first come back to one; by_side: to one of which side, too."""
 
     def start() -> Callable:
         live: dict[str, list[_Zone]] = {s: [] for s in BULL_BEAR}
 
         def step(bar: int, h: float, low: float, *blocks: float) -> tuple:
-            any_, retest = [], 0
+            any_, retests = [], []
             for k, side in enumerate(BULL_BEAR):
+                retest = 0
                 on, hi, lo = blocks[3 * k : 3 * k + 3]
                 if hi is not None:
                     live[side] = _registered(live[side], bar, on, lo, hi, bar, keep_last_n)
@@ -306,20 +307,22 @@ def ob_mitigation_pass(*, keep_last_n: int = 3) -> Pass:
                     still.append(z)
                 live[side] = still
                 any_.append(int(bool(still)))
-            return (*any_, retest)
+                retests.append(retest)
+            return (*any_, max(retests), *(retests if by_side else ()))
 
         return step
 
     inputs = ["bar_idx", "high", "low", *(f"ob_{s}{x}" for s in BULL_BEAR for x in ("", "_high", "_low"))]
-    return start, inputs, [("ob_unmitigated_bull", INT), ("ob_unmitigated_bear", INT), ("ob_first_retest", INT)]
+    outputs = [("ob_unmitigated_bull", INT), ("ob_unmitigated_bear", INT), ("ob_first_retest", INT)]
+    return start, inputs, outputs + [(f"ob_first_retest_{s}", INT) for s in BULL_BEAR] * by_side
 
 
-def add_ob_mitigation(df: DataFrame, *, keep_last_n: int = 3, keys: Sequence[str] = KEYS) -> DataFrame:
+def add_ob_mitigation(df: DataFrame, *, keep_last_n: int = 3, by_side: bool = False, keys: Sequence[str] = KEYS) -> DataFrame:
     """See ob_mitigation_pass; without order blocks there is nothing to watch."""
     df = with_bar_index(df, keys)
     none = F.lit(None).cast("double")
     df = df.withColumns({f"ob_{s}{x}": v for s in BULL_BEAR for x, v in (("", F.lit(0)), ("_high", none), ("_low", none)) if f"ob_{s}{x}" not in df.columns})
-    return scan(df, [ob_mitigation_pass(keep_last_n=keep_last_n)], keys)
+    return scan(df, [ob_mitigation_pass(keep_last_n=keep_last_n, by_side=by_side)], keys)
 
 
 def add_liquidity_sweep(

@@ -278,7 +278,7 @@ oe AS (SELECT ob.*, od.u, od.d, f.atrx AS fa FROM ob LEFT JOIN od ON od.instrume
 AMD_TEMPLATE = """
 , am AS (
   SELECT *, CASE WHEN i >= 19 THEN max(high) OVER w END AS bh, CASE WHEN i >= 19 THEN min(low) OVER w END AS bl, greatest(least(high, lag(high) OVER o) - greatest(low, lag(low) OVER o), 0) / nullif(greatest(high, lag(high) OVER o) - least(low, lag(low) OVER o), 0) AS ov, abs(close - lag(close) OVER o) AS mv,
-    abs(close - lag(close, 19) OVER o) AS net, CASE WHEN i >= 49 THEN len(list_filter(list(round(atrx, 10)) OVER f, lambda v: v <= round(atrx, 10))) / 50.0::DOUBLE * 100 END AS pct
+    abs(close - lag(close, 19) OVER o) AS net, CASE WHEN count(atrx) OVER f = 50 THEN len(list_filter(list(round(atrx, 10)) OVER f, lambda v: v <= round(atrx, 10))) / 50.0::DOUBLE * 100 END AS pct
   FROM d2 WINDOW o AS (PARTITION BY instrument ORDER BY i), w AS (PARTITION BY instrument ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), f AS (PARTITION BY instrument ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)
 ), an AS (
   SELECT *, bh - bl AS bw, (bh + bl) / 2 AS bm, CASE WHEN i >= 1 AND count(CASE WHEN i >= 1 THEN ov END) OVER t = 10 THEN avg(CASE WHEN i >= 1 THEN ov END) OVER t END AS os, net / nullif(CASE WHEN count(mv) OVER w = 20 THEN sum(mv) OVER w END, 0) AS ef, coalesce(abs(bh - high) <= (bh - bl) * 0.10, FALSE)::INT AS th, coalesce(abs(low - bl) <= (bh - bl) * 0.10, FALSE)::INT AS tl

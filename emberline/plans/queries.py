@@ -18,7 +18,7 @@ from ..operators.amd import AMD_OUTPUTS
 from ..operators.foundation import bollinger
 from ..sources import candles
 from ..streaming import bars as streaming
-from . import catalog, setups
+from . import setups
 from .pipeline import build_all_indicators
 
 
@@ -39,9 +39,9 @@ def enriched(spark: SparkSession, sf_dir: str, every: str = "hour") -> DataFrame
 
 
 def shown(df: DataFrame, columns: Sequence[str], digits: int = 6) -> DataFrame:
-    """instrument, t (seconds) and the columns, doubles rounded."""
+    """instrument, t (seconds) and the columns, doubles rounded; sums of squares over a whole series, of which AVWAP is made, to two digits."""
     kinds = dict(df.dtypes)
-    fix = lambda c: F.round(F.col(c), digits).alias(c) if kinds[c] == "double" else F.col(c).cast("long").alias(c) if kinds[c] in ("int", "bigint") else F.col(c)
+    fix = lambda c: F.round(F.col(c), 2 if c.startswith("avwap") else digits).alias(c) if kinds[c] == "double" else F.col(c).cast("long").alias(c) if kinds[c] in ("int", "bigint") else F.col(c)
     return df.select("instrument", F.unix_timestamp("timestamp").alias("t"), *(fix(c) for c in columns))
 
 
@@ -216,18 +216,37 @@ def higher_timeframe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def confirmed_sweeps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sweeps on 4-hour bars and the first change of character on hourly bars within a day after."""
+    """Sweeps on 4-hour bars and the first change of character on 15-minute bars within a day after."""
     high = bars(spark, sf_dir, "4 hours")
     sweeps = op.add_liquidity_sweep(op.add_swings(high)).where("sweep_side <> 0").select("instrument", "timestamp", "sweep_side")
-    low = op.add_choch(op.add_bos(op.add_trend_state(op.add_swings(bars(spark, sf_dir)))))
+    low = op.add_choch(op.add_bos(op.add_trend_state(op.add_swings(bars(spark, sf_dir, "15 minutes")))))
     out = setups.confirmed_below(sweeps, low, 4 * 3600, 86400)
     return shown(out.withColumn("confirmed_t", F.unix_timestamp("confirmed_at")), ["sweep_side", "confirmed_t"])
 
 
-def live_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The full stack's columns, with how many bars ahead each looks."""
-    names = [c for c in enriched(spark, sf_dir).columns if catalog.entry_of(c)]
-    return spark.createDataFrame([(c, catalog.entry_of(c).look_ahead) for c in names], "column string, look_ahead long")
+def _rejected(spark: SparkSession, sf_dir: str, events: DataFrame) -> DataFrame:
+    out = setups.rejected_below(events.select("instrument", "timestamp", "side"), bars(spark, sf_dir, "15 minutes"), 3600, 7200)
+    return shown(out.withColumn("rejected_t", F.unix_timestamp("rejected_at")), ["side", "rejected_t"])
+
+
+def block_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First retests of hourly order blocks of one side, and the 15-minute bar that rejects there within two hours."""
+    rows = op.add_ob_mitigation(op.add_ob(op.ensure_atr(with_bar_index(bars(spark, sf_dir)))), by_side=True)
+    return _rejected(spark, sf_dir, rows.withColumn("side", F.col("ob_first_retest_bull") - F.col("ob_first_retest_bear")).where("side <> 0"))
+
+
+def inversion_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly gap inversions of one side, and the 15-minute bar that rejects there within two hours."""
+    rows = op.add_ifvg(op.add_fvg(op.ensure_atr(with_bar_index(bars(spark, sf_dir)))))
+    return _rejected(spark, sf_dir, rows.withColumn("side", F.col("ifvg_bull") - F.col("ifvg_bear")).where("side <> 0"))
+
+
+def zone_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly bars against the last 4-hour gap and the daily trend."""
+    zones = op.add_fvg(op.ensure_atr(with_bar_index(bars(spark, sf_dir, "4 hours"))), merge_overlaps=False)
+    daily = op.add_trend_state(op.add_swings_causal(bars(spark, sf_dir, "day")))
+    out = setups.zone_entries(bars(spark, sf_dir), zones, 4 * 3600, daily, 86400)
+    return shown(out, ["htf_zone_low", "htf_zone_high", "htf_zone_side", "htf_bias", "in_htf_zone", "zone_entry"])
 
 
 def costs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,12 +311,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "order_blocks": _with_atr(op.add_ob), "ob_mitigation": _with_atr(op.add_ob_mitigation, op.add_ob), "equal_hl": _with_atr(op.add_equal_hl, _swings),
     "amd_features": _with_atr(op.add_amd_features, op.add_displacement_candle), "amd_state": _with_atr(op.add_amd_state, op.add_displacement_candle, _loose), "amd_labels": _with_atr(op.add_amd_labels, op.add_displacement_candle, _loose, op.add_amd_state),
     "amd_engine": _with_atr(lambda d: op.add_amd_engine(d, add_labels=True, **LOOSE)),
-    "anchored_vwap": _query(lambda d: op.compute_anchored_vwap(d, 50), digits=2), "avwap_from_last_swing": _with_atr(op.add_avwap_from_last_swing, _swings, digits=2),
+    "anchored_vwap": _query(lambda d: op.compute_anchored_vwap(d, 50)), "avwap_from_last_swing": _with_atr(op.add_avwap_from_last_swing, _swings),
     "asian_session": _query(op.add_asian_session_hl), "prev_day": _query(op.add_prev_day_hl), "prev_week": _query(op.add_prev_week_hl), "round_numbers": _with_atr(lambda d: op.add_round_number_flag(d, "XAU_USD")),
     "session": _query(op.add_session_classifier), "time_features": _query(op.add_time_features), "regime": _with_atr(op.add_regime, op.add_foundation, _swings, _trend),
     "volume_profile": _with_atr(op.add_volume_profile), "volume_profile_last": volume_profile_last, "full_pipeline": full_pipeline,
     "setup_fvg": _setup(setups.add_fvg_context), "setup_blocks": _setup(setups.add_block_context), "setup_sweeps": _setup(setups.add_sweep_context, setups.add_zone_confluence), "setup_pullbacks": _setup(setups.add_pullbacks, setups.add_broken_level_sweep),
-    "setup_phases": _setup(setups.add_phase_context), "setup_confirmed": confirmed_sweeps, "setup_gated": lambda spark, sf_dir: shown(setups.gated(enriched(spark, sf_dir)), ["close", "regime", "session"]), "higher_timeframe": higher_timeframe, "costs": costs, "event_proximity": event_proximity, "smt_divergence": smt, "stream_bars": stream_of_bars, "stream_phases": stream_of_phases, "live_catalog": live_catalog,
+    "setup_phases": _setup(setups.add_phase_context), "setup_confirmed": confirmed_sweeps, "setup_block_rejection": block_rejections, "setup_inversion_rejection": inversion_rejections, "setup_zone_entry": zone_entries, "setup_gated": lambda spark, sf_dir: shown(setups.gated(enriched(spark, sf_dir)), ["close", "regime", "session"]), "higher_timeframe": higher_timeframe, "costs": costs, "event_proximity": event_proximity, "smt_divergence": smt, "stream_bars": stream_of_bars, "stream_phases": stream_of_phases,
     "q_time_slice": time_slice, "q_detector_events": detector_events, "q_last_events": last_events, "q_indicator_ranges": indicator_ranges, "q_flag_rates": flag_rates, "q_regime_distribution": regime_distribution,
     "q_trend_distribution": trend_distribution, "q_warm_up_gaps": warm_up_gaps, "q_latest_rows": latest_rows, "q_series_coverage": series_coverage, "q_latest_snapshot": latest_snapshot,
 }

@@ -58,15 +58,14 @@ def add_block_context(df: DataFrame, within: int = 3, keys: Sequence[str] = KEYS
 
 
 def add_sweep_context(df: DataFrame) -> DataFrame:
-    """Of sweeps: divergence, weak volume, prior tests of the level, place at a live zone, and timing in a session."""
+    """Of sweeps: divergence, weak volume, prior tests of the level, and timing in the first two hours of London or New York."""
     high, low = F.col("sweep_high") == 1, F.col("sweep_low") == 1
-    hours = F.col("hours_since_session") < 2
     return df.withColumns(
         {
             "sweep_with_divergence": flag((high & (F.col("rsi_div_bearish") == 1)) | (low & (F.col("rsi_div_bullish") == 1))),
             "sweep_on_low_volume": flag((high | low) & (F.col("vol_below_avg") == 1)),
             "sweep_prior_tests": F.when(high, F.col("equal_highs_count")).when(low, F.col("equal_lows_count")),
-            "sweep_in_session_open": flag((high | low) & hours & F.col("session").isin(1, 2, 3)),
+            "sweep_in_session_open": flag((high | low) & _side("london_open", "ny_open")),
         }
     )
 
@@ -149,15 +148,28 @@ def with_costs(df: DataFrame, target: str = "target", stop: str = "stop", side:
     return df.withColumns({"cost": cost, "target_net": F.col(target) - sign * cost, "stop_net": F.col(stop) + sign * cost})
 
 
-def near_events(df: DataFrame, events: DataFrame, hours: int = 48, at: str = "event_ts") -> DataFrame:
-    """df with near_event: an event within so many hours before or after. Both sides meet by day, so each bar is compared with a few days' events."""
-    days = -(-hours // 24)
-    spread_out = events.select(F.col(at).cast("timestamp").alias("_e")).distinct()
-    spread_out = spread_out.select("_e", F.explode(F.sequence(F.lit(-days), F.lit(days))).alias("_d")).select("_e", F.date_add(F.to_date("_e"), F.col("_d")).alias("_day"))
-    by_day = spread_out.groupBy("_day").agg(F.collect_set("_e").alias("_events"))
-    out = df.withColumn("_day", F.to_date("timestamp")).join(by_day, "_day", "left")
-    close = F.exists("_events", lambda e: F.abs(F.unix_timestamp(e) - F.unix_timestamp("timestamp")) <= hours * 3600)
-    return out.withColumn("near_event", flag(close)).drop("_day", "_events")
+def near_events(df: DataFrame, events: DataFrame, hours: int = 48, at: str = "event_ts", chunk: str = "1 day") -> DataFrame:
+    """df with near_event: an event within so many hours before or after.
+
+    Events and bars are cut into chunks of time. The last event before a bar, and the first after it, is one of its chunk's, or the last or first
+    of the nearest chunk that has any: two windows within chunks, and one over a row a chunk. No bar meets more than one event on each side.
+    """
+    of = lambda c: F.window(c, chunk)["start"].alias("_chunk")
+    times = events.select(F.col(at).cast("timestamp").alias("_e")).where("_e is not null").distinct()
+    bounds = times.groupBy(of("_e")).agg(F.min("_e").alias("_first"), F.max("_e").alias("_last"))
+    named = df.withColumn("_chunk", of("timestamp"))
+    chunks = named.select("_chunk").distinct().join(bounds, "_chunk", "full")
+    # One row for each chunk of time, however many bars and events it has.
+    before, after = Window.orderBy("_chunk").rowsBetween(FIRST, -1), Window.orderBy("_chunk").rowsBetween(1, Window.unboundedFollowing)
+    chunks = chunks.select("_chunk", F.last("_last", True).over(before).alias("_past"), F.first("_first", True).over(after).alias("_next"))
+    mine = named.select("_chunk", F.col("timestamp").alias("_at"), F.struct(*df.columns).alias("_row"))
+    both = times.select(of("_e"), F.col("_e").alias("_at"), F.col("_e")).unionByName(mine, allowMissingColumns=True)
+    # Rows of one time see each other, so an event at a bar's own time counts.
+    order = Window.partitionBy("_chunk").orderBy("_at")
+    both = both.withColumns({"_a": F.last("_e", True).over(order), "_b": F.first("_e", True).over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing))}).where("_row is not null")
+    both = both.join(chunks, "_chunk", "left")
+    apart = lambda e: F.coalesce(F.abs(F.unix_timestamp(e) - F.unix_timestamp("_at")) <= hours * 3600, F.lit(False))
+    return both.select("_row.*", flag(apart(F.coalesce("_a", "_past")) | apart(F.coalesce("_b", "_next"))).alias("near_event"))
 
 
 def add_smt_divergence(df_primary: DataFrame, df_correlated: DataFrame, inverse: bool = True) -> DataFrame:
@@ -193,17 +205,52 @@ def add_phase_context(df: DataFrame, within: int = 20, keys: Sequence[str] = KEY
     )
 
 
-def confirmed_below(events: DataFrame, low: DataFrame, seconds: int, within: int, on: Sequence[str] = ("instrument",)) -> DataFrame:
-    """events (rows of a higher timeframe, a bar being known `seconds` after its timestamp) with the first CHoCH bar of the lower one within so many
-    seconds after that, its body at least 60 % of its range; NULL if there is none.
+def first_below(events: DataFrame, hits: DataFrame, seconds: int, within: int, name: str, on: Sequence[str] = ("instrument",)) -> DataFrame:
+    """events (rows of a higher timeframe, a bar being known `seconds` after its timestamp) with the time of the first of the lower timeframe's hits
+    within so many seconds after that; NULL if there is none.
 
-    The lower bars' confirmations go into one order by time with the events, latest first, and the last one seen is the next in time: no range join.
+    Hits go into one order by time with the events, latest first, and the last one seen is the next in time: no range join. on may have more
+    columns that both sides share, a direction for instance.
     """
-    good = low.where(((F.col("choch_bull") == 1) | (F.col("choch_bear") == 1)) & (F.abs(F.col("close") - F.col("open")) >= 0.6 * (F.col("high") - F.col("low"))))
-    hits = good.select(*on, F.col("timestamp").alias("_at"), F.lit(0).alias("_rank"), F.col("timestamp").alias("_hit"))
+    marks = hits.select(*on, F.col("timestamp").alias("_at"), F.lit(0).alias("_rank"), F.col("timestamp").alias("_hit"))
     body = [c for c in events.columns if c not in on]
     mine = events.select(*on, F.timestamp_seconds(F.unix_timestamp("timestamp") + seconds).alias("_at"), F.lit(1).alias("_rank"), F.struct(*body).alias("_row"))
     w = Window.partitionBy(*on).orderBy(F.col("_at").desc(), "_rank").rowsBetween(FIRST, 0)
-    both = hits.unionByName(mine, allowMissingColumns=True).withColumn("_next", F.last("_hit", True).over(w)).where("_rank = 1")
+    both = marks.unionByName(mine, allowMissingColumns=True).withColumn("_next", F.last("_hit", True).over(w)).where("_rank = 1")
     near = F.unix_timestamp("_next") - F.unix_timestamp("_at") <= within
-    return both.select(*on, "_row.*", F.when(near, F.col("_next")).alias("confirmed_at"))
+    return both.select(*on, "_row.*", F.when(near, F.col("_next")).alias(name))
+
+
+def confirmed_below(events: DataFrame, low: DataFrame, seconds: int, within: int, on: Sequence[str] = ("instrument",)) -> DataFrame:
+    """events with confirmed_at, the first CHoCH bar of the lower timeframe whose body is at least 60 % of its range; see first_below."""
+    good = low.where(((F.col("choch_bull") == 1) | (F.col("choch_bear") == 1)) & (F.abs(F.col("close") - F.col("open")) >= 0.6 * (F.col("high") - F.col("low"))))
+    return first_below(events, good, seconds, within, "confirmed_at", on)
+
+
+def rejections(low: DataFrame) -> DataFrame:
+    """Bars that close the way of their side (1 up, -1 down) after a wick the other way longer than their body."""
+    top, bottom = F.greatest("open", "close"), F.least("open", "close")
+    up = (bottom - F.col("low") > top - bottom) & (F.col("close") > F.col("open"))
+    down = (F.col("high") - top > top - bottom) & (F.col("close") < F.col("open"))
+    return low.withColumn("side", F.when(up, 1).when(down, -1)).where("side is not null")
+
+
+def rejected_below(events: DataFrame, low: DataFrame, seconds: int, within: int, on: Sequence[str] = ("instrument", "side")) -> DataFrame:
+    """events, which have a side, with rejected_at: the first bar of the lower timeframe that rejects on that side; see first_below."""
+    return first_below(events, rejections(low), seconds, within, "rejected_at", on)
+
+
+def zone_entries(low: DataFrame, zones: DataFrame, zone_seconds: int, daily: DataFrame, daily_seconds: int, keys: Sequence[str] = KEYS) -> DataFrame:
+    """low with the last gap of a higher timeframe (htf_zone_low, htf_zone_high, htf_zone_side) and the daily trend (htf_bias) as they are known at each bar,
+    in_htf_zone if the bar reaches into that gap, and zone_entry if the trend is of the gap's side too.
+
+    zones are the higher bars with fvg_candidates: a gap is told by the bar after it.
+    """
+    w = ordered(keys)
+    gap = lambda s, side: F.struct(F.col(f"fvg_{s}_low").alias("low"), F.col(f"fvg_{s}_high").alias("high"), F.lit(side).alias("side"))
+    told = zones.withColumn("_z", F.lag(F.when(F.col("fvg_bull") == 1, gap("bull", 1)).when(F.col("fvg_bear") == 1, gap("bear", -1))).over(w))
+    told = told.withColumn("_z", F.last("_z", True).over(so_far(keys))).select("instrument", "timestamp", *(F.col(f"_z.{x}").alias(f"zone_{x}") for x in ("low", "high", "side")))
+    out = as_of(low, told, ["zone_low", "zone_high", "zone_side"], zone_seconds)
+    out = as_of(out, daily.select("instrument", "timestamp", F.col("trend_state").alias("bias")), ["bias"], daily_seconds)
+    inside = (F.col("low") <= F.col("htf_zone_high")) & (F.col("high") >= F.col("htf_zone_low"))
+    return out.withColumns({"in_htf_zone": flag(inside), "zone_entry": flag(inside & (F.col("htf_bias") == F.col("htf_zone_side")))})
