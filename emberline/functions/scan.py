@@ -41,6 +41,8 @@ def scan(df: DataFrame, passes: Sequence[Pass], keys: Sequence[str] = KEYS) -> D
     keep = [f for f in df.schema.fields if f.name not in made]
     schema = T.StructType(keep + [T.StructField(n, t) for n, t in made.items()])
     arrow = {n: to_arrow_type(t) for n, t in made.items()}
+    # What a pass reads from those before it.
+    earlier = [{n for _, _, outputs in passes[:k] for n, _ in outputs} for k in range(len(passes))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         series: tuple | None = None
@@ -48,6 +50,7 @@ def scan(df: DataFrame, passes: Sequence[Pass], keys: Sequence[str] = KEYS) -> D
         for batch in batches:
             at = {n: i for i, n in enumerate(batch.schema.names)}
             columns: dict[str, list] = {}
+            fresh: dict[str, list] = {n: [] for n in made}
 
             def values(name: str) -> list:
                 if name not in columns:
@@ -56,7 +59,6 @@ def scan(df: DataFrame, passes: Sequence[Pass], keys: Sequence[str] = KEYS) -> D
 
             names = list(zip(*(values(k) for k in keys), strict=True))
             cuts = [i for i in range(len(names)) if names[i] != (names[i - 1] if i else series)] + [len(names)]
-            out: list[list[tuple]] = [[] for _ in passes]
             begin = 0
             runs = []
             for cut in cuts:
@@ -66,14 +68,11 @@ def scan(df: DataFrame, passes: Sequence[Pass], keys: Sequence[str] = KEYS) -> D
                 if a < b and names[a] != series:
                     series, steps = names[a], [start() for start, _, _ in passes]
                 for k, (_, inputs, outputs) in enumerate(passes):
-                    rows = zip(*(values(c)[a:b] for c in inputs), strict=True)
+                    rows = zip(*((fresh[c] if c in earlier[k] else values(c))[a:b] for c in inputs), strict=True)
                     got = [steps[k](*row) for row in rows]
-                    out[k] += got
-                    if k + 1 < len(passes):
-                        for j, (n, _) in enumerate(outputs):
-                            columns[n] = (columns[n][:a] if a else []) + [r[j] for r in got]
-            columns.update({n: [r[j] for r in out[k]] for k, (_, _, outputs) in enumerate(passes) for j, (n, _) in enumerate(outputs)})
-            arrays = [batch.column(at[f.name]) for f in keep] + [pa.array(columns[n], t) for n, t in arrow.items()]
+                    for n, made_ in zip((n for n, _ in outputs), zip(*got, strict=True) if got else ([] for _ in outputs), strict=True):
+                        fresh[n] += made_
+            arrays = [batch.column(at[f.name]) for f in keep] + [pa.array(fresh[n], t) for n, t in arrow.items()]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.fieldNames())
 
     return dealt(df, keys).sortWithinPartitions(*keys, ORDER).mapInArrow(run, schema)

@@ -23,11 +23,18 @@ from .pipeline import build_all_indicators
 
 
 def ticks(spark: SparkSession, sf_dir: str, one: bool = False) -> DataFrame:
-    """Events as ticks with a price of 2000 and a walk of whole cents; one: all events are one series."""
+    """Events as ticks with a price of 2000 and a walk of whole cents; one: all events are one series.
+
+    The walk is a running sum within each day, plus the days' sums before it: no task gets more than a day's ticks of an instrument.
+    """
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.lit("ALL").alias("instrument") if one else F.col("event_type").alias("instrument"), "ts", "event_id", "value")
-    w = Window.partitionBy("instrument").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    moved = F.sum(F.round(F.col("value") * 100).cast("long") - 4963).over(w)
-    return events.withColumn("price", (200000 + F.floor(moved / F.lit(50.0))) / F.lit(100.0))
+    events = events.withColumns({"_day": F.to_date("ts"), "_move": F.round(F.col("value") * 100).cast("long") - 4963})
+    days = events.groupBy("instrument", "_day").agg(F.sum("_move").alias("_sum"))
+    before = Window.partitionBy("instrument").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select("instrument", "_day", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_begin"))
+    within = Window.partitionBy("instrument", "_day").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    walk = events.withColumn("_within", F.sum("_move").over(within)).join(days, ["instrument", "_day"])
+    return walk.select("instrument", "ts", "event_id", "value", ((200000 + F.floor((F.col("_begin") + F.col("_within")) / F.lit(50.0))) / F.lit(100.0)).alias("price"))
 
 
 def bars(spark: SparkSession, sf_dir: str, every: str = "hour", one: bool = False) -> DataFrame:
