@@ -7,7 +7,8 @@
    that one class has alone count as posted and make no row.
 3. In each posting list one class - that with the most company in its lists - is compared with the others, so a list gives as many
    pairs as it has rows. Confirmed pairs are merged into components.
-4. Lists that still hold several components are compared across components, long lists in blocks dealt over tasks: collisions over
+4. Lists that still hold several components are compared across components, long lists in blocks dealt over tasks. A block is a part of
+   a band of set sizes and meets its own and the next band only, as sets of other bands are too unlike in size: collisions over
    whole signatures are counted in numpy, in descending order, and a pair that links found by then connect is skipped. Sets of up to
    CARRIED shingles come along and settle their pairs there, so a block gives at most as many links as it has classes. Other pairs are
    given once, by the first list that both share. Nothing is capped: each pair with enough collisions is compared or already connected.
@@ -19,6 +20,7 @@ A pair at a threshold of 0.85 agrees on fewer than 14 of 32 posted coordinates w
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -201,6 +203,30 @@ def _cross_links(lists: DataFrame, matches: int, share: float, percent: int) ->
     return lists.repartition("value", "x", "y").sortWithinPartitions("value", "x", "y").mapInArrow(run, "a long, b long, sure boolean")
 
 
+def _blocks(at: DataFrame, share: float) -> DataFrame:
+    """Rows of lists with the block of each, once for each pair of blocks (x, y) in which it meets others. Needs value, cls, root and n_shingles.
+
+    Lists of one component are left out. A longer one than BLOCK is cut into bands of set sizes, a factor of 1 / share wide, and those into
+    blocks: a set reaches the share with its own band's and the neighbours' only.
+    """
+    several = at.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high")
+    at = at.join(written(several, "lists").select("value", "size"), "value")
+    # A little wider than the factor, so that rounding sets no two sizes at the threshold more than a band apart.
+    band = F.floor(F.log(F.col("n_shingles").cast("double")) / (max(-math.log(share), 0.01) * (1 + 1e-9))).cast("int")
+    at = at.withColumn("band", F.when(F.col("size") > BLOCK, band).otherwise(0)).drop("size")
+    bands = written(at.groupBy("value", "band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "bands")
+    # Up to three bands, each with its number of blocks.
+    met = bands.select("value", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("seen_by"), F.struct("band", "blocks").alias("met"))
+    met = met.groupBy("value", "seen_by").agg(F.collect_list("met").alias("met")).withColumnRenamed("seen_by", "band")
+    name = lambda band, k: F.shiftleft(band.cast("long"), 32) + k
+    at = at.join(met, ["value", "band"])
+    mine = F.aggregate("met", F.lit(0), lambda n, m: n + F.when(m["band"] == F.col("band"), m["blocks"]).otherwise(0))
+    at = at.withColumn("block", name(F.col("band"), F.pmod(F.xxhash64("cls"), mine)))
+    other = F.flatten(F.transform("met", lambda m: F.transform(F.sequence(F.lit(0), m["blocks"] - 1), lambda k: name(m["band"], k))))
+    at = at.withColumn("other", F.explode(other))
+    return at.select("value", "cls", "root", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+
+
 def _sets(rows: DataFrame, docs: DataFrame, text: str, n: int) -> DataFrame:
     """row and shingles for the documents whose keys are in the written table rows."""
     if rows.count() <= BROADCAST_ROWS:
@@ -225,17 +251,15 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, text: str,
     return pairs.where(100 * both >= percent * (F.col("na") + F.col("nb") - both)).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, percent: int = 85, matches: tuple[int, int] = MATCHES) -> DataFrame:
-    """One row per row of docs: key, n_shingles, component_id (smallest key reachable over links), kept (key = component_id).
+def _grouped(docs: DataFrame, n: int, percent: int, matches: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """Of docs (key, text): a written row per row (row, key, n_shingles, set_id), and per class of equal sets (set_id, first, root).
 
-    Two texts are linked if their sets of n-word shingles share at least percent % of their union. Texts that are null or
-    without words are linked with nothing. Repeated rows of a key are in one component and equally kept; a null key is
-    no component's id unless all its keys are null.
+    row is a hash of key and text; first is the class's smallest key, nulls last, with the row hash that goes with it.
     """
-    docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     share = percent / 100
     rows = written(profiles(docs.withColumn("row", F.xxhash64("key", "text")), "text", n), "profiles", "none")
-    classes = rows.where("set_id is not null").groupBy("set_id").agg(F.min("key").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"), F.min("row").alias("row"))
+    classes = rows.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row")).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+    classes = classes.withColumn("row", F.col("first.row"))
     classes = written(classes.withColumn("cls", F.monotonically_increasing_id()), "classes", "none")
     prefixes = _postings(classes, matches[0])
     postings = prefixes.select("cls", F.explode("prefix").alias("value"), "company")
@@ -247,15 +271,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     found = written(components(links), "found")
 
     at = postings.drop("company").join(found.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    several = written(at.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where("low <> high"), "lists")
-    at = at.join(several.select("value", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "value")
-    at = at.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    at = at.join(classes.select("cls", "n_shingles"), "cls")
+    at = written(_blocks(at, share), "blocks")
     meeting = written(at.select("cls").distinct().join(prefixes.select("cls", "prefix"), "cls").join(classes.select("cls", "n_shingles", "signature", "row"), "cls"), "meeting", "none")
     sets = _sets(written(meeting.where(F.col("n_shingles") <= CARRIED).select("row"), "rows"), docs, "text", n)
     meeting = meeting.join(sets, "row", "left").drop("row").withColumn("shingles", F.coalesce("shingles", F.array().cast("array<bigint>")))
     at = at.join(written(meeting, "meeting", "none"), "cls")
-    # A block's classes go where they meet each of the list's blocks, their own included.
-    at = at.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).withColumns({"x": F.least("block", "other"), "y": F.greatest("block", "other")}).drop("other", "blocks")
     rest = written(_cross_links(at, matches[1], share, percent), "rest").distinct()
     open_ = written(rest.where("not sure").select("a", "b").join(stars, ["a", "b"], "left_anti"), "open")
     more = rest.where("sure").select("a", "b")
@@ -264,10 +285,42 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     links = written(links.union(more), "links")
     found = written(components(links), "found")
 
-    roots = classes.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("set_id", "least", F.coalesce("root", "cls").alias("root"))
-    roots = written(roots, "roots")
-    least = written(roots.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    roots = classes.join(found.withColumnRenamed("node", "cls"), "cls", "left").select("set_id", "first", F.coalesce("root", "cls").alias("root"))
+    return rows.select("row", "key", "n_shingles", "set_id"), written(roots, "roots")
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, percent: int = 85, matches: tuple[int, int] = MATCHES) -> DataFrame:
+    """One row per row of docs: key, n_shingles, component_id (smallest key reachable over links), kept (key = component_id).
+
+    Two texts are linked if their sets of n-word shingles share at least percent % of their union. Texts that are null or
+    without words are linked with nothing. Repeated rows of a key are in one component and equally kept; a null key is
+    no component's id unless all its keys are null. Other columns of docs are left out, whatever their names; an empty table gives no row.
+    """
+    rows, roots = _grouped(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), n, percent, matches)
+    least = written(roots.groupBy("root").agg(F.min("first")["key"].alias("component_id")), "least")
     named = written(roots.select("set_id", "root").join(least, "root").select("set_id", "component_id"), "named")
-    out = rows.select("key", "n_shingles", "set_id").join(named, "set_id", "left")
+    out = rows.join(named, "set_id", "left")
     out = out.withColumn("component_id", F.when(F.col("set_id").isNull(), F.col("key")).otherwise(F.col("component_id")))
     return out.select(F.col("key").alias(key), "n_shingles", "component_id", F.col("key").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 3, percent: int = 85, matches: tuple[int, int] = MATCHES) -> DataFrame:
+    """docs with exactly one row of each group of linked texts, that of the smallest key; of its texts, the one with the smallest row hash.
+
+    Unlike `kept`, it tells rows of one key apart: of repeated rows one stays (any, where they differ in other columns only), and a key's
+    texts stay or go by their own groups. A null key stays only where its group has no other. Rows whose text is null or without words are in
+    no group and all stay. Columns stay as they are; an empty table gives no row.
+    """
+    rows, roots = _grouped(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), n, percent, matches)
+    firsts = roots.groupBy("root").agg(F.min("first").alias("first")).select("first.key", "first.row")
+    same = rows["key"].eqNullSafe(firsts["key"]) & (rows["row"] == firsts["row"])
+    times = rows.where("set_id is not null").join(firsts, same, "left_semi").groupBy("key", "row").agg(F.count("*").alias("times"))
+    keep = written(times.union(rows.where("set_id is null").groupBy("key", "row").agg(F.lit(1).cast("long"))), "keep")
+    named = docs.withColumn("_row", F.xxhash64(key, text))
+    here = lambda of: named[key].eqNullSafe(of["key"]) & (named["_row"] == of["row"])
+    once, several = keep.where("times = 1"), keep.where("times > 1")
+    out = named.join(once, here(once), "left_semi")
+    if several.count():
+        # Repeated rows alone are shuffled to be told apart, each partly on its own side first.
+        out = out.union(named.join(several, here(several), "left_semi").dropDuplicates([key, "_row"]))
+    return out.drop("_row")

@@ -82,6 +82,32 @@ def test_odd_rows(spark, odd_docs, no_docs, monkeypatch):
     assert neardup.near_duplicates(no_docs).count() == 0
 
 
+def test_long_lists_of_many_sizes(spark, monkeypatch):
+    """One passage in texts of many lengths: long lists in bands of sizes, with links within a band and across its borders."""
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(120)]
+    rows = [(i, " ".join(passage + [f"q{rng.randrange(10**6)}" for _ in range(rng.choice((0, 5, 18, 22, 40, 90, 150)))])) for i in range(120)]
+    rows += [(200 + i, " ".join([*passage, *(f"s{j}" for j in range(k))])) for i, k in enumerate(range(0, 300, 12))]
+    got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute(rows)
+
+
+def test_one_row_of_each_group(spark, odd_docs, no_docs):
+    rng = random.Random(5)
+    text = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(4)]
+    rows = [(3, text[0], "a"), (3, text[0], "a"), (3, text[0], "b"), (1, text[0] + " more", "c"), (1, text[1], "d"), (7, text[1], "e"), (7, text[2], "f")]
+    rows += [(None, text[2], "g"), (None, text[3], "h"), (None, text[3], "h"), (9, None, "i"), (9, None, "i"), (9, " ", "j")]
+    got = neardup.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, row string")).collect()
+    # 1 comes before 3 and 7, each of 1's texts in its own group; null comes last; what has no words stays.
+    want = [(1, text[0] + " more", "c"), (1, text[1], "d"), (7, text[2], "f"), (None, text[3], "h"), (9, None, "i"), (9, None, "i"), (9, " ", "j")]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    out = neardup.one_of_each(odd_docs)
+    assert out.columns == odd_docs.columns and neardup.one_of_each(no_docs).count() == 0
+    with_words = [tuple(r) for r in out.collect() if shingles(r.text, 3)]
+    assert len(with_words) == len({r[1] for r in with_words})
+
+
 def test_components(spark):
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(40)] + [(100 + rng.randrange(60), 100 + rng.randrange(60)) for _ in range(40)] + [(200, 200 + i) for i in range(50)] + [(5, 5), (None, 3)]

@@ -55,6 +55,14 @@ def test_stages_take_odd_rows(spark, sf, odd_docs, no_docs, stage):
     assert stage(spark, no_docs, sf).count() == 0
 
 
+def test_exact_copies_do_not_survive(spark, sf, stages):
+    """Every row twice, and each text under its id and under another: what stays is what stays of the rows alone."""
+    known, single = stages[1], stages[2]
+    twice = known.union(known).union(known.withColumn("doc_id", known["doc_id"] + 10**9))
+    got = cp.drop_near_duplicates(spark, twice, sf)
+    assert sorted(r.doc_id for r in got.select("doc_id").collect()) == sorted(r.doc_id for r in single.select("doc_id").collect())
+
+
 def test_packing_takes_odd_rows(spark, sf, odd_docs, no_docs):
     assert {r.doc_id for r in cp.pack(spark, odd_docs, sf).collect()} == {r.doc_id for r in odd_docs.collect()}
     assert cp.pack(spark, no_docs, sf).count() == 0
