@@ -113,8 +113,8 @@ def macd(fast: int, slow: int, signal: int) -> Callable[[Number], tuple[Number,
 def rolling_rank(n: int) -> Callable[[Number], tuple[Number, Number]]:
     """Percentile rank (0-100) of a value among the last n, by the average and by the highest rank of its ties; NULL unless there are n.
 
-    The window is kept sorted, so a step costs a search instead of n comparisons. Values that differ after the tenth decimal only are ties,
-    so rounding noise of sums does not decide ranks.
+    The window is kept sorted, so a step costs a search instead of n comparisons. Values that agree in ten significant digits are ties,
+    so rounding noise of sums does not decide ranks, whatever the scale of a series' prices.
     """
     window: deque[Number] = deque()
     in_order: list[float] = []
@@ -122,7 +122,7 @@ def rolling_rank(n: int) -> Callable[[Number], tuple[Number, Number]]:
     def step(x: Number) -> tuple[Number, Number]:
         if len(window) == n and (old := window.popleft()) is not None:
             del in_order[bisect_left(in_order, old)]
-        x = None if x is None else round(x, 10)
+        x = None if x is None else float(f"{x:.10g}")
         window.append(x)
         if x is not None:
             insort(in_order, x)

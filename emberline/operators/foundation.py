@@ -6,6 +6,8 @@ The recursive ones asked for together run in one pass over each series (`smooth`
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import wraps
+from inspect import signature
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -66,18 +68,36 @@ def rank_pass(col: str, n: int, average: str | None = None, highest: str | None
     return start, [col], [(name, T.DoubleType()) for name in (average, highest) if name]
 
 
+def _or_length(fn: Callable) -> Callable:
+    """fn that also takes its period by the name of length, which wins over period."""
+    names = signature(fn)
+
+    @wraps(fn)
+    def run(*args: object, length: int | None = None, **kwargs: object) -> object:
+        given = names.bind_partial(*args, **kwargs)
+        if length is not None:
+            given.arguments["period"] = length
+        return fn(*given.args, **given.kwargs)
+
+    return run
+
+
+@_or_length
 def ema_task(period: int, col: str = "close") -> Task:
     return (col,), (f"ema_{period}",), lambda: rec.ema(period)
 
 
+@_or_length
 def atr_task(period: int = 14) -> Task:
     return ("_tr",), (f"atr_{period}",), lambda: rec.rma(period)
 
 
+@_or_length
 def rsi_task(period: int = 14) -> Task:
     return ("_change",), (f"rsi_{period}",), lambda: rec.rsi(period)
 
 
+@_or_length
 def adx_task(period: int = 14) -> Task:
     return ("_tr", "_plus", "_minus"), (f"adx_{period}", f"dmp_{period}", f"dmn_{period}"), lambda: rec.adx(period)
 
@@ -98,14 +118,17 @@ def with_atr(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     return df if "atr_14" in df.columns else smooth(df, [atr_task(14)], keys)
 
 
+@_or_length
 def compute_ema(df: DataFrame, period: int = 20, col: str = "close", keys: Sequence[str] = KEYS) -> DataFrame:
     return smooth(df, [ema_task(period, col)], keys)
 
 
+@_or_length
 def sma(col: str, period: int = 20, keys: Sequence[str] = KEYS) -> Column:
     return mean(F.col(col), period, keys)
 
 
+@_or_length
 def bollinger(period: int = 20, std: float = 2.0, keys: Sequence[str] = KEYS) -> tuple[Column, Column, Column]:
     """Lower band, middle, upper band."""
     close = F.col("close")
@@ -137,6 +160,7 @@ def adx_columns(df: DataFrame, period: int = 14, keys: Sequence[str] = KEYS) ->
     return df.withColumns({**{f"adx_above_{x}": flag(a > x) for x in (20, 25, 40)}, "adx_delta_3": a - F.lag(a, 3).over(ordered(keys))}).drop(f"dmp_{period}", f"dmn_{period}")
 
 
+@_or_length
 def add_adx(df: DataFrame, period: int = 14, keys: Sequence[str] = KEYS) -> DataFrame:
     return adx_columns(smooth(df, [adx_task(period)], keys), period, keys)
 
@@ -146,6 +170,7 @@ def rsi_columns(df: DataFrame, period: int = 14, keys: Sequence[str] = KEYS) ->
     return df.withColumns({"rsi_above_50": flag(r > 50), "rsi_above_70": flag(r > 70), "rsi_below_30": flag(r < 30), "rsi_delta_3": r - F.lag(r, 3).over(ordered(keys))})
 
 
+@_or_length
 def add_rsi(df: DataFrame, period: int = 14, keys: Sequence[str] = KEYS) -> DataFrame:
     return rsi_columns(smooth(df, [rsi_task(period)], keys), period, keys)
 
@@ -160,6 +185,7 @@ def add_macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, key
     return macd_columns(smooth(df, [macd_task(fast, slow, signal)], keys), keys)
 
 
+@_or_length
 def add_atr(df: DataFrame, period: int = 14, keys: Sequence[str] = KEYS) -> DataFrame:
     return smooth(df, [atr_task(period)], keys, [rank_pass(f"atr_{period}", 50, "atr_pct_50")])
 
@@ -173,6 +199,7 @@ def _bb_flags(df: DataFrame) -> DataFrame:
     return df.withColumns({f"bb_width_below_{x}": flag(F.col("bb_width_pct_50") < x) for x in (30, 40)})
 
 
+@_or_length
 def add_bb_width(df: DataFrame, period: int = 20, std: float = 2.0, keys: Sequence[str] = KEYS) -> DataFrame:
     return _bb_flags(scan(_bb_width(df, period, std, keys), [rank_pass("bb_width", 50, "bb_width_pct_50")], keys))
 

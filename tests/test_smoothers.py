@@ -81,3 +81,18 @@ def test_smooth_runs_all_tasks_in_one_pass(spark):
     assert df._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
     assert smooth(candles(spark, [(1, 2, 0, 1)]), [((("_tr"),), ("x",), lambda: rec.rma(1))]).first().x == 2.0
     assert candles(spark, [(1, 2, 0, 1)]).select(true_range()).first()[0] == 2.0
+
+
+def test_length_is_another_name_of_period(spark):
+    bars = candles(spark, walk(random.Random(8), 40))
+    assert column(op.compute_ema(bars, 20, length=5), "ema_5") == column(op.compute_ema(bars, 5), "ema_5")
+    assert column(op.add_rsi(bars, length=7), "rsi_7") == column(op.add_rsi(bars, 7), "rsi_7")
+
+
+def test_ranks_do_not_depend_on_the_scale():
+    values = [3.0, 1.0, 2.0, 2.0, 5.0, 1.0, 4.0]
+    ranks = [[step(v * scale) for v in values] for scale, step in ((s, rec.rolling_rank(4)) for s in (1.0, 1e-12, 1e9))]
+    assert ranks[0] == ranks[1] == ranks[2]
+    step = rec.rolling_rank(2)
+    step(0.3)
+    assert step(0.1 + 0.2) == (75.0, 100.0)

@@ -25,6 +25,22 @@ def test_landing_files_are_named_by_series(spark, tmp_path):
     assert sorted((r.instrument, r.timeframe, r.volume, r.spread) for r in out.collect()) == [("USOIL", "D", 7, 270), ("XAU_USD", "H1", 7, 270)]
 
 
+def test_database_round_trip(spark):
+    """Appends twice to a database in memory and reads one series back; the conditions reach the database."""
+    url = "jdbc:derby:memory:candles;create=true"
+    kinds = {"createTableColumnTypes": "instrument varchar(20), timeframe varchar(8)"}
+    mine = candles(spark, [(1, 2, 0, 1, 7), (1, 3, 0, 2, 8)], "XAU_USD")
+    others = candles(spark, [(1, 2, 0, 1, 9)], "USOIL").union(candles(spark, [(1, 2, 0, 1, 9)], "XAU_USD", "D"))
+    for part in (mine, others):
+        src.write_jdbc(part.withColumns({"volume": F.col("volume").cast("long"), "spread": F.lit(270)}), url, **kinds)
+    out = src.read_jdbc(spark, url, "XAU_USD", "H1")
+    assert [(r.high, r.volume, r.spread) for r in out.orderBy("timestamp").collect()] == [(2.0, 7, 270), (3.0, 8, 270)]
+    spark.conf.set("spark.sql.maxMetadataStringLength", 1000)
+    plan = out.select("*")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "EqualTo(instrument,XAU_USD)" in plan and "EqualTo(timeframe,H1)" in plan
+
+
 def test_table_prunes_pushes_down_and_loads_once(spark, tmp_path):
     path = str(tmp_path / "candles")
     bars = candles(spark, walk(random.Random(1), 50), "A").union(candles(spark, walk(random.Random(2), 50), "B", "D", hours=24))
