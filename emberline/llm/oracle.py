@@ -84,4 +84,48 @@ sums AS (
 SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || size || ':' || text_crc32 || ':0'), 1, 15) AS BIGINT), doc_id, size, text_crc32) - 1 AS slot, CAST(grown AS INTEGER) AS grown_shard FROM sums JOIN shards USING (hash)
 """
 
-SQL: dict[str, str] = {"op1_preference_formatting": _PREFERENCE, "op3_warc_index": _WARC, "op4_decontamination": _DECONTAMINATION, "op6_near_duplicates": _NEAR_DUPLICATES, "op7_jump_shards": _SHARDS, "op10_repetition": _REPETITION}
+# Paths of edits go turn by turn, one row a grammar state (0 start, 1 system, 2 user, 3 assistant): the cheapest, and the least audit of those.
+_REPAIR = r"""
+WITH RECURSIVE steps AS (SELECT n, n AS c, 0 AS k FROM range(256) AS bytes(n) UNION ALL SELECT n, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM steps WHERE k < 8),
+crcs AS (SELECT list(c ORDER BY n) AS remainders FROM steps WHERE k = 8),
+kinds AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))), '..'), lambda h: CAST('0x' || h AS BIGINT))),
+      lambda a, x: xor(a // 256, remainders[xor(a, x) % 256 + 1])), 4294967295) % 20 AS kind
+  FROM conversations, crcs
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM kinds, (VALUES (1), (2)) AS copies(n) WHERE kind <> 0 AND (n = 1 OR kind = 3)
+), numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM damaged),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS copy, left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) || left(role, 1) AS follows FROM numbered),
+marked AS (SELECT *, CASE WHEN body = '' THEN 'blank' WHEN copy > 1 THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS mark FROM seen),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (mark = 'blank') AS blank, count(*) FILTER (mark = 'duplicate') AS duplicate, count(*) FILTER (mark = 'truncated') AS truncated,
+    count(*) FILTER (follows NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM marked GROUP BY conv_id
+), moves AS (FROM (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)) AS moves(q, x, r)),
+roles AS (FROM (VALUES ('u', 'user'), ('a', 'assistant')) AS roles(x, name)),
+edits AS (
+  SELECT q, q AS r, 'D' AS letter, 4 AS price, '' AS x, '' AS name FROM (VALUES (0), (1), (2), (3)) AS states(q)
+  UNION ALL SELECT q, r, 'K', 0, x, '' FROM moves
+  UNION ALL SELECT q, r, 'R', 3, '', name FROM moves JOIN roles USING (x)
+), inserts AS (
+  SELECT q, q AS r, 0 AS n, '' AS lines FROM (VALUES (0), (1), (2), (3)) AS states(q)
+  UNION ALL SELECT inserts.q, moves.r, n + 1, lines || chr(10) || name || ':' FROM inserts JOIN moves ON moves.q = inserts.r JOIN roles USING (x) WHERE n < 3
+), paths AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, 0 AS q, 0 AS cost, '' AS audit, '' AS lines FROM marked
+  UNION ALL
+  SELECT conv_id, i, q, cost, audit, lines FROM (
+    SELECT *, row_number() OVER (PARTITION BY conv_id, q ORDER BY cost, audit) AS best FROM (
+      SELECT p.conv_id, t.i, e.r AS q, p.cost + 3 * s.n + e.price + CASE WHEN mark = 'truncated' AND letter <> 'D' THEN 3 ELSE 0 END AS cost, p.audit || repeat('I', s.n) || letter AS audit,
+        p.lines || s.lines || CASE letter WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || role || ':' || text ELSE chr(10) || name || ':' || text END AS lines
+      FROM paths p JOIN marked t ON t.conv_id IS NOT DISTINCT FROM p.conv_id AND t.i = p.i + 1 JOIN inserts s ON s.q = p.q JOIN edits e ON e.q = s.r AND (letter = 'D' OR mark IN ('', 'truncated')) AND (letter <> 'K' OR x = left(role, 1))
+    )
+  ) WHERE best = 1
+), ended AS (
+  SELECT p.conv_id, p.cost + 3 * s.n AS cost, p.audit || repeat('I', s.n) AS audit, p.lines || s.lines AS lines FROM paths p JOIN counts c ON c.conv_id IS NOT DISTINCT FROM p.conv_id AND c.n = p.i JOIN inserts s ON s.q = p.q WHERE s.r IN (0, 3)
+), repaired AS (SELECT * FROM ended QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) = 1)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(substr(coalesce(lines, ''), 2)) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+SQL: dict[str, str] = {"op1_preference_formatting": _PREFERENCE, "op3_warc_index": _WARC, "op4_decontamination": _DECONTAMINATION, "op6_near_duplicates": _NEAR_DUPLICATES, "op7_jump_shards": _SHARDS, "op10_repetition": _REPETITION, "op11_conversation_repair": _REPAIR}

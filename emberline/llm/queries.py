@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classlm, decontam, langid, neardup, packing, pii, preference, repetition, sharding, warc
+from . import classlm, decontam, langid, neardup, packing, pii, preference, repair, repetition, sharding, warc
 from .common import document_id
 from .oracle import SQL
 
@@ -73,6 +73,15 @@ def op10_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = repair.repair(repair.damaged(turns)).withColumnRenamed("conv_id", "conv")
+    whole = turns.select("conv_id").distinct().join(rows, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    none = F.array().cast("array<struct<role:string,text:string>>")
+    return whole.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), repair.digest(F.coalesce("repaired", none)).alias("repaired_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -85,6 +94,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_preference_formatting, op2_language_id, op3_warc_index, op4_decontamination, op5_personal_data, op6_near_duplicates,
-        op7_jump_shards, op8_class_lm, op9_best_fit_packing, op10_repetition, pipeline,
+        op7_jump_shards, op8_class_lm, op9_best_fit_packing, op10_repetition, op11_conversation_repair, pipeline,
     )
 }
