@@ -128,4 +128,31 @@ SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coales
 FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM o.conv_id
 """
 
-SQL: dict[str, str] = {"op1_preference_formatting": _PREFERENCE, "op3_warc_index": _WARC, "op4_decontamination": _DECONTAMINATION, "op6_near_duplicates": _NEAR_DUPLICATES, "op7_jump_shards": _SHARDS, "op10_repetition": _REPETITION, "op11_conversation_repair": _REPAIR}
+_TERMS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_SEARCH = f"""
+WITH docs AS (SELECT row_number() OVER () AS d, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_TERMS}') AS w FROM documents),
+totals AS (SELECT CAST(count(*) FILTER (len(w) > 0) AS BIGINT) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_all FROM docs),
+asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all({_LOWER.format('text')}, '{_TERMS}')) AS term FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL)) GROUP BY ALL),
+hits AS (SELECT d, doc_id, len(w) AS n, term, count(*) AS tf FROM (SELECT d, doc_id, w, unnest(w) AS term FROM docs) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM hits, totals GROUP BY term, n_docs),
+scores AS (
+  SELECT item_id, d, doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_all)))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (term) JOIN hits USING (term), totals GROUP BY item_id, d, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM scores WHERE score > 0 QUALIFY rank <= 10
+"""
+
+_SKETCH = r"""list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: substr(md5(array_to_string(w[i:i + 4], ' ')), 1, 16))))[1:128]"""
+_FINGERPRINTS = rf"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lead(text) OVER t, first_value(text) OVER t, '') AS next FROM documents WINDOW t AS (ORDER BY doc_id NULLS FIRST, text NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+edits AS (SELECT *, substr(text, 1, length(text) - length(text) // 2) || substr(next, 1, length(text) // 2) AS edited FROM docs),
+splits AS (SELECT *, ['', '', '', ''] || regexp_extract_all(lower(text), '{_WORDS}') AS w0, ['', '', '', ''] || regexp_extract_all(lower(edited), '{_WORDS}') AS w1, ['', '', '', ''] || regexp_extract_all(lower(next), '{_WORDS}') AS w2 FROM edits),
+sketches AS (SELECT *, {_SKETCH.replace('w', 'w0')} AS a, {_SKETCH.replace('w', 'w1')} AS b, {_SKETCH.replace('w', 'w2')} AS c FROM splits),
+unions AS (SELECT *, list_sort(list_distinct(a || b))[1:128] AS ab, list_sort(list_distinct(a || c))[1:128] AS ac FROM sketches)
+SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, array_to_string(a, '') AS fingerprint, array_to_string(b, '') AS edited_fingerprint,
+  CASE WHEN len(ab) = 0 THEN 1.0 ELSE CAST(len(list_filter(ab, lambda x: list_contains(a, x) AND list_contains(b, x))) AS DOUBLE) / len(ab) END AS near_edited,
+  CASE WHEN len(ac) = 0 THEN 1.0 ELSE CAST(len(list_filter(ac, lambda x: list_contains(a, x) AND list_contains(c, x))) AS DOUBLE) / len(ac) END AS near_next
+FROM unions
+"""
+
+SQL: dict[str, str] = {"op1_preference_formatting": _PREFERENCE, "op3_warc_index": _WARC, "op4_decontamination": _DECONTAMINATION, "op6_near_duplicates": _NEAR_DUPLICATES, "op7_jump_shards": _SHARDS, "op10_repetition": _REPETITION, "op11_conversation_repair": _REPAIR, "op12_ranked_search": _SEARCH, "op13_fingerprints": _FINGERPRINTS}

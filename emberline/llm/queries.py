@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classlm, decontam, langid, neardup, packing, pii, preference, repair, repetition, sharding, warc
+from . import classlm, decontam, langid, neardup, packing, pii, preference, repair, repetition, search, sharding, sketch, warc
 from .common import document_id
 from .oracle import SQL
 
@@ -82,6 +82,16 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), repair.digest(F.coalesce("repaired", none)).alias("repaired_sha256"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.top(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sketch.neighbours(_table(spark, sf_dir, "documents"))
+    digests = [F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), sketch.encoded(F.col("sketch")).alias("fingerprint"), sketch.encoded(F.col("edited_sketch")).alias("edited_fingerprint")]
+    return rows.select("doc_id", *digests, "near_edited", "near_next")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -94,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_preference_formatting, op2_language_id, op3_warc_index, op4_decontamination, op5_personal_data, op6_near_duplicates,
-        op7_jump_shards, op8_class_lm, op9_best_fit_packing, op10_repetition, op11_conversation_repair, pipeline,
+        op7_jump_shards, op8_class_lm, op9_best_fit_packing, op10_repetition, op11_conversation_repair,
+        op12_ranked_search, op13_fingerprints, pipeline,
     )
 }
