@@ -80,7 +80,7 @@ def encoded(s: Column) -> Column:
     return F.array_join(s, "")
 
 
-def in_ranges(rows: DataFrame, order: str, per_task: int = 4000) -> tuple[DataFrame, DataFrame]:
+def in_ranges(rows: DataFrame, order: str, per_task: int = 1000) -> tuple[DataFrame, DataFrame]:
     """rows with `_bin` and `_part`, ranges of the whole number `order` in ascending order, and the table of these ranges: at most BINS + PARTS rows.
 
     The numbers between the least and the greatest are cut into equal bins, and a bin with many rows into equal parts, so that ids that lie close together
