@@ -8,15 +8,17 @@ sketches tell the share of shingles that their texts have in common.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 K = 128
 SHINGLE = 5
-PARTS = 50_000
-"""Ranges that a table's rows are dealt to for their order: a bound of the small tables over them."""
-BINS = 1 << 14
+RANGES = 50_000
+"""Ranges that a table's rows are dealt to for their order, at most: a bound of the small table of them."""
 DIGITS = 16
 
 
@@ -80,38 +82,50 @@ def encoded(s: Column) -> Column:
     return F.array_join(s, "")
 
 
-def in_ranges(rows: DataFrame, order: str, per_task: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """rows with `_bin` and `_part`, ranges of the whole number `order` in ascending order, and the table of these ranges: at most BINS + PARTS rows.
+def _numbers(values: Sequence[float], kind: str) -> Column:
+    """A constant array; one literal however many there are."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+
+
+def _place(value: Column, cuts: Sequence[int]) -> Column:
+    """How many of the ascending cuts are at most value: in blocks, then in blocks of a block, then one by one."""
+    step = max(1, math.ceil(len(cuts) ** (1 / 3)))
+    place = F.lit(0)
+    for width in (step * step, step, 1):
+        heads = cuts[width - 1 :: width]
+        if heads:
+            near = F.slice(_numbers(heads, "bigint"), place + 1, F.lit(step))
+            place = (place + F.size(F.filter(near, lambda c: c <= value))) * (step if width > 1 else 1)
+        elif width > 1:
+            place = place * step
+    return place.cast("int")
+
+
+def in_ranges(rows: DataFrame, order: str, per_task: int = 1000) -> DataFrame:
+    """rows with `_range`, ascending with the whole number `order`: about per_task rows each, and RANGES of them at most, by the numbers' quantiles.
 
-    The numbers between the least and the greatest are cut into equal bins, and a bin with many rows into equal parts, so that ids that lie close together
-    are dealt apart. Rows that share a number share a range. Nulls are a range of their own, before all others.
+    Rows that share a number share a range. Nulls are a range of their own, before all others.
     """
-    low, high, n = rows.agg(F.min(order), F.max(order), F.count("*")).first()
-    low, high = (low or 0), (high or 0)
-    wide = max(1, -(-(high - low + 1) // min(BINS, -(-n // per_task) or 1)))
-    offset = F.col(order).cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")
-    bins = F.coalesce(F.floor(offset / wide).cast("int"), F.lit(-1))
-    rows = rows.withColumn("_bin", bins)
-    each = max(per_task, -(-n // PARTS))
-    sizes = rows.groupBy("_bin").agg(F.ceil(F.count("*") / each).cast("int").alias("_parts"))
-    part = F.floor((offset - F.col("_bin") * F.lit(wide).cast("decimal(20,0)")) * F.col("_parts") / wide).cast("int")
-    rows = rows.join(F.broadcast(sizes), "_bin").withColumn("_part", F.coalesce(part, F.lit(0))).drop("_parts")
-    return rows, rows.groupBy("_bin", "_part").agg(F.min(order).alias("_least"))
+    wanted = min(RANGES, -(-rows.count() // per_task))
+    cuts: list[int] = []
+    if wanted > 1:
+        shares = _numbers([i / wanted for i in range(1, wanted)], "double")
+        cuts = sorted(set(rows.agg(F.percentile_approx(order, shares, 10 * wanted)).first()[0] or []))
+    return rows.withColumn("_range", F.when(F.col(order).isNull(), -1).otherwise(_place(F.col(order), cuts)))
 
 
 def _beside(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, WindowSpec]:
     """Rows with `_key`, `_text` and `_next`, and the window that orders them; rows with `_copy` = 1 are copies that only stand behind a range's last row."""
     rows = docs.select(F.col(key).cast("long").alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    dealt, ranges = in_ranges(rows, "_key")
-    turn = Window.orderBy("_bin", "_part")
-    here = F.struct("_bin", "_part")
-    last = F.max(here).over(turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    ring = ranges.select(F.col("_bin").alias("_b"), F.col("_part").alias("_p"), F.col("_least").alias("_l"), F.coalesce(F.lag(here).over(turn), last).alias("_to"))
-    at_edge = dealt.join(F.broadcast(ring), (F.col("_bin") == F.col("_b")) & (F.col("_part") == F.col("_p")) & F.col("_key").eqNullSafe(F.col("_l")))
-    firsts = at_edge.groupBy("_to", "_key").agg(F.min("_text").alias("_text"))
-    copies = firsts.select("_to._bin", "_to._part", "_key", "_text", F.lit(1).alias("_copy"))
-    together = dealt.select("_bin", "_part", "_key", "_text", F.lit(0).alias("_copy")).unionAll(copies)
-    order = Window.partitionBy("_bin", "_part").orderBy("_copy", "_key", "_text")
+    dealt = in_ranges(rows, "_key")
+    ranges = dealt.groupBy("_range").agg(F.min("_key").alias("_least"))
+    turn = Window.orderBy("_range")
+    last = F.max("_range").over(turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    ring = ranges.select(F.col("_range").alias("_r"), "_least", F.coalesce(F.lag("_range").over(turn), last).alias("_to"))
+    firsts = dealt.join(F.broadcast(ring), (F.col("_range") == F.col("_r")) & F.col("_key").eqNullSafe(F.col("_least")))
+    copies = firsts.groupBy("_to", "_key").agg(F.min("_text").alias("_text")).select(F.col("_to").alias("_range"), "_key", "_text", F.lit(1).alias("_copy"))
+    together = dealt.select("_range", "_key", "_text", F.lit(0).alias("_copy")).unionAll(copies)
+    order = Window.partitionBy("_range").orderBy("_copy", "_key", "_text")
     return together.withColumn("_next", F.lead("_text").over(order)), order
 
 
