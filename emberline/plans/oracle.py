@@ -521,3 +521,6 @@ SQL |= {
     "swings_apart": frame(RECURSIVE, APART, recursive=True, select=f"SELECT instrument, t, {swing_columns()} FROM sl"),
     "amd_engine": frame(RECURSIVE + PLAIN + LOOSE + PHASES, recursive=True, select=f"SELECT instrument, t, {FEATURE_COLUMNS}, {PHASE_COLUMNS}, {LABEL_COLUMNS} FROM lc"),
 }
+
+# The same columns, computed in chunks.
+SQL |= {f"chunked_{n}": SQL[n] for n in ("emas", "atr", "adx", "rsi", "macd", "bb_width", "swings", "trend_state", "bos", "choch", "volume_ratio", "rolling_atr_ratio")}

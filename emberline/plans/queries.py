@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import operators as op
+from ..functions.chunks import in_chunks
 from ..functions.series import KEYS, mean, with_bar_index
-from ..functions.shared import shared_path
+from ..functions.shared import shared_path, stored
+from ..operators import chunked
 from ..operators.amd import AMD_OUTPUTS
 from ..operators.foundation import bollinger
 from ..sources import candles
@@ -122,6 +124,33 @@ def atr_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.compute_atr_ratio(base, 100, 120, 120, 130).select("instrument", F.round("atr_ratio", 6).alias("atr_ratio"))
 
 
+def _in_chunks(operator: Callable[[DataFrame, Sequence[str]], DataFrame], *made: str, back: int = 0, ahead: int = 0, atr: bool = True) -> Callable[[SparkSession, str], DataFrame]:
+    """The new columns that begin as one of `made`, by an operator of bounded frames, over chunks of the hourly bars."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        base = stored(bars(spark, sf_dir), "candles")
+        out = in_chunks(chunked.ensure_atr_in_chunks(base) if atr else base, operator, back, ahead)
+        return shown(out, [c for c in out.columns if c.startswith(made) and c not in base.columns])
+
+    return run
+
+
+def _foundation(family: str, *made: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = chunked.add_foundation_in_chunks(stored(bars(spark, sf_dir), "candles"), (family,))
+        return shown(out, [c for c in out.columns if c.startswith(made)])
+
+    return run
+
+
+def _structure(*made: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = chunked.add_structure_in_chunks(stored(bars(spark, sf_dir), "candles"))
+        return shown(out, [c for c in out.columns if c.startswith(made)])
+
+    return run
+
+
 def full_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = enriched(spark, sf_dir)
     return shown(out, [c for c in out.columns if c not in (*KEYS, "timestamp")])
@@ -322,6 +351,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "asian_session": _query(op.add_asian_session_hl), "prev_day": _query(op.add_prev_day_hl), "prev_week": _query(op.add_prev_week_hl), "round_numbers": _with_atr(lambda d: op.add_round_number_flag(d, "XAU_USD")),
     "session": _query(op.add_session_classifier), "time_features": _query(op.add_time_features), "regime": _with_atr(op.add_regime, op.add_foundation, _swings, _trend),
     "volume_profile": _with_atr(op.add_volume_profile), "volume_profile_last": volume_profile_last, "full_pipeline": full_pipeline,
+    "chunked_emas": _foundation("emas", "ema_", "price_above_ema_", "atr_14"), "chunked_atr": _foundation("atr", "atr_"), "chunked_adx": _foundation("adx", "adx_"), "chunked_rsi": _foundation("rsi", "rsi_"), "chunked_macd": _foundation("macd", "macd_"),
+    "chunked_bb_width": _foundation("bb_width", "bb_width"),
+    "chunked_swings": _structure("swing_", "last_swing_"), "chunked_trend_state": _structure("trend_state", "hh_count", "ll_count"), "chunked_bos": _structure("bos_"), "chunked_choch": _structure("choch_"),
+    "chunked_volume_ratio": _in_chunks(lambda d, k: op.add_volume_ratio(d, keys=k), "vol_", back=20, atr=False), "chunked_rolling_atr_ratio": _in_chunks(lambda d, k: op.add_rolling_atr_ratio(d, keys=k), "atr_ratio", back=10),
     "setup_fvg": _setup(setups.add_fvg_context), "setup_blocks": _setup(setups.add_block_context), "setup_sweeps": _setup(setups.add_sweep_context, setups.add_zone_confluence), "setup_pullbacks": _setup(setups.add_pullbacks, setups.add_broken_level_sweep),
     "setup_phases": _setup(setups.add_phase_context), "setup_confirmed": confirmed_sweeps, "setup_block_rejection": block_rejections, "setup_inversion_rejection": inversion_rejections, "setup_zone_entry": zone_entries, "setup_gated": lambda spark, sf_dir: shown(setups.gated(enriched(spark, sf_dir)), ["close", "regime", "session"]), "higher_timeframe": higher_timeframe, "costs": costs, "event_proximity": event_proximity, "smt_divergence": smt, "stream_bars": stream_of_bars, "stream_phases": stream_of_phases,
     "q_time_slice": time_slice, "q_detector_events": detector_events, "q_last_events": last_events, "q_indicator_ranges": indicator_ranges, "q_flag_rates": flag_rates, "q_regime_distribution": regime_distribution,
