@@ -20,7 +20,7 @@ from .structure import last_pivots, pivots, wicks
 
 INT, DOUBLE = T.IntegerType(), T.DoubleType()
 BULL_BEAR = ("bull", "bear")
-_DEPTH = ("any", "mid", "deep")
+DEPTHS = ("any", "mid", "deep")
 
 
 def _gap(side: str, mode: str, keys: Sequence[str]) -> tuple[Column, Column]:
@@ -198,7 +198,7 @@ def ifvg_pass(
 
     A bull gap inverts to a bear one and the other way round. A zone takes part until newer ones of its side push it out.
     """
-    depth = _DEPTH.index(retest_mode) if retest_mode in _DEPTH else 0
+    depth = DEPTHS.index(retest_mode) if retest_mode in DEPTHS else 0
     keep = {"bull": track_last_n_bull, "bear": track_last_n_bear}
 
     def start() -> Callable:

@@ -18,6 +18,7 @@ from ..functions.shared import shared_path, stored
 from ..operators import chunked
 from ..operators.amd import AMD_OUTPUTS
 from ..operators.foundation import bollinger
+from ..operators.relational import add_ifvg_relational
 from ..sources import candles
 from ..streaming import bars as streaming
 from . import setups
@@ -151,6 +152,12 @@ def _structure(*made: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def relational_inversions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = stored(op.add_fvg(op.ensure_atr(with_bar_index(bars(spark, sf_dir)))), "gaps")
+    out = add_ifvg_relational(base)
+    return shown(out, [c for c in out.columns if c not in base.columns])
+
+
 def full_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = enriched(spark, sf_dir)
     return shown(out, [c for c in out.columns if c not in (*KEYS, "timestamp")])
@@ -355,6 +362,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "chunked_bb_width": _foundation("bb_width", "bb_width"),
     "chunked_swings": _structure("swing_", "last_swing_"), "chunked_trend_state": _structure("trend_state", "hh_count", "ll_count"), "chunked_bos": _structure("bos_"), "chunked_choch": _structure("choch_"),
     "chunked_volume_ratio": _in_chunks(lambda d, k: op.add_volume_ratio(d, keys=k), "vol_", back=20, atr=False), "chunked_rolling_atr_ratio": _in_chunks(lambda d, k: op.add_rolling_atr_ratio(d, keys=k), "atr_ratio", back=10),
+    "ifvg_relational": relational_inversions,
     "setup_fvg": _setup(setups.add_fvg_context), "setup_blocks": _setup(setups.add_block_context), "setup_sweeps": _setup(setups.add_sweep_context, setups.add_zone_confluence), "setup_pullbacks": _setup(setups.add_pullbacks, setups.add_broken_level_sweep),
     "setup_phases": _setup(setups.add_phase_context), "setup_confirmed": confirmed_sweeps, "setup_block_rejection": block_rejections, "setup_inversion_rejection": inversion_rejections, "setup_zone_entry": zone_entries, "setup_gated": lambda spark, sf_dir: shown(setups.gated(enriched(spark, sf_dir)), ["close", "regime", "session"]), "higher_timeframe": higher_timeframe, "costs": costs, "event_proximity": event_proximity, "smt_divergence": smt, "stream_bars": stream_of_bars, "stream_phases": stream_of_phases,
     "q_time_slice": time_slice, "q_detector_events": detector_events, "q_last_events": last_events, "q_indicator_ranges": indicator_ranges, "q_flag_rates": flag_rates, "q_regime_distribution": regime_distribution,
