@@ -28,16 +28,9 @@ def true_range(keys: Sequence[str] = KEYS, first_close: bool = False) -> Column:
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
 
 
-def smooth(df: DataFrame, tasks: Sequence[Task], keys: Sequence[str] = KEYS, then: Sequence[Pass] = ()) -> DataFrame:
-    """All tasks, and the passes that read them, in one go over each series. Helper inputs (_tr, _tr0, _change, _plus, _minus) are made as needed and go again."""
-    w = ordered(keys)
-    up, down = F.col("high") - F.lag("high").over(w), F.lag("low").over(w) - F.col("low")
-    helpers = {
-        "_tr": true_range(keys), "_tr0": true_range(keys, first_close=True), "_change": F.col("close") - F.lag("close").over(w),
-        "_plus": F.when((up > down) & (up > 0), up).otherwise(0.0), "_minus": F.when((down > up) & (down > 0), down).otherwise(0.0),
-    }
+def smoothers(tasks: Sequence[Task]) -> Pass:
+    """All tasks as one pass."""
     inputs = list(dict.fromkeys(c for i, _, _ in tasks for c in i))
-    used = [c for c in inputs if c in helpers]
     at = [[inputs.index(c) for c in i] for i, _, _ in tasks]
     starts = [s for _, _, s in tasks]
 
@@ -53,8 +46,21 @@ def smooth(df: DataFrame, tasks: Sequence[Task], keys: Sequence[str] = KEYS, the
 
         return step
 
-    df = df.withColumns({c: helpers[c].cast("double") for c in used}).withColumns({c: F.col(c).cast("double") for c in inputs if c not in used})
-    return dealt(scan(df, [(start, inputs, [(o, T.DoubleType()) for _, out, _ in tasks for o in out]), *then], keys), keys).drop(*used)
+    return start, inputs, [(o, T.DoubleType()) for _, out, _ in tasks for o in out]
+
+
+def smooth(df: DataFrame, tasks: Sequence[Task], keys: Sequence[str] = KEYS, then: Sequence[Pass] = ()) -> DataFrame:
+    """All tasks, and the passes that read them, in one go over each series. Helper inputs (_tr, _tr0, _change, _plus, _minus) are made as needed and go again."""
+    w = ordered(keys)
+    up, down = F.col("high") - F.lag("high").over(w), F.lag("low").over(w) - F.col("low")
+    helpers = {
+        "_tr": true_range(keys), "_tr0": true_range(keys, first_close=True), "_change": F.col("close") - F.lag("close").over(w),
+        "_plus": F.when((up > down) & (up > 0), up).otherwise(0.0), "_minus": F.when((down > up) & (down > 0), down).otherwise(0.0),
+    }
+    all_ = smoothers(tasks)
+    used = [c for c in all_[1] if c in helpers]
+    df = df.withColumns({c: helpers[c].cast("double") for c in used}).withColumns({c: F.col(c).cast("double") for c in all_[1] if c not in used})
+    return dealt(scan(df, [all_, *then], keys), keys).drop(*used)
 
 
 def rank_pass(col: str, n: int, average: str | None = None, highest: str | None = None) -> Pass:
