@@ -229,3 +229,5 @@ SQL |= {
       {flag(f"{_at('ob_bull', 'ob_unmitigated_bull')} OR {_at('ob_bear', 'ob_unmitigated_bear')}", 'sweep_at_ob')} FROM f"""),
     "setup_phases": built("ifvg", "phases", "divergence", "rsi", "key_volume_flags", select=f"SELECT instrument, t, {_phase_columns()} FROM f"),
 }
+
+SQL["resumed_stack"] = joined("emas", "atr_pct", "adx", "rsi", "macd", "bb_width", "body_ratio", "volume_ratio", "key_volume_flags", "candle_delta_proxy", "vsa", "wick_ratio", "displacement_candle", "rolling_atr_ratio").replace("SELECT *", "SELECT * EXCLUDE (near_round_number)", 1)

@@ -6,6 +6,7 @@ The candles are bars of a walk in whole cents, so prices and ties are exact in a
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,22 +22,22 @@ from ..operators.foundation import bollinger
 from ..operators.relational import add_ifvg_relational
 from ..sources import candles
 from ..streaming import bars as streaming
-from . import setups
+from . import daily, setups
 from .pipeline import build_all_indicators
 
 
 def ticks(spark: SparkSession, sf_dir: str, one: bool = False) -> DataFrame:
     """Events as ticks with a price of 2000 and a walk of whole cents; one: all events are one series.
 
-    The walk is a running sum within each day, plus the days' sums before it: no task gets more than a day's ticks of an instrument.
+    The walk is a running sum within each hour, plus the hours' sums before it: no task gets more than an hour's ticks of an instrument, or a row an hour.
     """
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.lit("ALL").alias("instrument") if one else F.col("event_type").alias("instrument"), "ts", "event_id", "value")
-    events = events.withColumns({"_day": F.to_date("ts"), "_move": F.round(F.col("value") * 100).cast("long") - 4963})
-    days = events.groupBy("instrument", "_day").agg(F.sum("_move").alias("_sum"))
-    before = Window.partitionBy("instrument").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
-    days = days.select("instrument", "_day", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_begin"))
-    within = Window.partitionBy("instrument", "_day").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    walk = events.withColumn("_within", F.sum("_move").over(within)).join(days, ["instrument", "_day"])
+    events = events.withColumns({"_hour": F.date_trunc("hour", "ts"), "_move": F.round(F.col("value") * 100).cast("long") - 4963})
+    hours = events.groupBy("instrument", "_hour").agg(F.sum("_move").alias("_sum"))
+    before = Window.partitionBy("instrument").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = hours.select("instrument", "_hour", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_begin"))
+    within = Window.partitionBy("instrument", "_hour").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    walk = events.withColumn("_within", F.sum("_move").over(within)).join(hours, ["instrument", "_hour"])
     return walk.select("instrument", "ts", "event_id", "value", ((200000 + F.floor((F.col("_begin") + F.col("_within")) / F.lit(50.0))) / F.lit(100.0)).alias("price"))
 
 
@@ -152,6 +153,17 @@ def _structure(*made: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def resumed_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live stack over a table that grew in three runs: half of the time, then all but the last day of the second half, then everything once more."""
+    base = stored(bars(spark, sf_dir), "candles")
+    first, last = base.agg(F.min("timestamp"), F.max("timestamp")).first()
+    path = shared_path(spark, "daily")
+    for until in (first + (last - first) / 2, last - timedelta(days=1), last):
+        daily.extend(base.where(F.col("timestamp") <= F.lit(until)), path)
+    out = daily.stored_rows(spark, path)
+    return shown(out, [c for c in out.columns if c not in (*KEYS, "timestamp", "run")])
+
+
 def relational_inversions(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = stored(op.add_fvg(op.ensure_atr(with_bar_index(bars(spark, sf_dir)))), "gaps")
     out = add_ifvg_relational(base)
@@ -362,7 +374,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "chunked_bb_width": _foundation("bb_width", "bb_width"),
     "chunked_swings": _structure("swing_", "last_swing_"), "chunked_trend_state": _structure("trend_state", "hh_count", "ll_count"), "chunked_bos": _structure("bos_"), "chunked_choch": _structure("choch_"),
     "chunked_volume_ratio": _in_chunks(lambda d, k: op.add_volume_ratio(d, keys=k), "vol_", back=20, atr=False), "chunked_rolling_atr_ratio": _in_chunks(lambda d, k: op.add_rolling_atr_ratio(d, keys=k), "atr_ratio", back=10),
-    "ifvg_relational": relational_inversions,
+    "ifvg_relational": relational_inversions, "resumed_stack": resumed_stack,
     "setup_fvg": _setup(setups.add_fvg_context), "setup_blocks": _setup(setups.add_block_context), "setup_sweeps": _setup(setups.add_sweep_context, setups.add_zone_confluence), "setup_pullbacks": _setup(setups.add_pullbacks, setups.add_broken_level_sweep),
     "setup_phases": _setup(setups.add_phase_context), "setup_confirmed": confirmed_sweeps, "setup_block_rejection": block_rejections, "setup_inversion_rejection": inversion_rejections, "setup_zone_entry": zone_entries, "setup_gated": lambda spark, sf_dir: shown(setups.gated(enriched(spark, sf_dir)), ["close", "regime", "session"]), "higher_timeframe": higher_timeframe, "costs": costs, "event_proximity": event_proximity, "smt_divergence": smt, "stream_bars": stream_of_bars, "stream_phases": stream_of_phases,
     "q_time_slice": time_slice, "q_detector_events": detector_events, "q_last_events": last_events, "q_indicator_ranges": indicator_ranges, "q_flag_rates": flag_rates, "q_regime_distribution": regime_distribution,
