@@ -55,13 +55,8 @@ def first_bar(zones: DataFrame, bars: DataFrame, name: str, after: str, value: t
     return joined(zones, found, [*keys, *ID], "left")
 
 
-def add_ifvg_relational(
-    df: DataFrame, *, require_retest: bool = True, retest_mode: str = "any", track_last_n_bull: int = 5, track_last_n_bear: int = 5, keys: Sequence[str] = KEYS, size: int = SIZE
-) -> DataFrame:
-    """The columns of add_ifvg for a table (best a stored one: it is read several times) that has bar_idx, atr_14 and the gaps' columns.
-
-    Zones, some tenth of the bars, are written when a step has been found of all. A zone's live bars number about track_last_n times the distance of gaps, and with them the rows that meet.
-    """
+def inversions(df: DataFrame, *, require_retest: bool = True, retest_mode: str = "any", track_last_n_bull: int = 5, track_last_n_bear: int = 5, keys: Sequence[str] = KEYS, size: int = SIZE) -> DataFrame:
+    """A stored table of all gaps: keys, `_side`, `_from`, `_confirm`, `_end`, `_lo` and `_hi` as in zone_table, `_broken`, the bar that closes beyond it, and `_back`, the bar at which it inverts."""
     df = numbered(df, keys, size)
     bars = df.select(*keys, CHUNK, "bar_idx", "high", "low", "close")
     zones = zone_table(df, {"bull": track_last_n_bull, "bear": track_last_n_bear}, keys)
@@ -75,8 +70,19 @@ def add_ifvg_relational(
         zones = first_bar(stored(zones, "broken"), bars, "_back", "_broken", (F.col("high"), -F.col("low")), level, False, keys, size)
     else:
         zones = zones.withColumn("_back", F.col("_broken"))
+    return stored(zones, "inverted")
 
-    zones = stored(zones, "inverted")
+
+def add_ifvg_relational(df: DataFrame, *, require_retest: bool = True, keys: Sequence[str] = KEYS, size: int = SIZE, **options: object) -> DataFrame:
+    """The columns of add_ifvg for a table (best a stored one: it is read several times) that has bar_idx, atr_14 and the gaps' columns.
+
+    Zones, some tenth of the bars, are written when a step has been found of all. A zone's live bars number about track_last_n times the distance of gaps, and with
+    them the rows that meet.
+    """
+    df = numbered(df, keys, size)
+    bars = df.select(*keys, CHUNK, "bar_idx")
+    zones = inversions(df, require_retest=require_retest, keys=keys, size=size, **options)
+    sign = F.col("_side")
 
     # A gap of one side inverts to the other's.
     other = {"bull": -1, "bear": 1}

@@ -285,15 +285,15 @@ def add_ob(
 
 
 def ob_mitigation_pass(*, keep_last_n: int = 3, by_side: bool = False) -> Pass:
-    """Whether a recent order block of each side is unbroken, and the bars that first come back to one; by_side: to one of which side, too."""
+    """Whether a recent order block of each side is unbroken, and the bars that first come back to one; by_side: to one of which side, too, and the newest such block's edges."""
 
     def start() -> Callable:
         live: dict[str, list[_Zone]] = {s: [] for s in BULL_BEAR}
 
         def step(bar: int, h: float, low: float, *blocks: float) -> tuple:
-            any_, retests = [], []
+            any_, retests, edges = [], [], []
             for k, side in enumerate(BULL_BEAR):
-                retest = 0
+                retest, met = 0, None
                 on, hi, lo = blocks[3 * k : 3 * k + 3]
                 if hi is not None:
                     live[side] = _registered(live[side], bar, on, lo, hi, bar, keep_last_n)
@@ -301,20 +301,22 @@ def ob_mitigation_pass(*, keep_last_n: int = 3, by_side: bool = False) -> Pass:
                 for z in live[side]:
                     if bar > z.confirm and (low <= z.hi if side == "bull" else h >= z.lo):
                         if z.state == 1:
-                            z.state, retest = 2, 1
+                            z.state, retest, met = 2, 1, z
                         if low < z.lo if side == "bull" else h > z.hi:
                             continue
                     still.append(z)
                 live[side] = still
                 any_.append(int(bool(still)))
                 retests.append(retest)
-            return (*any_, max(retests), *(retests if by_side else ()))
+                edges += [met and met.lo, met and met.hi]
+            return (*any_, max(retests), *((*retests, *edges) if by_side else ()))
 
         return step
 
     inputs = ["bar_idx", "high", "low", *(f"ob_{s}{x}" for s in BULL_BEAR for x in ("", "_high", "_low"))]
     outputs = [("ob_unmitigated_bull", INT), ("ob_unmitigated_bear", INT), ("ob_first_retest", INT)]
-    return start, inputs, outputs + [(f"ob_first_retest_{s}", INT) for s in BULL_BEAR] * by_side
+    sides = [(f"ob_first_retest_{s}", INT) for s in BULL_BEAR] + [(f"ob_first_retest_{s}_{x}", DOUBLE) for s in BULL_BEAR for x in ("low", "high")]
+    return start, inputs, outputs + sides * by_side
 
 
 def add_ob_mitigation(df: DataFrame, *, keep_last_n: int = 3, by_side: bool = False, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -188,7 +188,7 @@ def _phase_columns() -> str:
 _H4_SWEEPS = frame(RECURSIVE, SWINGS + oracle.sweeps("sl", "lh", "lhi", "ll", "lli"), recursive=True, seconds=14400, select="SELECT instrument, t, CAST(coalesce(qh, FALSE) AS BIGINT) - CAST(coalesce(ql, FALSE) AS BIGINT) AS sweep_side FROM sy WHERE qh OR ql")
 _M15_CHANGES = frame(
     RECURSIVE, SWINGS + TREND + BREAKS.format(of="tt") + f", ch AS (SELECT *, lag(st) {LAG} AS pst FROM bs)", recursive=True, seconds=900,
-    select="SELECT instrument, t FROM ch WHERE ((bb = 1 AND pst = -1) OR (bx = 1 AND pst = 1)) AND abs(close - open) >= 0.6 * (high - low)",
+    select="SELECT instrument, t, CASE WHEN bb = 1 AND pst = -1 THEN 1 ELSE -1 END AS side FROM ch WHERE ((bb = 1 AND pst = -1) OR (bx = 1 AND pst = 1)) AND abs(close - open) >= 0.6 * (high - low)",
 )
 _M15_REJECTIONS = frame(seconds=900, select="""SELECT instrument, t, 1 AS side FROM b WHERE least(open, close) - low > abs(close - open) AND close > open
   UNION ALL SELECT instrument, t, -1 FROM b WHERE high - greatest(open, close) > abs(close - open) AND close < open""")
@@ -209,7 +209,7 @@ _H4_GAPS = frame(RECURSIVE, PIVOTS + GAPS, recursive=True, seconds=14400, select
 _DAILY_TREND = frame(CAUSAL + TREND, recursive=True, seconds=86400, select="SELECT instrument, t + 86400 AS known, CAST(st AS BIGINT) AS bias FROM tt")
 
 SQL |= {
-    "setup_confirmed": next_below(_H4_SWEEPS, _M15_CHANGES, 14400, 86400, "confirmed_t", "sweep_side"),
+    "setup_confirmed": next_below(_H4_SWEEPS, _M15_CHANGES, 14400, 86400, "confirmed_t", "sweep_side", "h.side = -e.sweep_side"),
     "setup_block_rejection": next_below(_H1_BLOCKS, _M15_REJECTIONS, 3600, 7200, "rejected_t", "CAST(e.side AS BIGINT) AS side", "h.side = e.side"),
     "setup_inversion_rejection": next_below(_H1_INVERSIONS, _M15_REJECTIONS, 3600, 7200, "rejected_t", "CAST(e.side AS BIGINT) AS side", "h.side = e.side"),
     "setup_zone_entry": f"""SELECT b.instrument, b.t, z.lo AS htf_zone_low, z.hi AS htf_zone_high, CAST(z.side AS BIGINT) AS htf_zone_side, d.bias AS htf_bias, {flag('b.low <= z.hi AND b.high >= z.lo', 'in_htf_zone')},
@@ -231,3 +231,26 @@ SQL |= {
 }
 
 SQL["resumed_stack"] = joined("emas", "atr_pct", "adx", "rsi", "macd", "bb_width", "body_ratio", "volume_ratio", "key_volume_flags", "candle_delta_proxy", "vsa", "wick_ratio", "displacement_candle", "rolling_atr_ratio").replace("SELECT *", "SELECT * EXCLUDE (near_round_number)", 1)
+
+# Setups as sequences, each stage the first event that fits after the one before.
+_CHANGES = SWINGS + TREND + BREAKS.format(of="tt") + f", ch AS (SELECT *, lag(st) {LAG} AS pst FROM bs), cs AS (SELECT *, CASE WHEN bb = 1 AND pst = -1 THEN 1 WHEN bx = 1 AND pst = 1 THEN -1 END AS side FROM ch)"
+_H1_CHANGES = frame(RECURSIVE, _CHANGES, recursive=True, select="SELECT instrument, t + 3600 AS at, side FROM cs WHERE side IS NOT NULL")
+_M15_SIDED = frame(RECURSIVE, _CHANGES, recursive=True, seconds=900, select="SELECT instrument, t AS at, side FROM cs WHERE side IS NOT NULL AND abs(close - open) >= 0.6 * (high - low)")
+_M15_WICKS = frame(RECURSIVE, recursive=True, seconds=900, select=f"""SELECT *, CASE WHEN side = 1 THEN low ELSE greatest(open, close) END AS w0, CASE WHEN side = 1 THEN least(open, close) ELSE high END AS w1 FROM (
+  SELECT instrument, t AS at, open, high, low, close, rsi, volume > av AS loud, volume < av AS quiet, hist - lag(hist) {LAG} AS turn,
+    CASE WHEN least(open, close) - low > abs(close - open) AND close > open THEN 1 WHEN high - greatest(open, close) > abs(close - open) AND close < open THEN -1 END AS side
+  FROM (SELECT *, {oracle.guarded('avg', 'volume', 20)} AS av FROM s)) WHERE side IS NOT NULL""")
+_H1_INVERTED = frame(RECURSIVE, PIVOTS + GAPS + oracle.ZONES, recursive=True, select="SELECT zr.instrument, CASE WHEN side = 'u' THEN -1 ELSE 1 END AS side, lo, hi, t + 3600 AS at FROM zr JOIN s ON s.instrument = zr.instrument AND s.i = rt")
+_RETEST = "list_filter(kept, lambda z: NOT z.met AND i > z.i AND CASE WHEN side = 'u' THEN low <= z.hi ELSE high >= z.lo END)"
+_RETESTED = RETEST_LISTS.replace("FALSE AS retest FROM os", "FALSE AS retest, NULL::STRUCT(lo DOUBLE, hi DOUBLE, i BIGINT, met BOOLEAN) AS zone FROM os").replace(f"len({_RETEST}) > 0", f"len({_RETEST}) > 0, {_RETEST}[-1]")
+_H1_RETESTED = frame(RECURSIVE, PIVOTS + BLOCKS + _RETESTED + f", ra AS (SELECT *, CASE WHEN i >= 9 THEN avg(atrx) OVER (PARTITION BY instrument ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) / avg(atrx) OVER (PARTITION BY instrument ORDER BY i ROWS BETWEEN 9 PRECEDING AND 5 PRECEDING) END AS ratio FROM s)", recursive=True,
+  select="SELECT ol.instrument, CASE WHEN ol.side = 'u' THEN 1 ELSE -1 END AS side, zone.lo AS lo, zone.hi AS hi, t + 3600 AS at FROM ol JOIN ra ON ra.instrument = ol.instrument AND ra.i = ol.i WHERE retest AND ratio < 1")
+_H1_TIMELY = frame(RECURSIVE, SWINGS + oracle.sweeps("sl", "lh", "lhi", "ll", "lli") + f", th AS (SELECT *, {oracle.HOUR} AS hr FROM sy WHERE qh OR ql)", recursive=True, select="SELECT instrument, t + 3600 AS at, unnest(CASE WHEN qh AND ql THEN [1, -1] WHEN ql THEN [1] ELSE [-1] END) AS side FROM th WHERE hr IN (8, 9, 13, 14)")
+SQL |= {
+    "setup_inversion_entry": f"""WITH a AS (SELECT DISTINCT * FROM ({_H1_INVERTED})), b AS (SELECT a.*, min(c.at) AS changed FROM a LEFT JOIN ({_H1_CHANGES}) c ON c.instrument = a.instrument AND c.side = a.side AND c.at BETWEEN a.at AND a.at + 432000 GROUP BY ALL)
+      SELECT b.instrument, CAST(b.side AS BIGINT) AS side, round(lo, 6) AS zone_low, round(hi, 6) AS zone_high, b.at AS inverted_t, changed AS changed_t, min(e.at) AS entry_t FROM b LEFT JOIN ({_M15_WICKS}) e ON e.instrument = b.instrument AND e.side = b.side AND e.at BETWEEN changed AND changed + 172800
+        AND w0 <= hi AND w1 >= lo AND quiet AND CASE WHEN e.side = 1 THEN rsi > 45 AND close > hi ELSE rsi < 55 AND close < lo END GROUP BY b.instrument, b.side, lo, hi, b.at, changed""",
+    "setup_block_entry": f"""SELECT a.instrument, CAST(a.side AS BIGINT) AS side, round(lo, 6) AS zone_low, round(hi, 6) AS zone_high, a.at AS retest_t, min(e.at) AS entry_t FROM (SELECT DISTINCT * FROM ({_H1_RETESTED})) a LEFT JOIN ({_M15_WICKS}) e ON e.instrument = a.instrument AND e.side = a.side AND e.at BETWEEN a.at AND a.at + 172800
+        AND w0 <= hi AND w1 >= lo AND loud AND turn * e.side > 0 GROUP BY a.instrument, a.side, lo, hi, a.at""",
+    "setup_session_entry": f"""SELECT a.instrument, CAST(a.side AS BIGINT) AS side, NULL::DOUBLE AS zone_low, NULL::DOUBLE AS zone_high, a.at AS sweep_t, min(c.at) AS change_t FROM ({_H1_TIMELY}) a LEFT JOIN ({_M15_SIDED}) c ON c.instrument = a.instrument AND c.side = a.side AND c.at BETWEEN a.at AND a.at + 86400 GROUP BY ALL""",
+}

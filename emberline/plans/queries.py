@@ -19,7 +19,7 @@ from ..functions.shared import shared_path, stored
 from ..operators import chunked
 from ..operators.amd import AMD_OUTPUTS
 from ..operators.foundation import bollinger
-from ..operators.relational import add_ifvg_relational
+from ..operators.relational import add_ifvg_relational, inversions
 from ..sources import candles
 from ..streaming import bars as streaming
 from . import daily, setups
@@ -271,9 +271,9 @@ def higher_timeframe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def confirmed_sweeps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sweeps on 4-hour bars and the first change of character on 15-minute bars within a day after."""
+    """Sweeps on 4-hour bars and the first change of character against the swept side on 15-minute bars within a day after."""
     high = bars(spark, sf_dir, "4 hours")
-    sweeps = op.add_liquidity_sweep(op.add_swings(high)).where("sweep_side <> 0").select("instrument", "timestamp", "sweep_side")
+    sweeps = op.add_liquidity_sweep(op.add_swings(high)).where("sweep_side <> 0").select("instrument", "timestamp", "sweep_side", (-F.col("sweep_side")).alias("side"))
     low = op.add_choch(op.add_bos(op.add_trend_state(op.add_swings(bars(spark, sf_dir, "15 minutes")))))
     out = setups.confirmed_below(sweeps, low, 4 * 3600, 86400)
     return shown(out.withColumn("confirmed_t", F.unix_timestamp("confirmed_at")), ["sweep_side", "confirmed_t"])
@@ -304,6 +304,35 @@ def zone_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(out, ["htf_zone_low", "htf_zone_high", "htf_zone_side", "htf_bias", "in_htf_zone", "zone_entry"])
 
 
+def _times(df: DataFrame) -> DataFrame:
+    """instrument, side, the zone and the stages' times in seconds."""
+    return df.select("instrument", F.col("side").cast("long").alias("side"), *(F.round(c, 6).alias(f"zone_{c}") for c in ("low", "high")), *(F.unix_timestamp(c).alias(f"{c[:-3]}_t") for c in df.columns if c.endswith("_at")))
+
+
+def _changing(df: DataFrame) -> DataFrame:
+    return op.add_choch(op.add_bos(op.add_trend_state(op.add_swings(df))))
+
+
+def inversion_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly gap inversions, a change of character of their side, and the 15-minute bar that rejects from the gap."""
+    high = stored(_changing(op.add_fvg(op.ensure_atr(with_bar_index(bars(spark, sf_dir))))), "high")
+    low = op.add_key_volume_flags(op.add_rsi(bars(spark, sf_dir, "15 minutes")))
+    return _times(setups.inversion_entries(high, inversions(high), high, low, 3600))
+
+
+def block_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First retests of hourly order blocks on falling volatility, and the 15-minute bar that rejects from the block."""
+    high = op.add_ob_mitigation(op.add_ob(op.ensure_atr(with_bar_index(bars(spark, sf_dir)))), by_side=True)
+    low = op.add_key_volume_flags(op.add_macd(bars(spark, sf_dir, "15 minutes")))
+    return _times(setups.block_entries(op.add_rolling_atr_ratio(high), low, 3600))
+
+
+def session_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hourly sweeps in the first two hours of London or New York, and the change of character on 15-minute bars within a day."""
+    high = op.add_session_classifier(op.add_liquidity_sweep(op.add_swings(bars(spark, sf_dir))))
+    return _times(setups.session_entries(high, _changing(bars(spark, sf_dir, "15 minutes")), 3600))
+
+
 def costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bars(spark, sf_dir).withColumns({"instrument": F.lit("XAU_USD"), "series": F.col("instrument"), "side": F.when(F.col("close") >= F.col("open"), 1).otherwise(-1)})
     rows = setups.with_costs(rows.withColumns({"target": F.col("close") + F.col("side"), "stop": F.col("close") - F.col("side")}))
@@ -376,7 +405,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "chunked_volume_ratio": _in_chunks(lambda d, k: op.add_volume_ratio(d, keys=k), "vol_", back=20, atr=False), "chunked_rolling_atr_ratio": _in_chunks(lambda d, k: op.add_rolling_atr_ratio(d, keys=k), "atr_ratio", back=10),
     "ifvg_relational": relational_inversions, "resumed_stack": resumed_stack,
     "setup_fvg": _setup(setups.add_fvg_context), "setup_blocks": _setup(setups.add_block_context), "setup_sweeps": _setup(setups.add_sweep_context, setups.add_zone_confluence), "setup_pullbacks": _setup(setups.add_pullbacks, setups.add_broken_level_sweep),
-    "setup_phases": _setup(setups.add_phase_context), "setup_confirmed": confirmed_sweeps, "setup_block_rejection": block_rejections, "setup_inversion_rejection": inversion_rejections, "setup_zone_entry": zone_entries, "setup_gated": lambda spark, sf_dir: shown(setups.gated(enriched(spark, sf_dir)), ["close", "regime", "session"]), "higher_timeframe": higher_timeframe, "costs": costs, "event_proximity": event_proximity, "smt_divergence": smt, "stream_bars": stream_of_bars, "stream_phases": stream_of_phases,
+    "setup_phases": _setup(setups.add_phase_context), "setup_confirmed": confirmed_sweeps, "setup_block_rejection": block_rejections, "setup_inversion_rejection": inversion_rejections, "setup_zone_entry": zone_entries, "setup_inversion_entry": inversion_entries, "setup_block_entry": block_entries, "setup_session_entry": session_entries,
+    "setup_gated": lambda spark, sf_dir: shown(setups.gated(enriched(spark, sf_dir)), ["close", "regime", "session"]), "higher_timeframe": higher_timeframe, "costs": costs, "event_proximity": event_proximity, "smt_divergence": smt, "stream_bars": stream_of_bars, "stream_phases": stream_of_phases,
     "q_time_slice": time_slice, "q_detector_events": detector_events, "q_last_events": last_events, "q_indicator_ranges": indicator_ranges, "q_flag_rates": flag_rates, "q_regime_distribution": regime_distribution,
     "q_trend_distribution": trend_distribution, "q_warm_up_gaps": warm_up_gaps, "q_latest_rows": latest_rows, "q_series_coverage": series_coverage, "q_latest_snapshot": latest_snapshot,
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions.patterns import Stage, matches
 from ..functions.scan import scan
 from ..functions.series import FIRST, KEYS, flag, ordered, rows, so_far
 
@@ -221,9 +222,10 @@ def first_below(events: DataFrame, hits: DataFrame, seconds: int, within: int, n
     return both.select(*on, "_row.*", F.when(near, F.col("_next")).alias(name))
 
 
-def confirmed_below(events: DataFrame, low: DataFrame, seconds: int, within: int, on: Sequence[str] = ("instrument",)) -> DataFrame:
-    """events with confirmed_at, the first CHoCH bar of the lower timeframe whose body is at least 60 % of its range; see first_below."""
-    good = low.where(((F.col("choch_bull") == 1) | (F.col("choch_bear") == 1)) & (F.abs(F.col("close") - F.col("open")) >= 0.6 * (F.col("high") - F.col("low"))))
+def confirmed_below(events: DataFrame, low: DataFrame, seconds: int, within: int, on: Sequence[str] = ("instrument", "side")) -> DataFrame:
+    """events, which have a side, with confirmed_at: the first CHoCH bar of that side of the lower timeframe whose body is at least 60 % of its range; see first_below."""
+    sides = F.array_compact(F.array(F.when(F.col("choch_bull") == 1, 1), F.when(F.col("choch_bear") == 1, -1)))
+    good = low.where(F.abs(F.col("close") - F.col("open")) >= 0.6 * (F.col("high") - F.col("low"))).withColumn("side", F.explode(sides))
     return first_below(events, good, seconds, within, "confirmed_at", on)
 
 
@@ -254,3 +256,53 @@ def zone_entries(low: DataFrame, zones: DataFrame, zone_seconds: int, daily: Dat
     out = as_of(out, daily.select("instrument", "timestamp", F.col("trend_state").alias("bias")), ["bias"], daily_seconds)
     inside = (F.col("low") <= F.col("htf_zone_high")) & (F.col("high") >= F.col("htf_zone_low"))
     return out.withColumns({"in_htf_zone": flag(inside), "zone_entry": flag(inside & (F.col("htf_bias") == F.col("htf_zone_side")))})
+
+
+def closed(df: DataFrame, seconds: int) -> Column:
+    """When a bar of so many seconds is known."""
+    return F.timestamp_seconds(F.unix_timestamp("timestamp") + seconds)
+
+
+def inversion_entries(gaps: DataFrame, inverted: DataFrame, changes: DataFrame, low: DataFrame, seconds: int, change_within: int = 5 * 86400, entry_within: int = 2 * 86400, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Inversions of a gap, then a CHoCH of the inversion's side on the same timeframe, then a bar of the lower one that rejects from the gap.
+
+    gaps: higher bars with bar_idx; inverted: `relational.inversions` of them; changes: higher bars with choch_bull and choch_bear. low has rsi_14 and vol_below_avg: the bar
+    wicks into the zone and closes out of it on the side of the inversion, on a volume below average, with an RSI over 45 (bull) or below 55 (bear).
+    """
+    told = gaps.select(*keys, F.col("bar_idx").alias("_back"), closed(gaps, seconds).alias("at"))
+    starts = inverted.where("_back IS NOT NULL").join(told, [*keys, "_back"]).select("instrument", "at", (-F.col("_side")).alias("side"), F.col("_lo").alias("low"), F.col("_hi").alias("high"))
+    turned = changes.select("instrument", closed(changes, seconds).alias("at"), F.explode(F.array_compact(F.array(F.when(F.col("choch_bull") == 1, 1), F.when(F.col("choch_bear") == 1, -1)))).alias("side"))
+    calm = F.when(F.col("side") == 1, F.col("rsi_14") > 45).otherwise(F.col("rsi_14") < 55) & (F.col("vol_below_avg") == 1)
+    return matches([Stage("inverted", starts), Stage("changed", turned, change_within), Stage("entry", _wicks(rejections(low).where(calm)), entry_within, zone=True, closes=True)])
+
+
+def _wicks(rows: DataFrame) -> DataFrame:
+    """Rejecting bars by the range of the wick that rejects: from the bar's extreme to its body, so that reaching a zone means wicking into it."""
+    top, bottom = F.greatest("open", "close"), F.least("open", "close")
+    up = F.col("side") == 1
+    return rows.select("instrument", F.col("timestamp").alias("at"), "side", F.when(up, F.col("low")).otherwise(top).alias("low"), F.when(up, bottom).otherwise(F.col("high")).alias("high"), "close")
+
+
+def block_entries(blocks: DataFrame, low: DataFrame, seconds: int, entry_within: int = 2 * 86400, within: int = 3, keys: Sequence[str] = KEYS) -> DataFrame:
+    """First retests of an order block, then a bar of the lower timeframe that rejects from the block.
+
+    blocks: higher bars with ob_first_retest_<side>, their edges and atr_ratio_rolling below 1: volatility falls into the block. low has macd_hist_delta and vol_above_avg: MACD
+    turns the block's way, on a volume above average.
+    """
+    side = lambda name, s: F.when(F.col(f"ob_first_retest_{name}") == 1, F.struct(F.lit(s).alias("side"), F.col(f"ob_first_retest_{name}_low").alias("low"), F.col(f"ob_first_retest_{name}_high").alias("high")))
+    calm = blocks.where(F.col("atr_ratio_rolling") < 1)
+    starts = calm.select("instrument", closed(calm, seconds).alias("at"), F.explode(F.array_compact(F.array(side("bull", 1), side("bear", -1)))).alias("z")).select("instrument", "at", "z.*")
+    turning = (F.col("macd_hist_delta") * F.col("side") > 0) & (F.col("vol_above_avg") == 1)
+    return matches([Stage("retest", starts), Stage("entry", _wicks(rejections(low).where(turning)), entry_within, zone=True)])
+
+
+def session_entries(sweeps: DataFrame, low: DataFrame, seconds: int, within: int = 86400) -> DataFrame:
+    """Sweeps in the first two hours of London or New York, then a CHoCH of the lower timeframe against the swept side with a body of at least 60 % of its range.
+
+    sweeps: higher bars with sweep_high, sweep_low, london_open, ny_open and hours_since_session; low has choch_bull and choch_bear. A swept high is bearish.
+    """
+    timely = sweeps.where(((F.col("london_open") == 1) | (F.col("ny_open") == 1)) & (F.col("hours_since_session") < 2))
+    sides = lambda bull, bear: F.explode(F.array_compact(F.array(F.when(F.col(bull) == 1, 1), F.when(F.col(bear) == 1, -1)))).alias("side")
+    starts = timely.select("instrument", closed(timely, seconds).alias("at"), sides("sweep_low", "sweep_high"))
+    good = low.where(F.abs(F.col("close") - F.col("open")) >= 0.6 * (F.col("high") - F.col("low")))
+    return matches([Stage("sweep", starts), Stage("change", good.select("instrument", F.col("timestamp").alias("at"), sides("choch_bull", "choch_bear")), within)])
