@@ -524,4 +524,4 @@ SQL |= {
 
 # The same columns, computed in chunks.
 SQL |= {f"chunked_{n}": SQL[n] for n in ("emas", "atr", "adx", "rsi", "macd", "bb_width", "swings", "trend_state", "bos", "choch", "volume_ratio", "rolling_atr_ratio")}
-SQL["ifvg_relational"] = SQL["ifvg"]
+SQL |= {"ifvg_relational": SQL["ifvg"], "landing_read": SQL["bars_hourly"], "pivots_bucketed": SQL["pivots"]}

@@ -5,6 +5,7 @@ The candles are bars of a walk in whole cents, so prices and ties are exact in a
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from datetime import timedelta
 
@@ -116,6 +117,21 @@ def candles_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(candles.load_candles(spark, path, since="2024-01-05 00:00:00"), [*candles.PRICES, "volume"])
 
 
+def landing_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars written as a landing file for each series and read by the files' names."""
+    path = shared_path(spark, "landing")
+    base = stored(bars(spark, sf_dir), "candles")
+    candles.write_landing(base, path)
+    return shown(candles.read_landing(spark, path, [r.instrument for r in base.select("instrument").distinct().collect()]), [*candles.PRICES, "volume"])
+
+
+def bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pivots over a table bucketed by series."""
+    table = f"candles_{uuid.uuid4().hex}"
+    candles.save_bucketed(bars(spark, sf_dir), table, 8)
+    return shown(op.pivots(spark.table(table)), ["pivot_high", "pivot_low"])
+
+
 def volume_profile_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = op.compute_volume_profile(bars(spark, sf_dir))
     return out.select("instrument", *(F.round(c, 6).alias(c) for c in ("poc", "vah", "val")), F.round(F.aggregate("profile", F.lit(0.0), lambda a, x: a + x), 6).alias("volume"), F.size("bin_edges").cast("long").alias("n_edges"))
@@ -380,7 +396,7 @@ _causal = op.add_swings_causal
 _trend = op.add_trend_state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "bars_hourly": series_bars, "bars_dense": dense_bars, "bars_daily": daily_bars, "bars_normalised": normalised_bars, "candles_loaded": candles_loaded,
+    "bars_hourly": series_bars, "bars_dense": dense_bars, "bars_daily": daily_bars, "bars_normalised": normalised_bars, "candles_loaded": candles_loaded, "landing_read": landing_read, "pivots_bucketed": bucketed,
     "moving_averages": moving_averages, "emas": _query(op.add_emas), "atr": _query(op.add_atr), "adx": _query(op.add_adx), "rsi": _query(op.add_rsi), "macd": _query(op.add_macd), "atr_warm": _query(op.ensure_atr),
     "ema_of_high": _query(lambda d: op.compute_ema(d, 10, "high")),
     "bb_width": _query(op.add_bb_width), "body_ratio": _query(op.add_body_ratio), "rolling_atr_ratio": _with_atr(op.add_rolling_atr_ratio), "atr_ratio": atr_ratio,

@@ -41,6 +41,60 @@ def test_database_round_trip(spark):
     assert "EqualTo(instrument,XAU_USD)" in plan and "EqualTo(timeframe,H1)" in plan
 
 
+DB = {"createTableColumnTypes": "instrument varchar(20), timeframe varchar(8)"}
+
+
+def _rows(spark, url):
+    return sorted((r.instrument, r.timestamp.hour, r.high) for r in spark.read.jdbc(url, "candles").collect())
+
+
+def test_loads_that_are_repeated_or_break_off_leave_each_key_once(spark, monkeypatch):
+    url = "jdbc:derby:memory:loads;create=true"
+    bars = candles(spark, [(1, i, 0, 1, 7) for i in range(20)], "XAU_USD").withColumn("spread", F.lit(None).cast("int"))
+    assert src.load_jdbc(bars.where("high < 8"), url, **DB) == 8
+    want = _rows(spark, url)
+    # A load that breaks off before its transaction: some rows are staged, none arrives, and no staging table stays.
+    with monkeypatch.context() as m:
+        m.setattr(src, "_properties", lambda *a, real=src._properties, calls=[]: (_ for _ in ()).throw(RuntimeError("lost")) if not calls and not calls.append(1) else real(*a))
+        with pytest.raises(RuntimeError):
+            src.load_jdbc(bars, url, **DB)
+    assert _rows(spark, url) == want
+    # Rows twice in the staged table, as a task that is tried again leaves them, and keys that are there already.
+    assert src.load_jdbc(bars.union(bars), url, **DB) == 12
+    assert src.load_jdbc(bars, url, **DB) == 0
+    assert _rows(spark, url) == [("XAU_USD", i, float(i)) for i in range(20)]
+    tables = spark.read.jdbc(url, "SYS.SYSTABLES").where("TABLETYPE = 'T'").collect()
+    assert [r.TABLENAME for r in tables] == ["CANDLES"]
+
+
+def test_a_series_is_read_by_several_tasks(spark):
+    url = "jdbc:derby:memory:scan;create=true"
+    src.load_jdbc(candles(spark, [(1, i, 0, 1, 7) for i in range(40)], "XAU_USD").union(candles(spark, [(1, 1, 0, 1, 7)], "USOIL")).withColumn("spread", F.lit(1)), url, **DB)
+    out = src.read_jdbc(spark, url, "XAU_USD", "H1", parts=4)
+    sizes = out.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 4 and sum(r["count"] for r in sizes) == 40 and max(r["count"] for r in sizes) <= 11
+    assert src.read_jdbc(spark, url, "USOIL", "H1").count() == 1 and src.read_jdbc(spark, url, "NONE", "H1").count() == 0
+
+
+def test_windows_over_a_bucketed_table_need_no_exchange(spark):
+    bars = candles(spark, walk(random.Random(1), 50), "A").union(candles(spark, walk(random.Random(2), 50), "B"))
+    src.save_bucketed(bars, "bucketed_candles", 4)
+    table = spark.table("bucketed_candles")
+    out = op.add_prev_day_hl(op.pivots(table))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "Exchange" not in plan
+    want = op.add_prev_day_hl(op.pivots(bars))
+    assert sorted(map(tuple, out.select(*want.columns).collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    spark.sql("DROP TABLE bucketed_candles")
+
+
+def test_landing_folders_round_trip(spark, tmp_path):
+    bars = candles(spark, walk(random.Random(1), 30), "A").union(candles(spark, walk(random.Random(2), 30), "B"))
+    src.write_landing(bars, f"file://{tmp_path}")
+    back = src.read_landing(spark, f"file://{tmp_path}", ("A", "B"))
+    assert sorted(map(tuple, back.drop("spread").collect())) == sorted(map(tuple, bars.withColumn("volume", F.col("volume").cast("long")).collect()))
+
+
 def test_table_prunes_pushes_down_and_loads_once(spark, tmp_path):
     path = str(tmp_path / "candles")
     bars = candles(spark, walk(random.Random(1), 50), "A").union(candles(spark, walk(random.Random(2), 50), "B", "D", hours=24))
@@ -113,7 +167,7 @@ def test_live_columns_do_not_change_when_bars_follow(spark):
 
 def test_confirmations_are_the_next_in_time(spark):
     low = candles(spark, [(0, 10, 0, 8)] * 12).withColumns({"choch_bear": F.lit(0), "choch_bull": F.when(F.hour("timestamp").isin(3, 6), 1).otherwise(0)})
-    events = candles(spark, [(1, 1, 1, 1)] * 12).select("instrument", "timestamp")
+    events = candles(spark, [(1, 1, 1, 1)] * 12).select("instrument", "timestamp", F.lit(1).alias("side"))
     got = column(setups.confirmed_below(events, low, 3600, 2 * 3600), "confirmed_at")
     # A bar of hour h is known at h + 1, and at that hour's bar in time.
     assert [t and t.hour for t in got] == [3, 3, 3, 6, 6, 6] + [None] * 6
