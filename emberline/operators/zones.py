@@ -120,16 +120,16 @@ def _with_zones(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.withColumns({f"fvg_{s}{x}": v for s in BULL_BEAR for x, v in default.items() if f"fvg_{s}{x}" not in df.columns})
 
 
-class _Zone:
+class Zone:
     __slots__ = ("lo", "hi", "confirm", "fill", "state", "broken")
 
     def __init__(self, lo: float, hi: float, confirm: int) -> None:
         self.lo, self.hi, self.confirm, self.fill, self.state, self.broken = lo, hi, confirm, 0.0, 1, -1
 
 
-def _registered(zones: list[_Zone], bar: int, on: int, lo: float | None, hi: float | None, confirm: int, keep: int) -> list[_Zone]:
+def _registered(zones: list[Zone], bar: int, on: int, lo: float | None, hi: float | None, confirm: int, keep: int) -> list[Zone]:
     if on == 1 and lo is not None:
-        zones = [*zones, _Zone(lo, hi, confirm if confirm >= 0 else bar + 1)][-keep:]
+        zones = [*zones, Zone(lo, hi, confirm if confirm >= 0 else bar + 1)][-keep:]
     return zones
 
 
@@ -140,7 +140,7 @@ def fvg_fill_pass(
     keep = {"bull": track_last_n_bull, "bear": track_last_n_bear}
 
     def start() -> Callable:
-        live: dict[str, list[_Zone]] = {s: [] for s in BULL_BEAR}
+        live: dict[str, list[Zone]] = {s: [] for s in BULL_BEAR}
 
         def side_step(side: str, bar: int, h: float, low: float, c: float) -> tuple:
             bull = side == "bull"
@@ -202,7 +202,7 @@ def ifvg_pass(
     keep = {"bull": track_last_n_bull, "bear": track_last_n_bear}
 
     def start() -> Callable:
-        live: dict[str, list[_Zone]] = {s: [] for s in BULL_BEAR}
+        live: dict[str, list[Zone]] = {s: [] for s in BULL_BEAR}
 
         def side_step(side: str, bar: int, h: float, low: float, c: float) -> tuple:
             """Of the gaps of one side, what they say of the other: inverted, width, broken, retested, state, origin."""
@@ -288,7 +288,7 @@ def ob_mitigation_pass(*, keep_last_n: int = 3, by_side: bool = False) -> Pass:
     """Whether a recent order block of each side is unbroken, and the bars that first come back to one; by_side: to one of which side, too, and the newest such block's edges."""
 
     def start() -> Callable:
-        live: dict[str, list[_Zone]] = {s: [] for s in BULL_BEAR}
+        live: dict[str, list[Zone]] = {s: [] for s in BULL_BEAR}
 
         def step(bar: int, h: float, low: float, *blocks: float) -> tuple:
             any_, retests, edges = [], [], []

@@ -254,3 +254,14 @@ SQL |= {
         AND w0 <= hi AND w1 >= lo AND loud AND turn * e.side > 0 GROUP BY a.instrument, a.side, lo, hi, a.at""",
     "setup_session_entry": f"""SELECT a.instrument, CAST(a.side AS BIGINT) AS side, NULL::DOUBLE AS zone_low, NULL::DOUBLE AS zone_high, a.at AS sweep_t, min(c.at) AS change_t FROM ({_H1_TIMELY}) a LEFT JOIN ({_M15_SIDED}) c ON c.instrument = a.instrument AND c.side = a.side AND c.at BETWEEN a.at AND a.at + 86400 GROUP BY ALL""",
 }
+
+_STREAMED = "round(arg_min(value, (ts, event_id)), 6) AS open, round(max(value), 6) AS high, round(min(value), 6) AS low, round(arg_max(value, (ts, event_id)), 6) AS close, count(*) AS volume"
+_FINAL = "(SELECT epoch(max(ts)) - 3600 FROM events)"
+SQL |= {
+    "stream_hops": f"""SELECT instrument, t, {_STREAMED} FROM (SELECT event_type AS instrument, ts, event_id, value, CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600 - k * 3600 AS t FROM events, range(4) AS hours(k)) WHERE t + 14400 <= {_FINAL} GROUP BY ALL""",
+    "stream_sessions": f"""SELECT instrument, CAST(floor(epoch(min(ts))) AS BIGINT) AS t, CAST(floor(epoch(max(ts)) + 1800) AS BIGINT) AS ends_t, {_STREAMED} FROM (
+        SELECT *, sum(fresh) OVER (PARTITION BY instrument ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT event_type AS instrument, ts, event_id, value, CASE WHEN epoch(ts) - epoch(lag(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id)) <= 1800 THEN 0 ELSE 1 END AS fresh FROM events)
+      ) GROUP BY instrument, run HAVING epoch(max(ts)) + 1800 <= {_FINAL}""",
+    "stream_two_timeframes": f"SELECT l.instrument, l.t, round(l.close, 6) AS close, round(h.close, 6) AS htf_close FROM ({frame(select='SELECT instrument, t, close FROM b')}) l JOIN ({frame(seconds=14400, select='SELECT instrument, t, close FROM b')}) h ON h.instrument = l.instrument AND l.t >= h.t + 14400 AND l.t < h.t + 28800",
+    "stream_zones": f"SELECT * FROM ({SQL['fvg_fill']}) WHERE t <= (SELECT max(t) - 3600 FROM ({SQL['fvg_fill']}))",
+}

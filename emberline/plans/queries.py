@@ -23,6 +23,7 @@ from ..operators.foundation import bollinger
 from ..operators.relational import add_ifvg_relational, inversions
 from ..sources import candles
 from ..streaming import bars as streaming
+from ..streaming.zones import ROCKS, stream_fvg_fill
 from . import daily, setups
 from .pipeline import build_all_indicators
 
@@ -374,6 +375,48 @@ def stream_of_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(streaming.replay(spark, made, "bars"), [*candles.PRICES, "volume"])
 
 
+def _tick_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{sf_dir}/events.parquet"
+    events = spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return events.withColumn("instrument", F.col("event_type"))
+
+
+def _bar_stream(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    path = shared_path(spark, name)
+    df.write.parquet(path)
+    return spark.readStream.schema(df.schema).parquet(path)
+
+
+def stream_of_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of four hours that begin each hour, by a stream."""
+    made = streaming.stream_bars(_tick_stream(spark, sf_dir), "4 hours", "value", tie=("event_id",), slide="1 hour")
+    return shown(streaming.replay(spark, made, "hops"), [*candles.PRICES, "volume"])
+
+
+def stream_of_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of ticks at most half an hour apart, by a stream."""
+    made = streaming.stream_sessions(_tick_stream(spark, sf_dir), "30 minutes", "value", tie=("event_id",))
+    return shown(streaming.replay(spark, made, "sessions").withColumn("ends_t", F.unix_timestamp("ends")), ["ends_t", *candles.PRICES, "volume"])
+
+
+def stream_of_two_timeframes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of hourly bars joined with one of 4-hour bars."""
+    low, high = _bar_stream(spark, bars(spark, sf_dir), "low"), _bar_stream(spark, bars(spark, sf_dir, "4 hours"), "high")
+    return shown(streaming.replay(spark, streaming.stream_as_of(low, high, ["close"], 4 * 3600), "both"), ["close", "htf_close"])
+
+
+def stream_of_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How live gaps fill over a stream of hourly bars; the bars of the last hour are not final and not written."""
+    source = _bar_stream(spark, op.add_fvg(op.ensure_atr(with_bar_index(bars(spark, sf_dir)))), "gaps")
+    before = spark.conf.get(ROCKS[0], None)
+    spark.conf.set(*ROCKS)
+    try:
+        out = streaming.replay(spark, stream_fvg_fill(source), "zones")
+    finally:
+        spark.conf.unset(ROCKS[0]) if before is None else spark.conf.set(ROCKS[0], before)
+    return shown(out, [c for c in out.columns if c not in (*KEYS, "timestamp")])
+
+
 # The candles' walk is too lively for the default thresholds ever to call it accumulation.
 LOOSE = {"accumulation_min_streak": 3, "atr_pct_low_threshold": 80.0, "box_width_atr_max": 99.0, "box_width_pct_max": 9.0, "overlap_min": 0.1, "efficiency_max": 0.6}
 
@@ -423,6 +466,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "setup_fvg": _setup(setups.add_fvg_context), "setup_blocks": _setup(setups.add_block_context), "setup_sweeps": _setup(setups.add_sweep_context, setups.add_zone_confluence), "setup_pullbacks": _setup(setups.add_pullbacks, setups.add_broken_level_sweep),
     "setup_phases": _setup(setups.add_phase_context), "setup_confirmed": confirmed_sweeps, "setup_block_rejection": block_rejections, "setup_inversion_rejection": inversion_rejections, "setup_zone_entry": zone_entries, "setup_inversion_entry": inversion_entries, "setup_block_entry": block_entries, "setup_session_entry": session_entries,
     "setup_gated": lambda spark, sf_dir: shown(setups.gated(enriched(spark, sf_dir)), ["close", "regime", "session"]), "higher_timeframe": higher_timeframe, "costs": costs, "event_proximity": event_proximity, "smt_divergence": smt, "stream_bars": stream_of_bars, "stream_phases": stream_of_phases,
+    "stream_hops": stream_of_hops, "stream_sessions": stream_of_sessions, "stream_two_timeframes": stream_of_two_timeframes, "stream_zones": stream_of_zones,
     "q_time_slice": time_slice, "q_detector_events": detector_events, "q_last_events": last_events, "q_indicator_ranges": indicator_ranges, "q_flag_rates": flag_rates, "q_regime_distribution": regime_distribution,
     "q_trend_distribution": trend_distribution, "q_warm_up_gaps": warm_up_gaps, "q_latest_rows": latest_rows, "q_series_coverage": series_coverage, "q_latest_snapshot": latest_snapshot,
 }
