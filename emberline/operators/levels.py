@@ -5,6 +5,7 @@ All of them keep the series' partitioning: nothing is aggregated aside and joine
 
 from __future__ import annotations
 
+import heapq
 from collections import deque
 from collections.abc import Callable, Sequence
 
@@ -160,14 +161,12 @@ def volume_profile_pass(lookback: int = 80, n_bins: int = 50, share: float = 0.7
             sums[min(int(((h + lo + c) / 3 - low) / (high - low) * n_bins), n_bins - 1)] += v
         poc = a = b = sums.index(max(sums))
         inside, target = sums[poc], sum(sums) * share
-        while inside < target and (a > 0 or b < n_bins - 1):
-            below, above = sums[a - 1] if a > 0 else 0.0, sums[b + 1] if b < n_bins - 1 else 0.0
-            if (below >= above and a > 0) or b == n_bins - 1:
-                a -= 1
-                inside += sums[a]
-            else:
-                b += 1
-                inside += sums[b]
+        # Both sides of the fullest bin, outwards: of their next bins the fuller one joins, the lower on ties.
+        for volume, side in heapq.merge(((v, -1) for v in reversed(sums[:poc])), ((v, 1) for v in sums[poc + 1 :]), key=lambda x: -x[0]):
+            if inside >= target:
+                break
+            inside += volume
+            a, b = (a - 1, b) if side < 0 else (a, b + 1)
         width = (high - low) / n_bins
         return low + width * (poc + 0.5), low + width * (b + 1), low + width * a
 

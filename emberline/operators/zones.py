@@ -440,9 +440,9 @@ def equal_hl_pass(
                     shown[side] = (len(x.prices), x.level, x.width, x.width_atr, float(x.span), int(x.active), x.score)
                     n, level, width, width_atr, span, active, score = shown[side]
                     out = (1, n, level, width, width_atr, 0.0, span, active, score, x.id)
+            # A step adds one cluster at most: one too many leaves, an inactive one first, then the one longest untouched, of those the newest.
             if len(clusters[side]) > keep_last_n_clusters:
-                kept = sorted(clusters[side], key=lambda x: (x.active, x.last), reverse=True)[:keep_last_n_clusters]
-                clusters[side] = sorted(kept, key=lambda x: x.id)
+                clusters[side].remove(min(clusters[side], key=lambda x: (x.active, x.last, -x.id)))
             if out is None:
                 if shown[side] and shown[side][5]:
                     n, level, width, width_atr, span, _, score = shown[side]

@@ -265,3 +265,13 @@ SQL |= {
     "stream_two_timeframes": f"SELECT l.instrument, l.t, round(l.close, 6) AS close, round(h.close, 6) AS htf_close FROM ({frame(select='SELECT instrument, t, close FROM b')}) l JOIN ({frame(seconds=14400, select='SELECT instrument, t, close FROM b')}) h ON h.instrument = l.instrument AND l.t >= h.t + 14400 AND l.t < h.t + 28800",
     "stream_zones": f"SELECT * FROM ({SQL['fvg_fill']}) WHERE t <= (SELECT max(t) - 3600 FROM ({SQL['fvg_fill']}))",
 }
+
+_NAME = "CASE instrument WHEN 'click' THEN 'XAU_USD' WHEN 'purchase' THEN 'USOIL' WHEN 'view' THEN 'EUR_USD' ELSE 'USD_JPY' END"
+_BY_NAME = f"(SELECT instrument, t, open / k AS open, close / k AS close, atrx / k AS atr, volume, name, CASE name WHEN 'XAU_USD' THEN 50 WHEN 'USOIL' THEN 5 END AS step FROM (SELECT *, {_NAME} AS name, CASE WHEN {_NAME} = 'USOIL' THEN 10.0::DOUBLE ELSE 1 END AS k FROM s))"
+SQL |= {
+    "q_latest_snapshot": built("volume_profile", "prev_day", "prev_week", "regime", select="""SELECT instrument, t, round(close, 6) AS close, round(vp_poc, 6) AS vp_poc, round(vp_vah, 6) AS vp_vah, round(vp_val, 6) AS vp_val, round(vp_poc_distance_atr, 6) AS vp_poc_distance_atr,
+      prev_day_high, prev_day_low, prev_week_high, prev_week_low, near_round_number, regime, regime_label FROM f QUALIFY row_number() OVER (PARTITION BY instrument ORDER BY t DESC) = 1"""),
+    "round_numbers_named": frame(RECURSIVE, recursive=True, select=f"SELECT instrument, t, {flag('least(least(close % step, step / 2.0), step - least(close % step, step / 2.0)) < 0.3 * atr', 'near_round_number')} FROM {_BY_NAME}"),
+    "setup_costs_spread": frame(RECURSIVE, recursive=True, select=f"""SELECT instrument, t, round(cost, 6) AS cost, round(close + side - side * cost, 6) AS target_net, round(close - side + side * cost, 6) AS stop_net FROM (
+      SELECT *, CASE WHEN close >= open THEN 1 ELSE -1 END AS side, CASE WHEN volume % 3 > 0 THEN volume * 10 / 1000.0::DOUBLE ELSE CASE name WHEN 'XAU_USD' THEN 0.5 WHEN 'USOIL' THEN 0.07 WHEN 'EUR_USD' THEN 0.0002 ELSE 0.02 END END AS cost FROM {_BY_NAME})"""),
+}

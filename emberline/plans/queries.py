@@ -262,9 +262,34 @@ def series_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = op.add_prev_week_hl(op.add_prev_day_hl(bars(spark, sf_dir)))
+    """The last bar of each series with its volume profile, reference levels and regime."""
     latest = Window.partitionBy(*KEYS).orderBy(F.col("timestamp").desc())
-    return shown(base.withColumn("n", F.row_number().over(latest)).where("n = 1"), ["close", "prev_day_high", "prev_day_low", "prev_week_high", "prev_week_low"])
+    last = enriched(spark, sf_dir).withColumn("n", F.row_number().over(latest)).where("n = 1")
+    levels = [f"prev_{d}_{s}" for d in ("day", "week") for s in ("high", "low")]
+    return shown(last, ["close", "vp_poc", "vp_vah", "vp_val", "vp_poc_distance_atr", *levels, "near_round_number", "regime", "regime_label"])
+
+
+# Names of instruments for the series of the events.
+_NAMED = {"click": "XAU_USD", "purchase": "USOIL", "view": "EUR_USD"}
+
+
+def _named(df: DataFrame) -> DataFrame:
+    """df with the series' names in `series` and instruments that rules know by name; prices of the second a tenth."""
+    name = F.coalesce(*(F.when(F.col("instrument") == k, v) for k, v in _NAMED.items()), F.lit("USD_JPY"))
+    df = df.withColumn("series", F.col("instrument")).withColumn("instrument", name)
+    return df.withColumns({c: F.when(F.col("instrument") == "USOIL", F.col(c) / 10).otherwise(F.col(c)) for c in candles.PRICES})
+
+
+def round_numbers_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = op.add_round_number_flag(op.ensure_atr(with_bar_index(_named(bars(spark, sf_dir)), ("series",)), keys=("series",)), keys=("series",))
+    return shown(rows.withColumn("instrument", F.col("series")), ["near_round_number"])
+
+
+def costs_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Costs by the spread of each bar where it has one, else by its instrument."""
+    rows = _named(bars(spark, sf_dir)).withColumns({"side": F.when(F.col("close") >= F.col("open"), 1).otherwise(-1), "spread": F.when(F.col("volume") % 3 > 0, F.col("volume") * 10)})
+    rows = setups.with_costs(rows.withColumns({"target": F.col("close") + F.col("side"), "stop": F.col("close") - F.col("side")}), use_spread=True)
+    return shown(rows.withColumn("instrument", F.col("series")), ["cost", "target_net", "stop_net"])
 
 
 # Setups and streams.
@@ -469,4 +494,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_hops": stream_of_hops, "stream_sessions": stream_of_sessions, "stream_two_timeframes": stream_of_two_timeframes, "stream_zones": stream_of_zones,
     "q_time_slice": time_slice, "q_detector_events": detector_events, "q_last_events": last_events, "q_indicator_ranges": indicator_ranges, "q_flag_rates": flag_rates, "q_regime_distribution": regime_distribution,
     "q_trend_distribution": trend_distribution, "q_warm_up_gaps": warm_up_gaps, "q_latest_rows": latest_rows, "q_series_coverage": series_coverage, "q_latest_snapshot": latest_snapshot,
+    "round_numbers_named": round_numbers_named, "setup_costs_spread": costs_spread,
 }
