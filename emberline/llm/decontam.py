@@ -162,8 +162,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
     strings), hit_spans (code points [start, end) of runs of hit words), items_sha256 (of the ids joined with commas) and
     contaminated (n_hit > 0).
 
-    A null text has no words. An empty benchmark hits nothing. Input columns with these names are replaced; all others stay, as
-    do repeated rows.
+    A null text has no words. An empty benchmark hits nothing. A very long text is searched whole; only its runs of item words are indexed. Input columns with these
+    names are replaced; all others stay, as do repeated rows, and an empty table gives no rows.
     """
 
     def one(df: DataFrame, shared: Broadcast, last: bool) -> DataFrame:
@@ -195,6 +195,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
 def remove(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with the hit spans cut out of the text, so that no window occurs in it any more; other rows are unchanged.
 
+    Null texts stay null, repeated rows are cut alike, and an empty table gives no rows.
     With more than one block, what one block's cuts bring together may be another's window: rounds go on until one cuts nothing.
     """
     changed = "_cut"

@@ -118,8 +118,8 @@ def score_texts(model: LanguageModel, texts: list[str | None]) -> tuple[list[str
 def predict(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """docs with lang_pred and score (the posterior of lang_pred).
 
-    A text that is null, empty or without a letter gets `und` and 0. Ties go to the language that sorts first. Input
-    columns named lang_pred or score are replaced; all others stay.
+    A text that is null, empty or without a letter gets `und` and 0. Ties go to the language that sorts first. Rows are judged one by one, so repeated
+    rows alike, and an empty table gives no rows. Input columns named lang_pred or score are replaced; all others stay.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

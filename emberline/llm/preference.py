@@ -47,7 +47,7 @@ def format_pairs(pairs: DataFrame, trained_role: str = "assistant") -> DataFrame
     pairs has pair_id, chosen and rejected, arrays of (role, text). mask has 0 or 1 for each completion turn; spans the
     [start, end) code points of the completion that are trained on, by turn. A null side counts as no turns; null text as
     an empty one, and equals another null only. Conversations that are equal, or of which one begins the other, leave an empty
-    completion.
+    completion. Repeated pairs stay; other columns are left out, and an empty table gives no rows.
     """
     chosen, rejected = (F.coalesce(F.col(c), F.array().cast("array<struct<role:string,text:string>>")) for c in ("chosen", "rejected"))
     rows = pairs.select("pair_id", chosen.alias("chosen"), rejected.alias("rejected"))

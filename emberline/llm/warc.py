@@ -104,7 +104,7 @@ def write(pages: DataFrame, path: str, min_revisit: int = 0, key: str = "page_id
 
     The payload is html in UTF-8, of null none. Of equal payloads of at least min_revisit bytes the smallest key's record is the
     response and the others are revisits. Repeated rows of the smallest key are responses, as are rows without a key, which
-    nothing can refer to.
+    nothing can refer to. A null url is an empty one. Other columns are left out, and an empty table leaves archives without records.
     """
     rows = pages.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html")).withColumn("digest", base32_sha1(F.col("html").cast("binary")))
     groups = rows.where((F.octet_length("html") >= min_revisit) & F.col("key").isNotNull()).groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n"))
@@ -323,7 +323,10 @@ def _read_whole(captures: DataFrame, archive: str) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", with_payload: bool = False) -> DataFrame:
-    """Writes pages as archives in the shared folder, indexes them, looks every page's URL up and reads what is found."""
+    """Writes pages as archives in the shared folder, indexes them, looks every page's URL up and reads what is found: one row for each row of pages.
+
+    Nulls and repeated rows are as in write; pages that share a URL are all found under it. Other columns are left out, and an empty table gives no rows.
+    """
     spark = pages.sparkSession
     archive = shared_path(spark, "warc")
     write(pages, archive, key=key, url=url, html=html)
