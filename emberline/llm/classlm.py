@@ -29,7 +29,8 @@ from .words import Words, utf8
 
 HEAD = 1 << 18
 CLUSTERED = 1500
-CLASSES = 48
+MOST_CLASSES = 128
+"""Exchange looks at each pair of classes for each word and runs in one task, so this bounds its time."""
 GATHERED = 4_000_000
 """Words or neighbours that a task gathers before it adds them up."""
 SMOOTHING = 0.1
@@ -344,12 +345,21 @@ def _of_head(words: DataFrame, head: Head, class_: np.ndarray) -> np.ndarray:
     return out
 
 
-def train(training: DataFrame, counts: DataFrame, text: str, head_size: int = HEAD, clustered: int = CLUSTERED, classes: int = CLASSES) -> tuple[ClassModel, DataFrame]:
-    """The model of training texts, counts being their written word_counts, and (word, n, class) of all training words that exchange did not place."""
-    if not 0 < classes < OUTSIDE - 2:
+def classes_for(tokens: int) -> int:
+    """How many classes so many training tokens can tell apart: class bigrams grow with the square of it, so it grows with less than the square root of them."""
+    return max(8, min(MOST_CLASSES, round(0.6 * tokens ** (1 / 3))))
+
+
+def train(training: DataFrame, counts: DataFrame, text: str, head_size: int = HEAD, clustered: int = CLUSTERED, classes: int | None = None) -> tuple[ClassModel, DataFrame]:
+    """The model of training texts, counts being their written word_counts, and (word, n, class) of all training words that exchange did not place.
+
+    classes: how many, by default as many as classes_for says of the training words.
+    """
+    if classes is not None and not 0 < classes < OUTSIDE - 2:
         raise ValueError(f"there may be 1 to {OUTSIDE - 3} classes")
     ends = training.count()
     total, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    classes = classes or classes_for(int(total))
     head, count = _vocabulary(counts, head_size)
     chosen = np.lexsort((head.hashes, -count))[:clustered]
     n = len(chosen)
@@ -461,7 +471,7 @@ def _held_out(key: str) -> Column:
     return F.pmod(document_id(key), F.lit(10)) == 0
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", head_size: int = HEAD, clustered: int = CLUSTERED, classes: int = CLASSES) -> DataFrame:
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", head_size: int = HEAD, clustered: int = CLUSTERED, classes: int | None = None) -> DataFrame:
     """Per row of docs: key, held_out, n_tokens (words and the end), n_known (those in training), train_tokens, base_score (smoothed
     unigram log10 probability), score (the model's log10 probability) and perplexity.
 
