@@ -33,6 +33,8 @@ MOST_CLASSES = 128
 """Exchange looks at each pair of classes for each word and runs in one task, so this bounds its time."""
 GATHERED = 4_000_000
 """Words or neighbours that a task gathers before it adds them up."""
+GAINS = 1 << 20
+"""Gains of neighbours and classes that a task holds at a time, 8 MB."""
 SMOOTHING = 0.1
 BACK_OFF = 20.0
 OUTSIDE = 255
@@ -287,6 +289,17 @@ def _neighbours(training: DataFrame, text: str, head: Head, class_: np.ndarray,
     return training.select(text).mapInArrow(run, "word long, codes array<int>, times array<long>")
 
 
+def _parts(row: np.ndarray, words: int, room: int) -> Iterator[tuple[int, int, int, int]]:
+    """Ranges of words and of their entries in row (ascending), of about `room` words and entries at most."""
+    first = np.searchsorted(row, np.arange(words + 1))
+    i = 0
+    while i < words:
+        j = int(np.searchsorted(first, first[i] + room, side="right")) - 1
+        j = min(max(j, i + 1), words, i + room)
+        yield i, j, int(first[i]), int(first[j])
+        i = j
+
+
 def _assigned(neighbours: DataFrame, table: np.ndarray) -> DataFrame:
     """(word, n, class) of all words in neighbours, as a written table; n is how often the word is in the texts.
 
@@ -301,7 +314,7 @@ def _assigned(neighbours: DataFrame, table: np.ndarray) -> DataFrame:
         row, code = np.divmod(cell, cells)
         # Each occurrence has one neighbour after it.
         often = np.bincount(row[code < size], n[code < size], len(word)).astype(np.int64)
-        best = [best_classes(table, row[a:b] - i, code[a:b], n[a:b], min(1000, len(word) - i)) for i in range(0, len(word), 1000) for a, b in [np.searchsorted(row, (i, i + 1000))]]
+        best = [best_classes(table, row[a:b] - i, code[a:b], n[a:b], j - i) for i, j, a, b in _parts(row, len(word), max(1, GAINS // size))]
         return pa.RecordBatch.from_arrays([pa.array(word), pa.array(often), pa.array(np.concatenate(best).astype(np.int32))], names=["word", "n", "class"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
