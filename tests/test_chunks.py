@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from emberline import operators as op
 from emberline.functions.chunks import CHUNK, Carry, carried, in_chunks, numbered, rma, smoothed, with_halo
 from emberline.functions.series import with_bar_index
+from emberline.functions.shared import stored
 from emberline.operators import chunked
+from emberline.plans import catalog
 
 from .helpers import candles, walk
 
@@ -59,6 +61,21 @@ def test_bounded_operators_over_chunk_borders(series):
         assert CHUNK in plan
 
 
+def test_every_operator_with_a_bound_can_be_cut(series):
+    """The catalog's claim, held against whole series: what an operator makes in chunks of a few bars is what it makes of the series."""
+    base = op.add_choch(op.add_bos(op.add_trend_state(op.add_swings(op.add_foundation(with_bar_index(series))))))
+    base = stored(base.drop("bb_width", "bb_width_pct_50", "body_ratio", "body_ratio_above_60").withColumn("bb_width_below_40", F.lit(1)), "base")
+    names = [n for n, e in catalog.CATALOG.items() if e.look_back is not None]
+    assert len(names) >= 13
+    for name in names:
+        operator = catalog.CATALOG[name].operator
+        given = base.drop(*(f"bb_width_below_{x}" for x in (30, 40))) if name == "bb_width" else base
+        whole = operator(given)
+        same(whole, catalog.cut(given, name, size=SIZE), [c for c in whole.columns if c not in given.columns])
+    with pytest.raises(ValueError):
+        catalog.cut(base, "bos")
+
+
 def test_carried(series):
     df = numbered(series, size=SIZE).withColumn("v", F.when(F.col("close") % 3 == 0, F.col("close")))
     got = carried(df, {"a": Carry("last", F.col("v")), "b": Carry("last", F.col("v"), False), "c": Carry("sum", F.col("volume")), "d": Carry("max", F.col("v"), False)})
