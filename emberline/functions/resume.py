@@ -1,7 +1,7 @@
 """Sequential passes that go on where an earlier run ended.
 
 A step keeps what it knows in the variables it closes over, and in those of the steps it calls. Their values, without code, are a series' state: saved with a
-version of the passes, and put into fresh steps by the next run.
+version of the passes, and put into fresh steps by the next run. States are pickled, so read only tables of states that runs of one's own have written.
 """
 
 from __future__ import annotations
