@@ -203,9 +203,13 @@ def next_below(events: str, hits: str, seconds: int, within: int, name: str, col
       ON h.instrument = e.instrument AND h.t >= e.t + {seconds} AND h.t - (e.t + {seconds}) <= {within} AND {on} GROUP BY ALL"""
 
 
-# The last gap of each side on 4-hour bars, known when the bar after it closes, and the daily trend.
-_H4_GAPS = frame(RECURSIVE, PIVOTS + GAPS, recursive=True, seconds=14400, select=f"""SELECT instrument, t + 14400 AS known, last_value(lo IGNORE NULLS) OVER w AS lo, last_value(hi IGNORE NULLS) OVER w AS hi, last_value(side IGNORE NULLS) OVER w AS side
-  FROM (SELECT instrument, t, i, lag(CASE WHEN u THEN h0 WHEN d THEN h2 END) {LAG} AS lo, lag(CASE WHEN u THEN l2 WHEN d THEN l0 END) {LAG} AS hi, lag(CASE WHEN u THEN 1 WHEN d THEN -1 END) {LAG} AS side FROM gb) WINDOW w AS (PARTITION BY instrument ORDER BY i ROWS UNBOUNDED PRECEDING)""")
+# The last gap on 4-hour bars, known when the bar after it closes, until a later bar has gone through it; and the daily trend.
+_H4_GAPS = frame(RECURSIVE, PIVOTS + GAPS + f""", gl AS (
+    SELECT instrument, t, i, low, high, lag(CASE WHEN u THEN h0 WHEN d THEN h2 END) {LAG} AS lo, lag(CASE WHEN u THEN l2 WHEN d THEN l0 END) {LAG} AS hi, lag(CASE WHEN u THEN 1 WHEN d THEN -1 END) {LAG} AS side FROM gb
+  ), gn AS (SELECT *, max(CASE WHEN side IS NOT NULL THEN i END) OVER (PARTITION BY instrument ORDER BY i) AS told FROM gl),
+  gz AS (SELECT n.instrument, n.t, z.lo, z.hi, z.side, (SELECT bool_or(CASE WHEN z.side = 1 THEN x.low <= z.lo ELSE x.high >= z.hi END) FROM gn x WHERE x.instrument = n.instrument AND x.i > n.told AND x.i <= n.i) AS gone
+    FROM gn n LEFT JOIN gn z ON z.instrument = n.instrument AND z.i = n.told)""", recursive=True, seconds=14400,
+  select="SELECT instrument, t + 14400 AS known, CASE WHEN gone THEN NULL ELSE lo END AS lo, CASE WHEN gone THEN NULL ELSE hi END AS hi, CASE WHEN gone THEN NULL ELSE side END AS side FROM gz")
 _DAILY_TREND = frame(CAUSAL + TREND, recursive=True, seconds=86400, select="SELECT instrument, t + 86400 AS known, CAST(st AS BIGINT) AS bias FROM tt")
 
 SQL |= {

@@ -246,12 +246,16 @@ def zone_entries(low: DataFrame, zones: DataFrame, zone_seconds: int, daily: Dat
     """low with the last gap of a higher timeframe (htf_zone_low, htf_zone_high, htf_zone_side) and the daily trend (htf_bias) as they are known at each bar,
     in_htf_zone if the bar reaches into that gap, and zone_entry if the trend is of the gap's side too.
 
-    zones are the higher bars with fvg_candidates: a gap is told by the bar after it.
+    zones are the higher bars with fvg_candidates: a gap is told by the bar after it, and is a zone until a later higher bar has gone all the way through it.
     """
     w = ordered(keys)
     gap = lambda s, side: F.struct(F.col(f"fvg_{s}_low").alias("low"), F.col(f"fvg_{s}_high").alias("high"), F.lit(side).alias("side"))
-    told = zones.withColumn("_z", F.lag(F.when(F.col("fvg_bull") == 1, gap("bull", 1)).when(F.col("fvg_bear") == 1, gap("bear", -1))).over(w))
-    told = told.withColumn("_z", F.last("_z", True).over(so_far(keys))).select("instrument", "timestamp", *(F.col(f"_z.{x}").alias(f"zone_{x}") for x in ("low", "high", "side")))
+    told = zones.withColumn("_new", F.lag(F.when(F.col("fvg_bull") == 1, gap("bull", 1)).when(F.col("fvg_bear") == 1, gap("bear", -1))).over(w))
+    told = told.withColumns({"_z": F.last("_new", True).over(so_far(keys)), "_id": F.count("_new").over(so_far(keys))})
+    since = ordered([*keys, "_id"]).rowsBetween(FIRST, 0)
+    later = F.col("_new").isNull()
+    through = F.when(F.col("_z.side") == 1, F.min(F.when(later, F.col("low"))).over(since) <= F.col("_z.low")).otherwise(F.max(F.when(later, F.col("high"))).over(since) >= F.col("_z.high"))
+    told = told.withColumn("_z", F.when(~F.coalesce(through, F.lit(False)), F.col("_z"))).select("instrument", "timestamp", *(F.col(f"_z.{x}").alias(f"zone_{x}") for x in ("low", "high", "side")))
     out = as_of(low, told, ["zone_low", "zone_high", "zone_side"], zone_seconds)
     out = as_of(out, daily.select("instrument", "timestamp", F.col("trend_state").alias("bias")), ["bias"], daily_seconds)
     inside = (F.col("low") <= F.col("htf_zone_high")) & (F.col("high") >= F.col("htf_zone_low"))
