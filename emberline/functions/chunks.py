@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .scan import Pass, dealt, scan
-from .series import FIRST, KEYS, ORDER
+from .series import FIRST, KEYS, LAST, ORDER
 from .shared import stored
 
 CHUNK, OWN = "_chunk", "_own"
@@ -98,6 +98,7 @@ class Smoother:
     """y = keep * y before + gain * x at each x that is not null; other bars repeat y.
 
     The warm-th value starts it, with the mean or sum of the values among the last `warm` bars; before, y is null. With early, y is the mean of the values so far up to there.
+    level is what y stays at while x stays at 1.
     """
 
     of: str
@@ -106,6 +107,7 @@ class Smoother:
     warm: int
     start: str = "mean"
     early: bool = False
+    level: float = 1.0
 
 
 def ema(of: str, period: int) -> Smoother:
@@ -119,21 +121,21 @@ def rma(of: str, period: int, early: bool = False) -> Smoother:
 
 
 def wilder_sum(of: str, period: int) -> Smoother:
-    return Smoother(of, 1 - 1 / period, 1.0, period, "sum")
+    return Smoother(of, 1 - 1 / period, 1.0, period, "sum", level=float(period))
 
 
 def _ends_pass(counts: Sequence[str], totals: Sequence[str], smoothers: dict[str, Smoother]) -> Pass:
     """A chunk's row takes what came before it: counts and sums of values, and what each recurrence would have had it started from 0 at the series' first bar."""
-    steps = [(s.keep, counts.index(s.of)) for s in smoothers.values()]
+    steps = [(s.keep, s.level, counts.index(s.of)) for s in smoothers.values()]
 
     def start() -> Callable:
         seen, sums, came = [0] * len(counts), [0.0] * len(totals), [0.0] * len(steps)
 
         def step(*row: float) -> tuple:
             nonlocal seen, sums, came
-            n, t, ends = row[: len(counts)], row[len(counts) : len(counts) + len(totals)], row[len(counts) + len(totals) :]
+            n, origin, t, ends = row[: len(counts)], row[len(counts) : 2 * len(counts)], row[2 * len(counts) : 2 * len(counts) + len(totals)], row[2 * len(counts) + len(totals) :]
             out = (*seen, *sums, *came)
-            came = [keep ** n[i] * (c + e) for (keep, i), c, e in zip(steps, came, ends, strict=True)]
+            came = [level * origin[i] + keep ** n[i] * (c - level * origin[i] + e) if n[i] else c for (keep, level, i), c, e in zip(steps, came, ends, strict=True)]
             seen = [a + b for a, b in zip(seen, n, strict=True)]
             sums = [a + (b or 0.0) for a, b in zip(sums, t, strict=True)]
             return out
@@ -141,7 +143,7 @@ def _ends_pass(counts: Sequence[str], totals: Sequence[str], smoothers: dict[str
         return step
 
     outputs = [*((f"_seen_{c}", T.LongType()) for c in counts), *((f"_sum_{c}", T.DoubleType()) for c in totals), *((f"_came_{n}", T.DoubleType()) for n in smoothers)]
-    return start, [*(f"_n_{c}" for c in counts), *(f"_t_{c}" for c in totals), *(f"_e_{n}" for n in smoothers)], outputs
+    return start, [*(f"_n_{c}" for c in counts), *(f"_o_{c}" for c in counts), *(f"_t_{c}" for c in totals), *(f"_e_{n}" for n in smoothers)], outputs
 
 
 def smoothed(df: DataFrame, smoothers: dict[str, Smoother], keys: Sequence[str] = KEYS, size: int = SIZE) -> DataFrame:
@@ -150,6 +152,8 @@ def smoothed(df: DataFrame, smoothers: dict[str, Smoother], keys: Sequence[str]
     Within a chunk, after u values, the recurrence from 0 is keep^u times the sum of gain * x * keep^-u, a running sum. A chunk hands on keep^n and what it
     ends with; these pairs compose, so a pass over the table of chunk ends gives each chunk what came before. The recurrence from 0 and the
     one from its start differ by keep^count * c at each bar, and the starting bar tells c.
+    Sums and what came are taken from the chunk's value nearest 0 on: the digits lost are those of distances within a chunk, which for prices are far smaller
+    than the prices, and no distance is over twice its value.
     """
     if short := [n for n, s in smoothers.items() if s.keep <= 0]:
         raise ValueError(f"periods must be over 1: {short}")
@@ -164,31 +168,34 @@ def smoothed(df: DataFrame, smoothers: dict[str, Smoother], keys: Sequence[str]
         if chunks is not None:
             rows = joined(rows, chunks.select(*keys, CHUNK), [*keys, CHUNK], "left_semi")
         own = {c: F.when(F.col(OWN), F.col(c).cast("double")) for c in counts}
-        rows = rows.withColumns({f"_u_{c}": F.count(x).over(so_far) for c, x in own.items()})
+        rows = rows.withColumns({f"_u_{c}": F.count(x).over(so_far) for c, x in own.items()} | {f"_o_{c}": F.min_by(x, F.abs(x)).over(part.rowsBetween(FIRST, LAST)) for c, x in own.items()})
         out = {f"_t_{c}": F.sum(own[c]).over(so_far) for c in totals}
         for n, s in smoothers.items():
-            out[f"_z_{n}"] = F.coalesce(F.sum(own[s.of] * s.gain * F.pow(F.lit(1 / s.keep), F.col(f"_u_{s.of}"))).over(so_far), F.lit(0.0))
+            out[f"_z_{n}"] = F.coalesce(F.sum((own[s.of] - F.col(f"_o_{s.of}")) * s.gain * F.pow(F.lit(s.keep), -F.col(f"_u_{s.of}"))).over(so_far), F.lit(0.0))
             out[f"_f_{n}"] = (F.sum if s.start == "sum" else F.avg)(F.col(s.of).cast("double")).over(part.rowsBetween(-(s.warm - 1), 0))
         return rows.withColumns(out).where(OWN).drop(OWN)
 
-    ends = [*(F.max(f"_u_{c}").alias(f"_n_{c}") for c in counts), *(F.max_by(f"_t_{c}", "bar_idx").alias(f"_t_{c}") for c in totals), *(F.max_by(f"_z_{n}", "bar_idx").alias(f"_e_{n}") for n in smoothers)]
+    ends = [*(F.max(f"_u_{c}").alias(f"_n_{c}") for c in counts), *(F.first(f"_o_{c}").alias(f"_o_{c}") for c in counts), *(F.max_by(f"_t_{c}", "bar_idx").alias(f"_t_{c}") for c in totals), *(F.max_by(f"_z_{n}", "bar_idx").alias(f"_e_{n}") for n in smoothers)]
     table = inside().groupBy(*keys, CHUNK).agg(*ends).withColumn(ORDER, F.col(CHUNK))
     made = [*(f"_seen_{c}" for c in counts), *(f"_sum_{c}" for c in totals), *(f"_came_{n}" for n in smoothers)]
     came = stored(scan(table, [_ends_pass(counts, totals, smoothers)], keys).select(*keys, CHUNK, *made), "ends")
 
     count = lambda s: F.col(f"_seen_{s.of}") + F.col(f"_u_{s.of}")
-    from_zero = lambda n, s: F.pow(F.lit(s.keep), F.col(f"_u_{s.of}")) * (F.col(f"_came_{n}") + F.col(f"_z_{n}"))
+    power = lambda s, of, sign=1: F.pow(F.lit(s.keep), sign * F.col(f"_{of}_{s.of}"))
+    origin = lambda s: F.coalesce(F.col(f"_o_{s.of}"), F.lit(0.0)) * s.level
     # Only a chunk that begins before a smoother has started can hold its start.
     heads = came.where(reduce(lambda a, b: a | b, (F.col(f"_seen_{s.of}") < s.warm for s in smoothers.values())))
     mean = lambda s: (F.col(f"_sum_{s.of}") + F.coalesce(F.col(f"_t_{s.of}"), F.lit(0.0))) / count(s)
     first = {n: mean(s) if s.early else F.col(f"_f_{n}") for n, s in smoothers.items()}
     starts = {n: (count(s) == s.warm) & F.col(s.of).isNotNull() for n, s in smoothers.items()}
-    begins = [F.max(F.when(starts[n], (first[n] - from_zero(n, s)) / s.keep**s.warm)).alias(f"_c_{n}") for n, s in smoothers.items()] + [F.max(F.when(starts[n], first[n])).alias(f"_b_{n}") for n in smoothers]
+    constant = lambda n, s: ((first[n] - origin(s)) * power(s, "u", -1) - F.col(f"_z_{n}") + origin(s) - F.col(f"_came_{n}")) * power(s, "seen", -1)
+    begins = [F.max(F.when(starts[n], constant(n, s))).alias(f"_c_{n}") for n, s in smoothers.items()] + [F.max(F.when(starts[n], first[n])).alias(f"_b_{n}") for n in smoothers]
     constants = joined(inside(heads), heads, [*keys, CHUNK]).groupBy(*keys).agg(*begins)
 
     out = {}
     for n, s in smoothers.items():
-        y = F.when(count(s) == s.warm, F.col(f"_b_{n}")).when(count(s) > s.warm, F.pow(F.lit(s.keep), count(s)) * F.col(f"_c_{n}") + from_zero(n, s))
+        came_in = F.col(f"_came_{n}") + power(s, "seen") * F.col(f"_c_{n}")
+        y = F.when(count(s) == s.warm, F.col(f"_b_{n}")).when(count(s) > s.warm, origin(s) + power(s, "u") * (came_in - origin(s) + F.col(f"_z_{n}")))
         out[n] = F.coalesce(y, F.when(count(s) > 0, mean(s))) if s.early else y
     rows = joined(joined(inside(), came, [*keys, CHUNK]), constants, keys).withColumns(out)
-    return rows.drop(*made, *(f"_u_{c}" for c in counts), *(f"_t_{c}" for c in totals), *(f"_{x}_{n}" for x in "zfcb" for n in smoothers))
+    return rows.drop(*made, *(f"_{x}_{c}" for x in "uo" for c in counts), *(f"_t_{c}" for c in totals), *(f"_{x}_{n}" for x in "zfcb" for n in smoothers))

@@ -1,4 +1,5 @@
 import random
+from decimal import Decimal, localcontext
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,6 +109,32 @@ def test_smoothers_with_missing_values(series):
         smoothed(df, {"a": ema("x", 1)})
 
 
+def test_smoothers_of_prices_are_right_to_their_last_digits(spark):
+    """Against decimals of 50 digits, over three chunks of the usual size: prices in the thousands that move by cents, one of them a spike, then a flat stretch.
+
+    Slopes are differences over three bars, so these are held too.
+    """
+    from emberline.functions.chunks import ema, wilder_sum
+
+    rng, closes = random.Random(6), [2000.0]
+    for _ in range(1299):
+        closes.append(round(closes[-1] + rng.randint(-300, 300) / 100, 2))
+    closes[700] = 9e5
+    df = numbered(candles(spark, [(x, x, x, x) for x in closes] + [(1987.3,) * 4] * 40))
+    got = smoothed(df, {"a": ema("close", 200), "b": ema("close", 20), "c": rma("close", 14), "d": wilder_sum("close", 14)}).orderBy("bar_idx").collect()
+    with localcontext(prec=50):
+        for name, weight, warm, level in (("a", Decimal(2) / 201, 1, 1), ("b", Decimal(2) / 21, 1, 1), ("c", Decimal(1) / 14, 14, 1), ("d", Decimal(1) / 14, 14, 14)):
+            x = [Decimal(r.close) for r in got]
+            want = [sum(x[:warm]) * level / warm]
+            for v in x[warm:]:
+                want.append(want[-1] + (v * level - want[-1]) * weight)
+            off = [Decimal(r[name]) - w for r, w in zip(got[warm - 1 :], want, strict=True)]
+            before = off[: 701 - warm]
+            assert max(abs(o) for o in before) < level * Decimal("1e-12"), name
+            assert max(abs(o - p) for o, p in zip(before[3:], before, strict=False)) < level * Decimal("6e-13"), name
+            assert max(abs(o / w) for o, w in zip(off, want, strict=True)) < Decimal("5e-15"), name
+
+
 def test_foundation(series):
     base = op.add_foundation(with_bar_index(series))
     got = chunked.add_foundation_in_chunks(series, size=SIZE)

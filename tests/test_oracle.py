@@ -38,5 +38,15 @@ def test_query(spark, duck, name):
             assert u == v or (isinstance(u, float) and isinstance(v, float) and math.isclose(u, v, abs_tol=2e-6)), (name, x, y)
 
 
+def test_chunked_averages_round_as_sql_does(spark):
+    """Over series of more than one chunk; one slope here is -0.09760249999977."""
+    name, sf = "chunked_emas", SF.replace("0.001", "0.01")
+    df = entry.queries()[name](spark, sf)
+    with duckdb.connect() as con:
+        con.sql(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+        got = con.sql(entry.oracle_sql()[name])
+        assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(got.columns, got.fetchall())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
